@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm import bpe, shards, token_counts, topk
+from chainframe.llm import bpe, near_dups, shards, substrings, token_counts, topk, toxicity
 from chainframe.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -26,14 +34,41 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.component_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_interleaved_shards": op8_interleaved_shards,
+    "op10_near_dups": op10_near_dups,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": """
+        WITH docs AS (
+            SELECT doc_id, row_number() OVER () AS r,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), starts AS (
+            SELECT doc_id, r, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+            FROM (SELECT doc_id, r, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE doc_id IS NOT NULL)
+        ), firsts AS (
+            SELECT h, min(doc_id) AS lo FROM starts GROUP BY h HAVING count(*) > 1
+        ), covered AS (
+            SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM starts JOIN firsts USING (h) WHERE doc_id > lo
+        ), gone AS (
+            SELECT r, list(i) AS gone, count(*) AS n FROM covered GROUP BY r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(CASE WHEN n IS NULL THEN words
+                   ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+        FROM docs LEFT JOIN gone USING (r)
+    """,
     "op6_exact_top_k": """
         WITH v AS (
             SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
