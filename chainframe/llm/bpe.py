@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -224,6 +225,12 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(2)
+def _worker_words(vocabulary: str) -> WordIds:
+    """One for a worker's life, so that later tasks find what earlier ones have learnt."""
+    return WordIds(load_ranks(vocabulary))
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) -> key, ids: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
@@ -232,7 +239,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
     """
 
     def make():
-        words, find = WordIds(load_ranks(vocabulary)), regex.compile(pattern).findall
+        words, find = _worker_words(vocabulary), regex.compile(pattern).findall
 
         def ids(doc: str | None) -> bytes:
             return b"".join([b"".join(map(words.__getitem__, find(part))) for part in chunks(doc)]) if doc else b""
