@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm import common
 from chainframe.llm.graph import components
-from chainframe.llm.substrings import Words, version, windows
+from chainframe.llm.substrings import Words, version, windows, worker_words
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Of the 100 low bits of two signatures, how many may differ: five standard deviations above the mean at 0.8.
@@ -75,7 +75,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     """(doc, ver, text) -> doc, ver, n (shingles), fa, fb (fingerprint of the set), c1, c2 (low bits), keys."""
 
     def make():
-        hashed = Words()
+        hashed = worker_words()
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch, 512):
@@ -107,7 +107,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int) -> DataFra
     ends = pairs.select(F.col("b").alias("doc"), F.col("b_ver").alias("ver")).union(pairs.select("a", "a_ver")).distinct()
 
     def make():
-        hashed = Words()
+        hashed = worker_words()
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch, 256):

@@ -54,6 +54,12 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def worker_words() -> Words:
+    """One for a worker's life."""
+    return Words()
+
+
 @cache
 def _powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
@@ -103,7 +109,7 @@ def anchors(docs: DataFrame, size: int, period: int) -> DataFrame:
     short = size - period + 1
 
     def make():
-        hashed = Words()
+        hashed = worker_words()
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):
@@ -129,7 +135,7 @@ def candidates(docs: DataFrame, size: int, period: int) -> DataFrame:
     """(doc, ver, text, marks) -> h, g, doc, at: two hashes of every window that holds a shared anchor at a place where both could be aligned."""
 
     def make():
-        hashed = Words()
+        hashed = worker_words()
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):

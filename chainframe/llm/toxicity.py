@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,12 @@ class Features(dict):
         return out
 
 
+@cache
+def worker_features() -> Features:
+    """One for a worker's life."""
+    return Features()
+
+
 def features(text: str | None, known: Features) -> np.ndarray:
     """The distinct buckets of a whole text."""
     return np.unique(np.fromiter((b for w in set(_WORD.findall((text or "").lower())) for b in known[w]), np.int32))
@@ -73,7 +80,7 @@ def _bags(docs: DataFrame, rows: int, limit: int) -> list[np.ndarray]:
     some = docs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < min(parts, int(parts * limit / max(1, rows)) + 1))
 
     def make():
-        known = Features()
+        known = worker_features()
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch, 128):
@@ -172,7 +179,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     at = others.index(text)
 
     def run(batches):
-        known, table, bias = Features(), sent.value.table(), sent.value.bias
+        known, table, bias = worker_features(), sent.value.table(), sent.value.bias
         for batch in batches:
             for part in common.slices(batch):
                 z = np.array([float(table[features(x, known)].sum()) + bias for x in part.column(at).to_pylist()])
