@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm import bpe, near_dups, shards, substrings, token_counts, topk, toxicity
+from chainframe.llm import bpe, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
 from chainframe.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_interleaved_shards": op8_interleaved_shards,
     "op10_near_dups": op10_near_dups,
 }
