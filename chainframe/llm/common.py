@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def write_stage(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared checkpoint folder and reads it again."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files that nothing refers to any more, instead of at the next chance."""
     gc.collect()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm import bpe, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
+from chainframe.llm import bpe, decontaminate, html, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
 from chainframe.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -38,18 +42,24 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.component_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_interleaved_shards": op8_interleaved_shards,
+    "op9_html_text": op9_html_text,
     "op10_near_dups": op10_near_dups,
 }
 

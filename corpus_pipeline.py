@@ -1,16 +1,72 @@
-"""A corpus cleaning pipeline."""
+"""Cleans a corpus in five stages and encodes what is left.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that the one before
+kept. Every stage but the last returns the columns of ``documents``; run() applies them in turn.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainframe.llm import bpe, decontaminate, near_dups, substrings, toxicity
+from chainframe.llm.common import table, write_stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labels of sf_dir, rejects go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that chains of 0.8 similarity on five-word shingles link, the one with the smallest id stays."""
+    linked = near_dups.link(docs, 5, 80)
+    stay = linked.where("doc is not null and doc = component").select(F.col("doc").alias("doc_id"), F.col("ver").alias("_ver")).distinct()
+    rows = docs.withColumn("_ver", substrings.version())
+    known = rows.where("doc_id is not null").join(stay, ["doc_id", "_ver"], "left_semi")
+    return known.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that an earlier document has go; documents of which nothing is left go too."""
+    out = substrings.remove_repeats(docs.select(*COLUMNS))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    out = out.where("n_removed = 0 or n_removed < n_words").withColumn("n_chars", F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", text).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item with at most a fifth of its words edited go."""
+    return decontaminate.mark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, and of what its ids decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
 
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Applies the stages to documents; what each one returns is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = write_stage(docs, name)
     return docs
