@@ -23,10 +23,9 @@ from chainframe.llm.graph import components
 from chainframe.llm.substrings import Words, version, windows, worker_words
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
-#: Of the 100 low bits of two signatures, how many may differ: five standard deviations above the mean at 0.8.
-CHECK_BITS = 28
-#: Rounds in which the members of a bucket meet one hub.
-STAR_ROUNDS = 2
+#: Of the positions of two signatures, by the low 4 bits of each, how many may differ: 4.6 standard deviations above the mean at 0.8.
+CHECK_POSITIONS = 22
+_MARKS = ("c1", "c2", "c3", "c4")
 _P = CHUNKS * WIDTH
 
 
@@ -72,7 +71,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, ver, text) -> doc, ver, n (shingles), fa, fb (fingerprint of the set), c1, c2 (low bits), keys."""
+    """(doc, ver, text) -> doc, ver, n (shingles), fa, fb (fingerprint of the set), c1 to c4 (low 4 bits of each position), keys."""
 
     def make():
         hashed = worker_words()
@@ -81,25 +80,26 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
             for part in common.slices(batch, 512):
                 sets = [shingles(x, size, hashed) for x in part.column(2).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                prints, checks, keys = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), 2), np.uint64), [[]] * len(sets)
+                prints, checks, keys = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), len(_MARKS)), np.uint64), [[]] * len(sets)
                 if full:
                     begin, flat = np.cumsum([0, *(len(sets[i]) for i in full)])[:-1], np.concatenate([sets[i] for i in full])
                     with np.errstate(over="ignore"):
                         for j, salt in enumerate((0x1234567, 0x89ABCDEF01)):
                             prints[full, j] = np.add.reduceat(_mix(flat + np.uint64(salt)), begin)
                     sig = signatures([sets[i] for i in full])
-                    low = (sig & np.uint64(3)) << (np.arange(_P, dtype=np.uint64) % np.uint64(25) * np.uint64(2))
-                    checks[full] = low.reshape(len(full), 2, _P // 2).sum(2, dtype=np.uint64)
+                    low = (sig & np.uint64(15)) << (np.arange(_P, dtype=np.uint64) % np.uint64(13) * np.uint64(4))
+                    for j in range(len(_MARKS)):
+                        checks[full, j] = low[:, 13 * j : 13 * (j + 1)].sum(1, dtype=np.uint64)
                     for i, row in zip(full, index_keys(sig).view(np.int64).tolist(), strict=True):
                         keys[i] = row
                 yield {
                     "doc": part.column(0), "ver": part.column(1), "n": [len(s) for s in sets],
-                    "fa": prints[:, 0].view(np.int64), "fb": prints[:, 1].view(np.int64), "c1": checks[:, 0].view(np.int64), "c2": checks[:, 1].view(np.int64), "keys": keys,
+                    "fa": prints[:, 0].copy().view(np.int64), "fb": prints[:, 1].copy().view(np.int64), "keys": keys, **{c: checks[:, j].copy().view(np.int64) for j, c in enumerate(_MARKS)},
                 }
 
         return step
 
-    return common.map_batches(docs, make, "doc long, ver long, n long, fa long, fb long, c1 long, c2 long, keys array<long>")
+    return common.map_batches(docs, make, "doc long, ver long, n long, fa long, fb long, c1 long, c2 long, c3 long, c4 long, keys array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
@@ -137,9 +137,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int) -> DataFra
     return common.map_batches(both.select("a", "b", "a_set", "b_set"), compare, "a long, b long").distinct()
 
 
-def _close(n1, n2, c1, d1, c2, d2, share: int):
-    bits = F.bit_count(c1.bitwiseXOR(d1)) + F.bit_count(c2.bitwiseXOR(d2))
-    return (n1 * 100 >= n2 * share) & (n2 * 100 >= n1 * share) & (bits <= CHECK_BITS)
+def _close(share: int):
+    """Whether the columns and those with an underscore in front can belong to linked documents, by size and signature."""
+    differ = F.lit(0)
+    for c in _MARKS:
+        x = F.col(c).bitwiseXOR(F.col(f"_{c}"))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return (F.col("n") * 100 >= F.col("_n") * share) & (F.col("_n") * 100 >= F.col("n") * share) & (differ <= CHECK_POSITIONS)
 
 
 def link(df: DataFrame, size: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,19 +156,25 @@ def link(df: DataFrame, size: int = 5, share: int = 80, key: str = "doc_id", tex
     docs = df.select(F.col(key).cast("long").alias("doc"), version(text).alias("ver"), F.col(text).alias("text"))
     all_rows = common.checkpoint(describe(docs, size))
     some = all_rows.where("n > 0 and doc is not null")
-    classes = some.groupBy("fa", "fb", "n").agg(F.min(F.struct("doc", "ver")).alias("rep"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.first("keys").alias("keys"))
-    classes = common.checkpoint(classes.select("fa", "fb", "n", "c1", "c2", "keys", F.col("rep.doc").alias("doc"), F.col("rep.ver").alias("ver")))
-    entries = classes.select("doc", "ver", "n", "c1", "c2", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    entries = common.checkpoint(entries.join(shared, "key").select("key", "doc", "ver", "n", "c1", "c2"))
+    classes = some.groupBy("fa", "fb", "n").agg(F.min(F.struct("doc", "ver")).alias("rep"), *[F.first(c).alias(c) for c in (*_MARKS, "keys")])
+    classes = common.checkpoint(classes.select("fa", "fb", "n", *_MARKS, "keys", F.col("rep.doc").alias("doc"), F.col("rep.ver").alias("ver")))
+    marks = classes.select("doc", "ver", "n", *_MARKS)
+    entries = classes.select("doc", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    entries = common.checkpoint(entries.join(shared, "key").select("key", "doc", "m"))
+    # how many others a document shares keys with: the centre of a group of near copies has most
+    central = common.checkpoint(entries.groupBy("doc").agg(F.sum("m").alias("weight")))
     texts = docs.where("doc is not null and text is not null")
     labels = None  # doc, comp: only documents that have been linked
 
     def with_component(rows: DataFrame) -> DataFrame:
         return rows.withColumn("comp", F.col("doc")) if labels is None else rows.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
+    def marked(rows: DataFrame, side: str, mark: str) -> DataFrame:
+        return rows.join(marks.select(F.col("doc").alias(side), F.col("ver").alias(f"{side}_ver"), *[F.col(c).alias(f"{mark}{c}") for c in ("n", *_MARKS)]), side)
+
     def merge(pairs: DataFrame):
-        linked = confirm(common.checkpoint(pairs), texts, size, share)
+        linked = confirm(common.checkpoint(pairs.select("a", "a_ver", "b", "b_ver")), texts, size, share)
         if labels is None:
             return components(linked)
         of = lambda side: labels.select(F.col("doc").alias(side), F.col("comp").alias(f"{side}_comp"))
@@ -173,21 +184,22 @@ def link(df: DataFrame, size: int = 5, share: int = 80, key: str = "doc_id", tex
         moved = labels.join(new, "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp"))
         return common.checkpoint(moved.union(new.select("comp", "to")).groupBy("doc").agg(F.min("comp").alias("comp")))
 
-    for turn in range(STAR_ROUNDS):
-        rows = with_component(entries)
-        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-        hubs = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "doc", "ver", "n", "c1", "c2", "comp")).alias("hub")).where("lo < hi").select("key", "hub")
-        met = rows.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
-        met = met.where(_close(F.col("n"), F.col("hub.n"), F.col("c1"), F.col("hub.c1"), F.col("c2"), F.col("hub.c2"), share))
-        labels = merge(met.select(F.col("hub.doc").alias("a"), F.col("hub.ver").alias("a_ver"), F.col("doc").alias("b"), F.col("ver").alias("b_ver")).distinct())
+    # in every bucket all meet the most central member, then one at random
+    for order in (F.struct(-F.col("weight"), "doc"), F.struct(F.xxhash64("doc", F.lit(1)), "doc")):
+        rows = with_component(entries.join(central, "doc"))
+        hubs = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "doc", "comp")).alias("hub")).where("lo < hi")
+        met = rows.join(hubs.select("key", F.col("hub.doc").alias("a"), F.col("hub.comp").alias("a_comp")), "key").where("comp <> a_comp")
+        met = met.select("a", F.col("doc").alias("b")).distinct()
+        labels = merge(marked(marked(met, "b", ""), "a", "_").where(_close(share)))
+    # members of components that are still different meet one another
     rows = with_component(entries)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = common.checkpoint(rows.join(mixed, "key"))
-    other = rows.select("key", *[F.col(c).alias(f"_{c}") for c in ("doc", "ver", "n", "c1", "c2", "comp")])
-    close = _close(F.col("n"), F.col("_n"), F.col("c1"), F.col("_c1"), F.col("c2"), F.col("_c2"), share)
-    met = rows.join(other, (rows.key == other.key) & (F.col("comp") < F.col("_comp")) & close)
-    labels = merge(met.select(F.col("doc").alias("a"), F.col("ver").alias("a_ver"), F.col("_doc").alias("b"), F.col("_ver").alias("b_ver")).distinct())
-    final = with_component(classes.select("fa", "fb", F.col("n").alias("n"), "doc")).select("fa", "fb", "n", "comp")
+    rows = common.checkpoint(rows.join(mixed, "key").select("key", F.col("doc").alias("a"), "comp"))
+    rows = marked(rows, "a", "")
+    other = rows.select("key", F.col("a").alias("b"), F.col("a_ver").alias("b_ver"), *[F.col(c).alias(f"_{c}") for c in ("n", *_MARKS, "comp")])
+    met = rows.join(other, (rows.key == other.key) & (F.col("comp") < F.col("_comp")) & _close(share))
+    labels = merge(met.select("a", "a_ver", "b", "b_ver").distinct())
+    final = with_component(classes.select("fa", "fb", "n", "doc")).select("fa", "fb", "n", "comp")
     out = all_rows.select("doc", "ver", "n", "fa", "fb").join(final, ["fa", "fb", "n"], "left")
     return out.select("doc", "ver", "n", F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component"))
 
