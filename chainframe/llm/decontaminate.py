@@ -24,12 +24,14 @@ from chainframe.llm import common
 from chainframe.llm.substrings import windows
 
 #: Walks, samples of each, positions in a sample. At a fifth of the words edited, a window is found with over 95 %.
-WALKS, SAMPLES, POSITIONS = 6, 8, 3
+WALKS, SAMPLES, POSITIONS = 4, 7, 3
 #: UTF-8 bytes of the items that are broadcast at once; a larger benchmark takes more passes over the documents.
 PASS_BYTES = 16 << 20
 #: Items of fewer words take no part: they can't be told from ordinary text.
 LEAST_WORDS = 4
 GATE_BITS = 22
+#: Windows that are embedded together.
+WINDOWS = 1 << 16
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 
@@ -74,17 +76,17 @@ def walk(symbols: np.ndarray, steps: int, seed: int) -> np.ndarray:
     return out
 
 
-def samples(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A row of WALKS * SAMPLES keys for each row of symbols."""
+def samples(symbols: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """WALKS * SAMPLES keys of each window; windows that begin at one place share its row of symbols, and so its walks."""
     keys, draw = [], np.random.default_rng(77)
     for seed in range(WALKS):
-        walked = walk(symbols, 3 * (symbols.shape[1] - 1), seed)
+        walked = walk(symbols, 2 * (symbols.shape[1] - 1), seed)
         for _ in range(SAMPLES):
             key = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(keys))
             with np.errstate(over="ignore"):
                 for u in draw.random(POSITIONS):
-                    at = (u * 2 * lengths).astype(np.int64)  # the walk takes about two steps a symbol
-                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + walked[np.arange(len(symbols)), at]
+                    at = (u * 1.7 * lengths).astype(np.int64)  # the walk takes about two steps a symbol
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + walked[row, at]
             keys.append(key ^ (key >> np.uint64(31)))
     return np.stack(keys, 1)
 
@@ -115,9 +117,10 @@ class Index:
             hashes = [hashed.of(w) for _, w in self.items]
             for h in hashes:
                 self.gate[windows(h, 2) >> np.uint64(64 - GATE_BITS)] = True
-            for i, keys in enumerate(samples(self._rows(hashes), np.array([len(h) for h in hashes])).tolist()):
+            for i, keys in enumerate(samples(self._rows(hashes), np.arange(len(hashes)), np.array([len(h) for h in hashes])).tolist()):
                 for k in keys:
                     self.table.setdefault(k, []).append(i)
+            self.keys = np.sort(np.fromiter(self.table, np.uint64, len(self.table)))
 
     def _rows(self, hashes: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(hashes), self.wide + 1), np.uint64)
@@ -125,36 +128,39 @@ class Index:
             out[i, : len(h)] = h
         return out
 
-    def windows_of(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(start, length) of the windows that hold enough of the benchmark's word pairs."""
+    def windows_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the windows that hold enough of the benchmark's word pairs."""
         if len(h) < 2 or not self.lengths:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hits = self.gate[windows(h, 2) >> np.uint64(64 - GATE_BITS)]
         total = np.concatenate([np.zeros(1, np.int32), np.cumsum(hits, dtype=np.int32), np.full(self.wide, hits.sum(), np.int32)])
-        out = []
-        for n in self.lengths:
-            count = total[n - 1 : n - 1 + len(hits)] - total[: len(hits)]
-            out += [(int(s), n) for s in np.flatnonzero(count >= self.need[n])]
-        return out
+        starts = [np.flatnonzero(total[n - 1 : n - 1 + len(hits)] - total[: len(hits)] >= self.need[n]) for n in self.lengths]
+        return np.concatenate(starts), np.repeat(self.lengths, [len(x) for x in starts])
 
     def search(self, texts: list[str | None]) -> list[dict[int, int]]:
         """For each text its items and their distances."""
-        hashed, found = worker_words(), [{} for _ in texts]
+        found = [{} for _ in texts]
         words = [words_of(text) for text in texts]
         ends = np.cumsum([len(w) for w in words])
-        flat = hashed.of([x for w in words for x in w])
-        where, rows = [], []
+        flat = worker_words().of([x for w in words for x in w])
         # a window that runs on into the next text only has more pairs than its own; it is cut where its text ends
-        for start, n in self.windows_of(flat):
-            i = int(np.searchsorted(ends, start, side="right"))
-            where.append((i, start - int(ends[i]) + len(words[i]), n))
-            rows.append(flat[start : min(start + n, ends[i])])
+        start, length = self.windows_of(flat)
+        order = np.argsort(start, kind="stable")
         meets: dict[tuple[int, int], list[int]] = {}
-        for at in range(0, len(where), 4096):
-            lengths = np.array([n for _, _, n in where[at : at + 4096]])
-            for (i, start, _), keys in zip(where[at : at + 4096], samples(self._rows(rows[at : at + 4096]), lengths).tolist(), strict=True):
-                for item in {x for k in keys for x in self.table.get(k, ())}:
-                    meets.setdefault((i, item), []).append(start)
+        for at in range(0, len(order), WINDOWS):
+            now = order[at : at + WINDOWS]
+            places, row = np.unique(start[now], return_inverse=True)
+            text = np.searchsorted(ends, places, side="right")
+            symbols = self._rows([flat[p : min(p + self.wide, ends[t])] for p, t in zip(places, text, strict=True)])
+            keys = samples(symbols, row, length[now])
+            where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            for w, k in zip(*np.nonzero(self.keys[where] == keys), strict=True):
+                i = int(text[row[w]])
+                for item in self.table[int(keys[w, k])]:
+                    starts = meets.setdefault((i, item), [])
+                    begin = int(places[row[w]] - ends[i] + len(words[i]))
+                    if not starts or starts[-1] != begin:
+                        starts.append(begin)
         for (i, item), starts in meets.items():
             number, w = self.items[item]
             k = allowed(len(w), self.percent)

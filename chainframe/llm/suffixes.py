@@ -243,31 +243,32 @@ def _counted_buckets(near: DataFrame, size: int) -> DataFrame:
 
 def repeated_strings(docs: DataFrame, size: int, reach: int = REACH) -> DataFrame:
     """(doc, ver, text) -> doc, ver, runs: the (from, to) of strings of ``size`` bytes that also begin elsewhere."""
-    rows = suffixes(docs, size, reach)
-    often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    rows = common.checkpoint(rows.join(often, "bucket").select("bucket", "around", "doc", "at", "ext"))
-    kinds = rows.groupBy("bucket", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "ext")).alias("one"))
-    wide = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    kinds = common.checkpoint(kinds.join(wide, "bucket", "left").select("bucket", "around", "n", "one", "m"))
-    ask = kinds.where("m is not null").select(F.col("one.doc").alias("doc"), F.shiftright("one.ext", 16).alias("ver"), F.struct("bucket", "around", F.col("one.at").alias("at"), F.col("one.ext").alias("ext"), "m").alias("x"))
-    ask = ask.groupBy("doc", "ver").agg(F.collect_list("x").alias("wanted"))
-    found = docs.join(ask, ["doc", "ver"])
-
-    def near(condition: str) -> DataFrame:
-        some = found.select("text", F.expr(f"filter(wanted, x -> {condition})").alias("wanted")).where("size(wanted) > 0")
-        return _surroundings(some, size)
-
-    solved = common.checkpoint(_sorted_buckets(near(f"x.m <= {WIDE_BUCKET}"), size))
-    if kinds.where(F.col("m") > WIDE_BUCKET).limit(1).count():
-        solved = solved.union(common.checkpoint(_counted_buckets(near(f"x.m > {WIDE_BUCKET}"), size)))
-    known = kinds.select("bucket", "around", "n").join(solved, ["bucket", "around"], "left").where("n > 1 or offsets is not null")
-    left, more = F.shiftright("ext", 8).bitwiseAND(255), F.col("ext").bitwiseAND(255)
-    # all strings of a place that occurs as a whole, or the runs of those offsets that were found
-    place = F.col("at") + left
-    each = F.transform(F.array_sort("offsets"), lambda d: F.struct((place - d).alias("from"), (place - d).alias("to")))
-    runs = F.when(F.col("n") > 1, F.array(F.struct(F.col("at").alias("from"), (F.col("at") + more).alias("to")))).otherwise(each)
-    out = rows.join(known, ["bucket", "around"]).select("doc", F.shiftright("ext", 16).alias("ver"), F.explode(runs).alias("run"))
-    return common.checkpoint(out.groupBy("doc", "ver").agg(F.collect_list("run").alias("runs")))
+    with common.Scratch(docs.sparkSession) as scratch:
+        rows = suffixes(docs, size, reach)
+        often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        rows = scratch.table(rows.join(often, "bucket").select("bucket", "around", "doc", "at", "ext"))
+        kinds = rows.groupBy("bucket", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "ext")).alias("one"))
+        wide = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        kinds = scratch.table(kinds.join(wide, "bucket", "left").select("bucket", "around", "n", "one", "m"))
+        ask = kinds.where("m is not null").select(F.col("one.doc").alias("doc"), F.shiftright("one.ext", 16).alias("ver"), F.struct("bucket", "around", F.col("one.at").alias("at"), F.col("one.ext").alias("ext"), "m").alias("x"))
+        ask = ask.groupBy("doc", "ver").agg(F.collect_list("x").alias("wanted"))
+        found = docs.join(ask, ["doc", "ver"])
+
+        def near(condition: str) -> DataFrame:
+            some = found.select("text", F.expr(f"filter(wanted, x -> {condition})").alias("wanted")).where("size(wanted) > 0")
+            return _surroundings(some, size)
+
+        solved = scratch.table(_sorted_buckets(near(f"x.m <= {WIDE_BUCKET}"), size))
+        if kinds.where(F.col("m") > WIDE_BUCKET).limit(1).count():
+            solved = solved.union(scratch.table(_counted_buckets(near(f"x.m > {WIDE_BUCKET}"), size)))
+        known = kinds.select("bucket", "around", "n").join(solved, ["bucket", "around"], "left").where("n > 1 or offsets is not null")
+        left, more = F.shiftright("ext", 8).bitwiseAND(255), F.col("ext").bitwiseAND(255)
+        # all strings of a place that occurs as a whole, or the runs of those offsets that were found
+        place = F.col("at") + left
+        each = F.transform(F.array_sort("offsets"), lambda d: F.struct((place - d).alias("from"), (place - d).alias("to")))
+        runs = F.when(F.col("n") > 1, F.array(F.struct(F.col("at").alias("from"), (F.col("at") + more).alias("to")))).otherwise(each)
+        out = rows.join(known, ["bucket", "around"]).select("doc", F.shiftright("ext", 16).alias("ver"), F.explode(runs).alias("run"))
+        return common.checkpoint(out.groupBy("doc", "ver").agg(F.collect_list("run").alias("runs")))
 
 
 def remove_strings(df: DataFrame, size: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
