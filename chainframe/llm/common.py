@@ -32,9 +32,11 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage."""
-    use_checkpoints(df.sparkSession)
+    spark = df.sparkSession
+    use_checkpoints(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df  # holds the shuffle files of the finished job
+    release(spark)
     return out
 
 
