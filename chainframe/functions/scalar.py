@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The base58 alphabet.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -131,7 +132,7 @@ def is_base58(c: Column, low: int = 32, high: int = 44) -> Column:
     return c.rlike(f"^[{BASE58}]{{{low},{high}}}$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_base58(values: pd.Series) -> pd.Series:
     """Bytes as base58 text; leading zero bytes become leading ones."""
 
