@@ -177,10 +177,11 @@ def repeated_starts(df: DataFrame, size: int = 50, period: int = 31, key: str =
     docs = df.select(F.col(key).cast("long").alias("doc"), version(text).alias("ver"), F.col(text).alias("text")).where("doc is not null and text is not null")
     short = anchors(docs, size, period)
     shared = short.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    marked = common.checkpoint(_place(short.join(shared, "h").select("doc", "at"), "marks"))
-    long = candidates(docs.join(marked, ["doc", "ver"]).select("doc", "ver", "text", "marks"), size, period)
-    first = long.groupBy("h", "g").agg(F.min("doc").alias("lo"))
-    return common.checkpoint(_place(long.join(first, ["h", "g"]).where("doc > lo").select("doc", "at"), "starts"))
+    with common.Scratch(df.sparkSession) as scratch:
+        marked = scratch.table(_place(short.join(shared, "h").select("doc", "at"), "marks"))
+        long = candidates(docs.join(marked, ["doc", "ver"]).select("doc", "ver", "text", "marks"), size, period)
+        first = long.groupBy("h", "g").agg(F.min("doc").alias("lo"))
+        return common.checkpoint(_place(long.join(first, ["h", "g"]).where("doc > lo").select("doc", "at"), "starts"))
 
 
 def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "doc_id", text: str = "text") -> DataFrame:
