@@ -154,3 +154,37 @@ def series_window(points: DataFrame, marks: DataFrame, keys: Sequence[str], at:
 
 def one_buy_one_sell(trades: DataFrame, keys: Sequence[str], side: str, buy: str, sell: str) -> DataFrame:
     return with_group_counts(trades, keys, {"n_buys": F.col(side) == buy, "n_sells": F.col(side) == sell}).where("n_buys = 1 and n_sells = 1")
+
+
+def tail_ok(positions: DataFrame, clock: DataFrame, longest: int, block: str = "block") -> DataFrame:
+    """Adds tail: ENOUGH if the longest path of a position stays inside the clock, else SHORT."""
+    end = clock.agg(F.max("block").alias("_end"))
+    return positions.join(F.broadcast(end)).withColumn("tail", F.when(F.col(block) + longest <= F.col("_end"), "ENOUGH").otherwise("SHORT")).drop("_end")
+
+
+def check_state_history(events: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, launch: str, pair: str) -> DataFrame:
+    """Rows that break a venue's history: a state before its launch, a second launch, another pair of assets than before."""
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    launched, first_pair = F.coalesce(F.sum(F.when(F.col(kind) == launch, 1).otherwise(0)).over(so_far), F.lit(0)), F.first(pair).over(so_far)
+    rule = F.when((F.col(kind) == launch) & (launched > 0), "SECOND_LAUNCH").when((F.col(kind) != launch) & (launched == 0), "NO_LAUNCH").when(F.col(pair) != first_pair, "OTHER_PAIR")
+    return events.withColumn("rule", rule).where("rule is not null")
+
+
+def check_observations(rows: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, payload: Sequence[str]) -> DataFrame:
+    """Rows that move backward, or repeat a position with another payload; equal repeats are fine."""
+    whole = F.struct(*payload)
+    place = Window.partitionBy(*keys).orderBy(*order)
+    before, content = F.lag(position).over(place), F.lag(whole).over(place)
+    rule = F.when(F.col(position) < before, "BACKWARD").when((F.col(position) == before) & (whole != content), "CONFLICT")
+    return rows.withColumn("rule", rule).where("rule is not null")
+
+
+def check_lifecycle(rows: DataFrame, transaction: Sequence[str], kind: str, once: Sequence[str]) -> DataFrame:
+    """Transactions with more than one row of a kind that may occur once: kind, n."""
+    return rows.where(F.col(kind).isin(list(once))).groupBy(*transaction, kind).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def extend_to_end(series: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], end: int) -> DataFrame:
+    """The series with its last values once more at ``end`` where it stops before."""
+    last = series.groupBy(*keys).agg(F.max(at).alias("_at"), F.max_by(F.struct(*values), at).alias("_v")).where(F.col("_at") < end)
+    return series.select(*keys, at, *values).unionByName(last.select(*keys, F.lit(end).cast(series.schema[at].dataType).alias(at), "_v.*"))
