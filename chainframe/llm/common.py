@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,7 +47,7 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     use_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    release(spark, 3)
     return spark.read.parquet(path)
 
 
@@ -65,7 +66,7 @@ class Scratch:
         self.tables += 1
         path = f"{self.root}/{self.tables}"
         df.write.parquet(path)
-        release(self.spark)
+        release(self.spark, 3)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
@@ -74,10 +75,16 @@ class Scratch:
         release(self.spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that nothing refers to any more, instead of at the next chance."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets Spark's cleaner drop shuffle files that nothing refers to any more, instead of at the next chance.
+
+    Listeners hold a finished job for a moment; a second round comes after they have let go of it.
+    """
+    for i in range(rounds):
+        if i:
+            time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> DataFrame:

@@ -193,7 +193,7 @@ def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "
     result. Columns named n_words, n_removed or kept are replaced.
     """
     starts = repeated_starts(df, size, period, key, text)
-    common.release(df.sparkSession)
+    common.release(df.sparkSession, 3)
     others = [c for c in df.columns if c not in ("n_words", "n_removed", "kept", "_doc", "_ver", "_starts")]
     rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(key).cast("long").alias("_doc"), version(text).alias("_ver"))
     starts = starts.select(F.col("doc").alias("_doc"), F.col("ver").alias("_ver"), F.col("starts").alias("_starts"))

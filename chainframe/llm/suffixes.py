@@ -280,7 +280,7 @@ def remove_strings(df: DataFrame, size: int = 200, key: str = "doc_id", text: st
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long")).alias("doc"), version(text).alias("ver"), F.col(text).alias("text"))
     runs = repeated_strings(docs.where("text is not null").select("doc", "ver", "text"), size)
-    common.release(df.sparkSession)
+    common.release(df.sparkSession, 3)
     rows = docs.join(runs, ["doc", "ver"], "left").select("doc_id", "text", F.col("runs.from").alias("froms"), F.col("runs.to").alias("tos"))
 
     def make():
