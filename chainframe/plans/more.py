@@ -51,6 +51,12 @@ def _(spark, d):
     return aggs.out_of_order(rows, ["signer"], ["event_id"], "k").select("event_id")
 
 
+@query("e07_check_order_all", f"WITH {OBS} SELECT event_id FROM (SELECT event_id, {{'t': mint, 'm': slot}} AS k, lag({{'t': mint, 'm': slot}}) OVER (PARTITION BY signer ORDER BY event_id) AS b FROM obs) WHERE k < b")
+def _(spark, d):
+    rows = obs(spark, d).withColumn("k", F.struct(F.col("mint").alias("t"), F.col("slot").alias("m")))
+    return aggs.out_of_order(rows, ["signer"], ["event_id"], "k").select("event_id")
+
+
 @query("e12_extend_to_end", f"WITH {OBS}, s AS (SELECT mint, slot, arg_max(amount, (t, event_id)) AS price FROM obs GROUP BY 1, 2) SELECT mint, slot, price FROM s UNION ALL SELECT mint, 480000, arg_max(price, slot) FROM s GROUP BY mint HAVING max(slot) < 480000")
 def _(spark, d):
     s = aggs.last_state(obs(spark, d), ["mint", "slot"], ["amount"], ["t", "event_id"]).withColumnRenamed("amount", "price")

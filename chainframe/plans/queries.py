@@ -397,6 +397,15 @@ def _(spark, d):
     return joins.reconcile(one, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), cents("l_extendedprice")), ["k"], "x")
 
 
+@query("c21_reconcile_all", """WITH l AS (SELECT o_orderkey AS k, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS left_amount FROM orders GROUP BY 1),
+    r AS (SELECT l_orderkey AS k, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS right_amount FROM lineitem GROUP BY 1)
+    SELECT k, left_amount, right_amount, CASE WHEN right_amount IS NULL THEN 'ONLY_LEFT' WHEN left_amount IS NULL THEN 'ONLY_RIGHT' WHEN left_amount = right_amount THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM l FULL JOIN r USING (k)""")
+def _(spark, d):
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias("x")
+    one = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), cents("o_totalprice"))
+    return joins.reconcile(one, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), cents("l_extendedprice")), ["k"], "x")
+
+
 @query("c22_profile_at", f"WITH {SCHEDULE} SELECT event_id, bias AS fee FROM obs JOIN schedule ON slot >= valid_from AND slot < valid_until")
 def _(spark, d):
     out = joins.model_at(obs(spark, d), _schedule(spark, d), "slot").where("status = 'SCORED'")

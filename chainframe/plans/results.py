@@ -429,6 +429,13 @@ def _(spark, d):
     return trips.order_lifecycle(audit, "signer", "side", "signup", ["purchase", "error"], "purchase", audit.where(side("purchase"))).select("signer", "rule")
 
 
+@query("t16_order_lifecycle_all", f"""WITH {OBS}, s AS (SELECT signer || '/' || mint AS order_id, count(*) FILTER (side = 'signup') AS decisions, count(*) FILTER (side IN ('purchase', 'error')) AS ends FROM obs GROUP BY 1)
+    SELECT order_id, CASE WHEN decisions <> 1 THEN 'DECISIONS' ELSE 'ENDS' END AS rule FROM s WHERE decisions <> 1 OR ends <> 1""")
+def _(spark, d):
+    audit = obs(spark, d).withColumn("order_id", F.concat_ws("/", F.col("signer").cast("string"), F.col("mint").cast("string")))
+    return trips.order_lifecycle(audit, "order_id", "side", "signup", ["purchase", "error"], "purchase", audit.where(side("purchase"))).select("order_id", "rule")
+
+
 @query("t17_slippage", f"WITH {OBS} SELECT event_id, CASE WHEN amount > 1000 THEN 'WORSE' WHEN amount < 1000 THEN 'BETTER' ELSE 'SAME' END AS slip FROM obs")
 def _(spark, d):
     return obs(spark, d).select("event_id", trips.slippage(F.col("amount"), F.lit(1000)).alias("slip"))
