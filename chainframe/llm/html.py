@@ -30,6 +30,8 @@ WIDTH = PATH_BINS + WORD_BINS + MEASURES
 HIDDEN = 16
 #: Blocks of pages that are labelled together.
 TOGETHER = 8192
+#: Words from which on a block's words weigh less each, so that long blocks stay in the range of short ones.
+FULL_WEIGHT = 40
 
 # Names of HTML elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -124,14 +126,14 @@ def _bin(word: str, bins: int) -> int:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
+    """A row for each block, of all its words; a block's words weigh the same each, and 4 together at most."""
     out = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
         for w in b.path:
             out[i, _bin(w, PATH_BINS)] = 1
         words = b.text.split(" ")
-        for w in words[:40]:
-            out[i, PATH_BINS + _bin(w.lower(), WORD_BINS)] += 0.1
+        bins = np.bincount([_bin(w, WORD_BINS) for w in b.text.lower().split(" ")], minlength=WORD_BINS)
+        out[i, PATH_BINS : PATH_BINS + WORD_BINS] = 0.1 * min(1, FULL_WEIGHT / len(words)) * bins
         n = len(b.text)
         ends = sum(c in ".!?" for c in b.text)
         out[i, PATH_BINS + WORD_BINS :] = (1, min(np.log1p(n) / 6, 2), b.linked / n, min(len(words) / 50, 2), min(ends / max(1, len(words)) * 5, 2), i / len(page), b.text[-1] in ".!?", "@" in b.text or "©" in b.text)
@@ -265,6 +267,24 @@ def rearranged(rng: np.random.Generator, main: list[str], texts: list[str]) -> t
     return page, label
 
 
+def _gradients(model: BiLstm, data: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The mean gradients over all blocks; pages that would pad to more than TOGETHER blocks are read in parts."""
+    parts: list[list] = []
+    for d in sorted(data, key=lambda d: len(d[0])):
+        if not parts or (len(parts[-1]) + 1) * len(d[0]) > TOGETHER:
+            parts.append([])
+        parts[-1].append(d)
+    total, n = {}, sum(len(d[0]) for d in data)
+    for part in parts:
+        x, mask = together([d[0] for d in part])
+        y = np.zeros(mask.shape, np.float32)
+        for i, (_, label_of) in enumerate(part):
+            y[: len(label_of), i] = label_of
+        for k, g in model.gradients(x, y, mask).items():
+            total[k] = total.get(k, 0) + g * (mask.sum() / n)
+    return total
+
+
 def fit_pages(pages: list[str], seed: int = 4, variants: int = 2, epochs: int = 6) -> BiLstm:
     """Fits the labeller on marked pages as they are and on ``variants`` rearranged ones for each."""
     rng, model = np.random.default_rng(seed), BiLstm()
@@ -290,25 +310,28 @@ def fit_pages(pages: list[str], seed: int = 4, variants: int = 2, epochs: int =
         order = rng.permutation(len(data))
         for at in range(0, len(order), 24):
             some = [data[i] for i in order[at : at + 24]]
-            x, mask = together([d[0] for d in some])
-            y = np.zeros(mask.shape, np.float32)
-            for i, (_, label_of) in enumerate(some):
-                y[: len(label_of), i] = label_of
             step += 1
-            for k, g in model.gradients(x, y, mask).items():
+            for k, g in _gradients(model, some).items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 model.p[k] = (model.p[k] - 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model
 
 
-def fit(df: DataFrame, key: str = "page_id", page: str = "html") -> BiLstm:
-    """Fits on at most FIT_PAGES pages, those with the lowest hash of the id; their whole html comes to the driver."""
+def sample(df: DataFrame, key: str = "page_id", page: str = "html") -> list[str]:
+    """The FIT_PAGES pages with the lowest hash of the id, pages of one hash by their html; all of them if there are fewer."""
     parts = 1_000_000
-    rows = df.where(F.col(page).isNotNull() & (F.length(page) < 200_000))
-    share = min(parts, int(parts * FIT_PAGES * 1.5 / max(1, rows.count())) + 1)
-    some = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(parts)) < share).select(page).limit(FIT_PAGES)
-    return fit_pages(sorted(r[0] for r in some.collect()))
+    rows = df.where(F.col(page).isNotNull()).select(F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).alias("_hash"), F.col(page).alias("_page"))
+    n = rows.count()
+    share = min(parts, int(parts * FIT_PAGES * 1.5 / max(1, n)) + 1)
+    lowest = lambda some: [r[0] for r in some.orderBy("_hash", "_page").limit(FIT_PAGES).select("_page").collect()]
+    found = lowest(rows.where(F.col("_hash") < share))
+    return found if len(found) == min(n, FIT_PAGES) else lowest(rows)  # ids that repeat or are null can leave too few below the share
+
+
+def fit(df: DataFrame, key: str = "page_id", page: str = "html") -> BiLstm:
+    """Fits on at most FIT_PAGES pages of any length; their whole html comes to the driver. The same table gives the same model, however its files lie."""
+    return fit_pages(sorted(sample(df, key, page)))
 
 
 def extract(df: DataFrame, model: BiLstm, page: str = "html", out: str = "text") -> DataFrame:
