@@ -3,7 +3,8 @@
 Vectors are put into blocks by descending length. A block meets each block of queries once, the longest
 first, so that a running k-th best score soon rules out whole blocks by length times length. Within
 a block the leading coordinates after an SVD rotation give partial sums; by Cauchy-Schwarz the rest adds at
-most the product of the remaining lengths. Only pairs that this bound cannot rule out are scored, in integers.
+most the product of the remaining lengths. Only pairs that this bound cannot rule out are scored, in integers:
+of 64 bits where the lengths show that these suffice, else of any width.
 """
 
 from __future__ import annotations
@@ -20,20 +21,23 @@ BLOCK = 2048
 QUERY_BLOCK = 512
 #: Blocks of vectors that share one task's unit of work.
 GROUP_BLOCKS = 8
-#: Components beyond this are refused: the score of 512 of them still fits a long.
-LARGEST = float(1 << 27)
+#: Pairs whose product of lengths is below this are scored without Python's integers; neither the score nor a partial sum can pass a long.
+SAFE = float(1 << 62)
+#: Stands for every score below the range; a score must lie between this and 2^63, both left out.
+BELOW = -(1 << 63)
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
-    """floor(scale * x) of every component; null for vectors that take no part."""
+    """floor(scale * x) of every component, as doubles that hold it exactly; null for vectors that take no part."""
     x = F.col(vector).cast("array<double>")
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < F.lit(LARGEST)))
-    return F.when(F.col(vector).isNotNull() & good, F.transform(x, lambda v: F.floor(v * scale)))
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    whole = lambda v: F.when(F.abs(v * scale) < F.lit(float(1 << 53)), F.floor(v * scale).cast("double")).otherwise(v * scale)
+    return F.when(F.col(vector).isNotNull() & good, F.transform(x, whole))
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All components one after the other, and where each vector begins and ends."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
 
 
 def _by_dim(batch: pa.RecordBatch):
@@ -42,7 +46,13 @@ def _by_dim(batch: pa.RecordBatch):
     dims = np.diff(ends)
     for dim in np.unique(dims):
         rows = np.flatnonzero(dims == dim)
-        yield int(dim), ids[rows], flat[ends[rows][:, None] + np.arange(dim)] if dim else np.zeros((len(rows), 0), np.int64)
+        yield int(dim), ids[rows], flat[ends[rows][:, None] + np.arange(dim)] if dim else np.zeros((len(rows), 0))
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also of components whose squares pass a double."""
+    most = np.abs(x).max(1, initial=1.0)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
 
 
 def rotations(vectors: DataFrame, fan_in: int = 32) -> dict[int, np.ndarray]:
@@ -54,7 +64,8 @@ def rotations(vectors: DataFrame, fan_in: int = 32) -> dict[int, np.ndarray]:
     def make():
         def step(batch: pa.RecordBatch):
             for dim, _, x in _by_dim(batch):
-                yield {"dim": [dim], "part": [int(x.sum()) % fan_in if x.size else 0], "gram": [(x.astype(float).T @ x).tobytes()]}
+                x = x / np.maximum(1, np.abs(x).max(1, initial=0, keepdims=True) / (1 << 27))  # any rotation is right; long vectors mustn't overflow its sums
+                yield {"dim": [dim], "part": [int(np.abs(x).sum()) % fan_in if x.size else 0], "gram": [(x.T @ x).tobytes()]}
 
         return step
 
@@ -78,8 +89,11 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
         held: dict[int, list] = {}
 
         def out(dim, ids, x):
-            longest = float(np.sqrt((x.astype(float) ** 2).sum(1).max())) if dim else 0.0
-            return pa.RecordBatch.from_pydict({"dim": [dim], "longest": [longest], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "ints": [x.astype("<i4").tobytes()]}, schema=schema)
+            if not np.isfinite(x).all():
+                raise OverflowError("a component times the scale passes a double")
+            longest = float(_lengths(x).max()) if dim else 0.0
+            wide = bool(np.abs(x).max(initial=0) >= 1 << 31)
+            return pa.RecordBatch.from_pydict({"dim": [dim], "longest": [longest], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "wide": [wide], "ints": [x.astype("<f8" if wide else "<i4").tobytes()]}, schema=schema)
 
         for batch in batches:
             for dim, ids, x in _by_dim(batch):
@@ -93,36 +107,59 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
             if len(ids):
                 yield out(dim, ids, x)
 
-    schema_of = common.T._parse_datatype_string("dim int, longest double, n int, ids binary, ints binary")
+    schema_of = common.T._parse_datatype_string("dim int, longest double, n int, ids binary, wide boolean, ints binary")
     return by_length.select("id", "v").mapInArrow(run, schema_of)
 
 
+def _unpacked(ids: bytes, ints: bytes, wide: bool, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(ints, "<f8" if wide else "<i4").reshape(len(ids), dim).astype(float)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two arrays of whole numbers, given each pair's product of lengths."""
+    if bound.max(initial=0) < 1 << 52:  # neither the sum nor a part of it leaves a double's whole numbers
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    safe = bound < SAFE
+    out = np.zeros(len(q), np.int64)
+    out[safe] = np.einsum("ij,ij->i", q[safe].astype(np.int64), x[safe].astype(np.int64))
+    for i in np.flatnonzero(~safe):
+        score = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[i].tolist(), strict=True))
+        if score >= 1 << 63:
+            raise OverflowError(f"a score of {score} does not fit a long")  # one of the best, as no lower score can displace it
+        out[i] = max(score, BELOW)
+    return out
+
+
 def best(queries: tuple, block: tuple, floor: np.ndarray, turn: np.ndarray, k: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of every pair that can be among the k best, given each query's floor."""
     (q_ids, q), (ids, x) = queries, block
-    q_len, x_len = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((x.astype(float) ** 2).sum(1))
+    q_len, x_len = _lengths(q), _lengths(x)
     slack = 1e-6 * (1 + q_len[:, None] * x_len.max(initial=0))
-    live = np.flatnonzero(q_len * x_len.max(initial=0) + slack[:, 0] >= floor)
+    live = np.flatnonzero(~(q_len * x_len.max(initial=0) + slack[:, 0] < floor))
     if not len(live) or not len(ids):
         return (np.zeros(0, np.int64),) * 3
     q_turned, x_turned = q[live] @ turn, x @ turn
-    rest = lambda a: np.sqrt((a[:, lead:] ** 2).sum(1))
+    rest = lambda a: _lengths(a[:, lead:])
     bound = q_turned[:, :lead] @ x_turned[:, :lead].T + np.outer(rest(q_turned), rest(x_turned)) + slack[live]
+    bound[np.isnan(bound)] = np.inf  # beyond a double nothing is known
     bound[q_ids[live][:, None] == ids[None, :]] = -np.inf
     # the k largest lower bounds of this block raise the floor before anything is scored
     if len(ids) > k:
-        low = np.partition(np.where(np.isneginf(bound), -np.inf, bound - 2 * (np.outer(rest(q_turned), rest(x_turned)) + slack[live])), len(ids) - k, axis=1)[:, len(ids) - k]
+        low = bound - 2 * (np.outer(rest(q_turned), rest(x_turned)) + slack[live])
+        low = np.partition(np.where(np.isfinite(bound) & np.isfinite(low), low, -np.inf), len(ids) - k, axis=1)[:, len(ids) - k]
         floor_now = np.maximum(floor[live], low)
     else:
         floor_now = floor[live]
     row, col = np.nonzero((bound >= floor_now[:, None]) & ~np.isneginf(bound))
-    score = np.concatenate([np.einsum("ij,ij->i", q[live[row[i : i + 65536]]], x[col[i : i + 65536]]) for i in range(0, len(row), 65536)] or [np.zeros(0, np.int64)])
+    most = q_len[live[row]] * x_len[col]
+    score = np.concatenate([_scores(q[live[row[i : i + 65536]]], x[col[i : i + 65536]], most[i : i + 65536]) for i in range(0, len(row), 65536)] or [np.zeros(0, np.int64)])
     return live[row], ids[col], score
 
 
 def _keep(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each row's k best: highest score, then smallest id."""
-    order = np.lexsort((ids, -score, row))
+    order = np.lexsort((ids, ~score, row))
     first = np.r_[True, row[order][1:] != row[order][:-1]] if len(order) else np.zeros(0, bool)
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
     return order[rank < k]
@@ -131,20 +168,21 @@ def _keep(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.nda
 def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", lead_share: float = 0.25) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products; ties go to the smaller id.
 
-    Vectors that are null, hold a null or non-finite component, or one of 2^27/256 or more, take no part; nor do null ids.
+    Vectors that are null or hold a null or non-finite component take no part; nor do null ids. Components may be of any
+    size; a score among the best that doesn't fit a long (or is the least long) fails the query.
     Vectors of different length don't meet. A query doesn't meet rows of its own id; rows repeated
     under another id all count. An empty table gives an empty result.
     """
     spark = df.sparkSession
     vectors = df.select(F.col(key).cast("long").alias("id"), quantised(vector).alias("v"), is_query.alias("is_query")).where("id is not null and v is not null")
-    vectors = vectors.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).persist(StorageLevel.DISK_ONLY)
+    vectors = vectors.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).persist(StorageLevel.DISK_ONLY)
     turns = spark.sparkContext.broadcast(rotations(vectors))
     rows = common.checkpoint(blocks(vectors, BLOCK).withColumn("no", F.monotonically_increasing_id()))
     asks = common.checkpoint(blocks(vectors.where("is_query"), QUERY_BLOCK).withColumn("query_block", F.monotonically_increasing_id()))
     vectors.unpersist()
     groups = max(1, -(-rows.count() // GROUP_BLOCKS))
-    q = asks.select("dim", "query_block", F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    x = rows.select("dim", "longest", "ids", "ints", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int").alias("part"))
+    q = asks.select("dim", "query_block", F.col("ids").alias("q_ids"), F.col("wide").alias("q_wide"), F.col("ints").alias("q_ints"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    x = rows.select("dim", "longest", "ids", "wide", "ints", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int").alias("part"))
     pairs = x.join(q.hint("shuffle_hash"), ["dim", "part"])
     pairs = pairs.sortWithinPartitions("query_block", F.desc("longest"))
 
@@ -161,12 +199,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
                 dim = r["dim"]
                 if now is None or now[0] != (dim, r["query_block"]):
                     yield from done()
-                    q_ids = np.frombuffer(r["q_ids"], "<i8")
-                    now = ((dim, r["query_block"]), q_ids, np.frombuffer(r["q_ints"], "<i4").reshape(len(q_ids), dim).astype(np.int64))
+                    q_ids, q_ints = _unpacked(r["q_ids"], r["q_ints"], r["q_wide"], dim)
+                    now = ((dim, r["query_block"]), q_ids, q_ints)
                     found, floor = (np.zeros(0, np.int64),) * 3, np.full(len(q_ids), -np.inf)
-                ids = np.frombuffer(r["ids"], "<i8")
-                block = (ids, np.frombuffer(r["ints"], "<i4").reshape(len(ids), dim).astype(np.int64))
-                more = best((now[1], now[2]), block, floor, turns.value[dim], k, max(1, int(dim * lead_share)))
+                block = _unpacked(r["ids"], r["ints"], r["wide"], dim)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    more = best((now[1], now[2]), block, floor, turns.value[dim], k, max(1, int(dim * lead_share)))
                 found = tuple(np.concatenate(p) for p in zip(found, more, strict=True))
                 found = tuple(p[_keep(*found, k)] for p in found)
                 count = np.bincount(found[0], minlength=len(floor))
@@ -175,6 +213,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vect
                 floor = np.where(count >= k, least, -np.inf)
         yield from done()
 
-    found = pairs.select("dim", "query_block", "q_ids", "q_ints", "ids", "ints").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("dim", "query_block", "q_ids", "q_wide", "q_ints", "ids", "wide", "ints").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score") == F.lit(BELOW), F.raise_error(F.lit("a score does not fit a long")).cast("long")).otherwise(F.col("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))

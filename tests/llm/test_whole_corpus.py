@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainframe.llm import html
+from chainframe.llm import html, topk
 
 
 def test_every_word_of_a_block_is_hashed():
@@ -32,3 +32,30 @@ def test_gradients_in_parts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(html, "TOGETHER", 10)
     parts = html._gradients(html.BiLstm(), data)
     assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
+
+
+def test_large_vectors_are_queries_and_candidates(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(60)]
+    data[0] = (0, [6e5, -7e5, 5.25e5, 1.0])
+    data[1] = (1, [9e5, -8e5, 0.5, -6e5])
+    data[2] = (2, [1e8, 9e7, 1.0, 1e3])  # with row 3 the products pass a long, their sum doesn't
+    data[3] = (3, [9e7, -1e8, 7.0, 2e3])
+    data[4] = (4, [0.0, 0.0, 0.0, 0.0])
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * c)) for c in v] for i, v in data}
+    want = set()
+    for q in (0, 2, 4, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id").isin(0, 2, 4, 50)).collect()} == want
+
+
+def test_a_best_score_that_is_no_long_fails_and_a_low_one_does_not(spark):
+    table = lambda *v: spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(table([1e200], [1e200], [1.0]), F.col("vec_id") == 2, 1).unionAll(topk.top_k(table([1e200], [1e200]), F.col("vec_id") == 0, 1)).collect()
+    low = table([1e200, 1e300], [-1e200, -1e300], [0.0, 0.0], [0.0, 0.0])
+    assert [(r.vec_id, r.score) for r in topk.top_k(low, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(2, 0), (3, 0)]
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(low, F.col("vec_id") == 0, 3).collect()
