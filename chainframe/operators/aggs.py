@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainframe.functions.scalar import floordiv
 
@@ -209,22 +211,28 @@ def trailing_features(hourly: DataFrame, keys: Sequence[str], hour: str, n: str,
 def cooldown(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], seconds: int) -> DataFrame:
     """Adds accepted: a row is accepted unless its key had an accepted row less than ``seconds`` before.
 
-    Each accepted row depends on the last accepted one, so no window frame can tell; every key is read once in order.
+    Each accepted row depends on the last accepted one, so no window frame can tell; every key is read once in order,
+    a batch at a time, with only its last accepted time held. A row without a time is accepted only as a key's first.
     """
-    struct = df.schema
-    names = [c for c in df.columns]
-
-    def run(group):
-        group = group.sort_values([time, *order])
-        last, out = None, []
-        for t in group[time]:
-            ok = last is None or t - last >= seconds
-            last = t if ok else last
-            out.append(ok)
-        return group[names].assign(accepted=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct.fields)
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, accepted boolean")
+    names = df.columns
+    key_at, time_at = [names.index(k) for k in keys], names.index(time)
+
+    def run(batches):
+        now, started, last = None, False, None
+        for batch in batches:
+            out = []
+            columns = [["NaN" if x != x else x for x in batch.column(i).to_pylist()] for i in key_at]
+            for *key, t in zip(*columns, batch.column(time_at).to_pylist(), strict=True):
+                if key != now:
+                    now, started, last = key, False, None
+                ok = not started or t is not None and last is not None and t - last >= seconds
+                if ok:
+                    started, last = True, t
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*names, "accepted"])
+
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(time), *[F.asc_nulls_last(c) for c in order])
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
 
 def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:

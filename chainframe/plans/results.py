@@ -621,10 +621,17 @@ def _stream(spark, d, columns):
 
 
 def _drain(spark, df, mode):
-    name = f"live_{uuid.uuid4().hex}"
-    run = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _state_dir(spark)).trigger(availableNow=True).start()
+    """What the stream gives in the end, written as Parquet beside its state and read again; none of it passes the driver."""
+    root = _state_dir(spark)
+    out = f"{root}/out"
+    if mode == "append":
+        sink = df.writeStream.format("parquet").option("path", out)
+    else:
+        spark.createDataFrame([], df.schema).write.parquet(out)
+        sink = df.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    run = sink.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def _state_dir(spark):
