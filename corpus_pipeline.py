@@ -23,12 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of 0.8 similarity on five-word shingles link, the one with the smallest id stays."""
-    linked = near_dups.link(docs, 5, 80)
-    stay = linked.where("doc is not null and doc = component").select(F.col("doc").alias("doc_id"), F.col("ver").alias("_ver")).distinct()
-    rows = docs.withColumn("_ver", substrings.version())
-    known = rows.where("doc_id is not null").join(stay, ["doc_id", "_ver"], "left_semi")
-    return known.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
+    """Of rows that chains of 0.8 similarity on five-word shingles link, the first stays: by id, then by text and the other columns.
+
+    Rows are linked by their texts alone, whether or not they share an id; those without an id come last. Rows without words all stay.
+    """
+    order = [F.asc_nulls_last("doc_id"), substrings.version(), F.xxhash64(*COLUMNS), "text"]
+    rows = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    rows = write_stage(rows, "numbered")
+    stay = near_dups.link(rows, 5, 80, "_row").where("doc = component").select(F.col("doc").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chainframe.llm import html, topk
 
 
@@ -59,3 +60,15 @@ def test_a_best_score_that_is_no_long_fails_and_a_low_one_does_not(spark):
     assert [(r.vec_id, r.score) for r in topk.top_k(low, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(2, 0), (3, 0)]
     with pytest.raises(Exception, match="fit a long"):
         topk.top_k(low, F.col("vec_id") == 0, 3).collect()
+
+
+def test_pipeline_keeps_one_row_of_near_duplicates_of_any_id(spark):
+    words = lambda a: [f"{a}{i}" for i in range(80)]
+    near = lambda a: " ".join([*words(a)[:-1], "changed"])
+    a, b, c, d, e = (" ".join(words(x)) for x in "abcde")
+    data = [(1, a), (1, a), (2, b), (2, near("b")), (3, c), (3, d), (None, e), (None, e), (None, near("c")), (9, near("a")), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    second = [x for x in got if x[0] == 2]
+    assert len(second) == 1 and second[0][1] in (b, near("b"))
+    assert sorted((x for x in got if x[0] != 2), key=repr) == sorted([(1, a), (3, c), (3, d), (None, e), (5, None), (6, "")], key=repr)
