@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,27 +22,36 @@ def stream_activity(df: DataFrame, time: str, delay: str, width: str, wallet: st
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount"), F.approx_count_distinct(side).alias("sides"))
 
 
-def stream_cooldown(df: DataFrame, key: str, seconds: int, columns: str = "k long, t long, accepted boolean") -> DataFrame:
-    """Accepted rows: those without an accepted one of their key less than ``seconds`` before. Input: key, t (seconds).
+def stream_cooldown(df: DataFrame, key: str, time: str, order: str, seconds: int, delay: str) -> DataFrame:
+    """order, accepted of every row: it is accepted unless its key had an accepted row less than ``seconds`` before.
 
-    Rows of one micro-batch are taken in order of t. The state of a key is its last accepted time; it goes after a quiet day.
+    ``time`` is a timestamp, ``order`` a long that breaks ties and names the row. Rows of one micro-batch are taken in order of
+    time; rows later than ``delay`` are dropped by the watermark. The state of a key is its last accepted time in
+    microseconds; it goes when the watermark has passed it by ``seconds``, since any row still to come is accepted then.
+    Rows without a time are left out, as no watermark can place them; a null key is a key of its own. Of a micro-batch's key, times and orders are held, 16 bytes a row.
     """
+    rows = df.where(F.col(time).isNotNull()).withWatermark(time, delay)
 
     def run(name, groups, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        last, rows = state.get[0] if state.exists else None, pd.concat(list(groups)).sort_values("t")
-        out = []
-        for t in rows["t"]:
-            ok = last is None or t - last >= seconds
-            last = t if ok else last
-            out.append((name[0], int(t), ok))
-        state.update((int(last),))
-        state.setTimeoutDuration(86_400_000)
-        yield pd.DataFrame(out, columns=["k", "t", "accepted"])
-
-    return df.groupBy(key).applyInPandasWithState(run, columns, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        last = state.get[0] if state.exists else None
+        parts = [(g["_t"].to_numpy("datetime64[us]").astype(np.int64), g["_o"].to_numpy(np.int64)) for g in groups]
+        t, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((o, t))
+        t, o, good = t[by], o[by], np.zeros(len(t), bool)
+        at = 0 if last is None else int(np.searchsorted(t, last + seconds * 1_000_000))
+        while at < len(t):  # from one accepted row to the next
+            good[at], last = True, int(t[at])
+            at = max(at + 1, int(np.searchsorted(t, last + seconds * 1_000_000)))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        for i in range(0, len(t), 10_000):
+            yield pd.DataFrame({order: o[i : i + 10_000], "accepted": good[i : i + 10_000]})
+
+    some = rows.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col(order).cast("long").alias("_o"))
+    return some.groupBy("_k").applyInPandasWithState(run, f"{order} long, accepted boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_balances(df: DataFrame, keys: Sequence[str], amount: str) -> DataFrame:

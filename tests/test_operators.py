@@ -1,7 +1,7 @@
 """Operators on literal rows, against plain Python."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from fractions import Fraction
 
 import pytest
@@ -123,18 +123,6 @@ def test_ordinals_and_fingerprint_ignore_the_partitioning(spark):
     assert aggs.fingerprint(df).first() == aggs.fingerprint(df.repartition(7).orderBy(F.desc("v"))).first()
 
 
-def test_round_trip_reasons(spark):
-    t = [("a", 1, "BUY", 5), ("a", 2, "SELL", 5), ("b", 1, "BUY", 5), ("b", 1, "SELL", 5), ("c", 1, "BUY", 5), ("c", 3, "SELL", 4), ("d", 4, "SELL", 1), ("e", 99, "BUY", 1), ("f", 1, "BUY", 1), ("f", 2, "BUY", 1)]
-    got = trips.pair_round_trips(spark.createDataFrame(t, "k string, slot long, side string, n long"), ["k"], "slot", "side", "n", 0, 50)
-    assert rows(got, "k", "reason") == [("a", "PAIRED"), ("b", "SELL_NOT_LATER"), ("c", "PARTIAL_SELL"), ("d", "NO_BUY"), ("e", "BUY_OUTSIDE"), ("f", "MANY_BUYS")]
-
-
-def test_buy_quote_is_rounded_against_the_buyer(spark):
-    q = spark.range(1).select(trips.quote_buy(F.lit(1001), F.lit(10**12), F.lit(30 * 10**9), F.lit(8 * 10**11), F.lit(100)).alias("q")).select("q.*").first()
-    fee = -(-1001 * 100 // 10_000)
-    assert (int(q.fee), int(q.out)) == (fee, 10**12 * (1001 - fee) // (30 * 10**9 + 1001 - fee))
-
-
 def test_ledger_checks(spark):
     p = spark.createDataFrame([("t1", "A", 5), ("t1", "A", -5), ("t2", "A", 5), ("t3", "A", 0), ("t3", "A", 0)], "tx string, asset string, amount long")
     assert rows(aggs.unbalanced(p, "tx", "asset", "amount"), "tx") == [("t2",), ("t3",)]
@@ -188,18 +176,37 @@ def test_uint_bounds(spark):
     assert [int(r.x) for r in good.collect()] == [2**64 - 1] and bad.count() == 4
 
 
-def test_streams_agree_with_batches(spark, tmp_path):
-    data = [("d", t) for t in (0, 300, 600, 900, 1200)]
-    spark.createDataFrame(data, "k string, t long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema("k string, t long").parquet(str(tmp_path / "in"))
-    out = streams.stream_cooldown(live, "k", 600, "k string, t long, accepted boolean")
-    run = out.writeStream.format("memory").queryName("cool").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert rows(spark.table("cool"), "t", "accepted") == [(0, True), (300, False), (600, True), (900, False), (1200, True)]
+def drained(df, mode, folder):
+    """What a stream has given in the end."""
+    sink = df.writeStream.format("parquet").option("path", f"{folder}/out") if mode == "append" else df.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out"))
+    assert sink.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination(120)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def test_live_cooldown_agrees_with_the_batch_over_many_micro_batches(spark, tmp_path):
+    rnd, at = random.Random(7), datetime(2024, 1, 1)
+    data = [(i, rnd.choice(["a", "b", None]), i // 3 * 50) for i in range(200)]
+    for n in range(5):  # a file is a micro-batch; times go on from one to the next
+        part = [(i, k, at + timedelta(seconds=t)) for i, k, t in data[n * 40 : n * 40 + 40]] + ([(1000, "a", None)] if n == 2 else [])
+        spark.createDataFrame(part, "id long, k string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema("id long, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.id: r.accepted for r in drained(streams.stream_cooldown(live, "k", "ts", "id", 600, "1 day"), "append", tmp_path).collect()}
+    want = aggs.cooldown(spark.createDataFrame(data, "id long, k string, t long"), ["k"], "t", ["id"], 600)
+    assert got == {r.id: r.accepted for r in want.collect()} and 30 > sum(got.values()) > 10
+
+
+def test_cooldown_state_goes_when_the_watermark_has_passed(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    for n, rows_of in enumerate([[(1, "a", 0)], [(2, "b", 90_000)], [(3, "b", 180_000)], [(4, "a", 180_100), (5, "a", 180_200)]]):
+        spark.createDataFrame([(i, k, at + timedelta(seconds=t)) for i, k, t in rows_of], "id long, k string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema("id long, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.id: r.accepted for r in drained(streams.stream_cooldown(live, "k", "ts", "id", 600, "1 hour"), "append", tmp_path).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_live_activity_counts_each_window(spark, tmp_path):
     events = spark.createDataFrame([(datetime(2024, 1, 1, 0, i), "w", "BUY", i) for i in range(4)], "ts timestamp, w string, side string, n long")
-    events.write.parquet(str(tmp_path / "ev"))
-    live = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
-    act = streams.stream_activity(live, "ts", "1 minute", "1 hour", "w", "side", "n")
-    run = act.writeStream.format("memory").queryName("act").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert rows(spark.table("act"), "w", "n", "amount") == [("w", 4, 6)]
+    events.write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    got = drained(streams.stream_activity(live, "ts", "1 minute", "1 hour", "w", "side", "n"), "complete", tmp_path)
+    assert rows(got, "w", "n", "amount", "sides") == [("w", 4, 6, 1)]
