@@ -129,9 +129,28 @@ def program_mode(token_program: Column, cashback: Column, extended: str) -> Colu
 
 
 def is_base58(c: Column, low: int = 32, high: int = 44) -> Column:
+    """Whether a text has the shape of an address; base58_bytes() tells how many bytes it stands for."""
     return c.rlike(f"^[{BASE58}]{{{low},{high}}}$")
 
 
+@F.pandas_udf(T.IntegerType())
+def base58_bytes(values: pd.Series) -> pd.Series:
+    """How many bytes a base58 text stands for; null for null and for text with any other character."""
+
+    def size(text: str | None) -> int | None:
+        if text is None or text.strip(BASE58):
+            return None
+        number = 0
+        for digit in text:
+            at = BASE58.find(digit)
+            if at < 0:
+                return None
+            number = number * 58 + at
+        return len(text) - len(text.lstrip("1")) + (number.bit_length() + 7) // 8
+
+    return values.map(size).astype("Int32")
+
+
 @F.pandas_udf(T.StringType())
 def to_base58(values: pd.Series) -> pd.Series:
     """Bytes as base58 text; leading zero bytes become leading ones."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainframe.functions.scalar import floordiv
+from chainframe.sources.tables import checkpoint
 
 
 def wallet_activity(obs: DataFrame, wallet: str, side: str, buy: str, sell: str, key: str, block: str, amount: str) -> DataFrame:
@@ -33,6 +34,37 @@ def last_state(df: DataFrame, keys: Sequence[str], values: Sequence[str], order:
     return out.select(*keys, "_v.*")
 
 
+def transactions(instructions: DataFrame, keys: Sequence[str], shared: Sequence[str], priority: str) -> DataFrame:
+    """One row a transaction: the shared fields of its rows of highest priority, n_instructions, and conflict where those rows disagree."""
+    whole = F.struct(*shared)
+    top = F.struct(F.col(priority).alias("p"), whole.alias("w"))
+    best = instructions.groupBy(*keys).agg(F.max(priority).alias("_top"), F.max(top).alias("_best"), F.count(F.lit(1)).alias("n_instructions"))
+    low = instructions.groupBy(*keys, priority).agg(F.min(whole).alias("_least"), F.max(whole).alias("_most")).withColumnRenamed(priority, "_p")
+    out = best.join(low.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_top").eqNullSafe(F.col("_p"))])
+    return out.select(*keys, *[F.col(f"_best.w.{c}").alias(c) for c in shared], "n_instructions", (~F.col("_least").eqNullSafe(F.col("_most"))).alias("conflict"))
+
+
+def coverage(signals: DataFrame, key: str) -> DataFrame:
+    """signals, keys and the fingerprint of their rows in one row: what a plan must foresee."""
+    counts = signals.agg(F.count(F.lit(1)).alias("signals"), F.countDistinct(key).alias("keys"))
+    return counts.join(fingerprint(signals).select("digest"))
+
+
+def differs_from_plan(found: DataFrame, planned: DataFrame) -> DataFrame:
+    """A row (field, found, planned) for each value of a coverage that isn't the planned one."""
+    fields = ["signals", "keys", "digest"]
+    text = lambda df: F.array(*[F.struct(F.lit(c).alias("field"), df[c].cast("string").alias("value")) for c in fields])
+    one = found.select(F.explode(text(found)).alias("x")).select("x.field", F.col("x.value").alias("found"))
+    two = planned.select(F.explode(text(planned)).alias("x")).select("x.field", F.col("x.value").alias("planned"))
+    return one.join(two, "field", "full_outer").where(~F.col("found").eqNullSafe(F.col("planned")))
+
+
+def data_issues(df: DataFrame, issues: Mapping[str, Column]) -> DataFrame:
+    """Rows with each issue, those without any rows too: issue, n."""
+    counted = df.agg(*[F.count_if(test).alias(name) for name, test in issues.items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("issue"), F.col(f"`{n}`").alias("n")) for n in issues])).alias("x")).select("x.*")
+
+
 def terminal_by_tx(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows and variants of each key: n, variants, worst (the greater of the two)."""
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("variants"))
@@ -115,10 +147,23 @@ def gram(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
 
 
 def rank_percentile(df: DataFrame, keys: Sequence[str], column: str, percent: int, out: str) -> DataFrame:
-    """The value at sorted place ((n - 1) * percent + 99) // 100 of each key: a value of the data, never between two."""
-    place = Window.partitionBy(*keys).orderBy(column)
-    ranked = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(place) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("_i") == F.floor(((F.col("_n") - 1) * percent + 99) / 100)).select(*keys, F.col(column).alias(out))
+    """The value at sorted place ((n - 1) * percent + 99) // 100 of each key: a value of the data, never between two.
+
+    Rows are counted by value first, and values are dealt by ranges, so that a key of any size is spread: only the range that holds
+    the place is looked into. Null values take no part; a null key is a key of its own.
+    """
+    names = list(keys)
+    counted = df.where(F.col(column).isNotNull()).groupBy(*names, column).agg(F.count(F.lit(1)).alias("_c"))
+    numbered = _ranged(counted, [*names, column])
+    parts = numbered.groupBy("_part", *names).agg(F.sum("_c").alias("_in_part"))
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_ahead", F.coalesce(F.sum("_in_part").over(before), F.lit(0))).withColumn("_n", F.sum("_in_part").over(Window.partitionBy(*names)))
+    aim = F.floor(((F.col("_n") - 1) * percent + 99) / 100)
+    parts = parts.withColumn("_aim", aim).where((F.col("_aim") >= F.col("_ahead")) & (F.col("_aim") < F.col("_ahead") + F.col("_in_part")))
+    parts = parts.select(F.col("_part").alias("_of"), *[F.col(k).alias(f"_{k}") for k in names], "_aim", "_ahead")
+    rows = numbered.join(parts, [F.col("_part") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]])
+    upto = F.col("_ahead") + F.sum("_c").over(Window.partitionBy("_part", *names).orderBy(column))
+    return rows.withColumn("_upto", upto).where((F.col("_upto") > F.col("_aim")) & (F.col("_upto") - F.col("_c") <= F.col("_aim"))).select(*names, F.col(column).alias(out))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -138,8 +183,13 @@ def with_ordinal(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return _numbered(df, order, out)
 
 
+def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with _part, the number of its range in the order; written to the checkpoint folder, as ranges are drawn anew by every job otherwise."""
+    return checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
 def _numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    parts = _ranged(df, order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     place = Window.partitionBy("_part").orderBy(*order)
@@ -202,10 +252,19 @@ def with_group_counts(df: DataFrame, keys: Sequence[str], tests: Mapping[str, Co
     return df.withColumns({name: F.sum(F.when(test, 1).otherwise(0)).over(every) for name, test in tests.items()})
 
 
+def hourly_spine(hourly: DataFrame, keys: Sequence[str], hour: str, counts: Sequence[str]) -> DataFrame:
+    """A row for every hour from a key's first to its last; the counts of hours without rows are 0."""
+    ends = hourly.groupBy(*keys).agg(F.min(hour).alias("_lo"), F.max(hour).alias("_hi"))
+    every = ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(hour))
+    return every.join(hourly, [*keys, hour], "left").na.fill(0, list(counts))
+
+
 def trailing_features(hourly: DataFrame, keys: Sequence[str], hour: str, n: str, total: str, hits: str, hours: int = 6) -> DataFrame:
-    """Sums over the hours before, the present one left out: trailing_n, trailing_total, trailing_hits, hour_of_day."""
+    """Over the hours before, the present one left out: trailing_n, trailing_total, trailing_hits, trailing_mean and trailing_share
+    (null where no row is in them), hour_of_day. See hourly_spine() for hours without rows."""
     past = Window.partitionBy(*keys).orderBy(hour).rangeBetween(-hours, -1)
-    return hourly.withColumns({f"trailing_{name}": F.coalesce(F.sum(c).over(past), F.lit(0)) for name, c in (("n", n), ("total", total), ("hits", hits))}).withColumn("hour_of_day", F.pmod(F.col(hour), F.lit(24)))
+    out = hourly.withColumns({f"trailing_{name}": F.coalesce(F.sum(c).over(past), F.lit(0)) for name, c in (("n", n), ("total", total), ("hits", hits))}).withColumn("hour_of_day", F.pmod(F.col(hour), F.lit(24)))
+    return out.withColumns({"trailing_mean": ratio(F.col("trailing_total"), F.col("trailing_n")), "trailing_share": ratio(F.col("trailing_hits"), F.col("trailing_n"))})
 
 
 def cooldown(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], seconds: int) -> DataFrame:
@@ -244,6 +303,7 @@ def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence | None, limi
 
 
 def canonical_sort(df: DataFrame, boundary: str, group: str, index: str, cause: str) -> DataFrame:
+    """By boundary, group, index (a null first: the row of the whole transaction) and cause."""
     return df.orderBy(boundary, group, F.asc_nulls_first(index), cause)
 
 
@@ -259,14 +319,30 @@ def same_keys(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     return one.exceptAll(two).withColumn("side", F.lit("a")).union(two.exceptAll(one).withColumn("side", F.lit("b")))
 
 
-def merge_streams(*frames: DataFrame) -> DataFrame:
+def merge_streams(*frames: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """The rows of all frames with the columns of any; with ``order`` (boundary, group, index, cause) in canonical order."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return out if order is None else canonical_sort(out, *order)
 
 
 def market_cap_series(states: DataFrame, keys: Sequence[str], boundary: str, quote: str, base: str, supply: str, order: Sequence[str]) -> DataFrame:
     """The last state of each boundary as a market cap."""
     last = last_state(states, [*keys, boundary], [quote, base, supply], order)
     return last.withColumn("market_cap", floordiv(F.col(quote).cast("decimal(19,0)") * F.col(supply).cast("decimal(19,0)"), F.col(base)))
+
+
+def chart_series(series: DataFrame, creations: DataFrame, signals: DataFrame, clock: DataFrame, key: str, boundary: str) -> DataFrame:
+    """A series with the time of its blocks and a lifecycle: CREATED at its first point, ACTIVE, SIGNAL in blocks that have one.
+
+    ``creations`` and ``signals`` have the key and the boundary, ``clock`` the boundary and time. Points before the creation, and series
+    without a creation, a signal or a point at a signal, are marked in issue: NO_CREATION, BEFORE_CREATION, NO_SIGNAL, else null.
+    """
+    made = creations.groupBy(key).agg(F.min(boundary).alias("_made"))
+    asked = signals.select(key, boundary).distinct().withColumn("_signal", F.lit(True))
+    any_signal = signals.select(key).distinct().withColumn("_any", F.lit(True))
+    out = series.join(made, key, "left").join(any_signal, key, "left").join(asked, [key, boundary], "left").join(clock.select(boundary, "time"), boundary, "left")
+    issue = F.when(F.col("_made").isNull(), "NO_CREATION").when(F.col(boundary) < F.col("_made"), "BEFORE_CREATION").when(F.col("_any").isNull(), "NO_SIGNAL")
+    life = F.when(F.col("_signal"), "SIGNAL").when(F.col(boundary) == F.col("_made"), "CREATED").when(F.col(boundary) > F.col("_made"), "ACTIVE")
+    return out.withColumns({"lifecycle": life, "issue": issue}).drop("_made", "_any", "_signal")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainframe.functions.scalar import program_mode
+
 
 def successful_swaps(df: DataFrame, ok: Column, quote: str, asset, position: str, lo: int, hi: int) -> DataFrame:
     return df.where(ok & (F.col(quote) == asset) & (F.col(position) >= lo) & (F.col(position) < hi))
@@ -108,3 +110,23 @@ def appears_before(meta: DataFrame, obs: DataFrame, key: str, created: str, seen
 def annotate(df: DataFrame, needed: Mapping[str, Column], route: Column) -> DataFrame:
     """Adds route and missing, the names of needed parts that aren't there, in the order given."""
     return df.withColumns({"route": route, "missing": F.array_compact(F.array(*[F.when(~have, F.lit(n)) for n, have in needed.items()]))})
+
+
+def classify_launches(launches: DataFrame, transaction: Sequence[str], sol_paired: Column, mayhem: str, token_program: str, cashback: str, extended: str) -> DataFrame:
+    """Adds class, reason and mode: every launch is ELIGIBLE with a mode, EXCLUDED (MAYHEM) or INVALID.
+
+    INVALID: paired with another asset (QUOTE_ASSET), not the only launch of its transaction (SECOND_IN_TRANSACTION), or no
+    mode fits its program (MODE). A null flag counts as not set, a null transaction as one of its own.
+    """
+    many = launches.groupBy(*transaction).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = launches.join(many, list(transaction), "left")
+    mode = program_mode(F.col(token_program), F.coalesce(F.col(cashback), F.lit(False)), extended)
+    reason = F.when(~F.coalesce(sol_paired, F.lit(False)), "QUOTE_ASSET").when(F.col("_n").isNotNull(), "SECOND_IN_TRANSACTION").when(F.col(mayhem), "MAYHEM").when(mode.isNull(), "MODE")
+    out = out.withColumn("reason", reason).withColumn("class", F.when(F.col("reason").isNull(), "ELIGIBLE").when(F.col("reason") == "MAYHEM", "EXCLUDED").otherwise("INVALID"))
+    return out.withColumn("mode", F.when(F.col("reason").isNull(), mode)).drop("_n")
+
+
+def launch_counts(classified: DataFrame) -> DataFrame:
+    """classified, eligible, excluded; classified leaves out what is INVALID, so that it is the sum of the others."""
+    n = lambda *c: F.count_if(F.col("class").isin(*c))
+    return classified.agg(n("ELIGIBLE", "EXCLUDED").alias("classified"), n("ELIGIBLE").alias("eligible"), n("EXCLUDED").alias("excluded"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +83,19 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, rig
     return both.where("_l is not null").select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in take])
 
 
+def asof_causal(orders: DataFrame, states: DataFrame, by: Sequence[str], place: tuple[str, str, str], timing: str, take: Sequence[str]) -> DataFrame:
+    """Orders with ``take`` of the last state that they could have seen; of states at one place the greatest counts.
+
+    ``place`` names block, transaction and outer instruction of both sides. A state of timing AFTER_INSTRUCTION can be seen by later
+    instructions of its own transaction, any other only by later transactions.
+    """
+    block, tx, index = place
+    last = F.when(F.col(timing) == "AFTER_INSTRUCTION", F.col(index).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    at = lambda i: F.struct(F.col(block).cast("long").alias("b"), F.col(tx).cast("long").alias("t"), i.alias("i"))
+    seen = states.groupBy(*by, at(last).alias("_from")).agg(F.max(F.struct(*take)).alias("_s")).select(*by, "_from", "_s.*")
+    return asof(orders.withColumn("_place", at(F.col(index).cast("long"))), seen, by, "_place", "_from", take, strict=True).drop("_place")
+
+
 def in_interval(left: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, ready: str | None = None) -> DataFrame:
     """Left rows whose latest interval with start <= at also has at < end, and was ready by then."""
     columns = [start, end, *([ready] if ready else [])]
@@ -91,18 +104,59 @@ def in_interval(left: DataFrame, intervals: DataFrame, by: Sequence[str], at: st
     return found.where(good)
 
 
+#: Points of a shared clock that one window task holds at most, if they are whole numbers without repeats.
+SPAN = 1 << 12
+#: Rows of a schedule up to which it is sent to every task.
+SCHEDULE_ROWS = 256
+
+
+def _before(points: DataFrame, column: str, value: Column, fold: Callable[[Column], Column], join: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """Adds out: ``fold`` of value over all rows that stand before by a column that all share; null for the first one.
+
+    Rows are put into spans of SPAN of the column. Windows hold one span each; what the spans before come to is a table of one row
+    a span. ``join`` puts the two together.
+    """
+    rows = points.withColumn("_span", F.floor(F.col(column) / SPAN)).withColumn("_value", value)
+    ahead = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_span").agg(fold(F.col("_value")).alias("_whole")).select(F.col("_span").alias("_of"), fold(F.col("_whole")).over(ahead).alias("_carried"))
+    inside = Window.partitionBy("_span").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", fold(F.col("_value")).over(inside)).join(carried, F.col("_span") == F.col("_of"))
+    both = F.coalesce(join(F.col("_inside"), F.col("_carried")), "_inside", "_carried")
+    return rows.withColumn(out, both).drop("_span", "_of", "_value", "_inside", "_carried")
+
+
 def model_at(rows: DataFrame, schedule: DataFrame, at: str, start: str = "valid_from", end: str = "valid_until", model: str = "model_id") -> DataFrame:
-    """Rows with the model of a small, sorted schedule: status SCORED, UNCOVERED before its first start, GAP where none holds."""
+    """Rows with the model of a schedule of intervals that don't overlap: status SCORED, UNCOVERED before its first start, GAP where none holds.
+
+    A schedule of up to SCHEDULE_ROWS rows is sent to every task. A longer one meets the rows in spans of its own time,
+    each span with the last interval that begins before it.
+    """
     first = schedule.agg(F.min(start).alias("_first"))
-    found = rows.join(schedule, (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)), "left").join(F.broadcast(first))
+    if schedule.limit(SCHEDULE_ROWS + 1).count() <= SCHEDULE_ROWS:
+        found = rows.join(F.broadcast(schedule), (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)), "left")
+    else:
+        found = _interval_of(rows, schedule, at, start, end)
     status = F.when(F.col(model).isNotNull(), "SCORED").when(F.col("_first").isNull() | (F.col(at) < F.col("_first")), "UNCOVERED").otherwise("GAP")
-    return found.withColumn("status", status).drop("_first")
+    return found.join(F.broadcast(first)).withColumn("status", status).drop("_first")
+
+
+def _interval_of(rows: DataFrame, schedule: DataFrame, at: str, start: str, end: str, step: int = 64) -> DataFrame:
+    """Rows with the columns of the last interval that begins at or before them and still holds, else nulls."""
+    whole = F.struct(F.col(start).alias("_key"), *schedule.columns)
+    asked = rows.withColumn("_span", F.floor(F.col(at) / step))
+    own = schedule.select(F.floor(F.col(start) / step).alias("_span"), whole.alias("_interval"))
+    last = own.groupBy("_span").agg(F.max("_interval").alias("_last"))
+    spans = asked.select("_span").distinct().join(last, "_span", "full_outer")
+    ahead = spans.select("_span", F.last("_last", True).over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    found = asof(asked, own.select("_span", F.col("_interval._key").alias("_from"), "_interval"), ["_span"], at, "_from", ["_interval"])
+    found = found.join(ahead, "_span", "left").withColumn("_i", F.coalesce("_interval", "_carried"))
+    holds = F.col(at) < F.col(f"_i.{end}")
+    return found.select(*rows.columns, *[F.when(holds, F.col(f"_i.{c}")).alias(c) for c in schedule.columns])
 
 
 def clock_prefix(blocks: DataFrame, block: str = "block", count: str = "tx_count") -> DataFrame:
-    """Adds prefix, the number of transactions before each block. The block table is small: one row a block."""
-    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("prefix", F.coalesce(F.sum(count).over(before), F.lit(0)))
+    """Adds prefix, the number of transactions before each block. No window holds more than SPAN blocks."""
+    return _before(blocks, block, F.col(count).cast("long"), F.sum, lambda a, b: a + b, "prefix").na.fill(0, ["prefix"])
 
 
 def in_span(left: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, step: int = 1 << 12) -> DataFrame:
@@ -114,9 +168,9 @@ def in_span(left: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, step:
 
 
 def first_not_below(left: DataFrame, value: str, points: DataFrame, point: str, out: str) -> DataFrame:
-    """Left rows with the least point >= value, null past the last one. The points are a clock: one row a block."""
-    order = Window.orderBy(out)
-    spans = points.select(F.col(point).alias(out)).distinct().withColumn("_from", F.coalesce(F.lag(out).over(order) + 1, F.col(out)))
+    """Left rows with the least point >= value, null past the last one."""
+    spans = _before(points.select(F.col(point).alias(out)).distinct(), out, F.col(out), F.max, F.greatest, "_prior")
+    spans = spans.select(out, F.coalesce(F.col("_prior") + 1, F.col(out)).alias("_from"))
     least = points.agg(F.min(point).alias("_floor"))
     asked = left.join(F.broadcast(least)).withColumn("_v", F.greatest(value, "_floor"))
     return in_span(asked, "_v", spans, "_from", out).drop("_v", "_from", "_floor")
@@ -172,14 +226,16 @@ def drop_superseded(rows: DataFrame, ids: Sequence[str], path: str, version: str
 
 
 def align_features(*frames: DataFrame, on: str = "row_id") -> DataFrame:
-    """Feature sets side by side; fails unless all have the same rows."""
-    out = frames[0]
-    for other in frames[1:]:
-        out = out.join(other, on, "full_outer")
-    counts = {f.count() for f in frames}
-    if len(counts) != 1 or out.count() not in counts:
-        raise ValueError("the feature sets have different rows")
-    return out
+    """Feature sets side by side; a row that one of them lacks or has twice fails the query when it is met."""
+    out = frames[0].withColumn("_have0", F.lit(1))
+    for n, other in enumerate(frames[1:], 1):
+        out = out.join(other.withColumn(f"_have{n}", F.lit(1)), on, "full_outer")
+    have = [f"_have{n}" for n in range(len(frames))]
+    whole = F.concat(*[F.coalesce(F.col(h).cast("string"), F.lit("0")) for h in have]) == "1" * len(frames)
+    rows = out.groupBy(on).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col(on).alias("_twice"))
+    out = out.join(rows, F.col(on).eqNullSafe(F.col("_twice")), "left")
+    checked = F.when(whole & F.col("_twice").isNull(), F.col(on)).otherwise(F.raise_error(F.lit("the feature sets have different rows")).cast(frames[0].schema[on].dataType))
+    return out.withColumn(on, checked).drop("_twice", *have)
 
 
 def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str], amount: str) -> DataFrame:

@@ -85,9 +85,12 @@ def score(features: DataFrame, schedule: DataFrame, at: str, names: Sequence[str
     return rows.withColumns({"prediction": F.when((F.col("status") == "SCORED") & ~lacking, floordiv(total, F.col("divisor"))), "prediction_available": F.greatest("available", "model_available")})
 
 
-def check_schedule(schedule: DataFrame) -> DataFrame:
-    """Models that overlap the next one, end before they begin or come after their start."""
-    nxt = F.lead("valid_from").over(Window.orderBy("valid_from"))
+def check_schedule(schedule: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Models that overlap the next one of their schedule, end before they begin or come after their start.
+
+    ``by`` tells the schedules of a table apart; one schedule by itself is a sorted list and fits one task.
+    """
+    nxt = F.lead("valid_from").over(Window.partitionBy(*by).orderBy("valid_from", "model_id"))
     rule = F.when(F.col("valid_until") <= F.col("valid_from"), "EMPTY").when(nxt < F.col("valid_until"), "OVERLAP").when(F.col("model_available") > F.col("valid_from"), "LATE_MODEL")
     return schedule.withColumn("rule", rule).where("rule is not null")
 

@@ -7,42 +7,126 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainframe.functions.scalar import MONEY, ceil_fee, floordiv
-from chainframe.operators.aggs import with_group_counts
-from chainframe.operators.joins import asof, attach_slot_state
-
-
-def pair_round_trips(trades: DataFrame, keys: Sequence[str], slot: str, side: str, amount: str, lo: int, hi: int, buy: str = "BUY", sell: str = "SELL") -> DataFrame:
-    """For each key its one buy in lo..hi and its one later full sale, or the first reason why there is none: reason."""
-    is_buy, is_sell, inside = F.col(side) == buy, F.col(side) == sell, (F.col(slot) >= lo) & (F.col(slot) < hi)
-    value = lambda test, c: F.max(F.when(test, F.col(c)))
-    out = trades.groupBy(*keys).agg(
-        F.count_if(is_buy).alias("buys"), F.count_if(is_buy & inside).alias("buys_inside"), F.count_if(is_sell).alias("sells"),
-        value(is_buy & inside, slot).alias("buy_slot"), value(is_buy & inside, amount).alias("bought"), value(is_sell, slot).alias("sell_slot"), value(is_sell, amount).alias("sold"),
-    )
-    rules = [("NO_BUY", F.col("buys") == 0), ("BUY_OUTSIDE", F.col("buys_inside") == 0), ("MANY_BUYS", F.col("buys") > 1), ("NO_SELL", F.col("sells") == 0), ("MANY_SELLS", F.col("sells") > 1), ("SELL_NOT_LATER", F.col("sell_slot") <= F.col("buy_slot")), ("PARTIAL_SELL", F.col("sold") < F.col("bought")), ("OVERSOLD", F.col("sold") > F.col("bought"))]
-    reason = F.when(rules[0][1], rules[0][0])
-    for name, test in rules[1:]:
-        reason = reason.when(test, name)
-    return out.withColumn("reason", reason.otherwise("PAIRED"))
+from chainframe.functions.scalar import MONEY, boundary, ceil_fee, floordiv, min_output
+from chainframe.operators.aggs import cooldown, with_group_counts
+from chainframe.operators.joins import asof, first_at_or_after, nth_after
+
+
+#: What identifies a place in the chain, in this order.
+PLACE = ("slot", "transaction_index", "absolute_path")
+#: Columns of a leg that a pair carries on as buy_* and sell_*.
+LEG = (*PLACE, "signature", "user", "fee_payer", "fee_lamports", "token_amount", "sol_amount", "protocol_fee", "creator_fee", "protocol_fee_bps", "creator_fee_bps", "mayhem_mode", "cashback", "cashback_fee_bps")
+
+
+def pair_round_trips(trades: DataFrame, start: int, end: int, keys: Sequence[str] = ("mint",), excluded: DataFrame | None = None, fee_bps: tuple[int, int] = (95, 30)) -> DataFrame:
+    """For each key its one buy at start <= block_time < end and its one later full sale, or the first reason why there is none.
+
+    ``trades`` has the keys, block_time, is_buy and the columns of LEG; ``excluded`` has keys that take no part. Only trades after
+    the buy are looked at for the sale; what came before it doesn't count. Result: keys, reason (PAIRED if none applies),
+    buy_* and sell_* of PAIRED rows and of those whose buy or sale is known. A rule that a null leaves open counts as broken.
 
+    Two aggregations by key with partial sums, so one key may hold any share of the rows.
+    """
+    names = list(keys)
+    place = F.struct(*PLACE)
+    entry = F.col("is_buy") & (F.col("block_time") >= start) & (F.col("block_time") < end)
+    legs = F.struct(*[F.col(c) for c in LEG])
+    entries = trades.groupBy(*names).agg(F.count_if(entry).alias("_entries"), F.min(F.when(entry, legs)).alias("_buy"))
+    first = entries.select(*[F.col(k).alias(f"_{k}") for k in names], F.when(F.col("_entries") == 1, F.struct(*[F.col(f"_buy.{c}") for c in PLACE])).alias("_at"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]
+    later = trades.join(first, on).where(place > F.col("_at"))
+    after = later.groupBy(*[f"_{k}" for k in names]).agg(F.count_if(~F.col("is_buy")).alias("_sells"), F.count_if("is_buy").alias("_more"), F.min(F.when(~F.col("is_buy"), legs)).alias("_sell"))
+    out = entries.join(after, on, "left").drop(*[f"_{k}" for k in names])
+    if excluded is not None:
+        gone = excluded.select(*[F.col(k).alias(f"_{k}") for k in names]).distinct().withColumn("_gone", F.lit(True))
+        out = out.join(gone, on, "left").drop(*[f"_{k}" for k in names])
+    else:
+        out = out.withColumn("_gone", F.lit(None).cast("boolean"))
+    buy, sell = (lambda c: F.col(f"_buy.{c}")), (lambda c: F.col(f"_sell.{c}"))
+    either = lambda test: test(buy) | test(sell)
+    paid = lambda leg, fee: leg(fee) == ceil_fee(leg("sol_amount"), leg(f"{fee}_bps"))
+    rules = {
+        "explicitly_excluded_mint": F.col("_gone").isNotNull(),
+        "no_entry_in_window": F.col("_entries") == 0,
+        "multiple_entries": F.col("_entries") > 1,
+        "not_one_buy_one_sell": ~F.coalesce((F.col("_sells") == 1) & (F.col("_more") == 0), F.lit(False)),
+        "same_slot_roundtrip": sell("slot") <= buy("slot"),
+        "not_full_leader_exit": buy("token_amount") != sell("token_amount"),
+        "unsupported_mayhem_or_cashback": either(lambda leg: leg("mayhem_mode") | (leg("cashback") != 0) | (leg("cashback_fee_bps") != 0)),
+        "zero_amount": either(lambda leg: (leg("token_amount") == 0) | (leg("sol_amount") == 0)),
+        "unsupported_fee_profile": either(lambda leg: (leg("protocol_fee_bps") != fee_bps[0]) | (leg("creator_fee_bps") != fee_bps[1])),
+        "fee_amount_does_not_match_model": either(lambda leg: ~(paid(leg, "protocol_fee") & paid(leg, "creator_fee"))),
+    }
+    reason = None
+    for name, broken in rules.items():
+        broken = F.coalesce(broken, F.lit(True))
+        reason = F.when(broken, name) if reason is None else reason.when(broken, name)
+    out = out.withColumn("reason", reason.otherwise("PAIRED"))
+    known = F.col("_entries") == 1
+    return out.select(*names, "reason", *[F.when(known, buy(c)).alias(f"buy_{c}") for c in LEG], *[F.when(known & (F.col("_sells") == 1), sell(c)).alias(f"sell_{c}") for c in LEG])
+
+
+def leader_pnl(pairs: DataFrame, keys: Sequence[str] = ("mint",)) -> DataFrame:
+    """Gross buy, network fees and observed result of each PAIRED row: keys, gross_buy, network_fees, pnl.
+
+    A signature's fee counts once among all pairs, on its first leg in the order of the buys, and not at all if
+    another account than the trader has paid it.
+    """
+    good = pairs.where("reason = 'PAIRED'")
+    leg = lambda side, n: F.struct(F.lit(n).alias("leg"), *[F.col(f"{side}_{c}").alias(c) for c in ("signature", "user", "fee_payer", "fee_lamports")])
+    order = F.struct(*[F.col(f"buy_{c}").alias(c) for c in PLACE], *keys)
+    legs = good.select(*keys, order.alias("_order"), F.explode(F.array(leg("buy", 0), leg("sell", 1))).alias("x")).select(*keys, F.struct("_order", "x.leg").alias("_at"), "x.*")
+    first = legs.groupBy("signature").agg(F.min("_at").alias("_first"))
+    legs = legs.join(first, "signature")
+    fee = F.when((F.col("_at") == F.col("_first")) & (F.col("fee_payer") == F.col("user")), F.col("fee_lamports")).otherwise(0)
+    fees = legs.groupBy(*keys).agg(F.sum(fee).alias("network_fees"))
+    gross = F.col("buy_sol_amount") + F.col("buy_protocol_fee") + F.col("buy_creator_fee")
+    net = F.col("sell_sol_amount") - F.col("sell_protocol_fee") - F.col("sell_creator_fee")
+    return good.join(fees, list(keys)).select(*keys, gross.alias("gross_buy"), "network_fees", (net - gross - F.col("network_fees")).alias("pnl"))
+
+
+def quote_buy(gross: Column, virtual_base: Column, virtual_quote: Column, real_base: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, exact_gross: bool = False) -> Column:
+    """(net, protocol_fee, creator_fee, spent, out, error) of spending ``gross`` at most.
+
+    net is gross * 10000 // (10000 + both rates); each fee is rounded up by itself, and what the two round-ups come to beyond
+    the budget is taken off net. With exact_gross the curve gets one unit less than net. An error leaves out null:
+    INVALID_INPUT, OUTPUT_OUT_OF_BOUNDS, INSUFFICIENT_REAL_TOKEN_RESERVES, ARITHMETIC_OVERFLOW (reserves pass 64 bits).
+    Amounts and reserves of up to 19 digits are exact.
+    """
+    q, rates = gross.cast("decimal(20,0)"), (protocol_bps + creator_bps).cast("decimal(10,0)")
+    first = floordiv(q * F.lit(10_000).cast("decimal(10,0)"), F.lit(10_000) + rates).cast("decimal(19,0)")
+    protocol, creator = ceil_fee(first, protocol_bps), ceil_fee(first, creator_bps)
+    net = (first - F.greatest(first + protocol + creator - q, F.lit(0).cast(MONEY))).cast("decimal(19,0)")
+    curve = (net - F.lit(int(exact_gross))).cast("decimal(19,0)")
+    out = F.when(curve > 0, floordiv(curve * virtual_base.cast("decimal(19,0)"), virtual_quote.cast(MONEY) + curve))
+    top = F.lit(str((1 << 64) - 1)).cast(MONEY)
+    error = (
+        F.when(q.isNull() | (q <= 0), "INVALID_INPUT").when(curve <= 0, "OUTPUT_OUT_OF_BOUNDS")
+        .when((virtual_quote.cast(MONEY) + net > top) | (real_quote.cast(MONEY) + net > top), "ARITHMETIC_OVERFLOW")
+        .when((out <= 0) | (out >= virtual_base.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
+        .when(out > real_base.cast(MONEY), "INSUFFICIENT_REAL_TOKEN_RESERVES").when(out.isNull(), "ARITHMETIC_OVERFLOW")
+    )
+    return F.struct(net.cast(MONEY).alias("net"), protocol.alias("protocol_fee"), creator.alias("creator_fee"), (net + protocol + creator).cast(MONEY).alias("spent"), F.when(error.isNull(), out).alias("out"), error.alias("error"))
 
-def quote_buy(quote_in: Column, virtual_base: Column, virtual_quote: Column, real_base: Column, fee_bps: Column) -> Column:
-    """(fee, net, out, error) of spending quote_in: the fee is rounded up, the output down and never more than what is there."""
-    q = quote_in.cast("decimal(19,0)")
-    fee = ceil_fee(q, fee_bps)
-    net = (q - fee).cast("decimal(19,0)")
-    out = floordiv(virtual_base.cast("decimal(19,0)") * net, virtual_quote.cast(MONEY) + net)
-    error = F.when(q <= 0, "NO_INPUT").when(net <= 0, "FEE_TAKES_ALL").when(out <= 0, "NO_OUTPUT").when(out > real_base.cast(MONEY), "CAPPED")
-    return F.struct(fee.alias("fee"), net.cast(MONEY).alias("net"), F.least(out, real_base.cast(MONEY)).alias("out"), error.alias("error"))
 
+def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, capped: bool = True) -> Column:
+    """(gross, protocol_fee, creator_fee, out, shortfall, error) of selling base_in; each fee is rounded up by itself.
 
-def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, real_quote: Column, fee_bps: Column) -> Column:
-    """(gross, fee, out, shortfall) of selling base_in: what the pool lacks is told apart."""
+    shortfall is what the pool lacks of gross. Capped, a shortfall is an error: INSUFFICIENT_REAL_SOL_RESERVES; the
+    others are INVALID_INPUT, OUTPUT_OUT_OF_BOUNDS and ARITHMETIC_OVERFLOW. An error leaves out null.
+    """
     b = base_in.cast("decimal(19,0)")
-    gross = floordiv(virtual_quote.cast("decimal(19,0)") * b, virtual_base.cast(MONEY) + b)
-    fee = ceil_fee(gross, fee_bps)
-    return F.struct(gross.alias("gross"), fee.alias("fee"), (gross - fee).cast(MONEY).alias("out"), F.greatest(gross - real_quote.cast(MONEY), F.lit(0).cast(MONEY)).cast(MONEY).alias("shortfall"))
+    gross = F.when(b > 0, floordiv(virtual_quote.cast("decimal(19,0)") * b, virtual_base.cast(MONEY) + b))
+    protocol, creator = ceil_fee(gross, protocol_bps), ceil_fee(gross, creator_bps)
+    short = F.greatest(gross - real_quote.cast(MONEY), F.lit(0).cast(MONEY)).cast(MONEY)
+    error = (
+        F.when(base_in.isNull() | (base_in <= 0), "INVALID_INPUT").when(virtual_base.cast(MONEY) + base_in.cast(MONEY) > F.lit(str((1 << 64) - 1)).cast(MONEY), "ARITHMETIC_OVERFLOW")
+        .when((gross <= 0) | (gross >= virtual_quote.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
+    )
+    if capped:
+        error = error.when(short > 0, "INSUFFICIENT_REAL_SOL_RESERVES")
+    error = error.when(protocol + creator >= gross, "OUTPUT_OUT_OF_BOUNDS").when(gross.isNull(), "ARITHMETIC_OVERFLOW")
+    return F.struct(gross.alias("gross"), protocol.alias("protocol_fee"), creator.alias("creator_fee"), F.when(error.isNull(), gross - protocol - creator).cast(MONEY).alias("out"), short.alias("shortfall"), error.alias("error"))
 
 
 def quote_xyk(amount_in: Column, reserve_in: Column, reserve_out: Column, fee_bps: Column) -> Column:
@@ -52,52 +136,120 @@ def quote_xyk(amount_in: Column, reserve_in: Column, reserve_out: Column, fee_bp
     return floordiv(reserve_out.cast("decimal(19,0)") * net, reserve_in.cast(MONEY) + net)
 
 
-def copy_next_slot(paired: DataFrame, states: DataFrame, keys: Sequence[str], budget: int, fee_bps: int) -> DataFrame:
-    """Buys and sells of a copier at the state of the signal's slot: status CLOSED, OPEN, REJECTED or EXCLUDED, with out, proceeds and pnl.
-
-    ``states``: keys, slot, state_slot, vb, vq, rb, rq. A missing or older state rejects that leg; tokens that can't be sold stay.
-    """
-    for leg in ("buy", "sell"):
-        named = states.select(*keys, F.col("slot").alias(f"{leg}_slot"), *[F.col(c).alias(f"{leg}_{c}") for c in ("state_slot", "vb", "vq", "rb", "rq")])
-        paired = attach_slot_state(paired, named, [*keys, f"{leg}_slot"], f"{leg}_slot", f"{leg}_state_slot").withColumnRenamed("state_status", f"{leg}_status")
-    fee = F.lit(fee_bps)
-    buy = quote_buy(F.lit(budget), F.col("buy_vb"), F.col("buy_vq"), F.col("buy_rb"), fee)
-    out = paired.withColumn("tokens", F.when((F.col("reason") == "PAIRED") & (F.col("buy_status") == "OK"), buy["out"]))
-    sell = quote_sell(F.col("tokens"), F.col("sell_vb"), F.col("sell_vq"), F.col("sell_rq"), fee)
-    out = out.withColumn("proceeds", F.when((F.col("tokens") > 0) & (F.col("sell_status") == "OK"), sell["out"]))
-    status = F.when(F.col("reason") != "PAIRED", "EXCLUDED").when(F.col("tokens").isNull() | (F.col("tokens") <= 0), "REJECTED").when(F.col("proceeds").isNull(), "OPEN").otherwise("CLOSED")
-    return out.withColumn("status", status).withColumn("pnl", F.when(F.col("proceeds").isNotNull(), F.col("proceeds") - budget)).withColumn("model", F.lit("budget per position"))
+def copy_next_slot(pairs: DataFrame, states: DataFrame, keys: Sequence[str] = ("mint",), fee_bps: tuple[int, int] = (95, 30), entry_fee: int | None = None, exit_fee: int | None = None) -> DataFrame:
+    """Each PAIRED row copied one slot later, both legs priced by the state at the end of the signal's slot.
 
+    ``states``: keys, slot, virtual_base, virtual_quote, real_base, real_quote, last_transaction_index, last_absolute_path; one row a key and slot.
+    The budget is the leader's gross buy, of each position by itself; there is no shared wallet. Network fees are those given, else the signal's.
 
-def copy_summary(positions: DataFrame, budget: int) -> DataFrame:
-    """Counts, closed result, cost of what is open, and the cash that they come to."""
-    n = lambda s: F.count_if(F.col("status") == s)
-    out = positions.agg(n("CLOSED").alias("closed"), n("OPEN").alias("open"), n("REJECTED").alias("rejected"), n("EXCLUDED").alias("excluded"), F.coalesce(F.sum("pnl"), F.lit(0)).alias("closed_pnl"))
-    return out.withColumn("open_cost", F.col("open") * budget).withColumn("cash", F.col("closed_pnl") - F.col("open_cost"))
+    Adds status: EXCLUDED (not paired), EXCLUDED_MISSING_STATE, REJECTED_ENTRY, OPEN (tokens that could not be sold keep their
+    cost) or CLOSED, with entry_failure and exit_failure, tokens, remaining, cost, proceeds, pnl. STALE_STATE in a failure says that the state is older than its signal.
+    """
+    out = pairs
+    for side in ("buy", "sell"):
+        named = states.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slot").alias("_slot"), F.struct(*[c for c in states.columns if c not in (*keys, "slot")]).alias(f"_{side}"))
+        out = out.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(f"{side}_slot") == F.col("_slot")], "left").drop("_slot", *[f"_{k}" for k in keys])
+    paired, protocol, creator = F.col("reason") == "PAIRED", F.lit(fee_bps[0]), F.lit(fee_bps[1])
+    of = lambda side: (lambda c: F.col(f"_{side}.{c}"))
+    buy, sell = of("buy"), of("sell")
+    stale = lambda side, x: F.struct(x("last_transaction_index"), x("last_absolute_path")) < F.struct(f"{side}_transaction_index", f"{side}_absolute_path")
+    gross = F.col("buy_sol_amount") + F.col("buy_protocol_fee") + F.col("buy_creator_fee")
+    out = out.withColumn("_q", quote_buy(gross, buy("virtual_base"), buy("virtual_quote"), buy("real_base"), buy("real_quote"), protocol, creator))
+    entry = F.when(~paired, None).when(F.col("_buy").isNull(), "MISSING_END_OF_SLOT_STATE").when(stale("buy", buy), "STALE_STATE").otherwise(F.col("_q.error"))
+    fee = lambda side, given: F.col(f"{side}_fee_lamports") if given is None else F.lit(given)
+    out = out.withColumn("entry_failure", entry)
+    filled = paired & F.col("entry_failure").isNull()
+    out = out.withColumn("tokens", F.when(filled, F.col("_q.out"))).withColumn("cost", F.when(filled, F.col("_q.spent") + fee("buy", entry_fee)))
+    out = out.withColumn("_q", quote_sell(F.col("tokens"), sell("virtual_base"), sell("virtual_quote"), sell("real_quote"), protocol, creator))
+    out = out.withColumn("exit_failure", F.when(~filled, None).when(F.col("_sell").isNull(), "MISSING_END_OF_SLOT_STATE").when(stale("sell", sell), "STALE_STATE").otherwise(F.col("_q.error")))
+    closed = filled & F.col("exit_failure").isNull()
+    out = out.withColumn("proceeds", F.when(closed, F.col("_q.out") - fee("sell", exit_fee)))
+    status = F.when(~paired, "EXCLUDED").when(F.col("entry_failure") == "MISSING_END_OF_SLOT_STATE", "EXCLUDED_MISSING_STATE").when(~filled, "REJECTED_ENTRY").when(closed, "CLOSED").otherwise("OPEN")
+    out = out.withColumns({"status": status, "remaining": F.when(closed, F.lit(0).cast(MONEY)).otherwise(F.col("tokens")), "pnl": F.col("proceeds") - F.col("cost"), "model": F.lit("budget per position")})
+    return out.drop("_q", "_buy", "_sell")
+
+
+def copy_summary(positions: DataFrame) -> DataFrame:
+    """Counts, closed result, cost of what is open, and the cash that they come to: closed_pnl - open_cost."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    zero = F.lit(0).cast(MONEY)
+    out = positions.agg(
+        n("CLOSED").alias("closed"), n("OPEN").alias("open"), n("REJECTED_ENTRY").alias("rejected"), n("EXCLUDED", "EXCLUDED_MISSING_STATE").alias("excluded"),
+        F.coalesce(F.sum(F.when(F.col("status") == "CLOSED", F.col("pnl"))), zero).alias("closed_pnl"), F.coalesce(F.sum(F.when(F.col("status") == "OPEN", F.col("cost"))), zero).alias("open_cost"),
+    )
+    return out.withColumn("cash", F.col("closed_pnl") - F.col("open_cost"))
 
 
-def first_exit(positions: DataFrame, states: DataFrame, keys: Sequence[str], entry_at: str, deadline: str, at: str, price: str, entry_price: str, loss_bps: int, gain_bps: int, row_id: str) -> DataFrame:
-    """The first later state up to the deadline at which the loss or gain is reached, else DEADLINE: exit_at, exit_reason.
+def first_exit(positions: DataFrame, states: DataFrame, keys: Sequence[str], entry_at: str, deadline: str, at: str, price: str, entry_price: str, loss_bps: int, gain_bps: int, row_id: str, span: int = 3600) -> DataFrame:
+    """The first state from the fill up to the deadline at which the loss or gain is reached, else DEADLINE: exit_at, exit_reason.
 
-    Positions meet only states of their own key, and the test holds before rows are made.
+    A state at the place of the fill itself counts: at_fill tells that the sale then follows one transaction later. The loss goes
+    before the gain, both before the deadline. Positions meet states of their key in the spans of time that they are open
+    in, so that a key with many states and positions makes no pairs beyond these; the test holds before rows are made.
     """
     p, e = F.col(price).cast("decimal(18,0)") * 10_000, F.col(entry_price).cast("decimal(18,0)")
     reached = F.when(p <= e * (10_000 - loss_bps), "STOP_LOSS").when(p >= e * (10_000 + gain_bps), "TAKE_PROFIT")
-    later = positions.join(states, list(keys)).where((F.col(at) > F.col(entry_at)) & (F.col(at) <= F.col(deadline)) & reached.isNotNull())
+    open_in = positions.where(F.col(entry_at) <= F.col(deadline)).withColumn("_span", F.explode(F.sequence(F.floor(F.col(entry_at) / span), F.floor(F.col(deadline) / span))))
+    spans = states.withColumn("_span", F.floor(F.col(at) / span))
+    later = open_in.join(spans, [*keys, "_span"]).where((F.col(at) >= F.col(entry_at)) & (F.col(at) <= F.col(deadline)) & reached.isNotNull())
     first = later.groupBy(row_id).agg(F.min(F.struct(F.col(at).alias("exit_at"), reached.alias("exit_reason"))).alias("_x")).select(row_id, "_x.*")
     out = positions.join(first, row_id, "left")
-    return out.withColumns({"exit_at": F.coalesce("exit_at", deadline), "exit_reason": F.coalesce("exit_reason", F.lit("DEADLINE"))})
+    out = out.withColumns({"exit_at": F.coalesce("exit_at", deadline), "exit_reason": F.coalesce("exit_reason", F.lit("DEADLINE"))})
+    return out.withColumn("at_fill", (F.col("exit_at") == F.col(entry_at)) & (F.col("exit_reason") != "DEADLINE"))
+
+
+def launch_trips(launches: DataFrame, clock: DataFrame, states: DataFrame, budget: int, seconds: int = 600, buy_delay: int = 500, sell_delay_s: int = 2, sell_delay: int = 500, fee_bps: tuple[int, int] = (95, 30)) -> DataFrame:
+    """Round trips on launches: id, status, buy and sell places, tokens, proceeds, pnl.
 
+    A developer's launch within ``seconds`` of an accepted one is COOLDOWN_SUPPRESSED. An accepted one is bought ``buy_delay`` transactions
+    later; ``sell_delay_s`` after that fill the sale is decided at the first transaction by then, and it lands ``sell_delay`` transactions after the decision.
+    Each is priced by the last state of the mint at or before its place. Other status: NO_BUY_TAIL and NO_SELL_TAIL (the clock ends
+    before), BUY_REJECTED, SELL_REJECTED_OPEN, CLOSED.
 
-def retry_sells(positions: DataFrame, states: DataFrame, keys: Sequence[str], at: str, state_at: str, price: str, least: str, wait: int, attempts: int = 4) -> DataFrame:
-    """Up to ``attempts`` sales ``wait`` apart, each priced by the last state by then: attempt (null if none reached the least price), fill_price."""
-    out = positions.withColumns({"attempt": F.lit(None).cast("int"), "fill_price": F.lit(None).cast(states.schema[price].dataType)})
+    ``launches``: id, developer, mint, block, tx, time. ``clock``: block, tx_count, time, prefix. ``states``: mint, at (see boundary()),
+    virtual_base, virtual_quote, real_base, real_quote; places are unique in a mint.
+    """
+    known = cooldown(launches, ["developer"], "time", ["block", "tx", "id"], seconds)
+    times = clock.select(F.col("block").alias("buy_block"), F.col("time").alias("_time"))
+    rows = nth_after(known, clock, buy_delay).withColumnsRenamed({"to_block": "buy_block", "to_tx": "buy_tx"})
+    rows = rows.join(times, "buy_block", "left").withColumn("_due", F.col("_time") + sell_delay_s)
+    place = rows.select("id", F.col("buy_block").alias("block"), "_due").where("block is not null")
+    decided = first_at_or_after(place, clock, "_due").select("id", F.col("to_block").alias("block"), F.lit(0).cast("long").alias("tx")).where("block is not null")
+    sold = nth_after(decided, clock, sell_delay).select("id", F.col("to_block").alias("sell_block"), F.col("to_tx").alias("sell_tx"))
+    rows = rows.join(sold, "id", "left")
+    take = ["virtual_base", "virtual_quote", "real_base", "real_quote"]
+    for side in ("buy", "sell"):
+        rows = rows.withColumn(f"_{side}_at", boundary(F.col(f"{side}_block"), F.col(f"{side}_tx")))
+        rows = asof(rows, states.select("mint", F.col("at").alias("_s"), F.struct(*take).alias(f"_{side}")), ["mint"], f"_{side}_at", "_s", [f"_{side}"])
+    protocol, creator = F.lit(fee_bps[0]), F.lit(fee_bps[1])
+    of = lambda side: (lambda c: F.col(f"_{side}.{c}"))
+    buy, sell = of("buy"), of("sell")
+    rows = rows.withColumn("_b", quote_buy(F.lit(budget), buy("virtual_base"), buy("virtual_quote"), buy("real_base"), buy("real_quote"), protocol, creator))
+    go = F.col("accepted") & F.col("buy_block").isNotNull()
+    rows = rows.withColumn("tokens", F.when(go & F.col("_buy").isNotNull(), F.col("_b.out")))
+    rows = rows.withColumn("_s", quote_sell(F.col("tokens"), sell("virtual_base"), sell("virtual_quote"), sell("real_quote"), protocol, creator))
+    held = F.col("tokens").isNotNull()
+    rows = rows.withColumn("proceeds", F.when(held & F.col("sell_block").isNotNull() & F.col("_sell").isNotNull(), F.col("_s.out")))
+    status = F.when(~F.col("accepted"), "COOLDOWN_SUPPRESSED").when(F.col("buy_block").isNull(), "NO_BUY_TAIL").when(~held, "BUY_REJECTED").when(F.col("sell_block").isNull(), "NO_SELL_TAIL").when(F.col("proceeds").isNull(), "SELL_REJECTED_OPEN").otherwise("CLOSED")
+    return rows.select("id", status.alias("status"), "buy_block", "buy_tx", "sell_block", "sell_tx", "tokens", "proceeds", (F.col("proceeds") - F.col("_b.spent")).alias("pnl"))
+
+
+def retry_sells(positions: DataFrame, states: DataFrame, keys: Sequence[str], at: str, state_at: str, price: str, delay: int, wait: int, slippage_bps: int, attempts: int = 4) -> DataFrame:
+    """Up to ``attempts`` sales: attempt (null if none went through), fill_price, filled_at.
+
+    Each is quoted by the last state at its decision and lands ``delay`` later, where it goes through if the last state by then gives at
+    least the quote less the slippage, rounded down. Without a state to quote by nothing is sent, which counts as an attempt. The next decision
+    is ``wait`` after the failure: the landing, or the decision where nothing was sent. States are one a key and place.
+    """
+    out = positions.withColumns({"attempt": F.lit(None).cast("int"), "fill_price": F.lit(None).cast(states.schema[price].dataType), "filled_at": F.lit(None).cast("long"), "_at": F.col(at).cast("long")})
+    last = lambda rows, on, name: asof(rows, states.select(*keys, F.col(state_at).alias("_s"), F.col(price).alias(name)), keys, on, "_s", [name])
     for n in range(1, attempts + 1):
-        out = out.withColumn("_at", F.col(at) + (n - 1) * wait)
-        out = asof(out, states.select(*keys, F.col(state_at).alias("_s"), F.col(price).alias("_price")), keys, "_at", "_s", ["_price"])
-        now = F.col("attempt").isNull() & (F.col("_price") >= F.col(least))
-        out = out.withColumns({"fill_price": F.when(now, F.col("_price")).otherwise(F.col("fill_price")), "attempt": F.when(now, F.lit(n)).otherwise(F.col("attempt"))}).drop("_at", "_price")
-    return out
+        out = last(out, "_at", "_quote").withColumn("_land", F.col("_at") + delay)
+        out = last(out, "_land", "_price")
+        now = F.col("attempt").isNull() & (F.col("_price") >= min_output(F.col("_quote"), F.lit(slippage_bps)))
+        fresh = {"fill_price": F.when(now, F.col("_price")).otherwise(F.col("fill_price")), "filled_at": F.when(now, F.col("_land")).otherwise(F.col("filled_at")), "attempt": F.when(now, F.lit(n)).otherwise(F.col("attempt"))}
+        out = out.withColumns({**fresh, "_at": F.when(F.col("_quote").isNull(), F.col("_at")).otherwise(F.col("_land")) + wait}).drop("_quote", "_price", "_land")
+    return out.drop("_at")
 
 
 def economics(cash: Column, liquidation: Column, cashback: Column, locked: Column) -> Column:
@@ -138,6 +290,13 @@ def funding(gross: Column, real: Column) -> Column:
     return F.struct((gross - short).alias("venue"), short.alias("shortfall"))
 
 
+def launch_totals(positions: DataFrame, by: Sequence[str], gross: Column, real: Column, landed: Column, reference: Column) -> DataFrame:
+    """positions, what venues paid and what they lacked, and how landings compare with their references: worse, better, same."""
+    rows = positions.withColumn("_f", funding(gross, real)).withColumn("_slip", slippage(landed, reference))
+    n = lambda s: F.count_if(F.col("_slip") == s).alias(s.lower())
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("positions"), F.sum("_f.venue").alias("venue"), F.sum("_f.shortfall").alias("shortfall"), n("WORSE"), n("BETTER"), n("SAME"))
+
+
 def copy_signals(trades: DataFrame, wallets: Sequence, wallet: str, side: str, buy: str, slot: str, lo: int, hi: int, key: str, order: Sequence[str]) -> DataFrame:
     """Buys of the wallets in lo..hi, the first of each key only."""
     some = trades.where(F.col(wallet).isin(list(wallets)) & (F.col(side) == buy) & (F.col(slot) >= lo) & (F.col(slot) < hi))
@@ -162,11 +321,14 @@ def tail_ok(positions: DataFrame, clock: DataFrame, longest: int, block: str = "
     return positions.join(F.broadcast(end)).withColumn("tail", F.when(F.col(block) + longest <= F.col("_end"), "ENOUGH").otherwise("SHORT")).drop("_end")
 
 
-def check_state_history(events: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, launch: str, pair: str) -> DataFrame:
-    """Rows that break a venue's history: a state before its launch, a second launch, another pair of assets than before."""
+def check_state_history(events: DataFrame, keys: Sequence[str], order: Sequence[str], kind: str, launch: str, pair: str, lifecycle: str | None = None, allowed: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Rows that break a venue's history: a state before its launch, a second launch, another pair of assets than before, or a
+    lifecycle that its kind doesn't allow (``allowed``: kind -> lifecycles; kinds that it doesn't name may have any)."""
     so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     launched, first_pair = F.coalesce(F.sum(F.when(F.col(kind) == launch, 1).otherwise(0)).over(so_far), F.lit(0)), F.first(pair).over(so_far)
     rule = F.when((F.col(kind) == launch) & (launched > 0), "SECOND_LAUNCH").when((F.col(kind) != launch) & (launched == 0), "NO_LAUNCH").when(F.col(pair) != first_pair, "OTHER_PAIR")
+    for name, lives in (allowed or {}).items():
+        rule = rule.when((F.col(kind) == name) & ~F.coalesce(F.col(lifecycle).isin(list(lives)), F.lit(False)), "LIFECYCLE")
     return events.withColumn("rule", rule).where("rule is not null")
 
 
@@ -179,9 +341,16 @@ def check_observations(rows: DataFrame, keys: Sequence[str], order: Sequence[str
     return rows.withColumn("rule", rule).where("rule is not null")
 
 
-def check_lifecycle(rows: DataFrame, transaction: Sequence[str], kind: str, once: Sequence[str]) -> DataFrame:
-    """Transactions with more than one row of a kind that may occur once: kind, n."""
-    return rows.where(F.col(kind).isin(list(once))).groupBy(*transaction, kind).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def check_lifecycle(rows: DataFrame, transaction: Sequence[str], kind: str, once: Sequence[str], constants: dict[str, Column] | None = None) -> DataFrame:
+    """Transactions with more than one row of a kind that may occur once, or with such a row in which a constant is off: kind, n, off.
+
+    ``constants``: kind -> what must hold of its rows; what a null leaves open doesn't hold.
+    """
+    off = F.lit(False)
+    for name, holds in (constants or {}).items():
+        off = off | ((F.col(kind) == name) & ~F.coalesce(holds, F.lit(False)))
+    out = rows.where(F.col(kind).isin(list(once))).groupBy(*transaction, kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(off).alias("off"))
+    return out.where("n > 1 or off > 0")
 
 
 def extend_to_end(series: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], end: int) -> DataFrame:

@@ -21,10 +21,10 @@ def _(spark, d):
 
 
 @query("t22_state_history", f"""WITH {OBS}, h AS (SELECT *, coalesce(sum(CASE WHEN side = 'signup' THEN 1 ELSE 0 END) OVER w, 0) AS launched, first(amount % 2) OVER w AS pair0 FROM obs WINDOW w AS (PARTITION BY mint ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT event_id, rule FROM (SELECT event_id, CASE WHEN side = 'signup' AND launched > 0 THEN 'SECOND_LAUNCH' WHEN side <> 'signup' AND launched = 0 THEN 'NO_LAUNCH' WHEN amount % 2 <> pair0 THEN 'OTHER_PAIR' END AS rule FROM h) WHERE rule IS NOT NULL""")
+    SELECT event_id, rule FROM (SELECT event_id, CASE WHEN side = 'signup' AND launched > 0 THEN 'SECOND_LAUNCH' WHEN side <> 'signup' AND launched = 0 THEN 'NO_LAUNCH' WHEN amount % 2 <> pair0 THEN 'OTHER_PAIR' WHEN side = 'view' AND amount % 5 = 0 THEN 'LIFECYCLE' END AS rule FROM h) WHERE rule IS NOT NULL""")
 def _(spark, d):
-    rows = obs(spark, d).withColumn("pair", F.col("amount") % 2)
-    return trips.check_state_history(rows, ["mint"], ["t", "event_id"], "side", "signup", "pair").select("event_id", "rule")
+    rows = obs(spark, d).withColumn("pair", F.col("amount") % 2).withColumn("life", F.when(F.col("amount") % 5 == 0, "COMPLETED").otherwise("ACTIVE"))
+    return trips.check_state_history(rows, ["mint"], ["t", "event_id"], "side", "signup", "pair", "life", {"view": ["ACTIVE"]}).select("event_id", "rule")
 
 
 @query("t23_observations", f"""WITH {OBS}, h AS (SELECT *, lag(slot + mint % 3) OVER w AS before, lag(amount) OVER w AS content FROM obs WINDOW w AS (PARTITION BY signer ORDER BY t, event_id))
@@ -34,9 +34,9 @@ def _(spark, d):
     return trips.check_observations(rows, ["signer"], ["t", "event_id"], "pos", ["amount"]).select("event_id", "rule")
 
 
-@query("t24_lifecycle", f"WITH {OBS} SELECT mint, slot, side, count(*) AS n FROM obs WHERE side IN ('purchase', 'signup') GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("t24_lifecycle", f"WITH {OBS} SELECT mint, slot, side, count(*) AS n, count(*) FILTER (side = 'purchase' AND amount % 97 = 0) AS off FROM obs WHERE side IN ('purchase', 'signup') GROUP BY 1, 2, 3 HAVING count(*) > 1 OR count(*) FILTER (side = 'purchase' AND amount % 97 = 0) > 0")
 def _(spark, d):
-    return trips.check_lifecycle(obs(spark, d), ["mint", "slot"], "side", ["purchase", "signup"])
+    return trips.check_lifecycle(obs(spark, d), ["mint", "slot"], "side", ["purchase", "signup"], {"purchase": F.col("amount") % 97 != 0})
 
 
 @query("t25_first_match", f"WITH {OBS} SELECT mint, event_id FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY t, event_id) AS n FROM obs WHERE side = 'purchase' AND amount > 500) WHERE n = 1")
@@ -45,13 +45,7 @@ def _(spark, d):
     return joins.first_per(rows, ["mint"], ["t", "event_id"]).select("mint", "event_id")
 
 
-@query("e07_check_order", f"WITH {OBS} SELECT event_id FROM (SELECT event_id, (t, mint) AS k, lag((t, mint)) OVER (ORDER BY event_id) AS b FROM obs WHERE signer = 3) WHERE k < b".replace("(t, mint) AS k, lag((t, mint))", "{'t': mint, 'm': slot} AS k, lag({'t': mint, 'm': slot})"))
-def _(spark, d):
-    rows = obs(spark, d).where("signer = 3").withColumn("k", F.struct(F.col("mint").alias("t"), F.col("slot").alias("m")))
-    return aggs.out_of_order(rows, ["signer"], ["event_id"], "k").select("event_id")
-
-
-@query("e07_check_order_all", f"WITH {OBS} SELECT event_id FROM (SELECT event_id, {{'t': mint, 'm': slot}} AS k, lag({{'t': mint, 'm': slot}}) OVER (PARTITION BY signer ORDER BY event_id) AS b FROM obs) WHERE k < b")
+@query("e07_check_order", f"WITH {OBS} SELECT event_id FROM (SELECT event_id, {{'t': mint, 'm': slot}} AS k, lag({{'t': mint, 'm': slot}}) OVER (PARTITION BY signer ORDER BY event_id) AS b FROM obs) WHERE k < b")
 def _(spark, d):
     rows = obs(spark, d).withColumn("k", F.struct(F.col("mint").alias("t"), F.col("slot").alias("m")))
     return aggs.out_of_order(rows, ["signer"], ["event_id"], "k").select("event_id")
@@ -108,3 +102,11 @@ def _(spark, d):
 def _(spark, d):
     lo, hi = sc.widen_range(F.col("block"), F.col("block") + 1, [9000, 10], [5, 30])
     return clock(spark, d).select("block", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("f01_canonical_sort", f"WITH {OBS} SELECT event_id, row_number() OVER (ORDER BY slot, mint, CASE WHEN side = 'error' THEN NULL ELSE amount END NULLS FIRST, event_id) - 1 AS place FROM obs")
+def _(spark, d):
+    rows = obs(spark, d).select("event_id", "slot", "mint", F.when(~side("error"), F.col("amount")).alias("ix"))
+    sorted_rows = aggs.merge_streams(rows.where("ix is null"), rows.where("ix is not null"), order=("slot", "mint", "ix", "event_id"))
+    place = sorted_rows.withColumn("key", F.struct("slot", "mint", "ix", "event_id"))
+    return aggs.with_ordinal(place, ["key"], "place").select("event_id", F.col("place").cast("long").alias("place"))

@@ -139,9 +139,10 @@ def _(spark, d):
     return tables.missing_shards(o.select("slot").distinct(), o.where(side("error")).select("slot").distinct(), ["slot"])
 
 
-@query("a13_assert_max_rows", "SELECT n_nationkey FROM nation")
+@query("a13_assert_max_rows", "SELECT event_id FROM events")
 def _(spark, d):
-    return tables.assert_max_rows(table(spark, d, "nation"), 1000).select("n_nationkey")
+    e = table(spark, d, "events")
+    return tables.assert_max_rows(e, 1 << 30).select("event_id")
 
 
 @query("b01_successful_swaps", f"WITH {OBS} SELECT event_id FROM obs WHERE side <> 'error' AND mint = 7 AND event_id >= 0 AND event_id < 5000")
@@ -298,6 +299,14 @@ def _(spark, d):
     return joins.asof(rows, _views(spark, d), ["signer"], "t", "view_t", ["view_t"], strict=True).select("event_id", "view_t")
 
 
+@query("c11_asof_timing", f"""WITH {OBS}, p AS (SELECT *, (slot * 6 + t // 600 % 6) * 1000000000 AS tx FROM obs), st AS (SELECT signer, tx + CASE WHEN event_id % 2 = 0 THEN event_id ELSE 999999999 END AS k, max(event_id) AS state_id FROM p WHERE side = 'view' GROUP BY 1, 2)
+    SELECT event_id, state_id FROM (SELECT *, tx + event_id AS k FROM p WHERE side = 'click') o ASOF LEFT JOIN st ON o.signer = st.signer AND o.k > st.k""")
+def _(spark, d):
+    rows = obs(spark, d).select("event_id", "signer", "side", F.col("slot").alias("block"), F.floor(F.col("t") / 600 % 6).alias("tx"), F.col("event_id").alias("ix"), F.when(F.col("event_id") % 2 == 0, "AFTER_INSTRUCTION").otherwise("AFTER_TRANSACTION").alias("timing"))
+    states = rows.where(side("view")).withColumn("state_id", F.col("event_id"))
+    return joins.asof_causal(rows.where(side("click")), states, ["signer"], ("block", "tx", "ix"), "timing", ["state_id"]).select("event_id", "state_id")
+
+
 @query("c12_in_interval", f"""WITH {OBS}, ivals AS (SELECT DISTINCT signer, t AS lo, t + 7200 AS hi, t + 60 AS ready FROM obs WHERE side = 'signup')
     SELECT event_id, lo FROM (SELECT * FROM obs WHERE side = 'purchase') p ASOF JOIN ivals i ON p.signer = i.signer AND p.t >= i.lo WHERE p.t < hi AND p.t >= ready""")
 def _(spark, d):
@@ -388,16 +397,7 @@ def _(spark, d):
     return joins.align_features(o.select(F.col("event_id").alias("row_id"), "amount"), o.select(F.col("event_id").alias("row_id"), (F.col("slot") % 24).alias("hour")))
 
 
-@query("c21_reconcile", """WITH l AS (SELECT o_orderkey AS k, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS left_amount FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1),
-    r AS (SELECT l_orderkey AS k, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS right_amount FROM lineitem GROUP BY 1)
-    SELECT k, left_amount, right_amount, CASE WHEN right_amount IS NULL THEN 'ONLY_LEFT' WHEN left_amount IS NULL THEN 'ONLY_RIGHT' WHEN left_amount = right_amount THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM l FULL JOIN r USING (k)""")
-def _(spark, d):
-    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias("x")
-    one = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), cents("o_totalprice"))
-    return joins.reconcile(one, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), cents("l_extendedprice")), ["k"], "x")
-
-
-@query("c21_reconcile_all", """WITH l AS (SELECT o_orderkey AS k, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS left_amount FROM orders GROUP BY 1),
+@query("c21_reconcile", """WITH l AS (SELECT o_orderkey AS k, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS left_amount FROM orders GROUP BY 1),
     r AS (SELECT l_orderkey AS k, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS right_amount FROM lineitem GROUP BY 1)
     SELECT k, left_amount, right_amount, CASE WHEN right_amount IS NULL THEN 'ONLY_LEFT' WHEN left_amount IS NULL THEN 'ONLY_RIGHT' WHEN left_amount = right_amount THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM l FULL JOIN r USING (k)""")
 def _(spark, d):

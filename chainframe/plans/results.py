@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,9 +57,10 @@ def _(spark, d):
     return aggs.class_counts(obs(spark, d), _classes(spark, d), "mint", "label", ["CHEAP", "DEAR", "UNKNOWN"])
 
 
-@query("d09_data_issues", f"WITH {CLASSES} SELECT mint, issue, count(*) AS n FROM obs JOIN classes USING (mint) WHERE issue <> '' GROUP BY 1, 2")
+@query("d09_data_issues", f"WITH {CLASSES}, c AS (SELECT obs.*, issue FROM obs LEFT JOIN classes USING (mint)) SELECT 'UNCLASSIFIED' AS issue, count(*) FILTER (issue IS NULL) AS n FROM c UNION ALL SELECT 'ISSUE', count(*) FILTER (issue <> '') FROM c UNION ALL SELECT 'NO_AMOUNT', count(*) FILTER (amount = 0) FROM c UNION ALL SELECT 'NEVER', 0 FROM (SELECT 1)")
 def _(spark, d):
-    return obs(spark, d).join(_classes(spark, d), "mint").where("issue <> ''").groupBy("mint", "issue").agg(F.count(F.lit(1)).alias("n"))
+    rows = obs(spark, d).join(_classes(spark, d), "mint", "left")
+    return aggs.data_issues(rows, {"UNCLASSIFIED": F.col("issue").isNull(), "ISSUE": F.col("issue") != "", "NO_AMOUNT": F.col("amount") == 0, "NEVER": F.col("event_id").isNull()})
 
 
 @query("d10_distinct_wallets", "SELECT count(DISTINCT user_id) AS wallets FROM events")
@@ -66,9 +68,9 @@ def _(spark, d):
     return table(spark, d, "events").agg(F.countDistinct("user_id").alias("wallets"))
 
 
-@query("d11_distinct_keys", f"WITH {OBS} SELECT DISTINCT mint FROM obs WHERE side = 'purchase' AND signer < 20")
+@query("d11_distinct_keys", f"WITH {OBS} SELECT DISTINCT mint FROM obs WHERE side = 'purchase'")
 def _(spark, d):
-    return obs(spark, d).where(side("purchase") & (F.col("signer") < 20)).select("mint").distinct()
+    return obs(spark, d).where(side("purchase")).select("mint").distinct()
 
 
 @query("d12_repeated_keys", f"WITH {OBS} SELECT signer, slot, count(*) AS n FROM obs GROUP BY 1, 2 HAVING count(*) > 1")
@@ -95,10 +97,10 @@ def _(spark, d):
     return aggs.run_totals(rows, "side", ["click", "view"], ["amount"], ["known"])
 
 
-@query("d16_launch_totals", f"WITH {OBS} SELECT side, CAST(sum(least(amount, 3000)) AS BIGINT) AS venue, CAST(sum(greatest(amount - 3000, 0)) AS BIGINT) AS shortfall FROM obs GROUP BY side")
+@query("d16_launch_totals", f"""WITH {OBS} SELECT side, count(*) AS positions, CAST(sum(least(amount, 3000)) AS BIGINT) AS venue, CAST(sum(greatest(amount - 3000, 0)) AS BIGINT) AS shortfall,
+    count(*) FILTER (amount > mint * 50) AS worse, count(*) FILTER (amount < mint * 50) AS better, count(*) FILTER (amount = mint * 50) AS same FROM obs GROUP BY side""")
 def _(spark, d):
-    parts = obs(spark, d).withColumn("f", trips.funding(F.col("amount"), F.lit(3000)))
-    return parts.groupBy("side").agg(F.sum("f.venue").alias("venue"), F.sum("f.shortfall").alias("shortfall"))
+    return trips.launch_totals(obs(spark, d), ["side"], F.col("amount"), F.lit(3000), F.col("amount"), F.col("mint") * 50).select("side", "positions", *[F.col(c).cast("long").alias(c) for c in ("venue", "shortfall")], "worse", "better", "same")
 
 
 @query("d17_violated_rules", f"WITH {OBS}, g AS (SELECT signer, count(*) AS n, count(*) FILTER (side = 'error') AS bad, count(*) FILTER (side = 'view') AS views FROM obs GROUP BY 1) SELECT signer, 'FEW_ERRORS' AS rule FROM g WHERE NOT bad * 4 <= n UNION ALL SELECT signer, 'HAS_VIEWS' FROM g WHERE NOT views > 5")
@@ -128,9 +130,11 @@ def _(spark, d):
     return filters.disposition_counts(_routed(spark, d))
 
 
-@query("d22_transactions", "SELECT l_orderkey, count(*) AS source_row_count, count(DISTINCT l_returnflag) AS payload_variant_count, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1")
+@query("d22_transactions", """WITH t AS (SELECT l_orderkey, max(l_linenumber % 3) AS top, count(*) AS n_instructions FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, max(l_returnflag) AS l_returnflag, any_value(n_instructions) AS n_instructions, count(DISTINCT l_returnflag) > 1 AS conflict FROM lineitem JOIN t USING (l_orderkey) WHERE l_linenumber % 3 = top GROUP BY 1""")
 def _(spark, d):
-    return aggs.collapse_occurrences(table(spark, d, "lineitem"), ["l_orderkey"], ["l_returnflag"])
+    rows = table(spark, d, "lineitem").withColumn("source_priority", F.col("l_linenumber") % 3)
+    return aggs.transactions(rows, ["l_orderkey"], ["l_returnflag"], "source_priority")
 
 
 @query("d23_not_functional", f"WITH {OBS} SELECT signer, slot, count(DISTINCT mint) AS n_values FROM obs GROUP BY 1, 2 HAVING count(DISTINCT mint) > 1")
@@ -158,9 +162,11 @@ def _(spark, d):
     return out.withColumn("digest", F.col("digest").cast("string"))
 
 
-@query("d28_coverage", f"WITH {OBS} SELECT count(*) AS signals, count(DISTINCT mint) AS keys FROM obs WHERE side = 'purchase' AND signer < 10")
+@query("d28_coverage", f"""WITH {OBS}, x AS (SELECT mint, sha256('{{"event_id":"' || event_id || '","mint":"' || mint || '"}}') AS h FROM obs WHERE side = 'purchase')
+    SELECT count(*) AS signals, count(DISTINCT mint) AS keys, CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM x""")
 def _(spark, d):
-    return obs(spark, d).where(side("purchase") & (F.col("signer") < 10)).agg(F.count(F.lit(1)).alias("signals"), F.countDistinct("mint").alias("keys"))
+    out = aggs.coverage(obs(spark, d).where(side("purchase")).select("event_id", "mint"), "mint")
+    return out.withColumn("digest", F.col("digest").cast("string"))
 
 
 @query("d29_compare_runs", f"WITH {OBS}, s AS (SELECT side AS run, count(*) AS n, CAST(sum(amount) AS BIGINT) AS total FROM obs GROUP BY 1) SELECT run, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT run, 'total', CAST(total AS DOUBLE) FROM s")
@@ -248,15 +254,22 @@ def _(spark, d):
     return rows.groupBy("asset").agg(F.min("balance").alias("lowest"), F.count_if(F.col("balance") < 0).alias("below"))
 
 
-@query("e18_trailing_features", f"""WITH {HOURLY} SELECT side, slot, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS trailing_n, CAST(coalesce(sum(total) OVER w, 0) AS BIGINT) AS trailing_total, CAST(coalesce(sum(hits) OVER w, 0) AS BIGINT) AS trailing_hits, slot % 24 AS hour_of_day
-    FROM hourly WINDOW w AS (PARTITION BY side ORDER BY slot RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
+@query("e18_trailing_features", f"""WITH {HOURLY}, ends AS (SELECT side, min(slot) AS lo, max(slot) AS hi FROM hourly GROUP BY 1), spine AS (SELECT side, unnest(range(lo, hi + 1)) AS slot FROM ends),
+    h AS (SELECT side, slot, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(hits, 0) AS hits FROM spine LEFT JOIN hourly USING (side, slot)),
+    t AS (SELECT side, slot, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS trailing_n, CAST(coalesce(sum(total) OVER w, 0) AS BIGINT) AS trailing_total, CAST(coalesce(sum(hits) OVER w, 0) AS BIGINT) AS trailing_hits, slot % 24 AS hour_of_day
+        FROM h WINDOW w AS (PARTITION BY side ORDER BY slot RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING))
+    SELECT *, CAST(trailing_total AS DOUBLE) / nullif(trailing_n, 0) AS trailing_mean, CAST(trailing_hits AS DOUBLE) / nullif(trailing_n, 0) AS trailing_share FROM t""")
 def _(spark, d):
-    return aggs.trailing_features(hourly(spark, d), ["side"], "slot", "n", "total", "hits").drop("n", "total", "hits")
+    rows = aggs.hourly_spine(hourly(spark, d), ["side"], "slot", ["n", "total", "hits"])
+    return aggs.trailing_features(rows, ["side"], "slot", "n", "total", "hits").drop("n", "total", "hits")
 
 
-@query("e19_cooldown", f"""WITH RECURSIVE {OBS}, r AS (SELECT event_id, signer, t, row_number() OVER (PARTITION BY signer ORDER BY t, event_id) AS i FROM obs),
+COOLDOWN = f"""WITH RECURSIVE {OBS}, r AS (SELECT event_id, signer, t, row_number() OVER (PARTITION BY signer ORDER BY t, event_id) AS i FROM obs),
     w AS (SELECT signer, i, event_id, t AS last, true AS accepted FROM r WHERE i = 1 UNION ALL SELECT r.signer, r.i, r.event_id, CASE WHEN r.t - w.last >= 7200 THEN r.t ELSE w.last END, r.t - w.last >= 7200 FROM w JOIN r ON r.signer = w.signer AND r.i = w.i + 1)
-    SELECT event_id, accepted FROM w""")
+    SELECT event_id, accepted FROM w"""
+
+
+@query("e19_cooldown", COOLDOWN)
 def _(spark, d):
     return aggs.cooldown(obs(spark, d), ["signer"], "t", ["event_id"], 7200).select("event_id", "accepted")
 
@@ -330,61 +343,12 @@ def _(spark, d):
 @query("h05_base58")
 def _(spark, d):
     text = sc.to_base58(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)))
-    return table(spark, d, "events").select("user_id").distinct().select("user_id", text.alias("address")).withColumn("fits", sc.is_base58(F.col("address")))
+    return table(spark, d, "events").select("user_id").distinct().select("user_id", text.alias("address")).withColumn("fits", sc.is_base58(F.col("address")) & (sc.base58_bytes("address") == 32))
 
 
 # --- positions
 
 
-def _trips(spark, d):
-    return trips.pair_round_trips(obs(spark, d), ["signer", "mint"], "slot", "side", "mint", 0, 1 << 40, "purchase", "view")
-
-
-TRIPS = OBS + """, g AS (SELECT signer, mint, count(*) FILTER (side = 'purchase') AS buys, count(*) FILTER (side = 'view') AS sells, max(slot) FILTER (side = 'purchase') AS buy_slot, max(slot) FILTER (side = 'view') AS sell_slot FROM obs GROUP BY 1, 2),
-paired AS (SELECT *, CASE WHEN buys = 0 THEN 'NO_BUY' WHEN buys > 1 THEN 'MANY_BUYS' WHEN sells = 0 THEN 'NO_SELL' WHEN sells > 1 THEN 'MANY_SELLS' WHEN sell_slot <= buy_slot THEN 'SELL_NOT_LATER' ELSE 'PAIRED' END AS reason FROM g)"""
-
-
-@query("t01_pair_round_trips", f"WITH {TRIPS} SELECT signer, mint, buy_slot, sell_slot, reason FROM paired")
-def _(spark, d):
-    return _trips(spark, d).select("signer", "mint", "buy_slot", "sell_slot", "reason")
-
-
-@query("d24_reason_counts", f"WITH {TRIPS} SELECT reason, count(*) AS n FROM paired GROUP BY 1")
-def _(spark, d):
-    return filters.disposition_counts(_trips(spark, d))
-
-
-@query("t03_quotes", f"""WITH {OBS}, q AS (SELECT event_id, amount, mint, (amount * 100 + 9999) // 10000 AS fee FROM obs)
-    SELECT event_id, fee, least(CAST(1000000 AS BIGINT) * (amount - fee) // (30000 + mint + amount - fee), 90000) AS bought, 30000 * amount // (1000000 + amount) AS gross, 5000 * (amount - amount * 30 // 10000) // (70000 + amount - amount * 30 // 10000) AS swapped FROM q""")
-def _(spark, d):
-    a = F.col("amount")
-    o = obs(spark, d).withColumn("b", trips.quote_buy(a, F.lit(1_000_000), F.col("mint") + 30_000, F.lit(90_000), F.lit(100))).withColumn("s", trips.quote_sell(a, F.lit(1_000_000), F.lit(30_000), F.lit(100), F.lit(100)))
-    return o.select("event_id", F.col("b.fee").cast("long").alias("fee"), F.col("b.out").cast("long").alias("bought"), F.col("s.gross").cast("long").alias("gross"), trips.quote_xyk(a, F.lit(70_000), F.lit(5_000), F.lit(30)).cast("long").alias("swapped"))
-
-
-COPIES = TRIPS + """, st AS (SELECT mint, slot, max(slot) AS state_slot, arg_max(amount, (t, event_id)) AS price FROM obs GROUP BY 1, 2),
-b AS (SELECT p.*, s.state_slot AS bs, (10000 * 100 + 9999) // 10000 AS fee, s.price AS bp FROM paired p LEFT JOIN st s ON s.mint = p.mint AND s.slot = p.buy_slot),
-c AS (SELECT b.*, CASE WHEN reason = 'PAIRED' AND bs >= buy_slot THEN least(CAST(1000000 AS BIGINT) * (10000 - fee) // (bp + 1000 + 10000 - fee), 900000) END AS tokens, s.price AS sp, s.state_slot AS ss FROM b LEFT JOIN st s ON s.mint = b.mint AND s.slot = b.sell_slot),
-e AS (SELECT *, CAST(sp + 1000 AS BIGINT) * tokens // (1000000 + tokens) AS gross FROM c),
-copies AS (SELECT signer, mint, tokens, CASE WHEN tokens > 0 AND ss >= sell_slot THEN gross - (gross * 100 + 9999) // 10000 END AS proceeds, reason FROM e)"""
-
-
-def _copies(spark, d):
-    states = aggs.last_state(obs(spark, d), ["mint", "slot"], ["amount"], ["t", "event_id"])
-    states = states.select("mint", "slot", F.col("slot").alias("state_slot"), F.lit(1_000_000).alias("vb"), (F.col("amount") + 1000).alias("vq"), F.lit(900_000).alias("rb"), F.col("amount").alias("rq"))
-    return trips.copy_next_slot(_trips(spark, d).select("signer", "mint", "buy_slot", "sell_slot", "reason"), states, ["mint"], 10_000, 100)
-
-
-@query("t06_copy_next_slot", f"WITH {COPIES} SELECT signer, mint, CAST(tokens AS BIGINT) AS tokens, CAST(proceeds AS BIGINT) AS proceeds, CASE WHEN reason <> 'PAIRED' THEN 'EXCLUDED' WHEN tokens IS NULL OR tokens <= 0 THEN 'REJECTED' WHEN proceeds IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS status FROM copies")
-def _(spark, d):
-    return _copies(spark, d).select("signer", "mint", F.col("tokens").cast("long").alias("tokens"), F.col("proceeds").cast("long").alias("proceeds"), "status")
-
-
-@query("t07_copy_summary", f"WITH {COPIES} SELECT count(*) FILTER (reason = 'PAIRED' AND proceeds IS NOT NULL) AS closed, count(*) FILTER (reason = 'PAIRED' AND tokens > 0 AND proceeds IS NULL) AS open, CAST(coalesce(sum(proceeds - 10000), 0) AS BIGINT) AS closed_pnl FROM copies")
-def _(spark, d):
-    return trips.copy_summary(_copies(spark, d), 10_000).select("closed", "open", F.col("closed_pnl").cast("long").alias("closed_pnl"))
-
-
 @query("t08_copy_signals", f"WITH {OBS} SELECT event_id, mint FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY t, event_id) AS n FROM obs WHERE signer IN (1, 2, 3, 4, 5) AND side = 'purchase') WHERE n = 1")
 def _(spark, d):
     return trips.copy_signals(obs(spark, d), [1, 2, 3, 4, 5], "signer", "side", "purchase", "slot", 0, 1 << 40, "mint", ["t", "event_id"]).select("event_id", "mint")
@@ -393,7 +357,7 @@ def _(spark, d):
 EXITS = FIRST + ", p AS (SELECT event_id AS id, mint, t AS entry_at, t + 43200 AS deadline, amount AS entry_price FROM firsts WHERE side = 'purchase')"
 
 
-@query("t10_first_exit", f"""WITH {EXITS}, x AS (SELECT id, t, CASE WHEN amount * 10000 <= entry_price * 7000 THEN 'STOP_LOSS' ELSE 'TAKE_PROFIT' END AS r FROM p JOIN obs o ON o.mint = p.mint AND o.t > entry_at AND o.t <= deadline AND o.side = 'view' AND (amount * 10000 <= entry_price * 7000 OR amount * 10000 >= entry_price * 14000))
+@query("t10_first_exit", f"""WITH {EXITS}, x AS (SELECT id, t, CASE WHEN amount * 10000 <= entry_price * 7000 THEN 'STOP_LOSS' ELSE 'TAKE_PROFIT' END AS r FROM p JOIN obs o ON o.mint = p.mint AND o.t >= entry_at AND o.t <= deadline AND o.side = 'view' AND (amount * 10000 <= entry_price * 7000 OR amount * 10000 >= entry_price * 14000))
     SELECT p.id, coalesce(min(x.t), deadline) AS exit_at, coalesce(min({{'t': x.t, 'r': x.r}}).r, 'DEADLINE') AS exit_reason FROM p LEFT JOIN x USING (id) GROUP BY p.id, deadline""")
 def _(spark, d):
     pos = first_rows(spark, d).where(side("purchase")).select(F.col("event_id").alias("id"), "mint", F.col("t").alias("entry_at"), (F.col("t") + 43_200).alias("deadline"), F.col("amount").alias("entry_price"))
@@ -401,13 +365,20 @@ def _(spark, d):
     return trips.first_exit(pos, states, ["mint"], "entry_at", "deadline", "t", "price", "entry_price", 3000, 4000, "id").select("id", "exit_at", "exit_reason")
 
 
-RETRY = VIEWS + ", p AS (SELECT event_id AS id, signer, t, amount FROM obs WHERE side = 'click')" + "".join(f", a{n} AS (SELECT id, view_amount AS v FROM (SELECT *, t + {(n - 1) * 3600} AS at FROM p) q ASOF LEFT JOIN views w ON q.signer = w.signer AND q.at >= w.view_t)" for n in (1, 2, 3, 4))
+def _retries():
+    """Quote, landing and outcome of four attempts, one after the other."""
+    out = VIEWS + ", s0 AS (SELECT event_id AS id, signer, t AS at1 FROM obs WHERE side = 'click')"
+    for n in (1, 2, 3, 4):
+        out += f", q{n} AS (SELECT p.*, view_amount AS q{n}, at{n} + 600 AS land{n} FROM s{n - 1} p ASOF LEFT JOIN views v ON p.signer = v.signer AND p.at{n} >= v.view_t)"
+        out += f", l{n} AS (SELECT p.*, view_amount AS p{n} FROM q{n} p ASOF LEFT JOIN views v ON p.signer = v.signer AND p.land{n} >= v.view_t)"
+        out += f", s{n} AS (SELECT *, coalesce(p{n} >= q{n} * 9900 // 10000, false) AS f{n}, CASE WHEN q{n} IS NULL THEN at{n} ELSE land{n} END + 3600 AS at{n + 1} FROM l{n})"
+    return out
 
 
-@query("t11_retry_sells", f"WITH {RETRY} SELECT p.id, CASE WHEN a1.v >= amount THEN 1 WHEN a2.v >= amount THEN 2 WHEN a3.v >= amount THEN 3 WHEN a4.v >= amount THEN 4 END AS attempt, CASE WHEN a1.v >= amount THEN a1.v WHEN a2.v >= amount THEN a2.v WHEN a3.v >= amount THEN a3.v WHEN a4.v >= amount THEN a4.v END AS fill_price FROM p JOIN a1 USING (id) JOIN a2 USING (id) JOIN a3 USING (id) JOIN a4 USING (id)")
+@query("t11_retry_sells", f"WITH {_retries()} SELECT id, CASE WHEN f1 THEN 1 WHEN f2 THEN 2 WHEN f3 THEN 3 WHEN f4 THEN 4 END AS attempt, CASE WHEN f1 THEN p1 WHEN f2 THEN p2 WHEN f3 THEN p3 WHEN f4 THEN p4 END AS fill_price, CASE WHEN f1 THEN land1 WHEN f2 THEN land2 WHEN f3 THEN land3 WHEN f4 THEN land4 END AS filled_at FROM s4")
 def _(spark, d):
-    pos = obs(spark, d).where(side("click")).select(F.col("event_id").alias("id"), "signer", "t", "amount")
-    return trips.retry_sells(pos, _views(spark, d), ["signer"], "t", "view_t", "view_amount", "amount", 3600).select("id", "attempt", "fill_price")
+    pos = obs(spark, d).where(side("click")).select(F.col("event_id").alias("id"), "signer", "t")
+    return trips.retry_sells(pos, _views(spark, d), ["signer"], "t", "view_t", "view_amount", 600, 3600, 100).select("id", "attempt", "fill_price", "filled_at")
 
 
 @query("t14_economics", f"WITH {OBS} SELECT event_id, CASE WHEN side <> 'error' THEN amount + mint + 3 END AS total, CASE WHEN side <> 'error' THEN 'VALUED' ELSE 'UNVALUED' END AS mark FROM obs")
@@ -422,14 +393,7 @@ def _(spark, d):
     return trips.attempts(obs(spark, d).withColumn("legs", legs), "event_id", "legs").select("event_id", "leg_no", "state")
 
 
-@query("t16_order_lifecycle", f"""WITH {OBS}, s AS (SELECT signer, count(*) FILTER (side = 'signup') AS decisions, count(*) FILTER (side IN ('purchase', 'error')) AS ends FROM obs WHERE mint < 2 GROUP BY 1)
-    SELECT signer, CASE WHEN decisions <> 1 THEN 'DECISIONS' ELSE 'ENDS' END AS rule FROM s WHERE decisions <> 1 OR ends <> 1""")
-def _(spark, d):
-    audit = obs(spark, d).where("mint < 2")
-    return trips.order_lifecycle(audit, "signer", "side", "signup", ["purchase", "error"], "purchase", audit.where(side("purchase"))).select("signer", "rule")
-
-
-@query("t16_order_lifecycle_all", f"""WITH {OBS}, s AS (SELECT signer || '/' || mint AS order_id, count(*) FILTER (side = 'signup') AS decisions, count(*) FILTER (side IN ('purchase', 'error')) AS ends FROM obs GROUP BY 1)
+@query("t16_order_lifecycle", f"""WITH {OBS}, s AS (SELECT signer || '/' || mint AS order_id, count(*) FILTER (side = 'signup') AS decisions, count(*) FILTER (side IN ('purchase', 'error')) AS ends FROM obs GROUP BY 1)
     SELECT order_id, CASE WHEN decisions <> 1 THEN 'DECISIONS' ELSE 'ENDS' END AS rule FROM s WHERE decisions <> 1 OR ends <> 1""")
 def _(spark, d):
     audit = obs(spark, d).withColumn("order_id", F.concat_ws("/", F.col("signer").cast("string"), F.col("mint").cast("string")))
@@ -453,10 +417,21 @@ def _(spark, d):
     return aggs.market_cap_series(rows, ["mint"], "slot", "amount", "base", "supply", ["t", "event_id"]).select("mint", "slot", F.col("market_cap").cast("long").alias("market_cap"))
 
 
-@query("t21_series_window", f"""WITH {OBS}, m AS (SELECT mint, min(t) - 3600 AS lo, max(t) + 3600 AS hi FROM obs WHERE side = 'purchase' AND signer < 20 GROUP BY 1), n AS (SELECT o.event_id, o.mint, o.t, lo, max(CASE WHEN t < lo THEN t END) OVER (PARTITION BY mint) AS e FROM obs o JOIN m USING (mint) WHERE t <= hi) SELECT event_id FROM n WHERE t >= lo OR t = e""")
+@query("t20_chart_series", f"""WITH {OBS}, s AS (SELECT mint, slot, arg_max(amount, (t, event_id)) * 1000000 // (mint + 1) AS market_cap FROM obs GROUP BY mint, slot), made AS (SELECT mint, min(slot) AS made FROM obs WHERE side = 'signup' AND mint % 9 <> 0 GROUP BY 1),
+    sig AS (SELECT DISTINCT mint, slot FROM obs WHERE side = 'purchase' AND mint % 8 <> 0), c AS (SELECT slot, min(t) AS time FROM obs GROUP BY 1)
+    SELECT s.mint, s.slot, market_cap, time, CASE WHEN sig.slot IS NOT NULL THEN 'SIGNAL' WHEN s.slot = made THEN 'CREATED' WHEN s.slot > made THEN 'ACTIVE' END AS lifecycle,
+    CASE WHEN made IS NULL THEN 'NO_CREATION' WHEN s.slot < made THEN 'BEFORE_CREATION' WHEN s.mint NOT IN (SELECT mint FROM sig) THEN 'NO_SIGNAL' END AS issue FROM s LEFT JOIN made USING (mint) LEFT JOIN sig ON sig.mint = s.mint AND sig.slot = s.slot LEFT JOIN c ON c.slot = s.slot""")
 def _(spark, d):
     o = obs(spark, d)
-    return trips.series_window(o, o.where(side("purchase") & (F.col("signer") < 20)).select("mint", F.col("t").alias("m")), ["mint"], "t", "m", 3600).select("event_id")
+    series = aggs.market_cap_series(o.withColumn("supply", F.lit(1_000_000)).withColumn("base", F.col("mint") + 1), ["mint"], "slot", "amount", "base", "supply", ["t", "event_id"])
+    out = aggs.chart_series(series, o.where(side("signup") & (F.col("mint") % 9 != 0)), o.where(side("purchase") & (F.col("mint") % 8 != 0)), o.groupBy("slot").agg(F.min("t").alias("time")), "mint", "slot")
+    return out.select("mint", "slot", F.col("market_cap").cast("long").alias("market_cap"), "time", "lifecycle", "issue")
+
+
+@query("t21_series_window", f"""WITH {OBS}, m AS (SELECT mint, min(t) - 3600 AS lo, max(t) + 3600 AS hi FROM obs WHERE side = 'purchase' GROUP BY 1), n AS (SELECT o.event_id, o.mint, o.t, lo, max(CASE WHEN t < lo THEN t END) OVER (PARTITION BY mint) AS e FROM obs o JOIN m USING (mint) WHERE t <= hi) SELECT event_id FROM n WHERE t >= lo OR t = e""")
+def _(spark, d):
+    o = obs(spark, d)
+    return trips.series_window(o, o.where(side("purchase")).select("mint", F.col("t").alias("m")), ["mint"], "t", "m", 3600).select("event_id")
 
 
 # --- graphs
@@ -545,9 +520,12 @@ def _(spark, d):
     return out.select("event_id", F.col("prediction").cast("long").alias("prediction"), "prediction_available")
 
 
-@query("m10_check_schedule", f"WITH {SCHEDULE} SELECT model_id, 'OVERLAP' AS rule FROM (SELECT model_id, valid_until + 1 AS valid_until, lead(valid_from) OVER (ORDER BY valid_from) AS nxt FROM schedule) WHERE nxt < valid_until")
+@query("m10_check_schedule", f"""WITH {OBS}, s AS (SELECT event_id AS model_id, signer, slot AS valid_from, slot + mint % 4 AS valid_until, slot - 1 + mint % 3 AS model_available FROM obs), n AS (SELECT *, lead(valid_from) OVER (PARTITION BY signer ORDER BY valid_from, model_id) AS nxt FROM s),
+    r AS (SELECT model_id, CASE WHEN valid_until <= valid_from THEN 'EMPTY' WHEN nxt < valid_until THEN 'OVERLAP' WHEN model_available > valid_from THEN 'LATE_MODEL' END AS rule FROM n) SELECT * FROM r WHERE rule IS NOT NULL""")
 def _(spark, d):
-    return pit.check_schedule(_schedule(spark, d).withColumn("valid_until", F.col("valid_until") + 1)).select("model_id", "rule")
+    m = F.col("mint")
+    schedules = obs(spark, d).select(F.col("event_id").alias("model_id"), "signer", F.col("slot").alias("valid_from"), (F.col("slot") + m % 4).alias("valid_until"), (F.col("slot") - 1 + m % 3).alias("model_available"))
+    return pit.check_schedule(schedules, ["signer"]).select("model_id", "rule")
 
 
 @query("m11_split_purged", f"WITH {OBS} SELECT event_id, CASE WHEN side = 'error' THEN 'UNKNOWN' WHEN slot >= 473500 THEN 'TEST' WHEN slot + 24 > 473500 THEN 'PURGED' ELSE 'TRAIN' END AS split FROM obs")
@@ -635,7 +613,10 @@ def _drain(spark, df, mode):
 
 
 def _state_dir(spark):
+    """Below spark.checkpoint.dir; only where Spark is one process and none is set, a folder of this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root}/streams-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-stream-")
 
 
@@ -645,6 +626,20 @@ def _(spark, d):
     return _drain(spark, streams.stream_dedup(rows, ["signer", "slot"], "ts", "60 days"), "append").select("signer", "slot")
 
 
+@query("k02_stream_activity", f"WITH {OBS} SELECT signer, t // 86400 AS day, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM obs GROUP BY 1, 2")
+def _(spark, d):
+    rows = _stream(spark, d, [F.col("user_id").alias("signer"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), F.col("ts").cast("timestamp").alias("ts")])
+    out = _drain(spark, streams.stream_activity(rows, "ts", "60 days", "1 day", "signer", "event_type", "cents"), "complete")
+    return out.select("signer", F.floor(F.unix_seconds("window.start") / 86_400).alias("day"), "n", "amount")
+
+
+@query("k03_stream_cooldown", COOLDOWN)
+def _(spark, d):
+    rows = _stream(spark, d, [F.col("user_id").alias("signer"), F.col("ts").cast("timestamp").alias("ts"), "event_id"])
+    rows = rows.withColumn("ts", F.date_trunc("second", "ts"))
+    return _drain(spark, streams.stream_cooldown(rows, "signer", "ts", "event_id", 7200, "60 days"), "append")
+
+
 @query("k04_stream_balances", f"WITH {OBS} SELECT signer, CAST(sum(CASE WHEN side = 'purchase' THEN -amount ELSE amount END) AS BIGINT) AS balance FROM obs GROUP BY signer")
 def _(spark, d):
     cents = F.round(F.col("value") * 100).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage.
+
+    Only where Spark is one process and no folder is set, one of this machine takes its place; on a cluster that fails.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def scan_range(df: DataFrame, columns: Sequence[str], position: str, lo: int, hi: int) -> DataFrame:
     """The named columns of rows with lo <= position < hi; both reach the Parquet scan."""
     return df.where((F.col(position) >= lo) & (F.col(position) < hi)).select(*columns)
