@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
+import re
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,40 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Leaves a configured spark.checkpoint.dir alone; sets a local folder only where none is set."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for what jobs hand on: spark.checkpoint.dir, or the checkpoint folder that the caller has set.
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage."""
-    spark = df.sparkSession
-    use_checkpoints(spark)
-    out = df.checkpoint(eager=True)
-    del df  # holds the shuffle files of the finished job
-    release(spark)
-    return out
+    Only where Spark is one process and neither is set, a folder of this machine takes its place; on a cluster that fails.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is written inside takes its shuffle files along when it is done; nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared checkpoint folder and reads it again."""
+    """Writes df as Parquet in the shared checkpoint folder and reads it again; lineage ends there."""
     spark = df.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark, 3)
-    return spark.read.parquet(path)
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """Tables in the shared checkpoint folder that are deleted at the end of a block; smaller than checkpoints, as Parquet."""
+    """Tables in the shared checkpoint folder that are deleted at the end of a block."""
 
     def __init__(self, spark: SparkSession):
-        use_checkpoints(spark)
-        self.spark, self.root = spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
-        self.tables = 0
+        self.spark, self.root, self.tables = spark, f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
 
     def __enter__(self) -> Scratch:
         return self
@@ -65,26 +72,56 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.tables += 1
         path = f"{self.root}/{self.tables}"
-        df.write.parquet(path)
-        release(self.spark, 3)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Bounded(dict):
+    """A worker's cache that starts afresh when its keys and values come to ``limit`` bytes; long keys aren't kept."""
+
+    def __init__(self, limit: int = 64 << 20, longest: int = 256):
+        super().__init__()
+        self.limit = self.room = limit
+        self.longest = longest
+
+    def keep(self, key: str | bytes, value: object, size: int = 0) -> None:
+        """``size``: the bytes of the value beyond those of a number."""
+        n = len(key)
+        if n > self.longest:
+            return
+        self.room -= 4 * n + size + 160  # a character takes four bytes at most
+        if self.room < 0:
+            self.clear()
+            self.room = self.limit
+        self[key] = value
+
+
+_held: dict[Hashable, object] = {}
 
 
-def release(spark: SparkSession, rounds: int = 1) -> None:
-    """Lets Spark's cleaner drop shuffle files that nothing refers to any more, instead of at the next chance.
+def worker_state(name: Hashable, make: Callable[[], object]) -> object:
+    """State that a Python worker keeps over the tasks of one operator; that of the operator before is let go first.
 
-    Listeners hold a finished job for a moment; a second round comes after they have let go of it.
+    Workers outlive stages, so the states of all operators of a pipeline would else add up in them.
     """
-    for i in range(rounds):
-        if i:
-            time.sleep(0.7)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    if name not in _held:
+        _held.clear()
+        give_back()
+        _held[name] = make()
+    return _held[name]
+
+
+def give_back() -> None:
+    """Hands memory that Python has freed back to the system, where the C library can do so."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def map_batches(df: DataFrame, make: Callable, schema: str | T.StructType) -> DataFrame:

@@ -21,16 +21,17 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(a, b) -> doc, comp: every node of an edge with the smallest node that it is connected to.
 
     Large-star and small-star steps in turn until nothing changes; the number of steps grows with
-    the logarithm of the longest path, and no node's neighbours are gathered. Loops are left out.
+    the logarithm of the longest path, and no node's neighbours are gathered. Loops are left out. The
+    result reads tables of ``scratch``.
     """
-    edges = common.checkpoint(edges.where("a <> b").distinct())
+    edges = scratch.table(edges.where("a <> b").distinct())
     before = None
     while True:
-        edges = common.checkpoint(_stars(_stars(edges, True), False))
+        edges = scratch.table(_stars(_stars(edges, True), False))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
