@@ -12,7 +12,8 @@ undoes two of an item's word pairs at most.
 from __future__ import annotations
 
 import re
-from functools import cache, lru_cache
+import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +24,29 @@ from pyspark.sql import functions as F
 from chainframe.llm import common
 from chainframe.llm.substrings import windows
 
-#: Walks, samples of each, positions in a sample. At a fifth of the words edited, a window is found with over 95 %.
-WALKS, SAMPLES, POSITIONS = 4, 7, 3
+#: Walks, samples of each, positions in a sample. At a fifth of the words edited, 0.998 of items are found by substitutions, 0.993 by insertions, 0.975 by deletions.
+WALKS, SAMPLES, POSITIONS = 6, 8, 3
 #: UTF-8 bytes of the items that are broadcast at once; a larger benchmark takes more passes over the documents.
 PASS_BYTES = 16 << 20
-#: Items of fewer words take no part: they can't be told from ordinary text.
-LEAST_WORDS = 4
 GATE_BITS = 22
-#: Windows that are embedded together.
-WINDOWS = 1 << 16
-CACHE_WORDS = 300_000
-_WORD = re.compile(r"\w+")
+#: Steps of walks that are held at once, over all windows that are embedded together.
+CELLS = 1 << 22
+#: Scripts that put no spaces between words (Thai, Lao, Khmer, Myanmar, kana, Han): there each character is a word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[^\W{_ALONE}]+|[{_ALONE}]")
+_SPACED = re.compile(r"\w+")
 
 
-class Words(dict):
-    """Word -> 64-bit hash; bounded."""
+#: Stands for every word that no item has.
+_FOREIGN = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-@cache
-def worker_words() -> Words:
-    """One for a worker's life."""
-    return Words()
+_HAS_ALONE = re.compile(f"[{_ALONE}]")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_WORD if not text.isascii() and _HAS_ALONE.search(text) else _SPACED).findall(text)
 
 
 def allowed(n: int, percent: int) -> int:
@@ -103,24 +93,44 @@ def edit_distance_inside(item: list[str], text: list[str]) -> int:
 
 
 class Index:
-    """The items, ready to be found in texts."""
+    """The items, ready to be found in texts. Items too short for any edit are looked up by the hash of all their words."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        hashed = worker_words()
-        self.percent, self.items = percent, [(i, w) for i, t in items if len(w := words_of(t)) >= LEAST_WORDS]
+        self.percent, self.items = percent, [(i, w) for i, t in items if (w := words_of(t))]
+        #: The words of the items; all others are one symbol, which no item has.
+        self.known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for _, words in self.items for w in words}
         self.gate = np.zeros(1 << GATE_BITS, bool)
-        self.lengths = sorted({len(w) for _, w in self.items})
-        self.need = {n: n - 1 - 2 * allowed(n, percent) for n in self.lengths}
         self.table: dict[int, list[int]] = {}
-        if self.items:
+        self.exact: dict[int, dict[int, list[int]]] = {}
+        edited = []
+        for at, (_, w) in enumerate(self.items):
+            if allowed(len(w), percent):
+                edited.append((at, self.hashes(w)))
+            else:
+                key = int(windows(self.hashes(w), len(w))[0])
+                self.exact.setdefault(len(w), {}).setdefault(key, []).append(at)
+        self.lengths = sorted({len(h) for _, h in edited})
+        self.need = {n: n - 1 - 2 * allowed(n, percent) for n in self.lengths}
+        if edited:
             self.wide = self.lengths[-1]
-            hashes = [hashed.of(w) for _, w in self.items]
-            for h in hashes:
+            for _, h in edited:
                 self.gate[windows(h, 2) >> np.uint64(64 - GATE_BITS)] = True
-            for i, keys in enumerate(samples(self._rows(hashes), np.arange(len(hashes)), np.array([len(h) for h in hashes])).tolist()):
-                for k in keys:
-                    self.table.setdefault(k, []).append(i)
+            for some in range(0, len(edited), self.together):
+                part = edited[some : some + self.together]
+                for (at, _), keys in zip(part, samples(self._rows([h for _, h in part]), np.arange(len(part)), np.array([len(h) for _, h in part])).tolist(), strict=True):
+                    for k in keys:
+                        self.table.setdefault(k, []).append(at)
             self.keys = np.sort(np.fromiter(self.table, np.uint64, len(self.table)))
+            self.key_gate = np.zeros(1 << GATE_BITS, bool)
+            self.key_gate[self.keys >> np.uint64(64 - GATE_BITS)] = True
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(_FOREIGN)), np.uint64, len(words))
+
+    @property
+    def together(self) -> int:
+        """Windows that are embedded at once: a walk takes twice as many steps as the longest item has words."""
+        return max(1, CELLS // (2 * self.wide + 2))
 
     def _rows(self, hashes: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(hashes), self.wide + 1), np.uint64)
@@ -142,19 +152,24 @@ class Index:
         found = [{} for _ in texts]
         words = [words_of(text) for text in texts]
         ends = np.cumsum([len(w) for w in words])
-        flat = worker_words().of([x for w in words for x in w])
+        flat = self.hashes([x for w in words for x in w])
+        for n, table in self.exact.items():
+            self._whole(n, table, flat, ends, words, found)
         # a window that runs on into the next text only has more pairs than its own; it is cut where its text ends
         start, length = self.windows_of(flat)
         order = np.argsort(start, kind="stable")
         meets: dict[tuple[int, int], list[int]] = {}
-        for at in range(0, len(order), WINDOWS):
-            now = order[at : at + WINDOWS]
+        step = self.together if len(order) else 1
+        for at in range(0, len(order), step):
+            now = order[at : at + step]
             places, row = np.unique(start[now], return_inverse=True)
             text = np.searchsorted(ends, places, side="right")
             symbols = self._rows([flat[p : min(p + self.wide, ends[t])] for p, t in zip(places, text, strict=True)])
             keys = samples(symbols, row, length[now])
-            where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            for w, k in zip(*np.nonzero(self.keys[where] == keys), strict=True):
+            rows, columns = np.nonzero(self.key_gate[keys >> np.uint64(64 - GATE_BITS)])
+            some = keys[rows, columns]
+            hit = self.keys[np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)] == some
+            for w, k in zip(rows[hit], columns[hit], strict=True):
                 i = int(text[row[w]])
                 for item in self.table[int(keys[w, k])]:
                     starts = meets.setdefault((i, item), [])
@@ -170,10 +185,20 @@ class Index:
                     found[i][number] = distance
         return found
 
-
-@lru_cache(2)
-def _index(items: tuple[tuple[int, str], ...], percent: int) -> Index:
-    return Index(list(items), percent)
+    def _whole(self, n: int, table: dict[int, list[int]], flat: np.ndarray, ends: np.ndarray, words: list[list[str]], found: list[dict[int, int]]) -> None:
+        """Adds the items of n words whose words stand in a text as they are."""
+        keys, hashes = np.sort(np.fromiter(table, np.uint64, len(table))), windows(flat, n)
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+        text = np.searchsorted(ends, at, side="right")
+        inside = at + n <= ends[text]
+        at, text = at[inside], text[inside]
+        _, one = np.unique(np.stack([text.astype(np.uint64), hashes[at]], 1), axis=0, return_index=True)
+        for p, i in zip(at[one].tolist(), text[one].tolist(), strict=True):
+            begin = p - int(ends[i]) + len(words[i])
+            for item in table[int(hashes[p])]:
+                number, w = self.items[item]
+                if words[i][begin : begin + n] == w:
+                    found[i][number] = 0
 
 
 def _passes(items: DataFrame, key: str, text: str):
@@ -192,26 +217,29 @@ def _passes(items: DataFrame, key: str, text: str):
 def mark(df: DataFrame, items: DataFrame, percent: int = 20, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds leaks to the rows of df: (item, distance) of every item that the text holds with at most percent of its words edited.
 
-    Whole texts are searched. A null or empty text, and an empty benchmark, give no leaks. Items with a null id or text, or of
-    fewer than LEAST_WORDS words, take no part. Repeated rows get equal results. A column named leaks is replaced. No shuffle.
+    Whole texts are searched. A null or empty text, and an empty benchmark, give no leaks. Items with a null id or text, or
+    without words, take no part; an item too short for an edit is found where all its words stand as they are. Repeated rows get
+    equal results; of items that share an id the nearest counts. A column named leaks is replaced, others stay whatever their names. No shuffle.
     """
     others = [c for c in df.columns if c != "leaks"]
-    out = df.select(*[F.col(f"`{c}`") for c in others]).withColumn("leaks", F.array().cast("array<struct<item:long,distance:int>>"))
+    fresh = next(name for n in range(len(others) + 1) if (name := f"_leaks{n}") not in others)
+    pair = "array<struct<item:long,distance:int>>"
+    out = df.select(*[F.col(f"`{c}`") for c in others]).withColumn("leaks", F.array().cast(pair))
     at = others.index(text)
     for part in _passes(items, item_key, item_text):
         sent = df.sparkSession.sparkContext.broadcast(part)
-        struct = common.T.StructType([*out.drop("leaks").schema.fields, *common.T._parse_datatype_string("_leaks array<long>, leaks array<struct<item:long,distance:int>>").fields])
+        struct = common.T.StructType([*out.drop("leaks").schema.fields, *common.T._parse_datatype_string(f"{fresh} array<long>, leaks {pair}").fields])
 
-        def run(batches, sent=sent):
-            index = _index(sent.value, percent)
+        def run(batches, sent=sent, name=uuid.uuid4().hex):
+            index = common.worker_state(("items", name), lambda: Index(list(sent.value), percent))
             for batch in batches:
                 for piece in common.slices(batch, 512):
                     new = [[v for pair in sorted(x.items()) for v in pair] for x in index.search(piece.column(at).to_pylist())]
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(new, pa.list_(pa.int64())), piece.columns[-1]], names=[*others, "_leaks", "leaks"])
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(new, pa.list_(pa.int64())), piece.columns[-1]], names=[*others, fresh, "leaks"])
 
         out = out.mapInArrow(run, struct)
-        pairs = F.transform(F.sequence(F.lit(1), F.size("_leaks"), F.lit(2)), lambda i: F.struct(F.element_at("_leaks", i).alias("item"), F.element_at("_leaks", i + 1).cast("int").alias("distance")))
-        out = out.withColumn("leaks", F.when(F.size("_leaks") > 0, F.concat("leaks", pairs)).otherwise(F.col("leaks"))).drop("_leaks")
+        pairs = F.transform(F.sequence(F.lit(1), F.size(fresh), F.lit(2)), lambda i: F.struct(F.element_at(fresh, i).alias("item"), F.element_at(fresh, i + 1).cast("int").alias("distance")))
+        out = out.withColumn("leaks", F.when(F.size(fresh) > 0, F.concat("leaks", pairs)).otherwise(F.col("leaks"))).drop(fresh)
     return out
 
 
