@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chainframe.llm import bpe, decontaminate, graph, html, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
+from chainframe.llm import bpe, common, decontaminate, graph, html, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = "der die and the of to idiot ñez réeux straße 漢字 42 don't x".split()
@@ -115,7 +115,7 @@ def test_difference_covers():
 def test_substring_dedup(spark, size, period):
     rows = EDGES + list(enumerate(texts(4), 100))
     got = substrings.remove_repeats(documents(spark, rows), size, period)
-    assert got.columns == ["doc_id", "text", "key", "n_words", "n_removed", "kept"] or "n" in got.columns
+    assert got.columns == ["doc_id", "text", "key", "n", "n_words", "n_removed", "kept"]
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept").collect()), key=repr) == brute_windows(rows, size)
 
 
@@ -136,36 +136,88 @@ def brute_strings(rows, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("wide", [20_000, 1])
+@pytest.mark.parametrize("wide", [20_000, 3, 1])
 def test_suffix_dedup(spark, wide, monkeypatch):
     monkeypatch.setattr(suffixes, "WIDE_BUCKET", wide)
+    monkeypatch.setattr(suffixes, "TOGETHER", 4096 if wide > 1 else 3)
     rows = [r for r in EDGES if r[0] not in (5, 6)] + [(5, "a " * 400), (6, "a " * 400)] + list(enumerate(texts(5, 20), 100))
     got = suffixes.remove_strings(documents(spark, rows), 200)
     assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got.collect()), key=repr) == brute_strings(rows, 200)
 
 
-def test_near_duplicates(spark):
-    rows = [r for r in EDGES if r[0] is not None] + list(enumerate(texts(6, 60), 100))
+def brute_components(rows):
+    """(doc, size of its set, component, kept) by comparing every pair."""
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
         sets.setdefault(i, set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
     root = {i: i for i in sets}
-    find = lambda x: x if root[x] == x else find(root[x])
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
     for a in sets:
         for b in sets:
             same = len(sets[a] & sets[b])
             if a < b and same and 100 * same >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = near_dups.component_documents(documents(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), find(i), i == find(i)) for i, s in sets.items()}
+    return {(i, len(s), find(i), i == find(i)) for i, s in sets.items()}
+
+
+def group_of_near_copies(seed, n, words=60):
+    """Edits of one text, few or many, some of them edits of edits: half of all pairs lie just below or above the threshold."""
+    r = random.Random(seed)
+    made = [[f"g{r.randrange(10**6)}" for _ in range(words)]]
+    for _ in range(n):
+        w = list(made[r.choice([0, 0, 0, r.randrange(len(made))])])
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 9])):
+            kind, at = r.randrange(3), r.randrange(len(w))
+            w[at : at + (kind > 0)] = [f"e{r.randrange(10**6)}"][: kind != 1]
+        made.append(w)
+    return [" ".join(w) for w in made]
+
+
+@pytest.mark.parametrize("paired", [16, 2, 0])
+def test_near_duplicates(spark, paired, monkeypatch):
+    monkeypatch.setattr(near_dups, "PAIRED", paired)
+    rows = [r for r in EDGES if r[0] is not None] + list(enumerate(texts(6, 60) + group_of_near_copies(5, 150), 100))
+    random.Random(1).shuffle(rows)
+    rows = [(i if i < 100 else 100 + (i * 7919) % 1009, t) for i, t in rows]  # the smallest id is anywhere in a group
+    got = near_dups.component_documents(documents(spark, [*rows, (None, "one two three"), (None, None)])).collect()
+    assert len(got) == len(rows) + 2
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, True), (2, None, True)]
+    want = brute_components(rows)
+    assert len({w[2] for w in want}) < len(want) - 100
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
+    assert near_dups.component_documents(documents(spark, [])).count() == 0
+
+
+def test_prefixes_hold_a_common_edit_of_all_linked_sets():
+    r, bands, met, inside = random.Random(3), near_dups._bands(), 0, 0
+    band = lambda d: max(i for i, b in enumerate(bands) if b <= d)
+    for _ in range(3000):
+        h = set(range(r.randrange(5, 60)))
+        base = h ^ set(r.sample(range(1000), r.randrange(1, 40)))
+        x, y = (base ^ set(r.sample(range(1000), r.randrange(0, 9))) for _ in "xy")
+        dx, dy = h ^ x, h ^ y
+        near = [100 * len(z & h) >= 80 * len(z | h) for z in (x, y)]
+        if 100 * len(x & y) < 80 * len(x | y) or not dx or not dy or all(near):
+            continue
+        met, inside = met + 1, inside + any(near)
+        order = lambda d: [e for _, e in sorted((e in h, e) for e in d)]  # noqa: E731, B023
+        least = lambda z, own: 20 * (len(z) * 80 // 100 + len(h)) // 180 + 1 if own else 1  # noqa: E731, B023
+        first = lambda d, z, own, other: order(d)[: dict(near_dups.prefixes(len(d), len(z), 80, bands, least(z, own))).get(band(len(other)), 0)]  # noqa: E731, B023
+        assert set(first(dx, x, near[0], dy)) & set(first(dy, y, near[1], dx))
+    assert met > 200 and inside > 50
 
 
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.doc: r.comp for r in graph.components(e).collect()}
+    with common.Scratch(spark) as scratch:
+        got = {r.doc: r.comp for r in graph.components(e, scratch).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 

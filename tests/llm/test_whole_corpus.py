@@ -1,5 +1,7 @@
 """Corpus operators do the whole job: no words, pages, vectors or rows are left out."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from chainframe.llm import html, topk
 
 def test_every_word_of_a_block_is_hashed():
     words = [f"w{i}" for i in range(100)]
-    vector = lambda ws: html.vectors([html.Block(" ".join(ws), (), 0)])[0]
+    vector = lambda ws: html.vectors([html.Block(" ".join(ws), np.zeros(html.PATH_BINS, bool), 0)])[0]
     bins = slice(html.PATH_BINS, html.PATH_BINS + html.WORD_BINS)
     assert np.allclose(vector(words)[bins], vector(words[::-1])[bins]) and not np.allclose(vector(words)[bins], vector(words[:40])[bins])
     assert vector(words)[bins].sum() == pytest.approx(4, abs=1e-4) and vector(words[:3])[bins].sum() == pytest.approx(0.3, abs=1e-5)
@@ -72,3 +74,21 @@ def test_pipeline_keeps_one_row_of_near_duplicates_of_any_id(spark):
     second = [x for x in got if x[0] == 2]
     assert len(second) == 1 and second[0][1] in (b, near("b"))
     assert sorted((x for x in got if x[0] != 2), key=repr) == sorted([(1, a), (3, c), (3, d), (None, e), (5, None), (6, "")], key=repr)
+
+
+def test_pages_are_cut_in_linear_time():
+    for page in ("<div>" * 20_000, "<p" * 60_000, "<a x='" * 40_000, "<li>x" * 20_000, "<div class=c{}>t".format("1") * 8_000, "</b>" * 60_000, '<p title="it' * 30_000):
+        began = time.thread_time()
+        html.blocks(page)
+        one = time.thread_time() - began
+        assert one < 3, (page[:20], one)
+
+
+def test_paths_close_as_browsers_close_them():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul>d</ul>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<p>one<p>two <b>bold</b><div>three</div>four") == ["one", "two bold", "three", "four"]
+    assert texts("<p>x <y and z</p><p>5 < 6</p>") == ["x", "5 < 6"]
+    main = lambda page: [(b.text, b.main) for b in html.blocks(page)]
+    assert main("<main>a<nav>b</nav>c</main>d") == [("a", True), ("b", False), ("c", True), ("d", False)]
+    assert main("<article><div class='sidebar x'>a</div></div></article>b") == [("a", False), ("b", False)]
