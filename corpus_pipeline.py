@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that the one before
 kept. Every stage but the last returns the columns of ``documents``; run() applies them in turn.
+
+In every stage extra columns are left out, whatever their names; a null id, text or other column stays as it is unless a
+stage says otherwise; an empty table gives an empty one; texts count whole, however long.
 """
 
 from __future__ import annotations
@@ -17,7 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labels of sf_dir, rejects go."""
+    """Documents that the model, fitted on the labels of sf_dir, rejects go.
+
+    A null or empty text is judged as one without words. Repeated rows are judged alike. Without labels, or without a toxic one, all stay.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
@@ -30,12 +36,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = [F.asc_nulls_last("doc_id"), substrings.version(), F.xxhash64(*COLUMNS), "text"]
     rows = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
     rows = write_stage(rows, "numbered")
-    stay = near_dups.link(rows, 5, 80, "_row").where("doc = component").select(F.col("doc").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
+    gone = near_dups.link(rows, 5, 80, "_row").where("doc <> component").select(F.col("doc").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 50-word windows that an earlier document has go; documents of which nothing is left go too."""
+    """Words of 50-word windows that an earlier document has go; documents of which nothing is left go too.
+
+    Earlier is by id: rows of one id are no copies of each other, and a row without an id keeps everything. Null and empty texts
+    stay. Only a text that loses words is written anew, with one space between words, and its n_chars with it.
+    """
     out = substrings.remove_repeats(docs.select(*COLUMNS))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
@@ -44,12 +54,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item with at most a fifth of its words edited go."""
+    """Documents that hold a benchmark item with at most a fifth of its words edited go, repeated ones all.
+
+    A null or empty text holds none; items without id, text or words are left out, so an empty benchmark lets all stay.
+    """
     return decontaminate.mark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, and of what its ids decode to."""
+    """doc_id, token counts and digests of every row, and of what its ids decode to; a null text counts as empty, a null id stays."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
