@@ -20,7 +20,6 @@ from chainframe.llm import common
 
 #: Words that are hashed in one go; a longer document takes several turns.
 TURN = 1 << 20
-CACHE_WORDS = 300_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
@@ -41,31 +40,20 @@ def difference_cover(period: int) -> tuple[int, ...]:
     return next(found for size in range(1, period + 1) if (found := grow((0, 1)[: min(size, period)], size)))
 
 
-class Words(dict):
-    """Word -> 64-bit hash; bounded."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; faster than a look into a large cache, and without its memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-@cache
-def worker_words() -> Words:
-    """One for a worker's life."""
-    return Words()
-
-
-@cache
 def _powers(odd: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, odd, np.uint64)], dtype=np.uint64)
-        down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(odd, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-    return up, down
+    """Powers of the odd number and of its inverse modulo 2^64; one table for each number, as long as has been asked for."""
+    if odd not in _tables or len(_tables[odd][0]) < n:
+        with np.errstate(over="ignore"):
+            _tables[odd] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)], dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+    return _tables[odd]
 
 
 def windows(hashes: np.ndarray, size: int, odd: int = _ODD[0]) -> np.ndarray:
@@ -109,8 +97,6 @@ def anchors(docs: DataFrame, size: int, period: int) -> DataFrame:
     short = size - period + 1
 
     def make():
-        hashed = worker_words()
-
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):
                 out = []
@@ -119,7 +105,7 @@ def anchors(docs: DataFrame, size: int, period: int) -> DataFrame:
                     if len(found) < size:
                         continue
                     for a, b in turns(len(found), short):
-                        h = windows(hashed.of(found[a:b]), short)
+                        h = windows(word_hashes(found[a:b]), short)
                         at = np.arange(a, a + len(h))
                         use = cover[at % period]
                         out.append((h[use], np.full(use.sum(), doc), at[use] + (ver << 32)))
@@ -135,8 +121,6 @@ def candidates(docs: DataFrame, size: int, period: int) -> DataFrame:
     """(doc, ver, text, marks) -> h, g, doc, at: two hashes of every window that holds a shared anchor at a place where both could be aligned."""
 
     def make():
-        hashed = worker_words()
-
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):
                 out = []
@@ -153,7 +137,7 @@ def candidates(docs: DataFrame, size: int, period: int) -> DataFrame:
                     for a, b in turns(len(found), size):
                         use = np.flatnonzero(near[a : b - size + 1])
                         if len(use):
-                            h = hashed.of(found[a:b])
+                            h = word_hashes(found[a:b])
                             out.append((windows(h, size)[use], windows(h, size, _ODD[1])[use] >> np.uint64(33), np.full(len(use), doc), use + a + (ver << 32)))
                 if out:
                     yield _rows(out, ("h", "g", "doc", "at"))
@@ -176,12 +160,13 @@ def repeated_starts(df: DataFrame, size: int = 50, period: int = 31, key: str =
         raise ValueError("the period must be below the window size")
     docs = df.select(F.col(key).cast("long").alias("doc"), version(text).alias("ver"), F.col(text).alias("text")).where("doc is not null and text is not null")
     short = anchors(docs, size, period)
-    shared = short.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
     with common.Scratch(df.sparkSession) as scratch:
+        # what is shared is a table of its own, so that Spark can split the rows of one very common passage in the joins
+        shared = scratch.table(short.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h"))
         marked = scratch.table(_place(short.join(shared, "h").select("doc", "at"), "marks"))
         long = candidates(docs.join(marked, ["doc", "ver"]).select("doc", "ver", "text", "marks"), size, period)
-        first = long.groupBy("h", "g").agg(F.min("doc").alias("lo"))
-        return common.checkpoint(_place(long.join(first, ["h", "g"]).where("doc > lo").select("doc", "at"), "starts"))
+        first = scratch.table(long.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "g", "lo"))
+        return common.write_stage(_place(long.join(first, ["h", "g"]).where("doc > lo").select("doc", "at"), "starts"), "starts")
 
 
 def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,10 +175,10 @@ def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "
     A word goes if a window of ``size`` words covers it whose words also begin in a document with a smaller id;
     windows are judged on the input. A null text has no words. A row without an id keeps everything and
     is no copy of anything. Rows that share an id are no copies of each other; each row gets its own
-    result. Columns named n_words, n_removed or kept are replaced.
+    result. Columns named n_words, n_removed or kept are replaced, others stay whatever their names. An empty table gives an
+    empty result; texts of any length are read in overlapping turns of TURN words.
     """
     starts = repeated_starts(df, size, period, key, text)
-    common.release(df.sparkSession, 3)
     others = [c for c in df.columns if c not in ("n_words", "n_removed", "kept", "_doc", "_ver", "_starts")]
     rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(key).cast("long").alias("_doc"), version(text).alias("_ver"))
     starts = starts.select(F.col("doc").alias("_doc"), F.col("ver").alias("_ver"), F.col("starts").alias("_starts"))
@@ -226,5 +211,6 @@ def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; nulls, repeats and the like as for remove_repeats()."""
     out = remove_repeats(df.select("doc_id", "text"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
