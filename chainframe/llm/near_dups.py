@@ -5,8 +5,12 @@ choice of ERRORS positions that may differ. By the pigeonhole principle two sign
 CHUNKS * (ERRORS + 1) positions agree in some chunk but for ERRORS positions, and so share a key. Most pairs further
 apart share one too: at a similarity of 0.8 a pair without any common key has a chance of two in a million.
 
-Copies of one shingle set are one class from the start. A bucket of many classes is not spread into
-pairs: its members meet one hub; only members of still different components meet one another at the end.
+Copies of one shingle set are one class from the start. A bucket of many classes is not spread into pairs: its
+members meet its most central one, the hub, and most are linked by that. Members of components that are
+still different are then told apart by their edits, the shingles in which they differ from the hub: two sets are as far
+apart as their edits are, so linked ones share many. In any fixed order, hub's shingles last, they share one among the first
+few (prefix filtering), and only pairs that do are compared. That is exact, and no quadratic number of pairs is made
+even if no two of the hub's neighbours are linked.
 """
 
 from __future__ import annotations
@@ -15,16 +19,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainframe.llm import common
 from chainframe.llm.graph import components
-from chainframe.llm.substrings import Words, version, windows, worker_words
+from chainframe.llm.substrings import version, windows, word_hashes
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
 #: Of the positions of two signatures, by the low 4 bits of each, how many may differ: 4.6 standard deviations above the mean at 0.8.
 CHECK_POSITIONS = 22
+#: Buckets of up to so many classes are compared in pairs; the members of larger ones by their edits.
+PAIRED = 16
+#: Documents that share a key with another, up to which their ids are sent to every task to pick their texts; more meet them in a shuffle.
+SENT_ROWS = 500_000
+#: Numbers of edits that are this factor apart at most are looked up together.
+BAND = 1.5
 _MARKS = ("c1", "c2", "c3", "c4")
 _P = CHUNKS * WIDTH
 
@@ -36,12 +46,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, size: int, hashed: Words) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word sequences of ``size``; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(windows(hashed.of(words), min(size, len(words))))
+    return np.unique(windows(word_hashes(words), min(size, len(words))))
 
 
 def signatures(sets: list[np.ndarray], seed: int = 11) -> np.ndarray:
@@ -74,11 +84,9 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     """(doc, ver, text) -> doc, ver, n (shingles), fa, fb (fingerprint of the set), c1 to c4 (low 4 bits of each position), keys."""
 
     def make():
-        hashed = worker_words()
-
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch, 512):
-                sets = [shingles(x, size, hashed) for x in part.column(2).to_pylist()]
+                sets = [shingles(x, size) for x in part.column(2).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 prints, checks, keys = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), len(_MARKS)), np.uint64), [[]] * len(sets)
                 if full:
@@ -102,39 +110,132 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(docs, make, "doc long, ver long, n long, fa long, fb long, c1 long, c2 long, c3 long, c4 long, keys array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
-    """Of (a, a_ver, b, b_ver) those whose full shingle sets have 100 * intersection >= share * union."""
-    ends = pairs.select(F.col("b").alias("doc"), F.col("b_ver").alias("ver")).union(pairs.select("a", "a_ver")).distinct()
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, ver, text) -> doc, ver, set (sorted hashes of 8 bytes each)."""
 
     def make():
-        hashed = worker_words()
-
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch, 256):
-                yield {"doc": part.column(0), "ver": part.column(1), "set": [shingles(x, size, hashed).astype("<u8").tobytes() for x in part.column(2).to_pylist()]}
+                yield {"doc": part.column(0), "ver": part.column(1), "set": [shingles(x, size).astype("<u8").tobytes() for x in part.column(2).to_pylist()]}
 
         return step
 
-    rows = docs.join(ends, ["doc", "ver"], "left_semi")
-    sets = common.checkpoint(common.map_batches(rows.select("doc", "ver", "text"), make, "doc long, ver long, set binary"))
+    return common.map_batches(docs.select("doc", "ver", "text"), make, "doc long, ver long, set binary")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc").alias("b"), F.col("ver").alias("b_ver"), F.col("set").alias("b_set"))
     two = sets.select(F.col("doc").alias("a"), F.col("ver").alias("a_ver"), F.col("set").alias("a_set"))
-    both = pairs.join(one, ["b", "b_ver"]).join(two, ["a", "a_ver"])
+    return pairs.join(one, ["b", "b_ver"]).join(two, ["a", "a_ver"])
+
+
+def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted y."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
 
-    def compare():
+def confirm(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Of (a, a_ver, b, b_ver) the a, b of those whose full shingle sets have 100 * intersection >= share * union."""
+
+    def make():
         def step(batch: pa.RecordBatch):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+                same = int(_inside(x, y).sum())
                 good.append(100 * same >= share * (len(x) + len(y) - same))
             yield {"a": [v for v, g in zip(a, good, strict=True) if g], "b": [v for v, g in zip(b, good, strict=True) if g]}
 
         return step
 
-    return common.map_batches(both.select("a", "b", "a_set", "b_set"), compare, "a long, b long").distinct()
+    return common.map_batches(_with_sets(pairs, sets).select("a", "b", "a_set", "b_set"), make, "a long, b long").distinct()
+
+
+def _bands() -> list[int]:
+    """Where the bands of numbers of edits begin."""
+    out = [1]
+    while out[-1] < 1 << 32:
+        out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+    return out
+
+
+def prefixes(edits: int, n: int, share: int, bands: list[int], least: int = 1) -> list[tuple[int, int]]:
+    """(band, how many of the first edits) for every band in which a linked partner of a set of n shingles can lie.
+
+    ``least`` is the least number of edits that a partner has. Linked sets x, y differ in no more than (100 - share) * (|x| + |y|) / (100 + share) shingles, so of their edits
+    at least half of what the numbers come to beyond that is shared.
+    """
+    apart, out = (100 - share) * (n + n * 100 // share) // (100 + share), []
+    for i in range(len(bands) - 1):
+        low, high = max(bands[i], edits - apart, least), min(bands[i + 1] - 1, edits + apart)
+        if bands[i] > edits + apart:
+            break
+        if low > high:
+            continue
+        shared = max(1, -((apart - edits - low) // 2))
+        if shared <= min(edits, high):
+            out.append((i, edits - shared + 1))
+    return out
+
+
+def edit_prefixes(met: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, a_ver, a_comp: the hub; b, b_ver, comp) -> at, i, b, b_ver, comp, n, d, mine: the first edits of b for each band of partners.
+
+    A member of the hub's own component only looks for members of others, which are not linked with the hub and so have
+    many edits. ``at`` is a hash of hub, edit and the two bands; ``i`` the place of the edit among the d of b, ``mine`` whether b's band
+    is the lower one (0), the higher one (1) or both are one (2).
+    """
+    bands = _bands()
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            out: list[tuple] = []
+            rows = 0
+            for a, a_ver, a_comp, b, b_ver, comp, x, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, h = np.frombuffer(x, "<u8"), np.frombuffer(h, "<u8")
+                edits = np.concatenate([x[~_inside(x, h)], h[~_inside(h, x)]])
+                if not len(edits):
+                    continue  # the hub itself, which has met all
+                mine = np.searchsorted(bands, len(edits), side="right") - 1
+                with np.errstate(over="ignore"):
+                    hub = np.uint64(a & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(a_ver)
+                    least = 1 if comp != a_comp else (100 - share) * (len(x) * share // 100 + len(h)) // (100 + share) + 1
+                    for other, k in prefixes(len(edits), len(x), share, bands, least):
+                        pair = np.uint64(min(mine, other) * 64 + max(mine, other))
+                        at = _mix(_mix(edits[:k] + hub) + pair * np.uint64(0xC2B2AE3D27D4EB4F))
+                        same = (b, b_ver, comp, len(x), len(edits), 2 if mine == other else int(mine > other))
+                        out.append((at, np.arange(k), *(np.full(k, v, np.int64) for v in same)))
+                        rows += k
+                if rows > 1 << 16:
+                    yield _columns(out)
+                    out, rows = [], 0
+            if out:
+                yield _columns(out)
+
+        return step
+
+    rows = _with_sets(met, sets).select("a", "a_ver", "a_comp", "b", "b_ver", "comp", "b_set", "a_set")
+    return common.map_batches(rows, make, "at long, i long, b long, b_ver long, comp long, n long, d long, mine long")
+
+
+def _columns(rows: list[tuple]) -> dict[str, np.ndarray]:
+    names = ("at", "i", "b", "b_ver", "comp", "n", "d", "mine")
+    return {name: np.concatenate(parts).view(np.int64) for name, parts in zip(names, zip(*rows, strict=True), strict=True)}
+
+
+def _share_edits(rows: DataFrame, share: int) -> DataFrame:
+    """Pairs of different components that share one of their first edits, and so may share enough: a, a_ver, b, b_ver."""
+    other = rows.where("mine <> 0").select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+    one = rows.where("mine <> 1")
+    apart = F.floor((F.col("n") + F.col("_n")) * F.lit(100 - share) / F.lit(100 + share))
+    shared = F.ceil((F.col("d") + F.col("_d") - apart) / 2)
+    early: Column = (F.col("i") <= F.col("d") - shared) & (F.col("_i") <= F.col("_d") - shared)
+    sizes = (F.col("n") * 100 >= F.col("_n") * share) & (F.col("_n") * 100 >= F.col("n") * share)
+    # of rows with one band each pair is met from both sides
+    once = (F.col("comp") < F.col("_comp")) | ((F.col("mine") == 0) & (F.col("comp") > F.col("_comp")))
+    met = one.join(other, (F.col("at") == F.col("_at")) & once & sizes & early)
+    return met.select(F.col("b").alias("a"), F.col("b_ver").alias("a_ver"), F.col("_b").alias("b"), F.col("_b_ver").alias("b_ver")).distinct()
 
 
 def _close(share: int):
@@ -150,60 +251,58 @@ def _close(share: int):
 def link(df: DataFrame, size: int = 5, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, ver, n, component: the smallest id among all documents that chains of links reach.
 
-    ``ver`` is the version() of the text: rows with equal id and text have one result. Rows without words or
-    without a text have n = 0 and are their own component, as are rows without an id, whose component is null.
+    ``ver`` is the version() of the text: rows with equal id and text have one result. Rows that share an id are one
+    document of several texts, and linked by any of them. Rows without words or without a text have n = 0 and are their
+    own component, as are rows without an id, whose component is null. An empty table gives an empty result;
+    other columns are left out, whatever their names. Whole texts count, however long.
     """
     docs = df.select(F.col(key).cast("long").alias("doc"), version(text).alias("ver"), F.col(text).alias("text"))
-    all_rows = common.checkpoint(describe(docs, size))
-    some = all_rows.where("n > 0 and doc is not null")
-    classes = some.groupBy("fa", "fb", "n").agg(F.min(F.struct("doc", "ver")).alias("rep"), *[F.first(c).alias(c) for c in (*_MARKS, "keys")])
-    classes = common.checkpoint(classes.select("fa", "fb", "n", *_MARKS, "keys", F.col("rep.doc").alias("doc"), F.col("rep.ver").alias("ver")))
-    marks = classes.select("doc", "ver", "n", *_MARKS)
-    entries = classes.select("doc", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    entries = common.checkpoint(entries.join(shared, "key").select("key", "doc", "m"))
-    # how many others a document shares keys with: the centre of a group of near copies has most
-    central = common.checkpoint(entries.groupBy("doc").agg(F.sum("m").alias("weight")))
-    texts = docs.where("doc is not null and text is not null")
-    labels = None  # doc, comp: only documents that have been linked
-
-    def with_component(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("comp", F.col("doc")) if labels is None else rows.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-
-    def marked(rows: DataFrame, side: str, mark: str) -> DataFrame:
-        return rows.join(marks.select(F.col("doc").alias(side), F.col("ver").alias(f"{side}_ver"), *[F.col(c).alias(f"{mark}{c}") for c in ("n", *_MARKS)]), side)
-
-    def merge(pairs: DataFrame):
-        linked = confirm(common.checkpoint(pairs.select("a", "a_ver", "b", "b_ver")), texts, size, share)
-        if labels is None:
-            return components(linked)
-        of = lambda side: labels.select(F.col("doc").alias(side), F.col("comp").alias(f"{side}_comp"))
-        linked = linked.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        linked = linked.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        new = components(linked).select(F.col("doc").alias("comp"), F.col("comp").alias("to"))
-        moved = labels.join(new, "comp", "left").select("doc", F.coalesce("to", "comp").alias("comp"))
-        return common.checkpoint(moved.union(new.select("comp", "to")).groupBy("doc").agg(F.min("comp").alias("comp")))
-
-    # in every bucket all meet the most central member, then one at random
-    for order in (F.struct(-F.col("weight"), "doc"), F.struct(F.xxhash64("doc", F.lit(1)), "doc")):
-        rows = with_component(entries.join(central, "doc"))
-        hubs = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("o"), "doc", "comp")).alias("hub")).where("lo < hi")
-        met = rows.join(hubs.select("key", F.col("hub.doc").alias("a"), F.col("hub.comp").alias("a_comp")), "key").where("comp <> a_comp")
-        met = met.select("a", F.col("doc").alias("b")).distinct()
-        labels = merge(marked(marked(met, "b", ""), "a", "_").where(_close(share)))
-    # members of components that are still different meet one another
-    rows = with_component(entries)
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rows = common.checkpoint(rows.join(mixed, "key").select("key", F.col("doc").alias("a"), "comp"))
-    rows = marked(rows, "a", "")
-    other = rows.select("key", F.col("a").alias("b"), F.col("a_ver").alias("b_ver"), *[F.col(c).alias(f"_{c}") for c in ("n", *_MARKS, "comp")])
-    met = rows.join(other, (rows.key == other.key) & (F.col("comp") < F.col("_comp")) & _close(share))
-    labels = merge(met.select("a", "a_ver", "b", "b_ver").distinct())
-    final = with_component(classes.select("fa", "fb", "n", "doc")).select("fa", "fb", "n", "comp")
-    out = all_rows.select("doc", "ver", "n", "fa", "fb").join(final, ["fa", "fb", "n"], "left")
-    return out.select("doc", "ver", "n", F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component"))
+    with common.Scratch(df.sparkSession) as scratch:
+        all_rows = scratch.table(describe(docs, size))
+        some = all_rows.where("n > 0 and doc is not null")
+        classes = some.groupBy("fa", "fb", "n").agg(F.min(F.struct("doc", "ver")).alias("rep"), *[F.first(c).alias(c) for c in (*_MARKS, "keys")])
+        classes = scratch.table(classes.select("fa", "fb", "n", *_MARKS, "keys", F.col("rep.doc").alias("doc"), F.col("rep.ver").alias("ver")))
+        entries = classes.select("doc", "ver", F.explode("keys").alias("key"))
+        shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        entries = scratch.table(entries.join(shared, "key").select("key", "doc", "ver", "m"))
+        # how many others a document shares keys with: the centre of a group of near copies has most
+        weights = entries.groupBy("doc", "ver").agg(F.sum("m").alias("weight"))
+        marks = scratch.table(classes.select("doc", "ver", "n", *_MARKS).join(weights, ["doc", "ver"]))
+        asked = marks.select("doc", "ver")
+        asked = F.broadcast(asked) if asked.count() <= SENT_ROWS else asked
+        texts = docs.where("doc is not null and text is not null").join(asked, ["doc", "ver"], "left_semi").dropDuplicates(["doc", "ver"])
+        sets = scratch.table(shingle_sets(texts, size))
+
+        def marked(rows: DataFrame, side: str, mark: str) -> DataFrame:
+            columns = [F.col(c).alias(f"{mark}{c}") for c in ("n", *_MARKS)]
+            return rows.join(marks.select(F.col("doc").alias(side), F.col("ver").alias(f"{side}_ver"), *columns), [side, f"{side}_ver"])
+
+        # in every bucket all meet the most central member
+        order = F.struct((-F.col("weight")).alias("w"), "doc", "ver")
+        hubs = entries.join(marks.select("doc", "ver", "weight"), ["doc", "ver"]).groupBy("key").agg(F.min(order).alias("hub"))
+        entries = scratch.table(entries.join(hubs, "key").select("key", "doc", "ver", "m", F.col("hub.doc").alias("hub"), F.col("hub.ver").alias("hub_ver")))
+        met = entries.where("doc <> hub or ver <> hub_ver").select(F.col("hub").alias("a"), F.col("hub_ver").alias("a_ver"), F.col("doc").alias("b"), F.col("ver").alias("b_ver")).distinct()
+        met = marked(marked(met, "b", ""), "a", "_").where(_close(share)).select("a", "a_ver", "b", "b_ver")
+        linked = scratch.table(confirm(met, sets, share))
+        labels = components(linked, scratch)
+        # members of components that are still different meet one another: in pairs, or by their edits
+        rows = entries.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        hubs_own = F.max(F.when((F.col("doc") == F.col("hub")) & (F.col("ver") == F.col("hub_ver")), F.col("comp")))
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hubs_own.alias("hub_comp")).where("lo < hi").select("key", "hub_comp")
+        rows = scratch.table(rows.join(mixed, "key"))
+        few = marked(rows.where(F.col("m") <= PAIRED).select("key", F.col("doc").alias("a"), F.col("ver").alias("a_ver"), "comp"), "a", "")
+        other = few.select(F.col("key").alias("_key"), F.col("a").alias("b"), F.col("a_ver").alias("b_ver"), *[F.col(c).alias(f"_{c}") for c in ("n", *_MARKS, "comp")])
+        pairs = few.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & _close(share)).select("a", "a_ver", "b", "b_ver")
+        many = rows.where(F.col("m") > PAIRED).select(F.col("hub").alias("a"), F.col("hub_ver").alias("a_ver"), F.col("hub_comp").alias("a_comp"), F.col("doc").alias("b"), F.col("ver").alias("b_ver"), "comp").distinct()
+        edited = scratch.table(edit_prefixes(many, sets, share))
+        pairs = scratch.table(pairs.union(_share_edits(edited, share)).distinct())
+        labels = components(linked.union(confirm(pairs, sets, share)), scratch)
+        final = classes.join(labels, "doc", "left").select("fa", "fb", "n", F.coalesce("comp", "doc").alias("comp"))
+        out = all_rows.select("doc", "ver", "n", "fa", "fb").join(final, ["fa", "fb", "n"], "left")
+        return common.write_stage(out.select("doc", "ver", "n", F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component")), "components")
 
 
 def component_documents(df: DataFrame, size: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; nulls, repeats and the like as for link()."""
     out = link(df.select("doc_id", "text"), size)
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
