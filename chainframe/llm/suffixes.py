@@ -8,6 +8,10 @@ equal strings have it at the same offset. Sampled suffixes are dealt by a hash o
 offset to the left the order is induced: stable by the byte in front, the common prefix being one more than the least
 one between two suffixes. A string occurs again exactly if a neighbour at its offset shares ``size`` bytes.
 
+A bucket too wide for one task is dealt anew by longer stretches: strings at neighbouring offsets share all but a few
+of their bytes with whatever they can be equal to, so a hash of these parts the bucket, and each part is sorted and induced over
+its own few offsets; in the last round over one. Every string goes this way, whatever the size of its bucket.
+
 Places whose whole surroundings are equal are one suffix with a count, so copies cost nothing.
 """
 
@@ -17,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,9 @@ REACH = 128
 GRAM = 16
 #: Bytes that are hashed in one go; longer documents are cut into overlapping pieces.
 PIECE = 1 << 21
-#: Different surroundings in one bucket from which on its strings are counted one by one instead of sorted in one task.
+#: Different surroundings in one bucket from which on it is dealt anew, by ranges of so many offsets each round.
 WIDE_BUCKET = 20_000
+ROUNDS = (16, 1)
 #: Suffixes that are induced together.
 TOGETHER = 4096
 _LOW = (1 << 23) - 1
@@ -160,21 +166,24 @@ def _surroundings(rows: DataFrame, size: int) -> DataFrame:
     return common.map_batches(rows, make, "bucket long, around long, left binary, right binary")
 
 
-def induce(bucket: np.ndarray, left: list[bytes], right: list[bytes], size: int) -> list[np.ndarray]:
-    """For suffixes in order of (bucket, right): the offsets to the left at which a string occurs again in the bucket."""
-    n, deep = len(bucket), max(map(len, left), default=0)
-    after = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in right), np.uint8).reshape(n, size)
-    before = np.frombuffer(b"".join(x[::-1].ljust(deep + 1, b"\0") for x in left), np.uint8).reshape(n, deep + 1)
-    r_len, l_len = np.array([len(x) for x in right]), np.array([len(x) for x in left])
+def induce(bucket: np.ndarray, left: list[bytes], right: list[bytes], size: int, low: int = 0, high: int = 255) -> list[np.ndarray]:
+    """For suffixes in order of (bucket, right): the offsets to the left, low to high, at which a string occurs again in the bucket.
+
+    The ``low`` bytes to the left of the suffixes of a bucket must be equal.
+    """
+    n, deep = len(bucket), min(high, max(map(len, left), default=0))
+    after = np.frombuffer(b"".join(x[:size].ljust(size, b"\0") for x in right), np.uint8).reshape(n, size)
+    before = np.frombuffer(b"".join(x[::-1][: deep + 1].ljust(deep + 1, b"\0") for x in left), np.uint8).reshape(n, deep + 1)
+    r_len, l_len = np.array([min(len(x), size) for x in right]), np.array([len(x) for x in left])
     _, group = np.unique(bucket, return_inverse=True)
     # common prefix with the suffix before; -1 where another bucket begins
     same = after[1:] == after[:-1]
     length = np.where(same.all(1), size, same.argmin(1))
-    length = np.minimum(length, np.minimum(r_len[1:], r_len[:-1]))
+    length = np.minimum(length, np.minimum(r_len[1:], r_len[:-1])) + low
     common_prefix = np.concatenate([[-1], np.where(bucket[1:] == bucket[:-1], length, -1)])
     order, found = np.arange(n), [[] for _ in range(n)]
-    for offset in range(deep + 1):
-        if offset:
+    for offset in range(low, deep + 1):
+        if offset > low:
             here = np.flatnonzero(l_len[order] >= offset)
             if not len(here):
                 break
@@ -195,57 +204,67 @@ def induce(bucket: np.ndarray, left: list[bytes], right: list[bytes], size: int)
     return [np.array(x, np.int64) for x in found]
 
 
-def _sorted_buckets(near: DataFrame, size: int) -> DataFrame:
-    """Sorts the suffixes of each bucket on disk and induces: bucket, around, offsets."""
-    dealt = near.repartition(common.partitions(near.sparkSession), "bucket").sortWithinPartitions("bucket", "right")
+def _split(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """(bucket, around, low, high, left, right) -> the same with key, for each range of ``step`` offsets: a hash of the bytes that all strings of the range have."""
+
+    def make():
+        def step_of(batch: pa.RecordBatch):
+            for part in common.slices(batch, 512):
+                out = {k: [] for k in ("key", "bucket", "around", "low", "high", "left", "right")}
+                for bucket, around, low, high, left, right in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    first, last = max(low, size - len(right)), min(high, len(left))
+                    for at in range(first - first % step, last + 1, step):
+                        end = at + step - 1
+                        held = (left[len(left) - at :] if at else b"") + b"\0" + right[: size - end]
+                        out["key"].append(xxhash.xxh3_64_intdigest(held, bucket % (1 << 64) ^ at) - (1 << 63))
+                        for name, value in (("bucket", bucket), ("around", around), ("low", at), ("high", min(end, last)), ("left", left[-end:] if end else b""), ("right", right[: size - at])):
+                            out[name].append(value)
+                yield out
+
+        return step_of
+
+    columns = rows.select("bucket", "around", "low", "high", "left", "right")
+    return common.map_batches(columns, make, "key long, bucket long, around long, low int, high int, left binary, right binary")
+
+
+def _sorted(rows: DataFrame, size: int) -> DataFrame:
+    """Sorts the suffixes of each key on disk and induces: bucket, around, offsets. ``low`` must be one for each key.
+
+    A task holds TOGETHER suffixes and those of one key; over one offset only neighbours count, so there no key is held as a whole.
+    """
+    dealt = rows.repartition(common.partitions(rows.sparkSession), "key").sortWithinPartitions("low", "key", "right")
     schema = pa.schema([("bucket", pa.int64()), ("around", pa.int64()), ("offsets", pa.list_(pa.int32()))])
 
     def run(batches):
         held: list[tuple] = []
 
         def out(rows):
-            got = induce(np.array([x[0] for x in rows]), [x[2] for x in rows], [x[3] for x in rows], size)
+            got = induce(np.array([x[0] for x in rows]), [x[5] for x in rows], [x[6] for x in rows], size, rows[0][3], max(x[4] for x in rows))
             keep = [i for i, x in enumerate(got) if len(x)]
-            return pa.RecordBatch.from_pydict({"bucket": [rows[i][0] for i in keep], "around": [rows[i][1] for i in keep], "offsets": [got[i].tolist() for i in keep]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"bucket": [rows[i][1] for i in keep], "around": [rows[i][2] for i in keep], "offsets": [got[i].tolist() for i in keep]}, schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= TOGETHER and held[-1][0] != row[0]:
-                    yield out(held)
-                    held = []
+                if held:
+                    last = held[-1]
+                    if last[3] != row[3] or (len(held) >= TOGETHER and last[0] != row[0]):
+                        yield out(held)
+                        held = []
+                    elif len(held) >= TOGETHER and row[3] == row[4]:
+                        yield out(held)
+                        held = [last]  # once more, as the neighbour of the next one
                 held.append(row)
         if held:
             yield out(held)
 
-    return dealt.select("bucket", "around", "left", "right").mapInArrow(run, "bucket long, around long, offsets array<int>")
-
-
-def _counted_buckets(near: DataFrame, size: int) -> DataFrame:
-    """The same for buckets too wide for one task: every string is hashed, and counted in a shuffle."""
-
-    def make():
-        def step(batch: pa.RecordBatch):
-            for part in common.slices(batch, 512):
-                columns = [[], [], [], [], []]
-                for bucket, around, left, right in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = np.frombuffer(left + right, np.uint8)
-                    at = np.arange(len(data) - size + 1)
-                    for c, x in zip(columns, (Hashes(data).of(at, at + size).view(np.int64), Hashes(data, 0xC2B2AE3D27D4EB4F).of(at, at + size).view(np.int64), np.full(len(at), bucket), np.full(len(at), around), len(left) - at), strict=True):
-                        c.append(x)
-                yield {k: np.concatenate(c) for k, c in zip(("h", "g", "bucket", "around", "offset"), columns, strict=True)}
-
-        return step
-
-    rows = common.map_batches(near, make, "h long, g long, bucket long, around long, offset long")
-    again = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "g")
-    return rows.join(again, ["h", "g"]).groupBy("bucket", "around").agg(F.collect_list(F.col("offset").cast("int")).alias("offsets"))
+    return dealt.select("key", "bucket", "around", "low", "high", "left", "right").mapInArrow(run, "bucket long, around long, offsets array<int>")
 
 
 def repeated_strings(docs: DataFrame, size: int, reach: int = REACH) -> DataFrame:
     """(doc, ver, text) -> doc, ver, runs: the (from, to) of strings of ``size`` bytes that also begin elsewhere."""
     with common.Scratch(docs.sparkSession) as scratch:
         rows = suffixes(docs, size, reach)
-        often = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        often = scratch.table(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"))
         rows = scratch.table(rows.join(often, "bucket").select("bucket", "around", "doc", "at", "ext"))
         kinds = rows.groupBy("bucket", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "ext")).alias("one"))
         wide = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -256,11 +275,18 @@ def repeated_strings(docs: DataFrame, size: int, reach: int = REACH) -> DataFram
 
         def near(condition: str) -> DataFrame:
             some = found.select("text", F.expr(f"filter(wanted, x -> {condition})").alias("wanted")).where("size(wanted) > 0")
-            return _surroundings(some, size)
+            return _surroundings(some, size).withColumns({"key": F.col("bucket"), "low": F.lit(0), "high": F.lit(reach - 1)})
 
-        solved = scratch.table(_sorted_buckets(near(f"x.m <= {WIDE_BUCKET}"), size))
-        if kinds.where(F.col("m") > WIDE_BUCKET).limit(1).count():
-            solved = solved.union(scratch.table(_counted_buckets(near(f"x.m > {WIDE_BUCKET}"), size)))
+        solved = scratch.table(_sorted(near(f"x.m <= {WIDE_BUCKET}"), size))
+        rest = near(f"x.m > {WIDE_BUCKET}") if kinds.where(F.col("m") > WIDE_BUCKET).limit(1).count() else None
+        for step in ROUNDS:
+            if rest is None:
+                break
+            parts = scratch.table(_split(rest, size, step))
+            many = scratch.table(parts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.lit(step > 1) & (F.col("m") > WIDE_BUCKET)).select("key"))
+            solved = solved.union(scratch.table(_sorted(parts.join(many, "key", "left_anti"), size)))
+            rest = parts.join(many, "key", "left_semi") if many.limit(1).count() else None
+        solved = solved.groupBy("bucket", "around").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
         known = kinds.select("bucket", "around", "n").join(solved, ["bucket", "around"], "left").where("n > 1 or offsets is not null")
         left, more = F.shiftright("ext", 8).bitwiseAND(255), F.col("ext").bitwiseAND(255)
         # all strings of a place that occurs as a whole, or the runs of those offsets that were found
@@ -268,7 +294,7 @@ def repeated_strings(docs: DataFrame, size: int, reach: int = REACH) -> DataFram
         each = F.transform(F.array_sort("offsets"), lambda d: F.struct((place - d).alias("from"), (place - d).alias("to")))
         runs = F.when(F.col("n") > 1, F.array(F.struct(F.col("at").alias("from"), (F.col("at") + more).alias("to")))).otherwise(each)
         out = rows.join(known, ["bucket", "around"]).select("doc", F.shiftright("ext", 16).alias("ver"), F.explode(runs).alias("run"))
-        return common.checkpoint(out.groupBy("doc", "ver").agg(F.collect_list("run").alias("runs")))
+        return common.write_stage(out.groupBy("doc", "ver").agg(F.collect_list("run").alias("runs")), "runs")
 
 
 def remove_strings(df: DataFrame, size: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,11 +302,11 @@ def remove_strings(df: DataFrame, size: int = 200, key: str = "doc_id", text: st
 
     A string of ``size`` bytes is repeated if it also begins anywhere else, in the same document or another; all its
     places lose it. A null text is empty. Rows that share an id and text are copies of one another like any others.
-    A row without an id takes part like any other. ``kept`` need not be valid UTF-8.
+    A row without an id takes part like any other. ``kept`` need not be valid UTF-8. An empty table gives an empty result; other
+    columns are left out, whatever their names. Texts of any length are read in overlapping pieces of PIECE bytes.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key).cast("long")).alias("doc"), version(text).alias("ver"), F.col(text).alias("text"))
     runs = repeated_strings(docs.where("text is not null").select("doc", "ver", "text"), size)
-    common.release(df.sparkSession, 3)
     rows = docs.join(runs, ["doc", "ver"], "left").select("doc_id", "text", F.col("runs.from").alias("froms"), F.col("runs.to").alias("tos"))
 
     def make():
@@ -309,5 +335,6 @@ def remove_strings(df: DataFrame, size: int = 200, key: str = "doc_id", text: st
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; nulls, repeats and the like as for remove_strings()."""
     out = remove_strings(df.select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
