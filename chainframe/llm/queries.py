@@ -86,16 +86,78 @@ ORACLES: dict[str, str] = {
     """,
     "op6_exact_top_k": """
         WITH v AS (
-            SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
             FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(256 * CAST(x AS DOUBLE)) >= 134217728)) = 0
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), scored AS (
-            SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id
+            SELECT q.r AS q, q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)
         ), ranked AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+            SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op7_suffix_dedup": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), bytes AS (
+            SELECT r, unnest(range(0, len(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS b FROM docs
+        ), starts AS (
+            SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS p FROM docs)
+        ), again AS (
+            SELECT k FROM starts GROUP BY k HAVING count(*) > 1
+        ), hits AS (
+            SELECT r, p FROM starts JOIN again USING (k)
+        ), covered AS (
+            SELECT r, p, b, max(hits.p) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM bytes LEFT JOIN hits USING (r, p)
+        ), marked AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM covered
+        ), summed AS (
+            SELECT r, count(*) AS n, count(*) FILTER (gone) AS removed, count(*) FILTER (opens) AS spans, string_agg(b, '' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY r
+        )
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM docs LEFT JOIN summed USING (r)
+    """,
+    "op8_interleaved_shards": """
+        WITH table_of_crc AS (
+            SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) x(i)
+        ), docs AS (
+            SELECT doc_id, source AS stratum, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS mix,
+                   CASE WHEN text IS NULL THEN 0 ELSE xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+                       lambda a, b: xor(a >> 8, list_extract(tab, CAST((xor(a, b) & 255) + 1 AS BIGINT)))), 4294967295) END AS text_crc32
+            FROM documents, table_of_crc
+        ), ranked AS (
+            SELECT *, count(*) OVER () AS total, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY mix, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank FROM docs
+        ), placed AS (
+            SELECT *, row_number() OVER (ORDER BY CAST(2 * rank + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), stratum NULLS FIRST, rank) - 1 AS place FROM ranked
+        ), cut AS (
+            SELECT *, place * 40 // total AS shard FROM placed
+        )
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+    """,
+    "op10_near_dups": """
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM docs
+        ), kinds AS (
+            SELECT min(doc_id) AS doc, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+        ), near AS (
+            SELECT a.doc AS a, b.doc AS b, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS shared
+            FROM kinds a JOIN kinds b ON a.doc < b.doc AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+        ), links AS (
+            SELECT a, b FROM near WHERE 100 * shared >= 80 * (total - shared)
+        ), ways AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links
+        ), reach AS (
+            SELECT doc AS a, doc AS b FROM kinds UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a
+        ), least AS (
+            SELECT a AS doc, min(b) AS component FROM reach GROUP BY a
+        ), found AS (
+            SELECT list_sort(s) AS s, component FROM kinds JOIN least USING (doc)
+        )
+        SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+        FROM sets LEFT JOIN found ON list_sort(sets.s) = found.s
+    """,
 }
