@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +40,101 @@ UNSEEN = ("script", "style", "title", "noscript", "template", "svg", "iframe", "
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_MARK = re.compile(r"<!--|<(?P<unseen>script|style|title|noscript|template|svg|iframe|object|math)(?=[\s/>])|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^>]*>")
+# a tag ends at the next tag too, so that what is never closed isn't read to the end of the page again and again
+_MARK = re.compile(r"<!--|<(?P<unseen>script|style|title|noscript|template|svg|iframe|object|math)(?=[\s/>])|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:\"[^\"<>]*+\"|'[^'<>]*+'|\"[^\"]*+\"|'[^']*+'|[^<>])*+)(?:>|(?=<)|$)|<[!?][^<>]*+>?|</[^<>]*+>?")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
+#: Elements that a list item, cell or paragraph outside them can't be closed from within.
+BARRIERS = frozenset("ul ol table dl div article section".split())
+MAIN_TAGS = frozenset(("article", "main"))
+BAD_NAMES = frozenset("nav header footer aside form ad ads comments comment sidebar menu".split())
+
+
 @dataclass
 class Block:
+    """A leaf's text; which bins the words of its tag path fall into; characters in links; whether the path says that it is main text."""
+
     text: str
-    path: tuple[str, ...]
+    path: np.ndarray
     linked: int
+    main: bool = False
+
+
+class _Open:
+    """The elements that are open at a place of a page. Every step takes the time of what it opens or closes, however deep it stands."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, list[int], list[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.bins, self.marks = array("i", [0]) * PATH_BINS, dict.fromkeys(MAIN_TAGS | BAD_NAMES, 0)
+
+    def push(self, name: str, rest: str) -> None:
+        at, (bins, marks) = len(self.stack), _TAGS[f"{name} {rest}"]
+        self.stack.append((name, bins, marks))
+        self.places.setdefault(name, []).append(at)
+        if name in BARRIERS:
+            self.barriers.append(at)
+        for b in bins:
+            self.bins[b] += 1
+        for m in marks:
+            self.marks[m] += 1
+
+    def pop(self) -> None:
+        name, bins, marks = self.stack.pop()
+        self.places[name].pop()
+        if name in BARRIERS:
+            self.barriers.pop()
+        for b in bins:
+            self.bins[b] -= 1
+        for m in marks:
+            self.marks[m] -= 1
+
+    def close(self, name: str) -> None:
+        """Closes the innermost element of the name and all inside it; without one nothing."""
+        if places := self.places.get(name):
+            at = places[-1]
+            while len(self.stack) > at:
+                self.pop()
+
+    def close_unless_barred(self, name: str) -> None:
+        if (places := self.places.get(name)) and not (self.barriers and self.barriers[-1] > places[-1]):
+            self.close(name)
+
+    def path(self) -> np.ndarray:
+        return np.frombuffer(self.bins, np.int32) > 0
+
+    def is_main(self) -> bool:
+        return any(self.marks[w] for w in MAIN_TAGS) and not any(self.marks[w] for w in BAD_NAMES)
+
+
+class _Bins(common.Bounded):
+    """Word -> its bin."""
+
+    def __init__(self, bins: int):
+        super().__init__(8 << 20, 64)
+        self.bins = bins
+
+    def __missing__(self, word: str) -> int:
+        out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % self.bins
+        self.keep(word, out)
+        return out
+
+
+class _Tags(common.Bounded):
+    """A start tag's name and attributes -> the bins of its words, and those words that tell main text from the rest."""
+
+    def __missing__(self, tag: str) -> tuple[list[int], list[str]]:
+        name, _, rest = tag.partition(" ")
+        words = [name, *_names(rest)]
+        out = [_PATHS[w] for w in words], [w for w in words if w in MAIN_TAGS or w in BAD_NAMES]
+        self.keep(tag, out, 80 * len(words) + 120)
+        return out
+
+
+_PATHS, _WORDS, _TAGS = _Bins(PATH_BINS), _Bins(WORD_BINS), _Tags(8 << 20)
 
 
 def _names(rest: str) -> list[str]:
@@ -57,28 +142,27 @@ def _names(rest: str) -> list[str]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with references decoded and white space folded."""
+    """The leaf blocks of a page in order, with references decoded and white space folded; in time linear in the page."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    run: list[str] = []
-    linked, depth_a, at, path = 0, 0, 0, ()
+    opened, run = _Open(), []
+    linked, at, path, main = 0, 0, opened.path(), False
 
     def close():
         nonlocal run, linked
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                out.append(Block(text, path, min(linked, len(text))))
+                out.append(Block(text, path, min(linked, len(text)), main))
             run, linked = [], 0
 
     def text(piece: str):
-        nonlocal linked, path
+        nonlocal linked, path, main
         if piece:
             if not run:
-                path = tuple(w for _, words in stack for w in words)
+                path, main = opened.path(), opened.is_main()
             run.append(piece)
-            linked += len(piece) if depth_a else 0
+            linked += len(piece) if opened.places.get("a") else 0
 
     while at < len(page):
         mark = _MARK.search(page, at)
@@ -91,13 +175,11 @@ def blocks(page: str | None) -> list[Block]:
             end = page.find("-->", at)
             at = len(page) if end < 0 else end + 3
         elif mark["unseen"]:
-            end = re.compile(rf"</{mark['unseen']}\s*>", re.I).search(page, at)
-            at = len(page) if not end else end.end()
+            at = _past(page, mark["unseen"], at)
         elif mark["name"]:
             name = mark["name"].lower()
             if name in UNSEEN and name != "head" and not mark["end"]:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = len(page) if not end else end.end()
+                at = _past(page, name, at)
                 continue
             if name == "br":
                 text(" ")
@@ -105,37 +187,32 @@ def blocks(page: str | None) -> list[Block]:
             if name not in INLINE:
                 close()
             if mark["end"]:
-                if any(n == name for n, _ in stack):
-                    while stack and stack.pop()[0] != name:
-                        pass
+                opened.close(name)
             else:
                 for shut in CLOSES.get(name, ()) or (("p",) if name in ENDS_P else ()):
-                    names = [n for n, _ in stack]
-                    if shut in names and not {"ul", "ol", "table", "dl", "div", "article", "section"} & set(names[len(names) - names[::-1].index(shut) :]):
-                        del stack[len(names) - 1 - names[::-1].index(shut) :]
+                    opened.close_unless_barred(shut)
                 if name not in VOID and not mark["rest"].endswith("/"):
-                    stack.append((name, (name, *_names(mark["rest"]))))
-            depth_a = sum(n == "a" for n, _ in stack)
+                    opened.push(name, mark["rest"])
     close()
     return out
 
 
-@lru_cache(1 << 16)
-def _bin(word: str, bins: int) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % bins
+def _past(page: str, name: str, at: int) -> int:
+    """Where an element whose content isn't read ends."""
+    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    return len(page) if not end else end.end()
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     """A row for each block, of all its words; a block's words weigh the same each, and 4 together at most."""
     out = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
-        for w in b.path:
-            out[i, _bin(w, PATH_BINS)] = 1
+        out[i, :PATH_BINS] = b.path
         words = b.text.split(" ")
-        bins = np.bincount([_bin(w, WORD_BINS) for w in b.text.lower().split(" ")], minlength=WORD_BINS)
+        bins = np.bincount(list(map(_WORDS.__getitem__, b.text.lower().split(" "))), minlength=WORD_BINS)
         out[i, PATH_BINS : PATH_BINS + WORD_BINS] = 0.1 * min(1, FULL_WEIGHT / len(words)) * bins
         n = len(b.text)
-        ends = sum(c in ".!?" for c in b.text)
+        ends = b.text.count(".") + b.text.count("!") + b.text.count("?")
         out[i, PATH_BINS + WORD_BINS :] = (1, min(np.log1p(n) / 6, 2), b.linked / n, min(len(words) / 50, 2), min(ends / max(1, len(words)) * 5, 2), i / len(page), b.text[-1] in ".!?", "@" in b.text or "©" in b.text)
     return out
 
@@ -288,11 +365,10 @@ def _gradients(model: BiLstm, data: list[tuple[np.ndarray, np.ndarray]]) -> dict
 def fit_pages(pages: list[str], seed: int = 4, variants: int = 2, epochs: int = 6) -> BiLstm:
     """Fits the labeller on marked pages as they are and on ``variants`` rearranged ones for each."""
     rng, model = np.random.default_rng(seed), BiLstm()
-    bad = {"nav", "header", "footer", "aside", "form", "ad", "ads", "comments", "comment", "sidebar", "menu"}
     data, texts, mains = [], [], []
     for page in pages:
         found = blocks(page)
-        good = [bool({"article", "main"} & set(b.path)) and not bad & set(b.path) for b in found]
+        good = [b.main for b in found]
         texts += [b.text for b, g in zip(found, good, strict=True) if not g]
         mains.append([b.text for b, g in zip(found, good, strict=True) if g])
         if any(good):
@@ -337,7 +413,9 @@ def fit(df: DataFrame, key: str = "page_id", page: str = "html") -> BiLstm:
 def extract(df: DataFrame, model: BiLstm, page: str = "html", out: str = "text") -> DataFrame:
     """Adds the main text to the rows of df; a null or empty page, or one without main text, has an empty one.
 
-    Blocks are joined by one line feed in page order; nothing else is dropped or cut. No shuffle.
+    Blocks are joined by one line feed in page order; nothing else is dropped or cut. Whole pages are read, in time linear in
+    their length. Repeated rows get equal texts, an empty table an empty result; a column named as ``out`` is replaced, others stay
+    whatever their names. No shuffle; a worker holds 256 pages.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     others = [c for c in df.columns if c != out]
@@ -356,5 +434,6 @@ def extract(df: DataFrame, model: BiLstm, page: str = "html", out: str = "text")
 
 
 def extract_pages(df: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page by a labeller fitted on the table itself; without any page it knows only made-up ones."""
     out = extract(df.select("page_id", "url", "html"), fit(df))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
