@@ -287,7 +287,8 @@ def repeated_strings(docs: DataFrame, size: int, reach: int = REACH) -> DataFram
             solved = solved.union(scratch.table(_sorted(parts.join(many, "key", "left_anti"), size)))
             rest = parts.join(many, "key", "left_semi") if many.limit(1).count() else None
         solved = solved.groupBy("bucket", "around").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
-        known = kinds.select("bucket", "around", "n").join(solved, ["bucket", "around"], "left").where("n > 1 or offsets is not null")
+        # a table of its own, so that Spark can split the places of one very common surrounding in the join
+        known = scratch.table(kinds.select("bucket", "around", "n").join(solved, ["bucket", "around"], "left").where("n > 1 or offsets is not null"))
         left, more = F.shiftright("ext", 8).bitwiseAND(255), F.col("ext").bitwiseAND(255)
         # all strings of a place that occurs as a whole, or the runs of those offsets that were found
         place = F.col("at") + left
