@@ -45,6 +45,7 @@ def pair_round_trips(trades: DataFrame, start: int, end: int, keys: Sequence[str
     buy, sell = (lambda c: F.col(f"_buy.{c}")), (lambda c: F.col(f"_sell.{c}"))
     either = lambda test: test(buy) | test(sell)
     paid = lambda leg, fee: leg(fee) == ceil_fee(leg("sol_amount"), leg(f"{fee}_bps"))
+    # The names of the reasons, in the order in which they are looked at.
     rules = {
         "explicitly_excluded_mint": F.col("_gone").isNotNull(),
         "no_entry_in_window": F.col("_entries") == 0,
