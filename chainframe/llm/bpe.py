@@ -10,8 +10,10 @@ readings agree on it; a reading can lag by less than the longest token, so the l
 from __future__ import annotations
 
 import base64
+import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -24,10 +26,10 @@ from chainframe.llm import common
 
 #: Documents are split into pieces of about this many characters, at places where no match can span.
 CHUNK_CHARS = 1 << 20
-#: Distinct pre-tokens that a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
-#: States of the transducer that a worker keeps before it starts afresh.
-MAX_STATES = 100_000
+#: States of the transducer that a worker keeps before it starts afresh; about 150 MB with their transitions.
+MAX_STATES = 400_000
+#: Bytes of pre-tokens and their ids that a worker keeps.
+CACHE_BYTES = 160 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -209,40 +211,63 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-class WordIds(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers; bounded."""
+class WordIds(common.Bounded):
+    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], words: int = CACHE_WORDS):
-        super().__init__()
-        self.transducer, self.words = MergeTransducer(ranks), words
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(CACHE_BYTES, 64)
+        self.transducer = MergeTransducer(ranks)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.transducer.encode(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        if len(self) >= self.words:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        out = array("I", self.transducer.encode(word.encode("utf-8", "surrogatepass")))
+        if sys.byteorder == "big":
+            out.byteswap()
+        ids = out.tobytes()
+        self.keep(word, ids, len(ids))
         return ids
 
 
-@lru_cache(2)
-def _worker_words(vocabulary: str) -> WordIds:
+class Encoder:
+    """Whole texts to ids."""
+
+    def __init__(self, vocabulary: str, pattern: str):
+        self.words, self.find = WordIds(load_ranks(vocabulary)), regex.compile(pattern).findall
+
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join([b"".join(map(self.words.__getitem__, self.find(part))) for part in chunks(text)]) if text else b""
+
+
+class Decoder:
+    """Ids to text, a block at a time; characters that span two blocks are put together."""
+
+    def __init__(self, vocabulary: str, block: int = 1 << 16):
+        ranks = load_ranks(vocabulary)
+        self.block, self.pieces = block, np.full(max(ranks.values(), default=-1) + 1, b"", object)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
+
+    def __call__(self, ids: bytes | None) -> Iterator[str]:
+        numbers, machine = np.frombuffer(ids or b"", "<u4"), Utf8Machine()
+        for at in range(0, len(numbers), self.block):
+            yield machine.feed(b"".join(self.pieces[numbers[at : at + self.block]].tolist()))
+        yield machine.finish()
+
+
+def _encoder(vocabulary: str, pattern: str) -> Encoder:
     """One for a worker's life, so that later tasks find what earlier ones have learnt."""
-    return WordIds(load_ranks(vocabulary))
+    return common.worker_state(("bpe", vocabulary, pattern), lambda: Encoder(vocabulary, pattern))
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) -> key, ids: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
-    A null or empty text has no ids. Repeated rows give repeated results; other columns are left out.
-    No shuffle; a worker holds one Arrow batch, CACHE_WORDS pre-tokens and MAX_STATES states.
+    A null or empty text has no ids; a null key stays. Repeated rows give repeated results; other columns are left
+    out, whatever their names. An empty table gives an empty one. No shuffle; a worker holds one Arrow batch, a
+    bounded cache of pre-tokens and MAX_STATES states. Texts of any length are read in pieces of CHUNK_CHARS.
     """
 
     def make():
-        words, find = _worker_words(vocabulary), regex.compile(pattern).findall
-
-        def ids(doc: str | None) -> bytes:
-            return b"".join([b"".join(map(words.__getitem__, find(part))) for part in chunks(doc)]) if doc else b""
+        ids = _encoder(vocabulary, pattern)
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):
@@ -255,23 +280,14 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
 
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids", block: int = 1 << 16) -> DataFrame:
-    """(key, ids) -> key, text. Ids are decoded in blocks; characters that span two blocks are put together."""
+    """(key, ids) -> key, ids, text. Null ids are none, and give an empty text; bytes that are no UTF-8 give U+FFFD."""
 
     def make():
-        ranks = load_ranks(vocabulary)
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
-
-        def text(data: bytes | None) -> str:
-            numbers, machine, out = np.frombuffer(data or b"", "<u4"), Utf8Machine(), []
-            for at in range(0, len(numbers), block):
-                out.append(machine.feed(b"".join(map(pieces.__getitem__, numbers[at : at + block].tolist()))))
-            return "".join([*out, machine.finish()])
+        texts = common.worker_state(("bpe decoder", vocabulary, block), lambda: Decoder(vocabulary, block))
 
         def step(batch: pa.RecordBatch):
             for part in common.slices(batch):
-                yield {"key": part.column(0), "ids": part.column(1), "text": [text(x) for x in part.column(1).to_pylist()]}
+                yield {"key": part.column(0), "ids": part.column(1), "text": ["".join(texts(x)) for x in part.column(1).to_pylist()]}
 
         return step
 
@@ -280,11 +296,30 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(df, vocabulary, pattern), vocabulary)
-    return both.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, decoded again and digested in one pass.
+
+    Nulls, empty and long texts, repeated rows and empty tables as for encode(): a null text counts as empty, a null
+    doc_id stays.
+    """
+
+    def make():
+        ids_of = _encoder(vocabulary, pattern)
+        if not hasattr(ids_of, "decoder"):
+            ids_of.decoder = Decoder(vocabulary)
+        texts = ids_of.decoder
+
+        def step(batch: pa.RecordBatch):
+            out = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for text in batch.column(1).to_pylist():
+                ids, decoded = ids_of(text), hashlib.sha256()
+                for part in texts(ids):
+                    decoded.update(part.encode("utf-8", "surrogatepass"))
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(decoded.hexdigest())
+            yield out
+
+        return step
+
+    rows = df.select(F.col("doc_id").cast("long"), "text")
+    return common.map_batches(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
