@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm import bpe, decontaminate, html, near_dups, shards, substrings, suffixes, token_counts, topk, toxicity
+from chainframe.llm import bpe, collocations, decontaminate, fingerprints, html, near_dups, shards, spelling, substrings, suffixes, token_counts, topk, toxicity
 from chainframe.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.component_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_interleaved_shards": op8_interleaved_shards,
     "op9_html_text": op9_html_text,
     "op10_near_dups": op10_near_dups,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -160,4 +175,71 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
         FROM sets LEFT JOIN found ON list_sort(sets.s) = found.s
     """,
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+            FROM documents
+        ), split AS (
+            SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, 1 AS size, unnest(w) AS phrase FROM split
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split
+        ), f AS (
+            SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+        ), cand AS (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10
+        ), cuts AS (
+            SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = one JOIN f y ON y.lang = cuts.lang AND y.phrase = two
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inner_parts AS (
+            SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM cand WHERE size = 3
+        ), longer AS (
+            SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL
+        ), kept AS (
+            SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+    "op13_spelling_variants": """
+        WITH RECURSIVE table_of_crc AS (
+            SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) x(i)
+        ), runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents
+        ), counted AS (
+            SELECT doc_id, w, count(*) AS c FROM runs GROUP BY ALL
+        ), hashed AS (
+            SELECT w, c, xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+                lambda a, b: xor(a >> 8, list_extract(tab, CAST((xor(a, b) & 255) + 1 AS BIGINT)))), 4294967295) AS h
+            FROM counted, table_of_crc
+        ), changed AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, c FROM hashed
+        ), vocab AS (
+            SELECT word, CAST(sum(c) AS BIGINT) AS n, length(word) AS len FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+        ), cut AS (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM vocab)
+        ), near AS (
+            SELECT a.word AS word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT cut.word, vocab.word FROM cut JOIN vocab ON cut.rest = vocab.word
+            UNION SELECT vocab.word, cut.word FROM cut JOIN vocab ON cut.rest = vocab.word
+        ), ranked AS (
+            SELECT near.word, other, n AS other_n, row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS place, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN vocab ON vocab.word = other
+        ), forms AS (
+            SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * vocab.n THEN other END AS form, CASE WHEN other_n >= 2 * vocab.n THEN other_n END AS form_n
+            FROM vocab LEFT JOIN ranked ON ranked.word = vocab.word AND place = 1
+        ), chain AS (
+            SELECT word, word AS upto FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.upto WHERE form IS NOT NULL
+        ), ends AS (
+            SELECT chain.word, upto AS root FROM chain JOIN forms ON forms.word = chain.upto WHERE form IS NULL
+        )
+        SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)
+    """,
 }
