@@ -19,15 +19,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.llm import common
 
-#: Phrases of one trie at most, about, and how many digits a symbol has: two of DIGIT each.
-TRIE_PHRASES, DIGIT = 1 << 20, 1 << 10
-#: Places whose phrases a task gathers before equal ones are added up; words that it keeps numbers of, at most.
-GATHERED, KNOWN = 1 << 22, 1 << 20
+#: Phrases of one trie at most, about; a symbol has two digits of DIGIT each.
+TRIE_PHRASES, DIGIT = 1 << 21, 1 << 11
+#: Places whose phrases a task gathers before equal ones are added up; words that it counts or numbers before it starts afresh.
+GATHERED, KNOWN = 1 << 22, 1 << 19
 #: Ranked rows are taken from so many parts of a language first.
 SALTS = 64
 
@@ -86,27 +87,29 @@ def _place(base: np.ndarray, used: np.ndarray, starts: np.ndarray, sizes: np.nda
 class Trie:
     """A double-array trie over words of several languages: from state s, digit d leads to base[s] + d if check there is s. State 0 is no place."""
 
-    def __init__(self, phrases: list[tuple[str, str]], shard: int, shards: int):
-        """``phrases``: (lang, words joined by spaces), all different; those of the shard ``shard`` of ``shards``."""
+    def __init__(self, langs: pa.Array, phrases: pa.Array, shard: int, shards: int):
+        """Languages and phrases, words joined by spaces, all different; those of the shard ``shard`` of ``shards``."""
         self.shard, self.shards = shard, shards
-        split = [(lang, phrase.encode("utf-8", "surrogatepass").split(b" ")) for lang, phrase in phrases]
-        self.symbols: dict[str, dict[bytes, int]] = {}
-        number = 0
-        for lang, words in split:
-            known = self.symbols.setdefault(lang, {})
-            for w in words:
-                if w not in known:
-                    number += 1
-                    known[w] = number
-        if number >= DIGIT * DIGIT:
-            raise ValueError(f"a trie has {number} words, more than two digits tell apart")
-        self.words = number
-        longest = max((len(w) for _, w in split), default=0)
-        paths = np.full((len(split), 2 * longest), -1, np.int64)
-        for i, (lang, words) in enumerate(split):
-            known = self.symbols[lang]
-            for j, w in enumerate(words):
-                paths[i, 2 * j], paths[i, 2 * j + 1] = divmod(known[w], DIGIT)
+        parts = pc.split_pattern(phrases, " ")
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        flat, of = parts.flatten(), langs.dictionary_encode()
+        lang_of_word = np.repeat(of.indices.to_numpy(zero_copy_only=False), sizes)
+        numbers = np.zeros(len(flat), np.int64)
+        #: lang -> (number of its first word, its words); their numbers follow each other, from 1.
+        self.symbols: dict[str, tuple[int, pa.Array]] = {}
+        first = 1
+        for i, lang in enumerate(of.dictionary.to_pylist()):
+            here = np.flatnonzero(lang_of_word == i)
+            coded = flat.take(pa.array(here)).dictionary_encode()
+            numbers[here] = coded.indices.to_numpy(zero_copy_only=False) + first
+            self.symbols[lang] = (first, coded.dictionary)
+            first += len(coded.dictionary)
+        self.words = first - 1
+        if self.words >= DIGIT * DIGIT:
+            raise ValueError(f"a trie has {self.words} words, more than two digits tell apart")
+        paths = np.full((len(phrases), 2 * int(sizes.max(initial=0))), -1, np.int32)
+        row, column = np.repeat(np.arange(len(phrases)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        paths[row, 2 * column], paths[row, 2 * column + 1] = numbers // DIGIT, numbers % DIGIT
         self._build(paths)
 
     def _build(self, paths: np.ndarray) -> None:
@@ -115,7 +118,7 @@ class Trie:
         state = np.full(len(paths), _ROOT, np.int64)
         for d in range(paths.shape[1]):
             live = np.flatnonzero(paths[:, d] >= 0)
-            edges, of = np.unique(state[live] * DIGIT + paths[live, d], return_inverse=True)
+            edges, of = np.unique(state[live] * DIGIT + paths[live, d], return_inverse=True)  # children by parent, then by digit
             parent, digit = edges // DIGIT, edges % DIGIT
             starts = np.flatnonzero(np.diff(parent, prepend=-1))
             base, used = _place(base, used, starts, np.diff(starts, append=len(parent)), parent[starts], digit)
@@ -131,7 +134,7 @@ class Trie:
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states one word further, 0 where there is no such path; symbol 0 is no word."""
-        for digit in (symbol >> 10, symbol & (DIGIT - 1)):
+        for digit in (symbol // DIGIT, symbol % DIGIT):
             to = self.base[state] + digit
             state = np.where(self.check[to] == state, to, 0)
         return state
@@ -148,17 +151,16 @@ def _shards(phrases: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, int
         return None, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, list[tuple[str, str]]] = {}
-        for batch in batches:
-            for shard, lang, phrase in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                mine.setdefault(shard, []).append((lang, phrase))
-        for shard, found in mine.items():
-            trie = Trie(found, shard, shards)
-            ends, trie.ends = trie.ends.tolist(), None
+        rows = pa.Table.from_batches(list(batches), pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())]))
+        for shard in pc.unique(rows["shard"]).to_pylist():
+            mine = rows.filter(pc.equal(rows["shard"], shard))
+            langs, phrases = (mine[c].combine_chunks() for c in ("lang", "phrase"))
+            trie = Trie(langs, phrases, shard, shards)
+            ends, trie.ends = pa.array(trie.ends, pa.int64()), None
             yield pa.RecordBatch.from_pydict({"shard": [shard], "blob": [pickle.dumps(trie, 5)], "state": [None], "lang": [None], "phrase": [None]}, schema=schema)
-            for at in range(0, len(found), 10_000):
-                part = found[at : at + 10_000]
-                yield pa.RecordBatch.from_pydict({"shard": [shard] * len(part), "blob": [None] * len(part), "state": ends[at : at + 10_000], "lang": [x for x, _ in part], "phrase": [x for _, x in part]}, schema=schema)
+            for at in range(0, len(ends), 10_000):
+                n = min(10_000, len(ends) - at)
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.nulls(n, pa.binary()), ends.slice(at, n), langs.slice(at, n), phrases.slice(at, n)], schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("state", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
     shard = F.pmod(F.crc32(F.substring_index("phrase", " ", 1).cast("binary")), F.lit(shards)).alias("shard")
@@ -173,18 +175,21 @@ class _Numbers(dict):
     """Words of a language -> numbers: symbols of the trie first; other words get numbers of their own only where several tries share the words."""
 
     def __init__(self, reader: _Reader, lang: str):
-        super().__init__(reader.trie.symbols.get(lang, {}))
+        first, words = reader.trie.symbols.get(lang, (1, pa.array([], pa.string())))
+        super().__init__(zip(words.cast(pa.binary()).to_pylist(), range(first, first + len(words)), strict=True))
         self.reader, self.lang = reader, lang
+        if reader.trie.shards > 1:
+            for word, number in self.items():
+                reader.own[number] = reader.trie.owns(word)
         self[_END], self[b""] = 0, -1
-        for word, number in reader.trie.symbols.get(lang, {}).items():
-            reader.note(number, lang, word)
 
     def __missing__(self, word: bytes) -> int:
         reader = self.reader
         if reader.trie.shards == 1:
             return 0
-        self[word] = number = len(reader.names)
-        reader.note(number, self.lang, word)
+        self[word] = number = len(reader.own)
+        reader.own.append(reader.trie.owns(word))
+        reader.more.append((self.lang, word.decode("utf-8", "surrogatepass")))
         return number
 
 
@@ -193,19 +198,13 @@ class _Reader:
 
     def __init__(self, trie: Trie):
         self.trie = trie
-        self.names: list[tuple[str, str] | None] = [None] * (trie.words + 1)
+        #: By number: whether this trie holds the phrases that begin with the word. Then language and word of numbers that aren't symbols.
         self.own: list[bool] = [False] * (trie.words + 1)
+        self.more: list[tuple[str, str]] = []
         self.langs: dict[str, _Numbers] = {}
 
-    def note(self, number: int, lang: str, word: bytes) -> None:
-        if number == len(self.names):
-            self.names.append(None)
-            self.own.append(False)
-        self.names[number] = (lang, word.decode("utf-8", "surrogatepass"))
-        self.own[number] = self.trie.owns(word)
-
     def full(self) -> bool:
-        return len(self.names) > self.trie.words + KNOWN
+        return len(self.more) > KNOWN
 
     def read(self, langs: list[str | None], texts: list[str | None]) -> np.ndarray:
         out = []
@@ -219,30 +218,61 @@ class _Reader:
         return row[row >= 0]
 
 
+def _phrases(numbers: np.ndarray, trie: Trie, more: list[tuple[str, str]]) -> tuple[pa.Array, pa.Array]:
+    """Languages and phrases of rows of numbers."""
+    words = pa.concat_arrays([*(x.cast(pa.string()) for _, x in trie.symbols.values()), pa.array([w for _, w in more], pa.string())])
+    langs = list(trie.symbols)
+    starts = np.array([first for first, _ in trie.symbols.values()], np.int64)
+    code = np.searchsorted(starts, numbers[:, 0], "right") - 1
+    lang = pa.array(langs, pa.string()).take(pa.array(np.maximum(code, 0)))
+    beyond = np.flatnonzero(numbers[:, 0] > trie.words)
+    if len(beyond):
+        named = lang.to_pylist()
+        for i in beyond.tolist():
+            named[i] = more[numbers[i, 0] - trie.words - 1][0]
+        lang = pa.array(named, pa.string())
+    return lang, pc.binary_join_element_wise(*[words.take(pa.array(numbers[:, j] - 1)) for j in range(numbers.shape[1])], " ")
+
+
 def _symbols(row: np.ndarray, trie: Trie) -> np.ndarray:
     """The numbers that the trie knows, 0 for others."""
     return np.where(row <= trie.words, row, 0)
 
 
+def _bits(below: int, words: int) -> int:
+    """How many bits tell numbers under ``below`` apart; 0 if so many words don't fit into a long."""
+    bits = max(1, (below - 1).bit_length())
+    return bits if bits * words < 64 else 0
+
+
 def _distinct(rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of numbers under ``below``, and how often each occurs; as single numbers where 63 bits hold them."""
+    """The distinct rows of numbers under ``below``, and how often each occurs; as single longs where these hold them."""
     width = rows.shape[1]
-    bits = max(1, (below - 1).bit_length())
-    if bits * width > 63:
+    if not (bits := _bits(below, width)):
         return np.unique(rows, axis=0, return_counts=True)
-    shifts = np.arange(width - 1, -1, -1) * bits
-    keys, n = np.unique((rows << shifts).sum(axis=1), return_counts=True)
-    return (keys[:, None] >> shifts) & ((1 << bits) - 1), n
+    keys, n = np.unique(_packed(rows, bits), return_counts=True)
+    return _unpacked(keys, bits, width), n
 
 
-def _with_trie(df: DataFrame, sent, step: Callable, schema: str) -> DataFrame:
-    """mapInArrow of (lang, text) with the trie that was sent, which a worker unpacks once."""
+def _packed(rows: np.ndarray, bits: int) -> np.ndarray:
+    keys = rows[:, 0].astype(np.int64)
+    for j in range(1, rows.shape[1]):
+        keys = keys << bits | rows[:, j]
+    return keys
+
+
+def _unpacked(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
+    return (keys[:, None] >> (np.arange(width - 1, -1, -1) * bits)) & ((1 << bits) - 1)
+
+
+def _with_trie(df: DataFrame, sent, step: Callable, schema: str, whole: bool = False) -> DataFrame:
+    """mapInArrow with the trie that was sent, which a worker unpacks once: step gets languages and texts of some rows at a time, or whole batches."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = common.worker_state(("trie", name), lambda: pickle.loads(sent.value))
         parts = ((x.column(0).to_pylist(), x.column(1).to_pylist()) for batch in batches for x in common.slices(batch, 256))
-        yield from step(trie, parts)
+        yield from step(trie, batches if whole else parts)
 
     return df.mapInArrow(run, schema)
 
@@ -255,16 +285,18 @@ def count_words(df: DataFrame) -> DataFrame:
 
         def out():
             for lang, counts in seen.items():
-                words = [w for w in counts if w and w != _END]
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "phrase": [w.decode("utf-8", "surrogatepass") for w in words], "n": [counts[w] for w in words]}, schema=_COUNTS)
+                counts.pop(_END, None), counts.pop(b"", None)
+                words, n = pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())
+                for at in range(0, len(words), 1 << 16):
+                    part = words.slice(at, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, n.slice(at, 1 << 16)], ["lang", "phrase", "n"])
             seen.clear()
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in common.slices(whole, 256)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    counts = seen.setdefault(lang_of(lang), Counter())
-                    counts.update(tokens(text))
-            if sum(map(len, seen.values())) > KNOWN // 4:
+                    seen.setdefault(lang_of(lang), Counter()).update(tokens(text))
+            if sum(map(len, seen.values())) > KNOWN:
                 yield from out()
         yield from out()
 
@@ -275,48 +307,69 @@ def propose(df: DataFrame, sent, words: int, least: int) -> DataFrame:
     """(lang, text) -> lang, phrase: phrases of ``words`` words that may occur ``least`` times.
 
     The trie that was sent holds the phrases of one word less that do. A place counts where such phrases overlap; one that begins with another trie's word is taken on trust.
+    While all its words are symbols of the trie, a phrase travels as one long; only those that are kept are written out.
     """
     level = words - 1
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def places(trie: Trie, row: np.ndarray, own: list[bool]) -> np.ndarray:
+        symbols = _symbols(row, trie)
+        n = len(row) - level + 1
+        state = np.full(n, _ROOT, np.int64)
+        for j in range(level):
+            state = trie.step(state, symbols[j : j + n])
+        found = trie.accepts[state]
+        follows = found[1:]
+        if trie.shards > 1:  # what follows the first word must be a candidate too, if this trie holds those that begin with it
+            words_follow = np.all([row[1 + j : n + j] > 0 for j in range(level)], axis=0)
+            follows = np.where(np.array(own, bool)[row[1:n]], follows, words_follow)
+        at = np.flatnonzero(found[:-1] & follows)
+        return np.stack([row[at + j] for j in range(words)], axis=1)
 
     def step(trie: Trie, parts: Iterator):
         reader, keys, held = _Reader(trie), [], 0
+        bits = _bits(trie.words + 1, words) if trie.shards == 1 else 0
 
         def out():
-            found, n = _distinct(np.concatenate(keys), len(reader.names))
-            names = reader.names
+            if bits:
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+            else:
+                found, n = _distinct(np.concatenate(keys), len(reader.own))
             for at in range(0, len(found), 1 << 16):
-                some = found[at : at + (1 << 16)].tolist()
-                phrases = [" ".join([names[i][1] for i in x]) for x in some]
-                yield pa.RecordBatch.from_pydict({"lang": [names[x[0]][0] for x in some], "phrase": phrases, "n": n[at : at + (1 << 16)]}, schema=_COUNTS)
+                some = found[at : at + (1 << 16)]
+                if bits:
+                    key, (lang, phrase) = pa.array(some, pa.int64()), (pa.nulls(len(some), pa.string()),) * 2
+                else:
+                    key, (lang, phrase) = pa.nulls(len(some), pa.int64()), _phrases(some, trie, reader.more)
+                yield pa.RecordBatch.from_arrays([key, lang, phrase, pa.array(n[at : at + (1 << 16)], pa.int64())], schema=schema)
             keys.clear()
 
         for langs, texts in parts:
             row = reader.read(langs, texts)
-            if len(row) < words:
-                continue
-            symbols = _symbols(row, trie)
-            places = len(row) - level + 1
-            state = np.full(places, _ROOT, np.int64)
-            for j in range(level):
-                state = trie.step(state, symbols[j : j + places])
-            found = trie.accepts[state]
-            # what follows the first word must be a candidate too, if this trie holds those that begin with it
-            others = np.array(reader.own, bool)[row[1:places]] if trie.shards > 1 else True
-            follows = np.where(others, found[1:], np.all([row[1 + j : places + j] > 0 for j in range(level)], axis=0))
-            at = np.flatnonzero(found[:-1] & follows)
-            if len(at):
-                keys.append(np.stack([row[at + j] for j in range(words)], axis=1))
-                held += len(at)
+            if len(row) >= words:
+                found = places(trie, row, reader.own)
+                if len(found):
+                    keys.append(_packed(found, bits) if bits else found)
+                    held += len(found)
             if held > GATHERED or reader.full():
-                yield from out() if keys else ()
+                if keys:
+                    yield from out()
                 held = 0
                 if reader.full():
                     reader = _Reader(trie)
         if keys:
             yield from out()
 
-    found = _with_trie(df, sent, step, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase")
+    def names(trie: Trie, parts: Iterator[pa.RecordBatch]):
+        for batch in parts:
+            key, lang, phrase = (batch.column(i) for i in range(3))
+            if batch.num_rows and not key.null_count:
+                lang, phrase = _phrases(_unpacked(key.to_numpy(), _bits(trie.words + 1, words), words), trie, [])
+            yield pa.RecordBatch.from_arrays([lang, phrase], ["lang", "phrase"])
+
+    found = _with_trie(df, sent, step, "key long, lang string, phrase string, n long").repartition("key", "lang", "phrase")  # a task has made equal ones one already
+    kept = found.groupBy("key", "lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key", "lang", "phrase")
+    return _with_trie(kept, sent, names, "lang string, phrase string", whole=True)
 
 
 def count_states(df: DataFrame, sent, longest: int) -> DataFrame:
@@ -420,5 +473,3 @@ def collocations(df: DataFrame, longest: int = 3, least: int = 10, keep: int = 2
         out = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= keep)
         return common.write_stage(out.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
 
-
-_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])

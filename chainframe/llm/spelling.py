@@ -57,7 +57,7 @@ def vocabulary(df: DataFrame, least_letters: int, least_count: int, key: str = "
             words = [w for w in seen if len(w) >= least_letters]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in (x for rows in batches for x in common.slices(rows, 256)):
             for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, n in words_of(doc, whole).items():
                     seen[word[1:] if word[0] == "-" else word] += n

@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from chainframe.llm import collocations, common, fingerprints, spelling
+from chainframe.llm import collocations, fingerprints, spelling
 
 # --- fingerprints
 
@@ -99,6 +100,10 @@ def ranked_phrases(docs, longest, least, keep, share):
     return sorted((lang, i + 1, p.decode(), -a, x, y, sum(n for (g, q), n in f.items() if g == lang and " " not in q), -s) for lang, rows in out.items() for i, (s, a, p, x, y) in enumerate(sorted(rows)[:keep]))
 
 
+def trie_of(phrases, shard=0, shards=1):
+    return collocations.Trie(pa.array([x for x, _ in phrases], pa.string()), pa.array([x for _, x in phrases], pa.string()), shard, shards)
+
+
 @pytest.fixture(scope="module")
 def phrase_docs():
     r = random.Random(3)
@@ -113,7 +118,7 @@ def test_collocations_are_those_of_a_plain_count(spark, monkeypatch, phrase_docs
     for name, value in (("TRIE_PHRASES", phrases), ("GATHERED", gathered), ("KNOWN", known)):
         monkeypatch.setattr(collocations, name, value)
     if phrases == 25:  # tasks read the constants, so they run with the small ones only in one process: look at the parts themselves
-        tries = [collocations.Trie([p for p in {("en", "a b"), ("en", "b c"), ("de", "a b c")} if zlib.crc32(p[1].split(" ")[0].encode()) % 2 == i], i, 2) for i in range(2)]
+        tries = [trie_of([p for p in {("en", "a b"), ("en", "b c"), ("de", "a b c")} if zlib.crc32(p[1].split(" ")[0].encode()) % 2 == i], i, 2) for i in range(2)]
         assert sorted(t.owns(b"a") for t in tries) == [False, True]
     df = spark.createDataFrame([(t, g, "x", 1) for g, t in phrase_docs], "text string, lang string, phrase string, rank int").repartition(4)
     for longest, least, keep in ((3, 10, 2000), (4, 5, 7)):
@@ -125,14 +130,15 @@ def test_collocations_are_those_of_a_plain_count(spark, monkeypatch, phrase_docs
 def test_a_trie_leads_where_its_phrases_lead():
     r = random.Random(4)
     phrases = sorted({(r.choice(["en", "de"]), " ".join(f"w{int(r.paretovariate(0.5)) % 3000}" for _ in range(r.randrange(1, 4)))) for _ in range(6000)})
-    trie = collocations.Trie(phrases, 0, 1)
+    trie = trie_of(phrases)
+    numbers = {lang: {w: first + i for i, w in enumerate(words.to_pylist())} for lang, (first, words) in trie.symbols.items()}
     ends = dict(zip(phrases, trie.ends.tolist(), strict=True))
     assert len(set(ends.values())) == len(phrases)
     for _ in range(300):
         lang, words = r.choice(["en", "de"]), r.choice(phrases)[1].split(" ") + [f"w{r.randrange(3000)}"]
         state = np.array([1])
         for i, w in enumerate(words):
-            state = trie.step(state, np.array([trie.symbols[lang].get(w.encode(), 0)]))
+            state = trie.step(state, np.array([numbers[lang].get(w, 0)]))
             want = ends.get((lang, " ".join(words[: i + 1])))
             assert (state[0] == want) if want else not trie.accepts[state[0]]
 
@@ -218,9 +224,17 @@ def test_an_index_finds_what_differs_in_one_letter():
                     assert got == {w for w in words if near(q, w) and min(len(q), len(w)) == short and same(q, w) == (side == 0)}
 
 
-def test_numbers_of_a_reader_start_afresh():
-    trie = collocations.Trie([("en", "a"), ("en", "b")], 0, 2)
+def test_numbers_of_a_reader():
+    trie = trie_of([("en", "a"), ("en", "b")], 0, 2)
     reader = collocations._Reader(trie)
     row = reader.read(["en", None, "en"], ["a  b. c", "a", None])
-    assert row.tolist() == [1, 2, 0, 3, 0, 4, 0] and reader.names[3] == ("en", "c") and reader.names[4] == ("und", "a") and not reader.full()
-    assert common.Bounded().get("x") is None
+    assert row.tolist() == [1, 2, 0, 3, 0, 4, 0] and reader.more == [("en", "c"), ("und", "a")] and not reader.full()
+    assert [x.to_pylist() for x in collocations._phrases(np.array([[1, 3], [4, 2], [2, 1]]), trie, reader.more)] == [["en", "und", "en"], ["a c", "a b", "b a"]]
+    assert collocations._Reader(trie_of([("en", "a")])).read(["en"], ["a x a"]).tolist() == [1, 0, 1, 0]
+
+
+def test_rows_of_numbers_are_told_apart_in_any_width():
+    rows = np.array([[5, 6, 7], [5, 6, 7], [1, 2, 3]])
+    for below in (8, 1 << 30):
+        found, n = collocations._distinct(rows, below)
+        assert found.tolist() == [[1, 2, 3], [5, 6, 7]] and n.tolist() == [1, 2]
