@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 # The base58 alphabet.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 MONEY = "decimal(38,0)"
+#: Amounts and reserves: whole numbers of 64 bits without sign.
+U64, U64_TOP = "decimal(20,0)", str((1 << 64) - 1)
+#: Limb of a factor in exact products: ten digits, so that a limb times a 64-bit number has 30.
+LIMB = 10**10
 
 
 def boundary(block: Column, tx: Column) -> Column:
@@ -57,6 +61,45 @@ def floordiv(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast(MONEY)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def u64(c: Column) -> Column:
+    """A whole number as DECIMAL(20,0), null where it doesn't fit into 64 bits without sign."""
+    whole = c.try_cast(U64)
+    return F.when((whole >= 0) & (whole <= F.lit(U64_TOP).cast(U64)), whole)
+
+
+def mul_div(a: Column, b: Column, c: Column, up: bool = False) -> Column:
+    """floor(a * b / c), or the ceiling with ``up``, of 64-bit a and b and a c below 2^65, as DECIMAL(38,0).
+
+    The product has up to 128 bits, more than 38 digits hold. So a is cut into two limbs: the higher one times b is divided first, and what it
+    leaves joins the lower one, as in long division by hand. Null where an operand is null or out of its range, c is not positive, or the result has more than 38 digits.
+    """
+    limb = F.lit(LIMB).cast("decimal(11,0)")
+    divisor = c.try_cast("decimal(20,0)")
+    operands = F.struct(u64(a).alias("a"), u64(b).alias("b"), F.when(divisor > 0, divisor).alias("c"))
+
+    def high(x: Column) -> Column:
+        low = F.pmod(x.a, limb).cast("decimal(10,0)")
+        top = ((x.a - low) / limb).cast("decimal(10,0)")
+        product = (top * x.b).cast("decimal(30,0)")
+        return F.struct(x.b.alias("b"), x.c.alias("c"), low.alias("low"), product.alias("p"), F.pmod(product, x.c).cast("decimal(20,0)").alias("rest"))
+
+    def low(x: Column) -> Column:
+        below = ((x.rest * limb).cast("decimal(31,0)") + (x.low * x.b).cast("decimal(30,0)")).cast("decimal(32,0)")
+        return F.struct(x.c.alias("c"), ((x.p - x.rest) / x.c).cast("decimal(30,0)").alias("q"), below.alias("p"), F.pmod(below, x.c).cast("decimal(20,0)").alias("rest"))
+
+    def whole(x: Column) -> Column:
+        lower = ((x.p - x.rest) / x.c).cast("decimal(32,0)")
+        rounded = lower + F.when(x.rest > 0, 1).otherwise(0) if up else lower
+        return F.try_add(F.try_multiply(x.q.cast(MONEY), limb.cast(MONEY)).try_cast(MONEY), rounded.cast(MONEY)).try_cast(MONEY)
+
+    return let(let(let(operands, high), low), whole)
+
+
 def ceildiv(a: Column, b: Column) -> Column:
     return floordiv(a.cast(MONEY) + b.cast(MONEY) - 1, b)
 
@@ -70,8 +113,8 @@ def fee_matches(amount: Column, bps: Column, observed: Column) -> Column:
 
 
 def min_output(out: Column, slippage_bps: Column) -> Column:
-    """The least output that is accepted, rounded down."""
-    return floordiv(out.cast("decimal(20,0)") * (F.lit(10_000) - slippage_bps).cast("decimal(10,0)"), F.lit(10_000))
+    """The least output that is accepted, rounded down; out is of 64 bits."""
+    return floordiv(out.cast(U64) * (F.lit(10_000) - slippage_bps).cast("decimal(10,0)"), F.lit(10_000))
 
 
 def price_exit(now_num: Column, now_den: Column, entry_num: Column, entry_den: Column, loss_bps: int, gain_bps: int) -> Column:
@@ -82,12 +125,13 @@ def price_exit(now_num: Column, now_den: Column, entry_num: Column, entry_den: C
 
 
 def market_cap(virtual_quote: Column, supply: Column, virtual_base: Column) -> Column:
-    return floordiv(virtual_quote.cast("decimal(19,0)") * supply.cast("decimal(19,0)"), virtual_base)
+    """floor(quote * supply / base) of 64-bit numbers; null where one isn't, base is 0, or the result has more than 38 digits."""
+    return mul_div(virtual_quote, supply, virtual_base)
 
 
 def network_fee(units: Column, micro_price: Column, signatures: Column, base_fee: int) -> Column:
-    """Priority fee, rounded up from millionths, plus the fee of each signature."""
-    return ceildiv(units.cast("decimal(19,0)") * micro_price.cast("decimal(19,0)"), F.lit(1_000_000)) + signatures.cast(MONEY) * F.lit(base_fee)
+    """Priority fee of 64-bit units and prices, rounded up from millionths, plus the fee of each signature."""
+    return mul_div(units, micro_price, F.lit(1_000_000), up=True) + signatures.cast(MONEY) * F.lit(base_fee)
 
 
 def content_id(*columns: str) -> Column:

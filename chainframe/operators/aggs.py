@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainframe.functions.scalar import floordiv
+from chainframe.functions.scalar import market_cap
 from chainframe.sources.tables import checkpoint
 
 
@@ -229,12 +229,14 @@ def frontier(df: DataFrame, keys: Sequence[str], lo: str, hi: str, start: int) -
 
 
 def dedup_by_priority(df: DataFrame, keys: Sequence[str], priority: str, payload: Sequence[str]) -> DataFrame:
-    """One row a key, of the highest priority; conflict where rows of that priority differ."""
-    top = df.groupBy(*keys).agg(F.max(priority).alias("_top"))
-    best = df.join(top, list(keys)).where(F.col(priority) == F.col("_top"))
+    """One row a key, of the highest priority: its smallest payload, and conflict where rows of that priority differ.
+
+    A null key is a key of its own, a null priority is below all others; payloads are compared as whole rows, nulls included. Both aggregations have partial sums.
+    """
     whole = F.struct(*payload)
-    out = best.groupBy(*keys).agg(F.min(whole).alias("_p"), F.max(priority).alias(priority), (F.count_distinct(whole) > 1).alias("conflict"))
-    return out.select(*keys, priority, *[F.col(f"_p.{c}").alias(c) for c in payload], "conflict")
+    rows = df.groupBy(*keys, priority).agg(F.min(whole).alias("_p"), F.max(whole).alias("_q"))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(priority).alias("r"), "_p", "_q")).alias("_b"))
+    return best.select(*keys, F.col("_b.r").alias(priority), *[F.col(f"_b._p.{c}").alias(c) for c in payload], (~F.col("_b._p").eqNullSafe(F.col("_b._q"))).alias("conflict"))
 
 
 def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -330,7 +332,7 @@ def merge_streams(*frames: DataFrame, order: Sequence[str] | None = None) -> Dat
 def market_cap_series(states: DataFrame, keys: Sequence[str], boundary: str, quote: str, base: str, supply: str, order: Sequence[str]) -> DataFrame:
     """The last state of each boundary as a market cap."""
     last = last_state(states, [*keys, boundary], [quote, base, supply], order)
-    return last.withColumn("market_cap", floordiv(F.col(quote).cast("decimal(19,0)") * F.col(supply).cast("decimal(19,0)"), F.col(base)))
+    return last.withColumn("market_cap", market_cap(F.col(quote), F.col(supply), F.col(base)))
 
 
 def chart_series(series: DataFrame, creations: DataFrame, signals: DataFrame, clock: DataFrame, key: str, boundary: str) -> DataFrame:

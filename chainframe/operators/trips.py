@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainframe.functions.scalar import MONEY, boundary, ceil_fee, floordiv, min_output
+from chainframe.functions.scalar import MONEY, U64_TOP, boundary, ceil_fee, floordiv, let, min_output, mul_div, u64
 from chainframe.operators.aggs import cooldown, with_group_counts
 from chainframe.operators.joins import asof, first_at_or_after, nth_after
 
@@ -71,19 +71,21 @@ def leader_pnl(pairs: DataFrame, keys: Sequence[str] = ("mint",)) -> DataFrame:
     """Gross buy, network fees and observed result of each PAIRED row: keys, gross_buy, network_fees, pnl.
 
     A signature's fee counts once among all pairs, on its first leg in the order of the buys, and not at all if
-    another account than the trader has paid it.
+    another account than the trader has paid it. Null keys and signatures count as values of their own: legs without a signature share one.
+    A payer or trader that isn't known has paid nothing.
     """
+    names = list(keys)
     good = pairs.where("reason = 'PAIRED'")
     leg = lambda side, n: F.struct(F.lit(n).alias("leg"), *[F.col(f"{side}_{c}").alias(c) for c in ("signature", "user", "fee_payer", "fee_lamports")])
     order = F.struct(*[F.col(f"buy_{c}").alias(c) for c in PLACE], *keys)
     legs = good.select(*keys, order.alias("_order"), F.explode(F.array(leg("buy", 0), leg("sell", 1))).alias("x")).select(*keys, F.struct("_order", "x.leg").alias("_at"), "x.*")
-    first = legs.groupBy("signature").agg(F.min("_at").alias("_first"))
-    legs = legs.join(first, "signature")
-    fee = F.when((F.col("_at") == F.col("_first")) & (F.col("fee_payer") == F.col("user")), F.col("fee_lamports")).otherwise(0)
-    fees = legs.groupBy(*keys).agg(F.sum(fee).alias("network_fees"))
+    first = legs.groupBy("signature").agg(F.min("_at").alias("_first")).withColumnRenamed("signature", "_signature")
+    legs = legs.join(first, F.col("signature").eqNullSafe(F.col("_signature")))
+    fee = F.when(F.col("_at").eqNullSafe(F.col("_first")) & (F.col("fee_payer") == F.col("user")), F.col("fee_lamports")).otherwise(0)
+    fees = legs.groupBy(*names).agg(F.sum(fee).alias("network_fees")).withColumnsRenamed({k: f"_{k}" for k in names})
     gross = F.col("buy_sol_amount") + F.col("buy_protocol_fee") + F.col("buy_creator_fee")
     net = F.col("sell_sol_amount") - F.col("sell_protocol_fee") - F.col("sell_creator_fee")
-    return good.join(fees, list(keys)).select(*keys, gross.alias("gross_buy"), "network_fees", (net - gross - F.col("network_fees")).alias("pnl"))
+    return good.join(fees, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]).select(*names, gross.alias("gross_buy"), "network_fees", (net - gross - F.col("network_fees")).alias("pnl"))
 
 
 def quote_buy(gross: Column, virtual_base: Column, virtual_quote: Column, real_base: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, exact_gross: bool = False) -> Column:
@@ -91,50 +93,74 @@ def quote_buy(gross: Column, virtual_base: Column, virtual_quote: Column, real_b
 
     net is gross * 10000 // (10000 + both rates); each fee is rounded up by itself, and what the two round-ups come to beyond
     the budget is taken off net. With exact_gross the curve gets one unit less than net. An error leaves out null:
-    INVALID_INPUT, OUTPUT_OUT_OF_BOUNDS, INSUFFICIENT_REAL_TOKEN_RESERVES, ARITHMETIC_OVERFLOW (reserves pass 64 bits).
-    Amounts and reserves of up to 19 digits are exact.
+    INVALID_INPUT (null, not positive or over 64 bits), OUTPUT_OUT_OF_BOUNDS, INSUFFICIENT_REAL_TOKEN_RESERVES, ARITHMETIC_OVERFLOW (a reserve is unknown,
+    or it passes 64 bits with net). Amounts and reserves are exact over all 64 bits.
     """
-    q, rates = gross.cast("decimal(20,0)"), (protocol_bps + creator_bps).cast("decimal(10,0)")
-    first = floordiv(q * F.lit(10_000).cast("decimal(10,0)"), F.lit(10_000) + rates).cast("decimal(19,0)")
-    protocol, creator = ceil_fee(first, protocol_bps), ceil_fee(first, creator_bps)
-    net = (first - F.greatest(first + protocol + creator - q, F.lit(0).cast(MONEY))).cast("decimal(19,0)")
-    curve = (net - F.lit(int(exact_gross))).cast("decimal(19,0)")
-    out = F.when(curve > 0, floordiv(curve * virtual_base.cast("decimal(19,0)"), virtual_quote.cast(MONEY) + curve))
-    top = F.lit(str((1 << 64) - 1)).cast(MONEY)
-    error = (
-        F.when(q.isNull() | (q <= 0), "INVALID_INPUT").when(curve <= 0, "OUTPUT_OUT_OF_BOUNDS")
-        .when((virtual_quote.cast(MONEY) + net > top) | (real_quote.cast(MONEY) + net > top), "ARITHMETIC_OVERFLOW")
-        .when((out <= 0) | (out >= virtual_base.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
-        .when(out > real_base.cast(MONEY), "INSUFFICIENT_REAL_TOKEN_RESERVES").when(out.isNull(), "ARITHMETIC_OVERFLOW")
-    )
-    return F.struct(net.cast(MONEY).alias("net"), protocol.alias("protocol_fee"), creator.alias("creator_fee"), (net + protocol + creator).cast(MONEY).alias("spent"), F.when(error.isNull(), out).alias("out"), error.alias("error"))
+    top, zero = F.lit(U64_TOP).cast(MONEY), F.lit(0).cast(MONEY)
+    rates = (protocol_bps + creator_bps).cast("decimal(10,0)")
+
+    def fees(x: Column) -> Column:
+        first = floordiv(x.q * F.lit(10_000).cast("decimal(10,0)"), F.lit(10_000) + rates).cast("decimal(20,0)")
+        return let(F.struct(x.q.alias("q"), first.alias("first")), lambda y: F.struct(y.q.alias("q"), y.first.alias("first"), ceil_fee(y.first, protocol_bps).alias("protocol"), ceil_fee(y.first, creator_bps).alias("creator")))
+
+    def bought(x: Column) -> Column:
+        net = (x.first - F.greatest(x.first + x.protocol + x.creator - x.q, zero)).cast("decimal(20,0)")
+        return let(F.struct(x.q.alias("q"), x.protocol.alias("protocol"), x.creator.alias("creator"), net.alias("net"), (net - F.lit(int(exact_gross))).cast("decimal(20,0)").alias("curve")), priced)
+
+    def priced(x: Column) -> Column:
+        out = F.when(x.curve > 0, mul_div(x.curve, virtual_base, virtual_quote.cast(MONEY) + x.curve))
+        return F.struct(x.q.alias("q"), x.protocol.alias("protocol"), x.creator.alias("creator"), x.net.alias("net"), x.curve.alias("curve"), out.alias("out"))
+
+    def result(x: Column) -> Column:
+        error = (
+            F.when(x.q.isNull() | (x.q <= 0), "INVALID_INPUT").when(x.curve <= 0, "OUTPUT_OUT_OF_BOUNDS")
+            .when((virtual_quote.cast(MONEY) + x.net > top) | (real_quote.cast(MONEY) + x.net > top), "ARITHMETIC_OVERFLOW")
+            .when((x.out <= 0) | (x.out >= virtual_base.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
+            .when(x.out > real_base.cast(MONEY), "INSUFFICIENT_REAL_TOKEN_RESERVES").when(x.out.isNull(), "ARITHMETIC_OVERFLOW")
+        )
+        spent = (x.net + x.protocol + x.creator).cast(MONEY)
+        return F.struct(x.net.cast(MONEY).alias("net"), x.protocol.cast(MONEY).alias("protocol_fee"), x.creator.cast(MONEY).alias("creator_fee"), spent.alias("spent"), F.when(error.isNull(), x.out).alias("out"), error.alias("error"))
+
+    return let(let(let(F.struct(u64(gross).alias("q")), fees), bought), result)
 
 
-def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, capped: bool = True) -> Column:
+def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, capped: bool = True, real_base: Column | None = None) -> Column:
     """(gross, protocol_fee, creator_fee, out, shortfall, error) of selling base_in; each fee is rounded up by itself.
 
     shortfall is what the pool lacks of gross. Capped, a shortfall is an error: INSUFFICIENT_REAL_SOL_RESERVES; the
-    others are INVALID_INPUT, OUTPUT_OUT_OF_BOUNDS and ARITHMETIC_OVERFLOW. An error leaves out null.
+    others are INVALID_INPUT (null, not positive or over 64 bits), OUTPUT_OUT_OF_BOUNDS and ARITHMETIC_OVERFLOW (a reserve is unknown, or the virtual or the real one of tokens passes
+    64 bits with base_in; the real one is looked at where it is given). An error leaves out null. Amounts and reserves are exact over all 64 bits.
     """
-    b = base_in.cast("decimal(19,0)")
-    gross = F.when(b > 0, floordiv(virtual_quote.cast("decimal(19,0)") * b, virtual_base.cast(MONEY) + b))
-    protocol, creator = ceil_fee(gross, protocol_bps), ceil_fee(gross, creator_bps)
-    short = F.greatest(gross - real_quote.cast(MONEY), F.lit(0).cast(MONEY)).cast(MONEY)
-    error = (
-        F.when(base_in.isNull() | (base_in <= 0), "INVALID_INPUT").when(virtual_base.cast(MONEY) + base_in.cast(MONEY) > F.lit(str((1 << 64) - 1)).cast(MONEY), "ARITHMETIC_OVERFLOW")
-        .when((gross <= 0) | (gross >= virtual_quote.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
-    )
-    if capped:
-        error = error.when(short > 0, "INSUFFICIENT_REAL_SOL_RESERVES")
-    error = error.when(protocol + creator >= gross, "OUTPUT_OUT_OF_BOUNDS").when(gross.isNull(), "ARITHMETIC_OVERFLOW")
-    return F.struct(gross.alias("gross"), protocol.alias("protocol_fee"), creator.alias("creator_fee"), F.when(error.isNull(), gross - protocol - creator).cast(MONEY).alias("out"), short.alias("shortfall"), error.alias("error"))
+    top, zero = F.lit(U64_TOP).cast(MONEY), F.lit(0).cast(MONEY)
+
+    def priced(x: Column) -> Column:
+        return F.struct(x.b.alias("b"), F.when(x.b > 0, mul_div(x.b, virtual_quote, virtual_base.cast(MONEY) + x.b)).alias("gross"))
+
+    def paid(x: Column) -> Column:
+        short = F.greatest(x.gross - real_quote.cast(MONEY), zero).cast(MONEY)
+        return F.struct(x.b.alias("b"), x.gross.alias("gross"), ceil_fee(x.gross, protocol_bps).alias("protocol"), ceil_fee(x.gross, creator_bps).alias("creator"), F.when(x.gross.isNotNull() & real_quote.isNotNull(), short).alias("short"))
+
+    def result(x: Column) -> Column:
+        passes = virtual_base.cast(MONEY) + x.b > top
+        if real_base is not None:
+            passes = passes | (real_base.cast(MONEY) + x.b > top)
+        error = F.when(x.b.isNull() | (x.b <= 0), "INVALID_INPUT").when(passes, "ARITHMETIC_OVERFLOW").when((x.gross <= 0) | (x.gross >= virtual_quote.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
+        if capped:
+            error = error.when(x.short > 0, "INSUFFICIENT_REAL_SOL_RESERVES")
+        error = error.when(x.protocol + x.creator >= x.gross, "OUTPUT_OUT_OF_BOUNDS").when(x.gross.isNull(), "ARITHMETIC_OVERFLOW")
+        out = F.when(error.isNull(), x.gross - x.protocol - x.creator).cast(MONEY)
+        return F.struct(x.gross.alias("gross"), x.protocol.alias("protocol_fee"), x.creator.alias("creator_fee"), out.alias("out"), x.short.alias("shortfall"), error.alias("error"))
+
+    return let(let(let(F.struct(u64(base_in).alias("b")), priced), paid), result)
 
 
 def quote_xyk(amount_in: Column, reserve_in: Column, reserve_out: Column, fee_bps: Column) -> Column:
-    """Output of a constant-product pool; the fee is taken from the input, rounded down."""
-    a = amount_in.cast("decimal(19,0)")
-    net = (a - floordiv(a * fee_bps.cast("decimal(10,0)"), F.lit(10_000))).cast("decimal(19,0)")
-    return floordiv(reserve_out.cast("decimal(19,0)") * net, reserve_in.cast(MONEY) + net)
+    """Output of a constant-product pool; the fee is taken from the input, rounded down. Exact over all 64 bits; null where an operand isn't a 64-bit number."""
+
+    def net(a: Column) -> Column:
+        return (a - floordiv(a * fee_bps.cast("decimal(10,0)"), F.lit(10_000))).cast("decimal(20,0)")
+
+    return let(let(u64(amount_in), net), lambda a: mul_div(a, reserve_out, reserve_in.cast(MONEY) + a))
 
 
 def copy_next_slot(pairs: DataFrame, states: DataFrame, keys: Sequence[str] = ("mint",), fee_bps: tuple[int, int] = (95, 30), entry_fee: int | None = None, exit_fee: int | None = None) -> DataFrame:

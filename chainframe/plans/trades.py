@@ -80,6 +80,33 @@ def _(spark, d):
     return o.select("event_id", long("b.net", "net"), long("b.spent", "spent"), long("b.out", "bought"), F.col("b.error").alias("buy_error"), long("s.gross", "gross"), long("s.out", "received"), F.col("s.error").alias("sell_error"), trips.quote_xyk(a, F.lit(70_000), F.lit(5_000), F.lit(30)).cast("long").alias("swapped"))
 
 
+# amounts and reserves that fill all 64 bits; the products of the rules have up to 128
+WIDE = OBS + """, wide AS (SELECT event_id, mint, (CAST(event_id AS UHUGEINT) * 6364136223846793005 + CAST(amount AS UHUGEINT) * 1442695040888963407) % 18446744073709551616 AS q, (CAST(amount AS UHUGEINT) * 11400714819323198485 + 1) % 18446744073709551616 AS vb,
+    (CAST(event_id AS UHUGEINT) * 2862933555777941757 + 7) % 4611686018427387904 AS vq FROM obs)"""
+
+
+@query("t04_u64_quotes", f"""WITH {WIDE}, r AS (SELECT *, q * 10000 // 10125 AS first FROM wide), f AS (SELECT *, (first * 95 + 9999) // 10000 AS pf, (first * 30 + 9999) // 10000 AS cf FROM r),
+    n AS (SELECT *, CASE WHEN first + pf + cf > q THEN first - (first + pf + cf - q) ELSE first END AS net FROM f),
+    b AS (SELECT *, CASE WHEN net > 0 THEN net * vb // (vq + net) END AS made, CASE WHEN q > 0 AND vb + q > 0 THEN q * vq // (vb + q) END AS gross FROM n),
+    s AS (SELECT *, CASE WHEN q = 0 THEN 'INVALID_INPUT' WHEN net = 0 THEN 'OUTPUT_OUT_OF_BOUNDS' WHEN vq + net > 18446744073709551615 THEN 'ARITHMETIC_OVERFLOW' WHEN made = 0 OR made >= vb THEN 'OUTPUT_OUT_OF_BOUNDS' WHEN made > vb // 2 THEN 'INSUFFICIENT_REAL_TOKEN_RESERVES' END AS buy_error,
+          CASE WHEN q = 0 THEN 'INVALID_INPUT' WHEN vb + q > 18446744073709551615 THEN 'ARITHMETIC_OVERFLOW' WHEN gross = 0 OR gross >= vq THEN 'OUTPUT_OUT_OF_BOUNDS' WHEN gross > vq // 3 THEN 'INSUFFICIENT_REAL_SOL_RESERVES' WHEN (gross * 95 + 9999) // 10000 + (gross * 30 + 9999) // 10000 >= gross THEN 'OUTPUT_OUT_OF_BOUNDS' END AS sell_error FROM b)
+    SELECT event_id, CAST(net AS VARCHAR) AS net, CASE WHEN buy_error IS NULL THEN CAST(made AS VARCHAR) END AS bought, buy_error, CASE WHEN sell_error IS NULL THEN CAST(gross - (gross * 95 + 9999) // 10000 - (gross * 30 + 9999) // 10000 AS VARCHAR) END AS received, sell_error,
+    CAST((q - q * 30 // 10000) * vq // (vb + (q - q * 30 // 10000)) AS VARCHAR) AS swapped, CAST(vq * vb // (q + 1000000000000) AS VARCHAR) AS cap FROM s""")
+def _(spark, d):
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    times = lambda c, by: whole(c) * F.lit(str(by)).cast("decimal(20,0)")
+    top = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    rows = obs(spark, d).select(
+        "event_id", F.pmod((times("event_id", 6364136223846793005) + times("amount", 1442695040888963407)).cast("decimal(38,0)"), top).alias("q"),
+        F.pmod((times("amount", 11400714819323198485) + 1).cast("decimal(38,0)"), top).alias("vb"), F.pmod((times("event_id", 2862933555777941757) + 7).cast("decimal(38,0)"), F.lit(str(1 << 62)).cast("decimal(38,0)")).alias("vq"),
+    )
+    q, vb, vq, p, c = F.col("q"), F.col("vb"), F.col("vq"), F.lit(95), F.lit(30)
+    rows = rows.withColumns({"b": trips.quote_buy(q, vb, vq, sc.floordiv(vb, F.lit(2)), F.lit(0), p, c), "s": trips.quote_sell(q, vb, vq, sc.floordiv(vq, F.lit(3)), p, c)})
+    text = lambda x, name: x.cast("string").alias(name)
+    cap = sc.market_cap(vq, vb, q + 1_000_000_000_000)
+    return rows.select("event_id", text(F.col("b.net"), "net"), text(F.col("b.out"), "bought"), F.col("b.error").alias("buy_error"), text(F.col("s.out"), "received"), F.col("s.error").alias("sell_error"), text(trips.quote_xyk(q, vb, vq, c), "swapped"), text(cap, "cap"))
+
+
 COPIES = PAIRED + """, st AS (SELECT mint, slot, 30000 + arg_max(amount, event_id) AS vq, arg_max(amount, event_id) AS rq FROM obs WHERE mint % 5 <> 0 GROUP BY 1, 2),
 b AS (SELECT p.*, st.vq, (buy_sol + buy_p + buy_c) AS gross, (buy_sol + buy_p + buy_c) * 10000 // 10125 AS first FROM paired p LEFT JOIN st ON st.mint = p.mint AND st.slot = p.buy_slot AND reason = 'PAIRED'),
 b2 AS (SELECT *, (first * 95 + 9999) // 10000 + (first * 30 + 9999) // 10000 AS fees FROM b), b3 AS (SELECT *, first - greatest(0, first + fees - gross) AS net FROM b2),
