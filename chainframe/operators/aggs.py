@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainframe.functions.scalar import market_cap
+from chainframe.operators.joins import asof
+from chainframe.operators.scans import keyed_scan, ranged
 from chainframe.sources.tables import checkpoint
 
 
@@ -134,8 +134,8 @@ def unbalanced(postings: DataFrame, transaction: str, asset: str, amount: str) -
 
 
 def running_balance(postings: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str) -> DataFrame:
-    place = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return postings.withColumn("balance", F.sum(amount).over(place))
+    """Adds balance: the sum of the key's amounts up to each row. A key of any size is spread over ranges of it; a null amount adds nothing."""
+    return keyed_scan(postings, keys, order, F.col(amount), "balance", "sum")
 
 
 def gram(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
@@ -154,7 +154,7 @@ def rank_percentile(df: DataFrame, keys: Sequence[str], column: str, percent: in
     """
     names = list(keys)
     counted = df.where(F.col(column).isNotNull()).groupBy(*names, column).agg(F.count(F.lit(1)).alias("_c"))
-    numbered = _ranged(counted, [*names, column])
+    numbered = ranged(counted, [*names, column])
     parts = numbered.groupBy("_part", *names).agg(F.sum("_c").alias("_in_part"))
     before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_ahead", F.coalesce(F.sum("_in_part").over(before), F.lit(0))).withColumn("_n", F.sum("_in_part").over(Window.partitionBy(*names)))
@@ -183,13 +183,8 @@ def with_ordinal(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return _numbered(df, order, out)
 
 
-def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df with _part, the number of its range in the order; written to the checkpoint folder, as ranges are drawn anew by every job otherwise."""
-    return checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-
-
 def _numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    parts = _ranged(df, order)
+    parts = ranged(df, order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     place = Window.partitionBy("_part").orderBy(*order)
@@ -197,9 +192,8 @@ def _numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def running_offset(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str) -> DataFrame:
-    """Sum of the rows before, 0 for the first."""
-    place = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(column).over(place), F.lit(0)))
+    """Sum of the key's rows before, 0 for the first. A key of any size is spread over ranges of it; a null adds nothing, ties stand in any order."""
+    return keyed_scan(df, keys, order, F.col(column), out, "sum", before=True).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def out_of_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
@@ -272,28 +266,32 @@ def trailing_features(hourly: DataFrame, keys: Sequence[str], hour: str, n: str,
 def cooldown(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], seconds: int) -> DataFrame:
     """Adds accepted: a row is accepted unless its key had an accepted row less than ``seconds`` before.
 
-    Each accepted row depends on the last accepted one, so no window frame can tell; every key is read once in order,
-    a batch at a time, with only its last accepted time held. A row without a time is accepted only as a key's first.
+    Each accepted row depends on the one before, so no window frame can tell. But every time has one next time that would be accepted after it, the first
+    one that is ``seconds`` later, and a time that follows no other within ``seconds`` is accepted for certain. What such times lead to is found by
+    pointer doubling: each round twice as many steps are taken, so the rounds grow with the logarithm of the longest run of accepted rows without a pause. All of it are joins
+    and scans by ranges, so a key may hold any share of the rows. Of rows of one time the first in ``order`` counts. A row without a time is accepted only as a key's first,
+    where no row of the key has one; null keys are one key.
     """
-    names = df.columns
-    key_at, time_at = [names.index(k) for k in keys], names.index(time)
-
-    def run(batches):
-        now, started, last = None, False, None
-        for batch in batches:
-            out = []
-            columns = [["NaN" if x != x else x for x in batch.column(i).to_pylist()] for i in key_at]
-            for *key, t in zip(*columns, batch.column(time_at).to_pylist(), strict=True):
-                if key != now:
-                    now, started, last = key, False, None
-                ok = not started or t is not None and last is not None and t - last >= seconds
-                if ok:
-                    started, last = True, t
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*names, "accepted"])
-
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last(time), *[F.asc_nulls_last(c) for c in order])
-    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("accepted", T.BooleanType())]))
+    names = list(keys)
+    place = [*[F.asc(k) for k in names], F.asc_nulls_last(time), *[F.asc_nulls_last(c) for c in order]]
+    rows = checkpoint(df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("_id", F.monotonically_increasing_id()))
+    firsts = rows.groupBy(*names).agg(F.min("_id").alias("_id")).select("_id")
+    nodes = rows.where(F.col(time).isNotNull()).groupBy(*names, time).agg(F.min("_id").alias("_id"))
+    if seconds <= 0:
+        good = rows.where(F.col(time).isNotNull()).select("_id").union(firsts)
+    else:
+        nodes = keyed_scan(nodes, names, [time], F.col(time), "_before", before=True)
+        nodes = nodes.select(*names, time, "_id", F.coalesce(F.col(time) - F.col("_before") >= seconds, F.lit(True)).alias("_sure"))
+        later = nodes.select(*names, F.col(time).alias("_then"), F.col("_id").alias("_next"), F.col("_sure").alias("_next_sure"))
+        leads = asof(nodes.withColumn("_due", F.col(time) + seconds), later, names, "_due", "_then", ["_next", "_next_sure"], forward=True)
+        steps = checkpoint(leads.where("_next is not null and not _next_sure").select("_id", "_next"))
+        good = nodes.where("_sure").select("_id").union(firsts).distinct()
+        while not steps.isEmpty():
+            good = checkpoint(good.union(good.join(steps, "_id").select(F.col("_next").alias("_id"))).distinct())
+            further = steps.select(F.col("_id").alias("_next"), F.col("_next").alias("_far"))
+            steps = checkpoint(steps.join(further, "_next").select("_id", F.col("_far").alias("_next")))
+    good = good.distinct().withColumn("accepted", F.lit(True))
+    return rows.join(good, "_id", "left").select(*df.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:

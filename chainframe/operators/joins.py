@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.scalar import direction
+from chainframe.operators.scans import keyed_scan
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -70,16 +71,16 @@ def candidate_history(history: DataFrame, candidates: DataFrame, on: Sequence[st
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, take: Sequence[str], strict: bool = False, forward: bool = False) -> DataFrame:
     """Each left row with ``take`` of the last right row at or before it (strict: before it), or the first at or after it.
 
-    Both sides are one stream by (by, on), so no pair is made. Right rows of equal place must be made distinct first.
-    A right row whose values are null is a match still. ``by`` must spread the rows; for a clock shared by all, see positions.
+    Both sides are one stream by (by, on), so no pair is made; a key of any size is spread over ranges of it, see keyed_scan().
+    Right rows of equal place must be made distinct first. A right row whose values are null is a match still. Null keys meet each other; a null
+    place comes before all others.
     """
     names = list(dict.fromkeys([*left.columns]))
     # at equal places the side that comes first in the order of reading decides whether they match
     first, last = (1, 0) if forward else (0, 1)
     one = left.select(F.struct(*names).alias("_l"), *by, F.col(left_on).alias("_on"), F.lit(None).cast(right.select(F.struct(*take)).schema[0].dataType).alias("_r"), F.lit(first if strict else last).alias("_side"))
     two = right.select(F.lit(None).cast(one.schema["_l"].dataType).alias("_l"), *by, F.col(right_on).alias("_on"), F.struct(*take).alias("_r"), F.lit(last if strict else first).alias("_side"))
-    place = Window.partitionBy(*by).orderBy(*(F.col(c).desc() if forward else F.col(c).asc() for c in ("_on", "_side"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = one.unionByName(two).withColumn("_m", F.last("_r", True).over(place))
+    both = keyed_scan(one.unionByName(two), by, ["_on", "_side"], F.col("_r"), "_m", descending=forward)
     return both.where("_l is not null").select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in take])
 
 

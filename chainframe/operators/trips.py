@@ -211,15 +211,25 @@ def first_exit(positions: DataFrame, states: DataFrame, keys: Sequence[str], ent
     """The first state from the fill up to the deadline at which the loss or gain is reached, else DEADLINE: exit_at, exit_reason.
 
     A state at the place of the fill itself counts: at_fill tells that the sale then follows one transaction later. The loss goes
-    before the gain, both before the deadline. Positions meet states of their key in the spans of time that they are open
-    in, so that a key with many states and positions makes no pairs beyond these; the test holds before rows are made.
+    before the gain, both before the deadline. A null key, price or entry price reaches nothing; row_id names a position.
+
+    Positions meet the least and greatest price of each span of time that they are open in. A span whose prices reach neither threshold is skipped;
+    of the whole ones only the first that does is opened, besides the spans of the fill and of the deadline, which a position sees in part. So the
+    rows that meet grow with positions times spans, and with the states of three spans a position at most.
     """
-    p, e = F.col(price).cast("decimal(18,0)") * 10_000, F.col(entry_price).cast("decimal(18,0)")
-    reached = F.when(p <= e * (10_000 - loss_bps), "STOP_LOSS").when(p >= e * (10_000 + gain_bps), "TAKE_PROFIT")
-    open_in = positions.where(F.col(entry_at) <= F.col(deadline)).withColumn("_span", F.explode(F.sequence(F.floor(F.col(entry_at) / span), F.floor(F.col(deadline) / span))))
-    spans = states.withColumn("_span", F.floor(F.col(at) / span))
-    later = open_in.join(spans, [*keys, "_span"]).where((F.col(at) >= F.col(entry_at)) & (F.col(at) <= F.col(deadline)) & reached.isNotNull())
-    first = later.groupBy(row_id).agg(F.min(F.struct(F.col(at).alias("exit_at"), reached.alias("exit_reason"))).alias("_x")).select(row_id, "_x.*")
+    p = F.col(price).cast("decimal(18,0)") * 10_000
+    loss, gain = (F.col("_e") * (10_000 - loss_bps)), (F.col("_e") * (10_000 + gain_bps))
+    rows = states.select(*keys, F.col(at).alias("_at"), p.alias("_p"), F.floor(F.col(at) / span).alias("_span"))
+    asked = positions.where(F.col(entry_at) <= F.col(deadline)).select(F.col(row_id).alias("_row"), *keys, F.col(entry_price).cast("decimal(18,0)").alias("_e"), F.col(entry_at).alias("_from"), F.col(deadline).alias("_to"))
+    asked = asked.withColumns({"_first": F.floor(F.col("_from") / span), "_last": F.floor(F.col("_to") / span)})
+    known = rows.groupBy(*keys, "_span").agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    met = asked.withColumn("_span", F.explode(F.sequence("_first", "_last"))).join(known, [*keys, "_span"]).where((F.col("_lo") <= loss) | (F.col("_hi") >= gain))
+    end = (F.col("_span") == F.col("_first")) | (F.col("_span") == F.col("_last"))
+    whole = met.where(~end).groupBy("_row").agg(F.min("_span").alias("_span"))
+    opened = met.where(end).union(met.join(whole, ["_row", "_span"], "left_semi").select(met.columns))
+    reached = F.when(F.col("_p") <= loss, "STOP_LOSS").when(F.col("_p") >= gain, "TAKE_PROFIT")
+    found = opened.select("_row", *keys, "_span", "_e", "_from", "_to").join(rows, [*keys, "_span"]).where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")) & reached.isNotNull())
+    first = found.groupBy("_row").agg(F.min(F.struct(F.col("_at").alias("exit_at"), reached.alias("exit_reason"))).alias("_x")).select(F.col("_row").alias(row_id), "_x.*")
     out = positions.join(first, row_id, "left")
     out = out.withColumns({"exit_at": F.coalesce("exit_at", deadline), "exit_reason": F.coalesce("exit_reason", F.lit("DEADLINE"))})
     return out.withColumn("at_fill", (F.col("exit_at") == F.col(entry_at)) & (F.col("exit_reason") != "DEADLINE"))
