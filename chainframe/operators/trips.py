@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chainframe.functions.scalar import MONEY, U64_TOP, boundary, ceil_fee, floordiv, let, min_output, mul_div, u64
 from chainframe.operators.aggs import cooldown, with_group_counts
+from chainframe.operators.clocks import walk
 from chainframe.operators.joins import asof, first_at_or_after, nth_after
+from chainframe.sources.tables import checkpoint
 
 
 #: What identifies a place in the chain, in this order.
@@ -289,6 +291,58 @@ def retry_sells(positions: DataFrame, states: DataFrame, keys: Sequence[str], at
     return out.drop("_at")
 
 
+def sell_ladder(positions: DataFrame, clock: DataFrame, states: DataFrame, keys: Sequence[str], row_id: str, at: str, price: str, delay: int, wait_s: int, slippage_bps: int, attempts: int = 4) -> DataFrame:
+    """Sales by the clock: status, attempts, fill_price, fill_block, fill_tx of each position.
+
+    An attempt is quoted by the key's last state at or before its decision, the first of which is the place (block, tx) of the position, and lands ``delay`` transactions
+    later. It goes through if the last state by then gives at least the quote less the slippage, rounded down. Without a quote nothing is sent, which counts as an attempt
+    too. The next decision is at the first transaction of the first later block that has one and is ``wait_s`` seconds after the failure: the landing, or the decision where
+    nothing was sent. status is CLOSED, EXHAUSTED after ``attempts`` failures, or null where the clock ends before an attempt lands or can be made.
+
+    ``clock`` is that of walk(); ``states`` have the keys, ``at`` (see boundary()), distinct in a key, and ``price``. Each round takes only the positions that are still open: one
+    path along the clock and one as-of scan for both places. Null keys meet each other. row_id names a position; a null place has no status.
+    """
+    known = states.select(*keys, F.col(at).alias("_at"), F.col(price).alias("_state"))
+    open_now, done = positions.select(row_id, *keys, F.col("block").cast("long").alias("block"), F.col("tx").cast("long").alias("tx")), None
+    kind = states.schema[price].dataType
+    for n in range(1, attempts + 1):
+        hops = [("transactions", delay)] if n == 1 else [("seconds", wait_s), ("transactions", delay)]
+        rows = walk(open_now, clock, hops, row_id)
+        first = F.struct("block", "tx") if n == 1 else F.col("places")[0]
+        rows = rows.select(row_id, *keys, first.alias("_decided"), F.col("places")[len(hops) - 1].alias("_landed"))
+        asked = rows.select(row_id, *keys, F.posexplode(F.array("_decided", "_landed")).alias("_which", "_place")).where("_place is not null")
+        priced = asof(asked.withColumn("_on", boundary(F.col("_place.block"), F.col("_place.tx"))), known, keys, "_on", "_at", ["_state"])
+        priced = priced.groupBy(row_id).agg(F.max(F.when(F.col("_which") == 0, F.col("_state"))).alias("_quote"), F.max(F.when(F.col("_which") == 1, F.col("_state"))).alias("_price"))
+        rows = checkpoint(rows.join(priced, row_id, "left"))
+        filled = F.coalesce(F.col("_price") >= min_output(F.col("_quote"), F.lit(slippage_bps)), F.lit(False))
+        status = F.when(F.col("_landed").isNull(), None).when(filled, "CLOSED")
+        ended = rows.where(F.col("_landed").isNull() | filled) if n < attempts else rows
+        if n == attempts:
+            status = status.otherwise("EXHAUSTED")
+        tried = F.when(F.col("_landed").isNotNull(), n).otherwise(n - 1)
+        sold = lambda c: F.when(F.col("_landed").isNotNull() & filled, c)
+        ended = ended.select(F.col(row_id).alias("_row"), status.cast("string").alias("status"), tried.alias("attempts"), sold(F.col("_price")).cast(kind).alias("fill_price"), sold(F.col("_landed.block")).alias("fill_block"), sold(F.col("_landed.tx")).alias("fill_tx"))
+        done = ended if done is None else done.union(ended)
+        if n == attempts:
+            break
+        failed = F.when(F.col("_quote").isNull(), F.col("_decided")).otherwise(F.col("_landed"))
+        open_now = rows.where(F.col("_landed").isNotNull() & ~filled).select(row_id, *keys, failed.alias("_f")).select(row_id, *keys, "_f.block", "_f.tx")
+        if open_now.isEmpty():
+            break
+    return positions.join(done, positions[row_id] == done["_row"], "left").drop("_row")
+
+
+def settlement(signals: DataFrame, clock: DataFrame, row_id: str, buy_delay: int, hold_s: int, sell_delay: int, observe: int = 0, wait_s: int = 2, attempts: int = 4) -> DataFrame:
+    """Adds settled, the place (block, tx) by which each signal is settled on its longest path; null where the clock ends before.
+
+    That path is seen ``observe`` transactions after the signal (at once, if 0), bought ``buy_delay`` later, held for ``hold_s`` seconds, and sold by the last of
+    ``attempts`` attempts that each land ``sell_delay`` transactions after their decision, ``wait_s`` seconds apart. One path along the clock.
+    """
+    sales = [("transactions", sell_delay), *[("seconds", wait_s), ("transactions", sell_delay)] * (attempts - 1)]
+    hops = [*([("transactions", observe)] if observe else []), ("transactions", buy_delay), ("seconds", hold_s), *sales]
+    return walk(signals, clock, hops, row_id).withColumn("settled", F.element_at("places", -1)).drop("places")
+
+
 def economics(cash: Column, liquidation: Column, cashback: Column, locked: Column) -> Column:
     """(total, mark): null and UNVALUED as soon as one part isn't known."""
     total = cash + liquidation + cashback + locked

@@ -20,6 +20,47 @@ def _(spark, d):
     return trips.tail_ok(_positions(spark, d), clock(spark, d), 900).select("id", "tail")
 
 
+def _hop(source, target, hop, fields="id, key"):
+    """SQL of one step along the clock, from block and tx of ``source``; the failed ones keep nulls."""
+    kind, n = hop
+    if kind == "transactions":
+        return f"""{target} AS (SELECT s.*, s.g - c.prefix AS tx, c.block FROM (SELECT {fields}, prefix + s.tx + {n} AS g FROM {source} s LEFT JOIN clock c ON c.block = s.block) s LEFT JOIN clock c ON s.g >= c.prefix AND s.g < c.prefix + c.tx_count)"""
+    return f"""{target} AS (SELECT {fields}, block, CASE WHEN block IS NOT NULL THEN 0 END AS tx FROM (SELECT {fields}, (SELECT min(n.block) FROM clock n WHERE n.block > s.block AND n.time >= c.time + {n} AND n.tx_count > 0) AS block FROM {source} s LEFT JOIN clock c ON c.block = s.block))"""
+
+
+HOPS = [("transactions", 2), ("transactions", 40), ("seconds", 86400 * 3), *[("transactions", 60), ("seconds", 86400)] * 3, ("transactions", 60)]
+
+
+@query("t12_settlement", f"WITH {POSITIONS}, h0 AS (SELECT id, 0 AS key, block, tx FROM pos), {', '.join(_hop(f'h{i}', f'h{i + 1}', h) for i, h in enumerate(HOPS))} SELECT id, block AS settled_block, tx AS settled_tx FROM h{len(HOPS)}")
+def _(spark, d):
+    out = trips.settlement(_positions(spark, d), clock(spark, d), "id", 40, 86_400 * 3, 60, observe=2, wait_s=86_400)
+    return out.select("id", F.col("settled.block").alias("settled_block"), F.col("settled.tx").alias("settled_tx"))
+
+
+def _ladder():
+    """Four attempts, each with its decision d, landing l, quote and price."""
+    out = POSITIONS + """, st AS (SELECT o_custkey % 40 AS key, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) * 4294967296 AS at, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS price FROM orders WHERE o_custkey % 40 <> 3 GROUP BY 1, 2),
+    d1 AS (SELECT id, id % 40 AS key, block, tx FROM pos)"""
+    for n in (1, 2, 3, 4):
+        out += f", {_hop(f'd{n}', f'l{n}', ('transactions', 25))}"
+        out += f""", q{n} AS (SELECT d.id, d.key, d.block AS d_block, d.tx AS d_tx, l.block AS l_block, l.tx AS l_tx, v.price AS quote FROM d{n} d JOIN l{n} l USING (id) ASOF LEFT JOIN st v ON v.key = d.key AND d.block * 4294967296 + d.tx + 1 >= v.at),
+        p{n} AS (SELECT q.*, v.price, coalesce(v.price >= quote * 9900 // 10000, false) AS ok FROM q{n} q ASOF LEFT JOIN st v ON v.key = q.key AND q.l_block * 4294967296 + q.l_tx + 1 >= v.at)"""
+        if n < 4:
+            out += f""", f{n} AS (SELECT id, key, CASE WHEN quote IS NULL THEN d_block ELSE l_block END AS block, CASE WHEN quote IS NULL THEN d_tx ELSE l_tx END AS tx FROM p{n} WHERE l_block IS NOT NULL AND NOT ok), {_hop(f'f{n}', f'd{n + 1}', ('seconds', 86400))}"""
+    ends = " UNION ALL ".join(f"""SELECT id, CASE WHEN l_block IS NULL THEN NULL WHEN ok THEN 'CLOSED' ELSE 'EXHAUSTED' END AS status, CASE WHEN l_block IS NULL THEN {n - 1} ELSE {n} END AS attempts, CASE WHEN ok AND l_block IS NOT NULL THEN price END AS fill_price,
+        CASE WHEN ok THEN l_block END AS fill_block, CASE WHEN ok THEN l_tx END AS fill_tx FROM p{n} WHERE {n} = 4 OR ok OR l_block IS NULL""" for n in (1, 2, 3, 4))
+    return f"WITH {out} {ends}"
+
+
+@query("t11_sell_ladder", _ladder())
+def _(spark, d):
+    day = F.floor(sc.epoch_seconds("o_orderdate") / 86400)
+    key = F.col("o_custkey") % 40
+    states = table(spark, d, "orders").where(key != 3).groupBy(key.alias("key"), F.shiftleft(day, 32).alias("at")).agg(F.max(F.round(F.col("o_totalprice") * 100).cast("long")).alias("price"))
+    pos = _positions(spark, d).withColumn("key", F.col("id") % 40)
+    return trips.sell_ladder(pos, clock(spark, d), states, ["key"], "id", "at", "price", 25, 86_400, 100).select("id", "status", "attempts", "fill_price", "fill_block", "fill_tx")
+
+
 @query("t22_state_history", f"""WITH {OBS}, h AS (SELECT *, coalesce(sum(CASE WHEN side = 'signup' THEN 1 ELSE 0 END) OVER w, 0) AS launched, first(amount % 2) OVER w AS pair0 FROM obs WINDOW w AS (PARTITION BY mint ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT event_id, rule FROM (SELECT event_id, CASE WHEN side = 'signup' AND launched > 0 THEN 'SECOND_LAUNCH' WHEN side <> 'signup' AND launched = 0 THEN 'NO_LAUNCH' WHEN amount % 2 <> pair0 THEN 'OTHER_PAIR' WHEN side = 'view' AND amount % 5 = 0 THEN 'LIFECYCLE' END AS rule FROM h) WHERE rule IS NOT NULL""")
 def _(spark, d):
