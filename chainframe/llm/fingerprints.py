@@ -55,61 +55,90 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers inside (0, 1) from the halves of each 64-bit one."""
-    return ((x >> np.uint64(32)) + 0.5) / 2.0**32, ((x & np.uint64(0xFFFFFFFF)) + 0.5) / 2.0**32
+def _factors(samples: int) -> np.ndarray:
+    """Odd factors and addends that tell samples apart: 4 x 2 x samples."""
+    return _mix(np.arange(1, 8 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(4, 2, samples) | np.uint64(1)
 
 
-def draws(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+_ONE = _factors(SAMPLES)
+
+
+def _units(words: np.ndarray) -> np.ndarray:
+    """Numbers inside (0, 1) from the upper 24 bits of 32-bit words."""
+    return ((words >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+
+
+def draws(hashes: np.ndarray, weights: np.ndarray, factors: np.ndarray = _ONE) -> tuple[np.ndarray, np.ndarray]:
     """For each term and sample: the value of which the least wins, and t."""
-    x = _mix(hashes[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    u1, u2 = _units(x)
-    r = -np.log(u1 * u2)
-    x = _mix(x + np.uint64(0xD1B54A32D192ED03))
-    u1, u2 = _units(x)
-    c = -np.log(u1 * u2)
-    b = _units(_mix(x + np.uint64(0x8CB92BA72F3D8DD7)))[0]
-    t = np.floor(np.log(weights)[:, None] / r + b)
-    return c * np.exp(r * (b - t - 1.0)), t
+    scattered = lambda i: (hashes[:, None] * factors[i, 0] + factors[i, 1]).view(np.uint32).reshape(len(hashes), -1, 2)
+    two = _units(scattered(0))
+    r = -np.log(two[:, :, 0] * two[:, :, 1])
+    two = _units(scattered(1))
+    c = -np.log(two[:, :, 0] * two[:, :, 1])
+    b = _units(scattered(2)[:, :, 1])
+    t = np.zeros_like(b)
+    if len(more := np.flatnonzero(weights > 1)):  # else t is floor(b), 0
+        t[more] = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / r[more] + b[more])
+    return c * np.exp(r * (b - t - np.float32(1))), t
 
 
 class Sampler:
     """Fingerprints of texts; keeps the draws of (term, weight) pairs met before in a table of bounded size.
 
-    A draw is one 8-byte float: its value, whose last 16 bits are replaced by those of a hash of (term, t). So the least draw of a sample carries its word along.
+    A draw is 8 bytes that compare as a float does: its value in 32 bits, then 16 bits of a hash of (term, t) below. So the least draw of a sample carries its word along.
+    When the table is full, the half that was asked for most stays.
     """
 
     def __init__(self, rows: int = TABLE_ROWS):
         self.table = np.empty((rows, SAMPLES))
-        self.numbers = np.arange(1, SAMPLES + 1, dtype=np.uint64)
-        self.clear()
-
-    def clear(self) -> None:
+        self.hits = np.zeros(rows, np.int32)
         self.used, self.places = 0, {}
 
-    def rows(self, pairs: list[tuple[int, str]]) -> np.ndarray:
-        """Places of the draws of at most CHUNK pairs (weight, term) in the table."""
-        places = self.places
-        missing = [p for p in pairs if p not in places]
-        if self.used + len(missing) > len(self.table):
-            self.clear()
-            places, missing = self.places, pairs
+    def _make_room(self) -> None:
+        half = len(self.table) // 2
+        kept = np.argsort(-self.hits[: self.used], kind="stable")[:half]
+        to = np.full(self.used, -1)
+        to[kept] = np.arange(len(kept))
+        self.table[: len(kept)] = self.table[kept]
+        self.hits[: len(kept)], self.hits[len(kept) :] = self.hits[kept] // 2, 0
+        self.places = {key: at for key, old in self.places.items() if (at := int(to[old])) >= 0}
+        self.used = len(kept)
+
+    def rows(self, keys: list[str | tuple[str, int]]) -> np.ndarray:
+        """Places in the table of at most CHUNK keys: a term of weight 1, or a term and its weight."""
+        found = list(map(self.places.get, keys))
+        missing = [key for key, at in zip(keys, found, strict=True) if at is None]
         if missing:
-            hashes = np.array([xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) for _, term in missing], np.uint64)
-            value, t = draws(hashes, np.array([w for w, _ in missing], float))
-            code = _mix((hashes[:, None] ^ _mix(t.astype(np.int64).astype(np.uint64) + np.uint64(1))) + self.numbers) >> np.uint64(48)
-            lo = self.used
-            self.used += len(missing)
-            self.table[lo : self.used] = (value.view(np.uint64) & np.uint64(0xFFFFFFFFFFFF0000) | code).view(float)
-            places.update(zip(missing, range(lo, self.used), strict=True))
-        return np.fromiter(map(places.__getitem__, pairs), np.int64, len(pairs))
+            if self.used + len(missing) > len(self.table):
+                self._make_room()
+                return self.rows(keys) if self.used + len(keys) <= len(self.table) else self._afresh(keys)
+            self._add(missing)
+            found = list(map(self.places.__getitem__, keys))
+        at = np.array(found)
+        self.hits[at] += 1
+        return at
+
+    def _afresh(self, keys: list) -> np.ndarray:
+        self.used, self.places = 0, {}
+        return self.rows(keys)
+
+    def _add(self, missing: list) -> None:
+        terms_, weights = zip(*[(key, 1) if isinstance(key, str) else key for key in missing], strict=True)
+        hashes = np.array([xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) for term in terms_], np.uint64)
+        value, t = draws(hashes, np.array(weights, float))
+        code = ((hashes[:, None] ^ (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * _ONE[3, 0]) >> np.uint64(48)
+        lo = self.used
+        self.used += len(missing)
+        self.table[lo : self.used] = (value.view(np.uint32).astype(np.uint64) << np.uint64(32) | code).view(float)
+        self.hits[lo : self.used] = 0
+        self.places.update(zip(missing, range(lo, self.used), strict=True))
 
     def fingerprint(self, text: str) -> np.ndarray:
         """16 bits of each sample."""
-        pairs = [(n, term) for term, n in terms(text).items()]
+        keys = [term if n == 1 else (term, n) for term, n in terms(text).items()]
         least = None
-        for at in range(0, len(pairs), CHUNK):
-            part = self.table[self.rows(pairs[at : at + CHUNK])].min(axis=0)
+        for at in range(0, len(keys), CHUNK):
+            part = self.table[self.rows(keys[at : at + CHUNK])].min(axis=0)
             least = part if least is None else np.minimum(least, part)
         return least.view(np.uint64).astype(np.uint16)
 
