@@ -34,14 +34,17 @@ TOGETHER = 8192
 FULL_WEIGHT = 40
 
 # Names of HTML elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATHS = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = ("script", "style", "title", "noscript", "template", "svg", "iframe", "object", "math", "head")
+UNSEEN = ("script", "style", "title", "noscript", "template", "svg", "iframe", "annotation", "annotation-xml")
+RAW = frozenset(("script", "style", "title", "iframe"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 # a tag ends at the next tag too, so that what is never closed isn't read to the end of the page again and again
-_MARK = re.compile(r"<!--|<(?P<unseen>script|style|title|noscript|template|svg|iframe|object|math)(?=[\s/>])|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:\"[^\"<>]*+\"|'[^'<>]*+'|\"[^\"]*+\"|'[^']*+'|[^<>])*+)(?:>|(?=<)|$)|<[!?][^<>]*+>?|</[^<>]*+>?")
+_MARK = re.compile(r"<!--|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:\"[^\"<>]*+\"|'[^'<>]*+'|\"[^\"]*+\"|'[^']*+'|[^<>])*+)(?:>|(?=<)|$)|<[!?][^<>]*+>?|</[^<>]*+>?")
+_SHORT_COMMENT = re.compile(r"-?>")  # <!--> and <!---> are whole
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -142,11 +145,16 @@ def _names(rest: str) -> list[str]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with references decoded and white space folded; in time linear in the page."""
+    """The leaf blocks of a page in order, with references decoded and white space folded; in time linear in the page.
+
+    Formulas and objects are read as what stands around them. What a closed UNSEEN element holds is left out, and all that follows an open
+    script, style, title, iframe or comment, as in browsers; of any other that is never closed only the start tag is.
+    """
     page = page or ""
     out: list[Block] = []
     opened, run = _Open(), []
     linked, at, path, main = 0, 0, opened.path(), False
+    endless: set[str] = set()  # unseen elements that nothing closes from here on
 
     def close():
         nonlocal run, linked
@@ -172,19 +180,27 @@ def blocks(page: str | None) -> list[Block]:
         text(page[at : mark.start()])
         at = mark.end()
         if mark[0] == "<!--":
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
-        elif mark["unseen"]:
-            at = _past(page, mark["unseen"], at)
+            if short := _SHORT_COMMENT.match(page, at):
+                at = short.end()
+            else:
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
         elif mark["name"]:
             name = mark["name"].lower()
-            if name in UNSEEN and name != "head" and not mark["end"]:
-                at = _past(page, name, at)
+            if name in UNSEEN:
+                if not mark["end"] and name not in endless and not (name == "svg" and mark["rest"].endswith("/")):
+                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                    if end:
+                        at = end.end()
+                    elif name in RAW:
+                        at = len(page)
+                    else:
+                        endless.add(name)
                 continue
             if name == "br":
                 text(" ")
                 continue
-            if name not in INLINE:
+            if name not in INLINE and name not in MATHS:
                 close()
             if mark["end"]:
                 opened.close(name)
@@ -197,12 +213,6 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _past(page: str, name: str, at: int) -> int:
-    """Where an element whose content isn't read ends."""
-    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-    return len(page) if not end else end.end()
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """A row for each block, of all its words; a block's words weigh the same each, and 4 together at most."""
     out = np.zeros((len(page), WIDTH), np.float32)

@@ -288,3 +288,18 @@ def test_html_blocks_and_extraction(spark):
     rows = [(i, "u", PAGE.format(n=i)) for i in range(30)] + [(100, None, None), (101, "u", "")]
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == (text, len(text)) and got[100] == got[101] == ("", 0)
+
+
+def test_html_loses_nothing_beside_its_marks():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts('<article><p>before</p><svg viewBox="0 0 1 1" /><p>after</p></article>') == ["before", "after"]
+    assert texts("<p>before<!-->after</p><p>one<!--->two<!-- three -->four</p>") == ["beforeafter", "onetwofour"]
+    assert texts("<p>area <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> is</p>") == ["area x=12 is"]
+    assert texts("<p>area <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> is</p>") == ["area x is"]
+    for name in ("svg", "SVG", "noscript", "template", "annotation"):
+        assert texts(f"<p>a</p><{name} class=x><p>b</p>") == ["a", "b"] and texts(f"<p>a</p><{name}><p>b</p></{name} ><p>c</p>") == ["a", "c"]
+        assert texts(f"<p>a <{name}>b <{name}>c</p>") == ["a b c"]
+    for name in ("object", "math"):
+        assert texts(f"<p>a <{name} data='x'>b") == ["a b"] and texts(f"<p>a <{name}>b</{name}> c</p>") == ["a b c"]
+    for name in ("script", "style", "title", "iframe", "TITLE"):
+        assert texts(f"<p>a</p><{name} x='>'><p>b</p>") == ["a"] and texts(f"<p>a</p><{name} x>b < c</{name}><p>d</p>") == ["a", "d"]
