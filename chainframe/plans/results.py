@@ -645,3 +645,24 @@ def _(spark, d):
     cents = F.round(F.col("value") * 100).cast("long")
     rows = _stream(spark, d, [F.col("user_id").alias("signer"), F.when(F.col("event_type") == "purchase", -cents).otherwise(cents).alias("amount")])
     return _drain(spark, streams.stream_balances(rows, ["signer"], "amount"), "complete")
+
+
+@query("k03_cooldown_settled", COOLDOWN.replace("SELECT event_id, accepted FROM w", "SELECT event_id, accepted FROM w JOIN obs USING (event_id) WHERE (t + 3599) // 3600 * 3600 <= (SELECT max(t) FROM obs) - 2 * 86400"))
+def _(spark, d):
+    rows = _stream(spark, d, [F.col("user_id").alias("signer"), F.col("ts").cast("timestamp").alias("ts"), "event_id"])
+    # times come in any order inside a file, so a watermark moves between files only
+    rows = rows.withColumn("ts", F.date_trunc("second", "ts"))
+    return _drain(spark, streams.stream_cooldown_settled(rows, "signer", "ts", "event_id", 7200, "2 days", 3600), "append")
+
+
+@query("k04_live_balances", f"WITH {OBS} SELECT signer, CAST(sum(CASE WHEN side = 'purchase' THEN -amount ELSE amount END) AS BIGINT) AS balance, sum(CASE WHEN side = 'purchase' THEN -amount ELSE amount END) < 0 AS alerted FROM obs GROUP BY signer")
+def _(spark, d):
+    cents = F.round(F.col("value") * 100).cast("long")
+    rows = _stream(spark, d, [F.col("user_id").alias("signer"), F.when(F.col("event_type") == "purchase", -cents).otherwise(cents).alias("amount")])
+    root = _state_dir(spark)
+    sink = streams.BalanceSink(root, ["signer"])
+    live = streams.stream_balances(rows, ["signer"], "amount")
+    live.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = f"signer {dict(live.dtypes)['signer']}, balance long"
+    below = sink.alerts(spark, schema).select("signer", "batch", F.lit(True).alias("_below"))
+    return sink.latest(spark, schema).join(below, ["signer", "batch"], "left").select("signer", "balance", F.coalesce("_below", F.lit(False)).alias("alerted"))
