@@ -8,9 +8,11 @@ apart share one too: at a similarity of 0.8 a pair without any common key has a
 Copies of one shingle set are one class from the start. A bucket of many classes is not spread into pairs: its
 members meet its most central one, the hub, and most are linked by that. Members of components that are
 still different are then told apart by their edits, the shingles in which they differ from the hub: two sets are as far
-apart as their edits are, so linked ones share many. In any fixed order, hub's shingles last, they share one among the first
-few (prefix filtering), and only pairs that do are compared. That is exact, and no quadratic number of pairs is made
-even if no two of the hub's neighbours are linked.
+apart as their edits are, so linked ones share many. In any fixed order they share one among the first
+few (prefix filtering), and only pairs that do are compared. That is exact. The order is by how many of the hub's neighbours have the edit, as told by a
+bounded sample of them, the rarest first: edits that many of them share, as families of documents do, come last, so that they
+don't bring all their holders together. Pairs still grow faster than the members where these have too few edits of their own to fill the prefix:
+then the hub's own shingles, of which there are only so many, bring them together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.llm import common
@@ -33,6 +35,8 @@ CHECK_POSITIONS = 22
 PAIRED = 16
 #: Documents that share a key with another, up to which their ids are sent to every task to pick their texts; more meet them in a shuffle.
 SENT_ROWS = 500_000
+#: Neighbours of a hub, those of lowest hash, by which its edits are ordered, and how many of them must share an edit that isn't rare.
+NEIGHBOURS, COMMON = 64, 3
 #: Numbers of edits that are this factor apart at most are looked up together.
 BAND = 1.5
 _MARKS = ("c1", "c2", "c3", "c4")
@@ -179,6 +183,30 @@ def prefixes(edits: int, n: int, share: int, bands: list[int], least: int = 1) -
     return out
 
 
+def _edits(x: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[~_inside(x, hub)], hub[~_inside(hub, x)]])
+
+
+def common_edits(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, a_ver: the hub; b, b_ver) -> a, a_ver, edits, counts: the edits that COMMON or more of NEIGHBOURS of its neighbours have."""
+    place = Window.partitionBy("a", "a_ver").orderBy(F.xxhash64("b", "b_ver"), "b", "b_ver")
+    few = met.select("a", "a_ver", "b", "b_ver").distinct().withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= NEIGHBOURS)
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            for a, a_ver, x, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                edits = _edits(np.frombuffer(x, "<u8"), np.frombuffer(h, "<u8")).view(np.int64)
+                if len(edits):
+                    yield {"a": np.full(len(edits), a), "a_ver": np.full(len(edits), a_ver), "edit": edits}
+
+        return step
+
+    rows = common.map_batches(_with_sets(few, sets).select("a", "a_ver", "b_set", "a_set"), make, "a long, a_ver long, edit long")
+    counted = rows.groupBy("a", "a_ver", "edit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    out = counted.groupBy("a", "a_ver").agg(F.sort_array(F.collect_list(F.struct("edit", "n"))).alias("x"))
+    return out.select("a", "a_ver", F.col("x.edit").alias("edits"), F.col("x.n").alias("counts"))
+
+
 def edit_prefixes(met: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """(a, a_ver, a_comp: the hub; b, b_ver, comp) -> at, i, b, b_ver, comp, n, d, mine: the first edits of b for each band of partners.
 
@@ -192,11 +220,17 @@ def edit_prefixes(met: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         def step(batch: pa.RecordBatch):
             out: list[tuple] = []
             rows = 0
-            for a, a_ver, a_comp, b, b_ver, comp, x, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, a_ver, a_comp, b, b_ver, comp, x, h, often, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, h = np.frombuffer(x, "<u8"), np.frombuffer(h, "<u8")
-                edits = np.concatenate([x[~_inside(x, h)], h[~_inside(h, x)]])
+                edits = _edits(x, h)
                 if not len(edits):
                     continue  # the hub itself, which has met all
+                if often:  # the rarest first; equal ones stay in order, those of the document before those of the hub
+                    often, n = np.array(often, np.int64), np.zeros(len(edits), np.int64)
+                    at = np.minimum(np.searchsorted(often, edits.view(np.int64)), len(often) - 1)
+                    known = often[at] == edits.view(np.int64)
+                    n[known] = np.array(counts, np.int64)[at[known]]
+                    edits = edits[np.argsort(n, kind="stable")]
                 mine = np.searchsorted(bands, len(edits), side="right") - 1
                 with np.errstate(over="ignore"):
                     hub = np.uint64(a & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(a_ver)
@@ -215,7 +249,7 @@ def edit_prefixes(met: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
         return step
 
-    rows = _with_sets(met, sets).select("a", "a_ver", "a_comp", "b", "b_ver", "comp", "b_set", "a_set")
+    rows = _with_sets(met, sets).join(common_edits(met, sets), ["a", "a_ver"], "left").select("a", "a_ver", "a_comp", "b", "b_ver", "comp", "b_set", "a_set", "edits", "counts")
     return common.map_batches(rows, make, "at long, i long, b long, b_ver long, comp long, n long, d long, mine long")
 
 

@@ -77,7 +77,7 @@ def test_pipeline_keeps_one_row_of_near_duplicates_of_any_id(spark):
 
 
 def test_pages_are_cut_in_linear_time():
-    for page in ("<div>" * 20_000, "<p" * 60_000, "<a x='" * 40_000, "<li>x" * 20_000, "<div class=c{}>t".format("1") * 8_000, "</b>" * 60_000, '<p title="it' * 30_000):
+    for page in ("<div>" * 20_000, "<p" * 60_000, "<a x='" * 40_000, "<li>x" * 20_000, "<div class=c{}>t".format("1") * 8_000, "</b>" * 60_000, '<p title="it' * 30_000, "<svg>x" * 20_000, "<!-->x" * 30_000, "<template a>" * 20_000, "<svg/>x" * 20_000):
         began = time.thread_time()
         html.blocks(page)
         one = time.thread_time() - began

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chainframe.llm import collocations, fingerprints, spelling
+from chainframe.llm import collocations, fingerprints, near_dups, spelling
 
 # --- fingerprints
 
@@ -241,3 +241,28 @@ def test_rows_of_numbers_are_told_apart_in_any_width():
     for below in (8, 1 << 30):
         found, n = collocations._distinct(rows, below)
         assert found.tolist() == [[1, 2, 3], [5, 6, 7]] and n.tolist() == [1, 2]
+
+
+# --- near duplicates in families
+
+
+def test_candidates_of_families_grow_in_proportion(spark, monkeypatch):
+    """Neighbours of one document that share words by families, but are not linked with one another."""
+    counts, plain = [], near_dups._share_edits
+    monkeypatch.setattr(near_dups, "_share_edits", lambda *a: counts.append((out := plain(*a)).count()) or out)
+    for n in (90, 180, 360):
+        r = random.Random(7)
+        hub = [f"h{i}" for i in range(240)]
+        docs = [(0, " ".join(hub))]
+        for i in range(1, n):
+            w = list(hub)
+            for at in range(i % 3 * 12, i % 3 * 12 + 12):  # the same for all of the family
+                w[at] = f"f{i % 3}_{at}"
+            for at in r.sample(range(40, 240), 45):
+                w[at] = f"u{i}_{at}"
+            docs.append((i, " ".join(w)))
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {x.doc_id: x.component_id for x in near_dups.component_documents(df, 1).collect()}
+        sets = {d: set(t.split()) for d, t in docs}
+        assert all(5 * len(sets[0] & sets[d]) < 4 * len(sets[0] | sets[d]) or got[d] == 0 for d in sets)
+    assert len(counts) == 3 and counts[1] <= 2.5 * counts[0] + 50 and counts[2] <= 2.5 * counts[1] + 50, counts
