@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chainframe.functions.scalar import market_cap
 from chainframe.operators.joins import asof
 from chainframe.operators.scans import keyed_scan, ranged
-from chainframe.sources.tables import checkpoint
+from chainframe.sources.tables import Steps, checkpoint
 
 
 def wallet_activity(obs: DataFrame, wallet: str, side: str, buy: str, sell: str, key: str, block: str, amount: str) -> DataFrame:
@@ -284,12 +284,14 @@ def cooldown(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str]
         nodes = nodes.select(*names, time, "_id", F.coalesce(F.col(time) - F.col("_before") >= seconds, F.lit(True)).alias("_sure"))
         later = nodes.select(*names, F.col(time).alias("_then"), F.col("_id").alias("_next"), F.col("_sure").alias("_next_sure"))
         leads = asof(nodes.withColumn("_due", F.col(time) + seconds), later, names, "_due", "_then", ["_next", "_next_sure"], forward=True)
-        steps = checkpoint(leads.where("_next is not null and not _next_sure").select("_id", "_next"))
-        good = nodes.where("_sure").select("_id").union(firsts).distinct()
-        while not steps.isEmpty():
-            good = checkpoint(good.union(good.join(steps, "_id").select(F.col("_next").alias("_id"))).distinct())
-            further = steps.select(F.col("_id").alias("_next"), F.col("_next").alias("_far"))
-            steps = checkpoint(steps.join(further, "_next").select("_id", F.col("_far").alias("_next")))
+        with Steps(df.sparkSession) as made:
+            steps = made.table(leads.where("_next is not null and not _next_sure").select("_id", "_next"))
+            good = made.table(nodes.where("_sure").select("_id").union(firsts).distinct())
+            while not steps.isEmpty():
+                good = made.table(good.union(good.join(steps, "_id").select(F.col("_next").alias("_id"))).distinct())
+                further = steps.select(F.col("_id").alias("_next"), F.col("_next").alias("_far"))
+                steps = made.table(steps.join(further, "_next").select("_id", F.col("_far").alias("_next")))
+            good = checkpoint(good)
     good = good.distinct().withColumn("accepted", F.lit(True))
     return rows.join(good, "_id", "left").select(*df.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 

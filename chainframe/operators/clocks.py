@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainframe.sources.tables import checkpoint
+from chainframe.sources.tables import Steps, checkpoint
 
 #: Blocks of a leaf at most, and places that one task takes through it, about.
 LEAF, PLACES = 1 << 12, 1 << 17
@@ -132,18 +132,21 @@ def walk(rows: DataFrame, clock: DataFrame, hops: Sequence[Hop], row_id: str, bl
     none = F.array(*[F.lit(-1).cast("long")] * n)
     here = F.col(block).cast("long")
     state = rows.where(here.isNotNull() & F.col(tx).isNotNull()).select(F.col(row_id).alias("id"), F.lit(0).alias("step"), F.floor(here / LEAF).alias("leaf"), F.lit(False).alias("asked"), F.lit(0).cast("long").alias("value"), here.alias("block"), F.col(tx).cast("long").alias("tx"), F.lit(False).alias("done"), none.alias("to_block"), none.alias("to_tx"))
-    state, walked = checkpoint(state.distinct()), None
+    state, walked, steps = state.distinct(), None, Steps(spark)
+    state = steps.table(state)
     while True:
         crowds = state.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PLACES).alias("parts"))
         asked = state.join(crowds, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts").withColumn("place", F.lit(1))
         leaves = index.join(crowds, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").withColumn("place", F.lit(0))
         both = asked.unionByName(leaves, allowMissingColumns=True).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "place")
-        moved = checkpoint(both.mapInArrow(run, schema))
+        moved = steps.table(both.mapInArrow(run, schema))
         done = moved.where("done")
         walked = done if walked is None else walked.union(done)
         state = moved.where("not done")
         if state.isEmpty():
             break
+    with steps:
+        walked = checkpoint(walked)
     places = F.transform(F.arrays_zip("to_block", "to_tx"), lambda x: F.when(x["to_block"] >= 0, F.struct(x["to_block"].alias("block"), x["to_tx"].alias("tx"))))
     out = rows.join(walked.select(F.col("id").alias("_id"), places.alias("places")), F.col(row_id).eqNullSafe(F.col("_id")), "left").drop("_id")
     nowhere = F.expr(f"array_repeat(cast(null as struct<block: bigint, tx: bigint>), {n})")

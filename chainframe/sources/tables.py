@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,20 +12,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for what jobs hand on: spark.checkpoint.dir, or the checkpoint folder that the caller has set.
 
-    Only where Spark is one process and no folder is set, one of this machine takes its place; on a cluster that fails.
+    Only where Spark is one process and neither is set, a folder of this machine takes its place; on a cluster that fails.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Steps:
+    """Tables of an iteration, as Parquet in the shared checkpoint folder; they are deleted at the end of the block.
+
+    Unlike a checkpoint a table has the size that it has: sizes that are only estimated multiply with every join of every round, until planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{checkpoint_folder(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scan_range(df: DataFrame, columns: Sequence[str], position: str, lo: int, hi: int) -> DataFrame:
     """The named columns of rows with lo <= position < hi; both reach the Parquet scan."""
     return df.where((F.col(position) >= lo) & (F.col(position) < hi)).select(*columns)
