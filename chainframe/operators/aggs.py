@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chainframe.functions.scalar import market_cap
 from chainframe.operators.joins import asof
 from chainframe.operators.scans import keyed_scan, ranged
-from chainframe.sources.tables import Steps, checkpoint
+from chainframe.sources.tables import Steps, checkpoint, row_digest
 
 
 def wallet_activity(obs: DataFrame, wallet: str, side: str, buy: str, sell: str, key: str, block: str, amount: str) -> DataFrame:
@@ -168,8 +168,7 @@ def rank_percentile(df: DataFrame, keys: Sequence[str], column: str, percent: in
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """n and a sum of row hashes: the same for the same rows in any order."""
-    digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(digest.cast("decimal(38,0)")).alias("digest"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_digest(df.columns)).alias("digest"))
 
 
 def dense_keys(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -304,6 +303,26 @@ def keyset_page(df: DataFrame, keys: Sequence[str], after: Sequence | None, limi
     return rows.orderBy(*keys).limit(limit)
 
 
+def keyset_page_and_more(df: DataFrame, keys: Sequence[str], after: Sequence | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows after a composite cursor, with more: whether others follow. One row more is read for that. An empty page is the end."""
+    page = keyset_page(df, keys, after, limit + 1)
+    place = F.row_number().over(Window.orderBy(*keys))
+    return page.withColumns({"_place": place, "more": F.count(F.lit(1)).over(Window.partitionBy()) > limit}).where(F.col("_place") <= limit).drop("_place")
+
+
+def block_clock(df: DataFrame, block: str, payload: Sequence[str], sentinel: Mapping[str, object]) -> DataFrame:
+    """One row a block: the least of each payload column, source_row_count, payload_variant_count, and sentinel: one variant only, and that of a block that wasn't made.
+
+    Variants are whole rows, nulls included; a null block is a block of its own.
+    """
+    whole = F.struct(*payload)
+    out = df.groupBy(block).agg(*[F.min(c).alias(c) for c in payload], F.count(F.lit(1)).alias("source_row_count"), F.count_distinct(whole).alias("payload_variant_count"))
+    is_it = F.col("payload_variant_count") == 1
+    for c, value in sentinel.items():
+        is_it = is_it & F.col(c).eqNullSafe(F.lit(value))
+    return out.withColumn("sentinel", is_it)
+
+
 def canonical_sort(df: DataFrame, boundary: str, group: str, index: str, cause: str) -> DataFrame:
     """By boundary, group, index (a null first: the row of the whole transaction) and cause."""
     return df.orderBy(boundary, group, F.asc_nulls_first(index), cause)

@@ -126,9 +126,11 @@ def _before(points: DataFrame, column: str, value: Column, fold: Callable[[Colum
     return rows.withColumn(out, both).drop("_span", "_of", "_value", "_inside", "_carried")
 
 
-def model_at(rows: DataFrame, schedule: DataFrame, at: str, start: str = "valid_from", end: str = "valid_until", model: str = "model_id") -> DataFrame:
+def model_at(rows: DataFrame, schedule: DataFrame, at: str, start: str = "valid_from", end: str = "valid_until", model: str = "model_id", fallback: str | None = None) -> DataFrame:
     """Rows with the model of a schedule of intervals that don't overlap: status SCORED, UNCOVERED before its first start, GAP where none holds.
 
+    With ``fallback``, a model's name, it takes the rows that no interval holds: FALLBACK; the other columns of the schedule stay null. See require_covered() to fail on a gap.
+
     A schedule of up to SCHEDULE_ROWS rows is sent to every task. A longer one meets the rows in spans of its own time,
     each span with the last interval that begins before it.
     """
@@ -138,7 +140,18 @@ def model_at(rows: DataFrame, schedule: DataFrame, at: str, start: str = "valid_
     else:
         found = _interval_of(rows, schedule, at, start, end)
     status = F.when(F.col(model).isNotNull(), "SCORED").when(F.col("_first").isNull() | (F.col(at) < F.col("_first")), "UNCOVERED").otherwise("GAP")
-    return found.join(F.broadcast(first)).withColumn("status", status).drop("_first")
+    out = found.join(F.broadcast(first)).withColumn("status", status).drop("_first")
+    if fallback is not None:
+        out = out.withColumns({"status": F.when(F.col("status") == "SCORED", "SCORED").otherwise("FALLBACK"), model: F.coalesce(model, F.lit(fallback))})
+    return out
+
+
+def require_covered(scored: DataFrame, prefix: bool = True) -> DataFrame:
+    """What model_at() gives, if it has no GAP; else fails. Rows before the first start may stay UNCOVERED only with ``prefix``."""
+    bad = scored.where(F.col("status").isin(["GAP"] if prefix else ["GAP", "UNCOVERED"])).groupBy("status").count().collect()
+    if bad:
+        raise ValueError(f"rows without a model: {({x['status']: x['count'] for x in bad})}")
+    return scored
 
 
 def _interval_of(rows: DataFrame, schedule: DataFrame, at: str, start: str, end: str, step: int = 64) -> DataFrame:

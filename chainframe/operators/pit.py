@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainframe.functions.scalar import floordiv
-from chainframe.operators.aggs import gram
-from chainframe.operators.joins import model_at
+from chainframe.operators.aggs import gram, with_ordinal
+from chainframe.operators.joins import asof, model_at
+from chainframe.sources.tables import checkpoint
 
 
 def feature_rows(events: DataFrame, at: str, warm_ups: Sequence[int], values: Sequence[str], row_id: str) -> DataFrame:
@@ -50,26 +51,66 @@ def training_rows(labels: DataFrame, universe: DataFrame, features: DataFrame, n
     return rows
 
 
+def training_set(labels: DataFrame, universe: DataFrame, features: DataFrame, names: Sequence[str], train_from: int, train_until: int, cutoff: int) -> DataFrame:
+    """row_id, at, label and a column for each of ``names``: what may be trained on at train_from <= at < train_until.
+
+    ``labels``: row_id, entity, at, label, future_used. ``universe``: row_id, eligible_from, eligible_until; a row takes part if one of its intervals holds ``at``.
+    ``features``: name, entity, available, value, of any number of feature sets; a row gets the last value of its entity that was available by ``at`` (of equal times
+    the greatest). Rows without a label are left out. Fails if a label has used what lies behind ``cutoff``, if a feature is missing or came too late for
+    a row, or if nothing is left. Null entities meet each other.
+
+    All sets and all decisions are one stream that is scanned once by (name, entity); decisions stand in it once for each name.
+    """
+    split = labels.where((F.col("at") >= train_from) & (F.col("at") < train_until))
+    if split.where(F.col("future_used") > cutoff).limit(1).count():
+        raise ValueError("a label uses data after the cutoff")
+    inside = universe.select(F.col("row_id").alias("_row"), "eligible_from", "eligible_until")
+    known = split.where("label is not null").join(inside, (F.col("row_id") == F.col("_row")) & (F.col("at") >= F.col("eligible_from")) & (F.col("at") < F.col("eligible_until")), "left_semi")
+    asked = known.select("row_id", "entity", "at", "label", F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    told = features.groupBy("name", "entity", F.col("available").alias("_from")).agg(F.max("value").alias("value"))
+    met = asof(asked, told, ["name", "entity"], "at", "_from", ["value"])
+    out = met.groupBy("row_id", "at", "label").agg(F.count_if(F.col("value").isNull()).alias("_lacks"), *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    out = checkpoint(out)
+    if out.where("_lacks > 0").limit(1).count():
+        raise ValueError("a feature is missing or not yet available")
+    if out.isEmpty():
+        raise ValueError("no rows to train on")
+    return out.drop("_lacks")
+
+
 def fit_ridge(df: DataFrame, x: Sequence[str], y: str, penalty: int) -> list[Fraction]:
     """Ridge regression from exact sums; the intercept comes first and has no penalty. Only the sums leave the cluster."""
+    return fit_ridge_and_error(df, x, y, penalty)[0]
+
+
+def fit_ridge_and_error(df: DataFrame, x: Sequence[str], y: str, penalty: int) -> tuple[list[Fraction], Fraction]:
+    """The coefficients of fit_ridge() and the sum of squared errors on the rows they come from, both exact. Fails if the columns depend on one another."""
     s, k = gram(df, x, y).first().asDict(), len(x) + 1
     at = lambda i, j: Fraction(int(s[f"x{min(i, j)}_x{max(i, j)}"] or 0))
-    rows = [[at(i, j) + (penalty if i == j and i else 0) for j in range(k)] + [Fraction(int(s[f"x{i}_y"] or 0))] for i in range(k)]
-    for c in range(k):
-        pivot = next((r for r in range(c, k) if rows[r][c]), None)
+    target = [Fraction(int(s[f"x{i}_y"] or 0)) for i in range(k)]
+    fitted = _solve([[at(i, j) + (penalty if i == j and i else 0) for j in range(k)] + [target[i]] for i in range(k)])
+    error = Fraction(int(s["y_y"] or 0)) - 2 * sum(b * t for b, t in zip(fitted, target, strict=True)) + sum(fitted[i] * fitted[j] * at(i, j) for i in range(k) for j in range(k))
+    return fitted, error
+
+
+def _solve(rows: list[list[Fraction]]) -> list[Fraction]:
+    """The solution of a square system, whose right side is the last column."""
+    for c in range(len(rows)):
+        pivot = next((r for r in range(c, len(rows)) if rows[r][c]), None)
         if pivot is None:
             raise ValueError("the columns depend on one another")
         rows[c], rows[pivot] = rows[pivot], rows[c]
         rows[c] = [v / rows[c][c] for v in rows[c]]
-        for r in range(k):
+        for r in range(len(rows)):
             if r != c and rows[r][c]:
                 factor = rows[r][c]
                 rows[r] = [a - factor * b for a, b in zip(rows[r], rows[c], strict=True)]
     return [r[-1] for r in rows]
 
 
-def score(features: DataFrame, schedule: DataFrame, at: str, names: Sequence[str], missing: str = "NULL") -> DataFrame:
-    """prediction = floor((bias + sum(w * x)) / divisor) of the model that holds at the row; prediction_available is the latest of its inputs.
+def score(features: DataFrame, schedule: DataFrame, at: str, names: Sequence[str], missing: str = "NULL", also: Sequence[str] = ()) -> DataFrame:
+    """prediction = floor((bias + sum(w * x)) / divisor) of the model that holds at the row; prediction_available is the latest of its inputs:
+    of the row's available, the model's model_available, and the columns ``also``, such as when the model was fitted and when the run ended.
 
     ``schedule``: valid_from, valid_until, model_id, model_available, bias, divisor, weights (array, in the order of names).
     """
@@ -82,7 +123,7 @@ def score(features: DataFrame, schedule: DataFrame, at: str, names: Sequence[str
         lacking = lacking | F.col(c).isNull()
     if missing == "FAIL" and rows.where(lacking).limit(1).count():
         raise ValueError("a feature is missing")
-    return rows.withColumns({"prediction": F.when((F.col("status") == "SCORED") & ~lacking, floordiv(total, F.col("divisor"))), "prediction_available": F.greatest("available", "model_available")})
+    return rows.withColumns({"prediction": F.when((F.col("status") == "SCORED") & ~lacking, floordiv(total, F.col("divisor"))), "prediction_available": F.greatest("available", "model_available", *also)})
 
 
 def check_schedule(schedule: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,6 +141,21 @@ def split_purged(df: DataFrame, at: str, known_at: str, label: str, cut: Column)
     return df.withColumn("split", F.when(F.col(label).isNull(), "UNKNOWN").when(F.col(at) >= cut, "TEST").when(F.col(known_at) > cut, "PURGED").otherwise("TRAIN"))
 
 
+def split_by_rank(df: DataFrame, order: Sequence[str], at: str, label: str, known_at: str, tenths: int = 7) -> DataFrame:
+    """Adds split: the first ``tenths`` tenths of the rows in order, rounded down, train, the others test.
+
+    TRAIN; PURGED_TRAIN where the label isn't known before the first test row's ``at``; UNKNOWN_TRAIN and UNKNOWN_TEST without a label; TEST. Rows are numbered by
+    ranges, so no task holds all. ``order`` begins with ``at`` and is total.
+    """
+    rows = with_ordinal(df, order, "_i")
+    cut = df.count() * tenths // 10
+    first = rows.where(F.col("_i") == cut).select(F.col(at).alias("_start"))
+    train, unknown = F.col("_i") < cut, F.col(label).isNull()
+    late = F.coalesce(F.col(known_at) >= F.col("_start"), F.lit(True))
+    split = F.when(unknown & train, "UNKNOWN_TRAIN").when(unknown, "UNKNOWN_TEST").when(~train, "TEST").when(late, "PURGED_TRAIN").otherwise("TRAIN")
+    return rows.join(F.broadcast(first)).withColumn("split", split).drop("_i", "_start")
+
+
 def fit_logistic(df: DataFrame, names: Sequence[str], label: str):
     """A pipeline of standardisation and logistic regression, fitted on the cluster."""
     from pyspark.ml import Pipeline
