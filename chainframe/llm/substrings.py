@@ -179,10 +179,12 @@ def remove_repeats(df: DataFrame, size: int = 50, period: int = 31, key: str = "
     empty result; texts of any length are read in overlapping turns of TURN words.
     """
     starts = repeated_starts(df, size, period, key, text)
-    others = [c for c in df.columns if c not in ("n_words", "n_removed", "kept", "_doc", "_ver", "_starts")]
-    rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(key).cast("long").alias("_doc"), version(text).alias("_ver"))
-    starts = starts.select(F.col("doc").alias("_doc"), F.col("ver").alias("_ver"), F.col("starts").alias("_starts"))
-    rows = rows.join(starts, ["_doc", "_ver"], "left").select(*[F.col(f"`{c}`") for c in others], "_starts")
+    others = [c for c in df.columns if c not in ("n_words", "n_removed", "kept")]
+    mark = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in others), default=0))  # names that no column has
+    doc_, ver_, starts_ = f"{mark}doc", f"{mark}ver", f"{mark}starts"
+    rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(key).cast("long").alias(doc_), version(text).alias(ver_))
+    starts = starts.select(F.col("doc").alias(doc_), F.col("ver").alias(ver_), F.col("starts").alias(starts_))
+    rows = rows.join(starts, [doc_, ver_], "left").select(*[F.col(f"`{c}`") for c in others], starts_)
     struct = common.T.StructType([*rows.select(*[F.col(f"`{c}`") for c in others]).schema.fields, *common.T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
     at = others.index(text)
 

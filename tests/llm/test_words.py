@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from chainframe.llm import collocations, fingerprints, near_dups, spelling
+from chainframe.llm import collocations, fingerprints, near_dups, spelling, substrings
 
 # --- fingerprints
 
@@ -266,3 +266,12 @@ def test_candidates_of_families_grow_in_proportion(spark, monkeypatch):
         sets = {d: set(t.split()) for d, t in docs}
         assert all(5 * len(sets[0] & sets[d]) < 4 * len(sets[0] | sets[d]) or got[d] == 0 for d in sets)
     assert len(counts) == 3 and counts[1] <= 2.5 * counts[0] + 50 and counts[2] <= 2.5 * counts[1] + 50, counts
+
+
+def test_columns_of_any_name_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, "a", 1, 2, "s"), (2, f"x {passage} y", "b", 3, 4, "t"), (None, passage, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _ver int, __starts int, starts string")
+    out = {x.doc_id: x for x in substrings.remove_repeats(df).collect()}
+    assert {d: (x["_doc"], x["_ver"], x["__starts"], x["starts"], x.n_removed) for d, x in out.items()} == {1: ("a", 1, 2, "s", 0), 2: ("b", 3, 4, "t", 60), None: (None, None, None, None, 0)}
+    assert out[2].kept == "x y"
