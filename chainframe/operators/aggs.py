@@ -237,7 +237,7 @@ def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], ou
 
 
 def once_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str) -> DataFrame:
-    """The column on the first row of each key, 0 on the others."""
+    """The column on the first row of each key, 0 on the others; a null key is a key of its own, and of rows that tie any one is the first."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
     return df.withColumn(out, F.when(first, F.col(column)).otherwise(0))
 

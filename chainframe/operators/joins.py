@@ -41,7 +41,7 @@ def pairs(matches: DataFrame, least: int) -> DataFrame:
 
 
 def pair_evidence(matches: DataFrame, found: DataFrame, rows: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
-    """The matches of the pairs found, with both source rows."""
+    """The matches of the pairs found, with both source rows. Pairs have no nulls; a match whose row id isn't in ``rows``, or twice, gives no row, or two."""
     kept = matches.join(found.select("a", "b"), ["a", "b"])
     for side in ("a", "b"):
         kept = kept.join(rows.select(F.col(row_id).alias(f"{side}_row"), *[F.col(c).alias(f"{side}_{c}") for c in columns]), f"{side}_row")
@@ -223,20 +223,32 @@ def attach_slot_state(signals: DataFrame, states: DataFrame, on: Sequence[str],
     return out.withColumn("state_status", F.when(F.col(state_at).isNull(), "MISSING").when(F.col(state_at) < F.col(signal_at), "EARLY").otherwise("OK"))
 
 
+def _same(columns: Sequence[str]) -> list[Column]:
+    """Equality of columns and those with an underscore in front; nulls are equal."""
+    return [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+
+
 def inherit_roles(rows: DataFrame, ids: Sequence[str], path: str = "path", decoder: str = "decoder", role: str = "role") -> DataFrame:
-    """Each instruction's own role, or the one of its nearest ancestor of the same decoder: inherited_role."""
-    up = rows.select(*ids, decoder, F.col(path).alias("_path"), F.explode(F.sequence(F.size(path), F.lit(1), F.lit(-1))).alias("_depth"))
+    """Each instruction's own role, or the one of its nearest ancestor of the same decoder: inherited_role, null where there is none.
+
+    A null id or decoder is one of its own, a null or empty path inherits nothing; of two roles at one place the greater counts. Rows that repeat stay.
+    """
+    names = [*ids, decoder]
+    deep = rows.where(F.col(path).isNotNull() & (F.size(path) > 0)).select(*names, F.col(path).alias("_path")).distinct()
+    up = deep.withColumn("_depth", F.explode(F.sequence(F.when(F.size("_path") > 0, F.size("_path")).otherwise(1), F.lit(1), F.lit(-1))))
     up = up.withColumn("_up", F.slice("_path", F.lit(1), F.col("_depth")))
-    have = rows.where(F.col(role).isNotNull()).select(*ids, decoder, F.col(path).alias("_up"), F.col(role).alias("inherited_role"))
-    near = up.join(have, [*ids, decoder, "_up"]).groupBy(*ids, decoder, "_path").agg(F.max_by("inherited_role", "_depth").alias("inherited_role"))
-    return rows.join(near.withColumnRenamed("_path", path), [*ids, decoder, path], "left")
+    have = rows.where(F.col(role).isNotNull()).groupBy(*[F.col(c).alias(f"_{c}") for c in names], F.col(path).alias("_at")).agg(F.max(role).alias("_role"))
+    near = up.join(have, [*_same(names), F.col("_up") == F.col("_at")]).groupBy(*[F.col(c) for c in names], F.col("_path")).agg(F.max_by("_role", "_depth").alias("inherited_role"))
+    near = near.select(*[F.col(c).alias(f"_{c}") for c in names], F.col("_path").alias("_at"), "inherited_role")
+    return rows.join(near, [*_same(names), F.col(path) == F.col("_at")], "left").drop(*[f"_{c}" for c in names], "_at")
 
 
 def drop_superseded(rows: DataFrame, ids: Sequence[str], path: str, version: str) -> DataFrame:
-    """Without rows of an older version where a newer one stands under the same parent."""
+    """Without rows of an older version where a newer one stands under the same parent. A null id is one of its own, a null version is older than all others; rows of one version all stay."""
     parent = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
-    newest = rows.groupBy(*ids, parent.alias("_parent")).agg(F.max(version).alias("_newest"))
-    return rows.withColumn("_parent", parent).join(newest, [*ids, "_parent"]).where(F.col(version) == F.col("_newest")).drop("_parent", "_newest")
+    newest = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in ids], parent.alias("__parent")).agg(F.max(version).alias("_newest"))
+    out = rows.withColumn("_parent", parent).join(newest, _same([*ids, "_parent"])).where(F.col(version).eqNullSafe(F.col("_newest")))
+    return out.drop("_parent", "__parent", "_newest", *[f"_{c}" for c in ids])
 
 
 def align_features(*frames: DataFrame, on: str = "row_id") -> DataFrame:
@@ -253,11 +265,16 @@ def align_features(*frames: DataFrame, on: str = "row_id") -> DataFrame:
 
 
 def reconcile(left: DataFrame, right: DataFrame, on: Sequence[str], amount: str) -> DataFrame:
-    """Sums of both sides by key and how they compare: MATCH, MISMATCH, ONLY_LEFT or ONLY_RIGHT."""
-    one = left.groupBy(*on).agg(F.sum(amount).alias("left_amount"))
-    two = right.groupBy(*on).agg(F.sum(amount).alias("right_amount"))
-    status = F.when(F.col("right_amount").isNull(), "ONLY_LEFT").when(F.col("left_amount").isNull(), "ONLY_RIGHT").when(F.col("left_amount") == F.col("right_amount"), "MATCH").otherwise("MISMATCH")
-    return one.join(two, list(on), "full_outer").withColumn("status", status)
+    """Sums of both sides by key and how they compare: MATCH, MISMATCH, ONLY_LEFT or ONLY_RIGHT.
+
+    Null keys meet each other. A null amount adds nothing; a side of nulls only is there, with a null sum that matches another null one.
+    """
+    names = list(on)
+    one = left.groupBy(*names).agg(F.sum(amount).alias("left_amount"), F.lit(True).alias("_left"))
+    two = right.groupBy(*[F.col(c).alias(f"_{c}") for c in names]).agg(F.sum(amount).alias("right_amount"), F.lit(True).alias("_right"))
+    status = F.when(F.col("_right").isNull(), "ONLY_LEFT").when(F.col("_left").isNull(), "ONLY_RIGHT").when(F.col("left_amount").eqNullSafe(F.col("right_amount")), "MATCH").otherwise("MISMATCH")
+    both = one.join(two, _same(names), "full_outer").withColumn("status", status)
+    return both.select(*[F.when(F.col("_left").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names], "left_amount", "right_amount", "status")
 
 
 def price_accounts(required: DataFrame, costs: DataFrame, kind: str = "kind") -> DataFrame:

@@ -181,3 +181,17 @@ def test_sales_by_the_clock(spark):
         for hop in [("transactions", 2), ("seconds", 30), ("transactions", 4), *[("seconds", 2), ("transactions", 4)] * 3]:
             place = step(clock, place, hop)
         assert (None if settled[i] is None else tuple(settled[i])) == place
+
+
+def test_null_keys_take_part(spark):
+    tree = [(None, "p", [1], "root"), (None, "p", [1, 2], None), (None, "q", [1, 2, 3], None), (7, None, [4], "x"), (7, None, [4, 1], None), (7, None, None, None), (7, None, [], None), (7, "p", [4, 1], None)]
+    df = spark.createDataFrame(tree, "tx long, decoder string, path array<int>, role string")
+    got = sorted(((x.tx, x.decoder, x.path, x.inherited_role) for x in joins.inherit_roles(df, ["tx"]).collect()), key=repr)
+    want = [(None, "p", [1], "root"), (None, "p", [1, 2], "root"), (None, "q", [1, 2, 3], None), (7, None, [4], "x"), (7, None, [4, 1], "x"), (7, None, None, None), (7, None, [], None), (7, "p", [4, 1], None)]
+    assert got == sorted(want, key=repr)
+    rows = spark.createDataFrame([(None, [1, 1], 1), (None, [1, 2], 2), (3, [1, 1], None), (3, [1, 2], None), (4, [1, 1], None), (4, [1, 3], 5), (4, [2], 1), (4, [2], 1)], "tx long, path array<int>, v long")
+    got = sorted(((x.tx, x.path, x.v) for x in joins.drop_superseded(rows, ["tx"], "path", "v").collect()), key=repr)
+    assert got == sorted([(None, [1, 2], 2), (3, [1, 1], None), (3, [1, 2], None), (4, [1, 3], 5), (4, [2], 1), (4, [2], 1)], key=repr)
+    one, two = (spark.createDataFrame(x, "k long, n long") for x in ([(None, 5), (1, 2), (1, None), (2, 3), (4, None)], [(None, 5), (1, 3), (3, 1), (4, None)]))
+    got = {x.k: (x.left_amount, x.right_amount, x.status) for x in joins.reconcile(one, two, ["k"], "n").collect()}
+    assert got == {None: (5, 5, "MATCH"), 1: (2, 3, "MISMATCH"), 2: (3, None, "ONLY_LEFT"), 3: (None, 1, "ONLY_RIGHT"), 4: (None, None, "MATCH")}
