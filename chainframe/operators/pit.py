@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from chainframe.functions.scalar import floordiv
 from chainframe.operators.aggs import gram, with_ordinal
 from chainframe.operators.joins import asof, model_at
-from chainframe.sources.tables import checkpoint
+from chainframe.sources.tables import checkpoint, checkpoint_folder
 
 
 def feature_rows(events: DataFrame, at: str, warm_ups: Sequence[int], values: Sequence[str], row_id: str) -> DataFrame:
@@ -157,13 +158,18 @@ def split_by_rank(df: DataFrame, order: Sequence[str], at: str, label: str, know
 
 
 def fit_logistic(df: DataFrame, names: Sequence[str], label: str):
-    """A pipeline of standardisation and logistic regression, fitted on the cluster."""
-    from pyspark.ml import Pipeline
+    """A pipeline of standardisation and logistic regression, fitted on the cluster.
+
+    It is written and read again without the summary of its fit, as that holds the session, which can't be sent to tasks once rows have been observed.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     steps = [VectorAssembler(inputCols=list(names), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", labelCol=label)]
-    return Pipeline(stages=steps).fit(df)
+    path = f"{checkpoint_folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
+    Pipeline(stages=steps).fit(df).save(path)
+    return PipelineModel.load(path)
 
 
 def binary_metrics(df: DataFrame, probability: str, label: str) -> DataFrame:
