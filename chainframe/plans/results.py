@@ -444,7 +444,7 @@ def _(spark, d):
 
 @query("n02_communities")
 def _(spark, d):
-    return graph.communities(edges(spark, d))
+    return graph.communities(edges(spark, d), 20)
 
 
 @query("n03_quotient", f"WITH {EDGES} SELECT least(a % 7, b % 7) AS g1, greatest(a % 7, b % 7) AS g2, CAST(sum(weight) AS BIGINT) AS weight, count(*) AS n_edges FROM edges GROUP BY 1, 2")
