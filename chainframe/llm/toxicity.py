@@ -179,7 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     count = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y")).alias("k")).first()
     prior = min(0.9, max(0.005, (count.k or 0) / max(1, count.n)))
     toxic = known.where("y = 1").select("id").distinct()
-    return fit_bags(_positive_bags(texts, toxic, POSITIVES), _bags(texts, UNLABELLED), prior)
+    model = fit_bags(_positive_bags(texts, toxic, POSITIVES), _bags(texts, UNLABELLED), prior)
+    common.give_back()  # the driver goes on without the bags
+    return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
