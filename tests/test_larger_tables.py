@@ -1,12 +1,15 @@
 """What larger tables hold and small ones lack, against the queries' own SQL."""
 
 import datetime
+import random
 
 import duckdb
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from chainframe.operators import blocks, joins
 from chainframe.plans import queries as plans
 from chainframe.plans import guards, more, results, trades  # noqa: F401  register their queries
 
@@ -37,3 +40,38 @@ def same_rows(spark, folder, name):
 def test_a_posting_is_never_zero(spark, tmp_path):
     folder = events(tmp_path, [(1, 5, 3, 0.0, "view"), (2, 6, 3, 0.05, "view"), (3, 7, 3, 0.14, "view"), (4, 8, 3, None, "view")])
     assert same_rows(spark, folder, "t18_to_postings") == [(1, "CASH", "Q", -5), (1, "FEES", "Q", 5), (2, "CASH", "Q", -14), (2, "VENUE", "Q", 14)]
+
+
+PAIR_QUERIES = ["c01_co_occurrence", "d02_pairs", "c08_pair_evidence", "e04_running_offset", "n01_node_strength", "n03_quotient", "n04_ego", "f06_rank_groups"]
+
+
+@pytest.mark.parametrize("name", PAIR_QUERIES)
+def test_pairs_across_blocks_are_those_of_the_sql(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(blocks, "FEW", 60)
+    monkeypatch.setattr(blocks, "MATCHES", 300)
+    draw = random.Random(5)
+    folder = events(tmp_path, [(draw.randint(-3, 30), draw.choice([0, 86_400, draw.randint(0, 400_000)]), draw.randint(0, 25), draw.randint(0, 900) / 100, "view") for _ in range(900)])
+    assert same_rows(spark, folder, name)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_not_shuffled(spark, tmp_path):
+    folder = events(tmp_path, [(1, 5, 3, 1.0, "view"), (2, 6, 3, 1.0, "view")])
+    for name in ("c01_co_occurrence", "d02_pairs", "c08_pair_evidence", "e04_running_offset", "n04_ego"):
+        above = plan(plans.QUERIES[name](spark, folder)).split("MapInArrow")[0]  # what happens to pairs
+        assert "Exchange hash" not in above and "Exchange range" not in above, name
+
+
+def test_evidence_counts_matches_once_and_gives_every_source_row(spark):
+    first = spark.createDataFrame([(1, "x", 10, 100), (2, "x", 12, 101), (1, "y", 20, 102), (2, "y", 20, 103), (3, "x", 11, 104), (4, None, 11, 105), (None, "x", 11, 106), (3, "y", 20, None)], "signer int, mint string, t long, event_id long")
+    source = spark.createDataFrame([(100, "p"), (101, "q"), (101, "r"), (103, "s"), (104, "t")], "event_id long, note string")
+    old = joins.pair_evidence(joins.co_occurrence(first, 5), joins.pairs(joins.co_occurrence(first, 5), 2), source, "event_id", ["note"])
+    new = blocks.pair_matches(first, 5, 2, source, "event_id", ["note"])
+    names = ["key", "a", "b", "a_row", "b_row", "direction", "a_note", "b_note"]
+    assert sorted(map(tuple, new.select(names).collect()), key=str) == sorted(map(tuple, old.select(names).collect()), key=str) and new.count() == 5
+    assert dict(new.dtypes)["a"] == "int"
+    every = ["key", "a", "b", "a_row", "b_row", "direction"]
+    assert sorted(map(tuple, blocks.pair_matches(first, 5).select(every).collect()), key=str) == sorted(map(tuple, joins.co_occurrence(first, 5).select(every).collect()), key=str)
