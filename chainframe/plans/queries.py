@@ -77,7 +77,7 @@ def found_pairs(spark, d):
 
 
 def edges(spark, d):
-    return found_pairs(spark, d).select("a", "b", F.col("shared").alias("weight"))
+    return blocks.pair_weights(first_rows(spark, d), 86_400, 2)
 
 
 def clock(spark, d):
