@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("c08_pair_evidence", f"WITH {PAIRS} SELECT m.a, m.b, m.key, m.direction, a_row, b_row, x.amount AS a_amount, y.amount AS b_amount FROM matches m JOIN pairs USING (a, b) JOIN obs x ON a_row = x.event_id JOIN obs y ON b_row = y.event_id")
 def _(spark, d):
-    return joins.pair_evidence(matches(spark, d), found_pairs(spark, d), obs(spark, d), "event_id", ["amount"]).select("a", "b", "key", "direction", "a_row", "b_row", "a_amount", "b_amount")
+    return blocks.pair_matches(first_rows(spark, d), 86_400, 2, obs(spark, d), "event_id", ["amount"]).select("a", "b", "key", "direction", "a_row", "b_row", "a_amount", "b_amount")
 
 
 def _views(spark, d):
