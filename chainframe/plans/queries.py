@@ -69,7 +69,7 @@ def first_rows(spark, d):
 
 
 def matches(spark, d):
-    return joins.co_occurrence(first_rows(spark, d), 86_400)
+    return blocks.pair_matches(first_rows(spark, d), 86_400)
 
 
 def found_pairs(spark, d):
