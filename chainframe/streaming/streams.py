@@ -61,7 +61,8 @@ def stream_cooldown(df: DataFrame, key: str, time: str, order: str, seconds: int
 class _Cooldown(StatefulProcessor):
     """Holds a key's rows, in buckets of ``width`` seconds, until the watermark has passed their bucket; then no row of it can still come and it is decided in order of time.
 
-    A bucket's timer is at its end. The last accepted time goes by a timer of its own, when every row still to come is accepted anyway.
+    Calls to the state cost more than rows, so a key has one list of arrays, to which a micro-batch adds one, and one timer: at the end of its earliest bucket, or else
+    where its last accepted time goes, as every row still to come is accepted then anyway. due is that timer's time.
     """
 
     def __init__(self, order: str, seconds: int, width: int):
@@ -69,8 +70,12 @@ class _Cooldown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
-        self.waiting = handle.getMapState("waiting", "bucket long", "t array<long>, o array<long>")
+        self.state = handle.getValueState("state", "at long, due long")
+        self.waiting = handle.getListState("waiting", "t array<long>, o array<long>")
+
+    def _ends(self, t: np.ndarray) -> np.ndarray:
+        """The ends of the rows' buckets in milliseconds."""
+        return -(-t // self.width) * self.width // 1000
 
     def handleInputRows(self, key, rows, timerValues):
         # columns come by their places: key, time, order
@@ -78,38 +83,48 @@ class _Cooldown(StatefulProcessor):
         if not parts:
             return iter(())
         t, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = -(-t // self.width)
-        for b in np.unique(bucket).tolist():
-            here, held = bucket == b, ([], [])
-            if self.waiting.containsKey((b,)):
-                held = self.waiting.getValue((b,))
-            else:
-                self.handle.registerTimer(b * self.width // 1000)
-            self.waiting.updateValue((b,), ([*held[0], *t[here].tolist()], [*held[1], *o[here].tolist()]))
+        self.waiting.appendList([(t.tolist(), o.tolist())])
+        last, due = self.state.get() or (None, None)
+        first = int(self._ends(t).min())
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            self.state.update((last, first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        last = self.last.get()[0] if self.last.exists() else None
-        before = last
-        for b in sorted(k[0] for k in self.waiting.keys()):
-            if b * self.width // 1000 > passed:
-                break
-            t, o = (np.array(x, np.int64) for x in self.waiting.getValue((b,)))
-            self.waiting.removeKey((b,))
-            by = np.lexsort((o, t))
-            t, o, good, at = t[by], o[by], np.zeros(len(t), bool), 0
-            if last is not None:
-                at = int(np.searchsorted(t, last + self.gap))
-            while at < len(t):  # from one accepted row to the next
-                good[at], last = True, int(t[at])
-                at = max(at + 1, int(np.searchsorted(t, last + self.gap)))
-            yield pd.DataFrame({self.order: o, "accepted": good})
-        if last is not None and (last + self.gap) // 1000 + 1 <= passed:
-            self.last.clear()
-        elif last != before:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        last, due = self.state.get() or (None, None)
+        if due is None or due > passed:  # a timer that a later one has replaced
+            return
+        held = list(self.waiting.get())
+        t, o = (np.concatenate([np.zeros(0, np.int64), *[np.array(x[i], np.int64) for x in held]]) for i in (0, 1))
+        settled, due, least = self._ends(t) <= passed, None, None
+        if held and not settled.all():
+            if settled.any():
+                self.waiting.put([(t[~settled].tolist(), o[~settled].tolist())])
+            least = int(t[~settled].min())  # may be before the watermark, as its bucket isn't
+            due = int(self._ends(np.array([least]))[0])
+        elif held:
+            self.waiting.clear()
+        t, o = t[settled], o[settled]
+        by = np.lexsort((o, t))
+        t, o, good, at = t[by], o[by], np.zeros(len(t), bool), 0
+        if last is not None:
+            at = int(np.searchsorted(t, last + self.gap))
+        while at < len(t):  # from one accepted row to the next
+            good[at], last = True, int(t[at])
+            at = max(at + 1, int(np.searchsorted(t, last + self.gap)))
+        if last is not None and (last + self.gap) // 1000 + 1 <= passed and (least is None or least >= last + self.gap):
+            last = None
+        elif last is not None and due is None:
+            due = (last + self.gap) // 1000 + 1
+        if due is None:
+            self.state.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.state.update((last, due))
+        for i in range(0, len(t), 10_000):
+            yield pd.DataFrame({self.order: o[i : i + 10_000], "accepted": good[i : i + 10_000]})
 
     def close(self) -> None:
         pass
@@ -121,7 +136,7 @@ def stream_cooldown_settled(df: DataFrame, key: str, time: str, order: str, seco
     ``time`` is a timestamp, ``order`` a long that breaks ties and names the row. A row is told when the watermark has passed the end of its bucket of ``width``
     seconds; what an open stream hasn't passed yet is still to come. Rows later than ``delay`` are dropped and counted, see LateRows. Rows without a time are left out;
     a null key is a key of its own. A key's state is its rows of the open buckets and its last accepted time, which goes when the watermark has passed it by ``seconds``.
-    A task holds a key's rows of one bucket, 16 bytes each. For append mode.
+    A task holds a key's open rows, 16 bytes each, as it holds a key's rows of a micro-batch. For append mode.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)

@@ -12,6 +12,7 @@ import pytest
 from chainframe.operators import blocks, joins
 from chainframe.plans import queries as plans
 from chainframe.plans import guards, more, results, trades  # noqa: F401  register their queries
+from chainframe.streaming import streams
 
 
 def events(folder, made):
@@ -75,3 +76,78 @@ def test_evidence_counts_matches_once_and_gives_every_source_row(spark):
     assert dict(new.dtypes)["a"] == "int"
     every = ["key", "a", "b", "a_row", "b_row", "direction"]
     assert sorted(map(tuple, blocks.pair_matches(first, 5).select(every).collect()), key=str) == sorted(map(tuple, joins.co_occurrence(first, 5).select(every).collect()), key=str)
+
+
+class Calls:
+    """A key's state, and how many calls it takes."""
+
+    def __init__(self):
+        self.n, self.values, self.lists, self.maps, self.timers = 0, {}, {}, {}, set()
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getListState", "getMapState"):
+            return lambda state, schema: _State(self, state)
+        raise AttributeError(name)
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+
+class _State:
+    def __init__(self, calls, name):
+        self.calls, self.name, self.held = calls, name, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.n += 1
+            held = self.held
+            if name == "get":
+                return held
+            if name in ("update", "put"):
+                self.held = args[0]
+            elif name == "appendList":
+                self.held = [*(held or []), *args[0]]
+            elif name == "clear":
+                self.held = None
+            elif name == "updateValue":
+                self.held = {**(held or {}), args[0]: args[1]}
+            elif name == "containsKey":
+                return args[0] in (held or {})
+            elif name == "getValue":
+                return held[args[0]]
+            return None
+
+        return call
+
+
+def test_a_cooldowns_state_is_called_by_micro_batch_and_not_by_bucket():
+    rule, calls = streams._Cooldown("o", 7200, 3600), Calls()
+    rule.init(calls)
+    hours = pd.DataFrame({"k": 1, "t": pd.to_datetime([h * 3_600_000_000 + 5 for h in range(500)], unit="us"), "o": range(500)})
+    list(rule.handleInputRows((1,), iter([hours]), None))
+    assert calls.n <= 5 and calls.timers == {3_600_000}
+
+
+def test_a_cooldown_is_decided_bucket_by_bucket_as_the_watermark_moves():
+    rule, calls = streams._Cooldown("o", 7200, 3600), Calls()
+    rule.init(calls)
+    draw, told, at = random.Random(3), [], 0
+    times = [draw.randint(1, 400_000) * 1_000_000 for _ in range(300)]
+    waiting = sorted(enumerate(times), key=lambda x: x[1] + draw.randint(0, 9_000) * 1_000_000)
+    while waiting or calls.timers:
+        some, waiting = waiting[:20], waiting[20:]
+        if some:
+            list(rule.handleInputRows((1,), iter([pd.DataFrame({"k": 1, "t": pd.to_datetime([t for _, t in some], unit="us"), "o": [o for o, _ in some]})]), None))
+        at = max(at, max((t for _, t in some), default=1 << 50) // 1000 - 9_000_000)
+        watermark = type("T", (), {"getCurrentWatermarkInMs": lambda self: at})()  # noqa: B023
+        due = sorted(x for x in calls.timers if x <= at)
+        calls.timers -= set(due)
+        for _ in due:
+            told += [row for out in rule.handleExpiredTimer((1,), watermark, None) for row in out.itertuples(index=False, name=None)]
+    want, last = [], None
+    for o, t in sorted(enumerate(times), key=lambda x: (x[1], x[0])):
+        good = last is None or t >= last + 7_200_000_000
+        last = t if good else last
+        want.append((o, good))
+    assert told == want
