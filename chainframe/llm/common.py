@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import glob
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def one_thread():
+    """Products of matrices inside take one thread: small ones are no faster with more, which only wait for each other. Where numpy has another BLAS than its own OpenBLAS, nothing changes."""
+    found = glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*"))
+    library = ctypes.CDLL(found[0]) if found else None
+    name = next((n for n in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads") if hasattr(library, n.format("set"))), None)
+    before = getattr(library, name.format("get"))() if name else None
+    try:
+        if name:
+            getattr(library, name.format("set"))(1)
+        yield
+    finally:
+        if name:
+            getattr(library, name.format("set"))(before)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """What is written inside takes its shuffle files along when it is done; nothing reads them again."""

@@ -417,7 +417,9 @@ def sample(df: DataFrame, key: str = "page_id", page: str = "html") -> list[str]
 
 def fit(df: DataFrame, key: str = "page_id", page: str = "html") -> BiLstm:
     """Fits on at most FIT_PAGES pages of any length; their whole html comes to the driver. The same table gives the same model, however its files lie."""
-    return fit_pages(sorted(sample(df, key, page)))
+    pages = sorted(sample(df, key, page))
+    with common.one_thread():
+        return fit_pages(pages)
 
 
 def extract(df: DataFrame, model: BiLstm, page: str = "html", out: str = "text") -> DataFrame:
