@@ -138,7 +138,7 @@ class Sampler:
         keys = [term if n == 1 else (term, n) for term, n in terms(text).items()]
         least = None
         for at in range(0, len(keys), CHUNK):
-            part = self.table[self.rows(keys[at : at + CHUNK])].min(axis=0)
+            part = self.table.take(self.rows(keys[at : at + CHUNK]), axis=0).min(axis=0)
             least = part if least is None else np.minimum(least, part)
         return least.view(np.uint64).astype(np.uint16)
 
@@ -210,9 +210,9 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = common.worker_state("fingerprints", Sampler)
+        after, after_text = None, None
         for triples in with_next(batches):
             out: dict[str, list] = {f.name: [] for f in schema.fields}
-            after, after_text = None, None
             for doc, now, following in triples:
                 print_ = after if now is after_text else sampler.fingerprint(now)
                 after, after_text = sampler.fingerprint(following), following
