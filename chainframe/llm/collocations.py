@@ -84,6 +84,21 @@ def _place(base: np.ndarray, used: np.ndarray, starts: np.ndarray, sizes: np.nda
     return base, used
 
 
+def _squeezed(x: np.ndarray) -> tuple[int, bytes]:
+    return x.nbytes, pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _restored(packed: tuple[int, bytes], kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[1], packed[0], "zstd"), kind)
+
+
+def _ipc(words: pa.Array) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, pa.schema([("word", words.type)])) as stream:
+        stream.write_batch(pa.record_batch([words], ["word"]))
+    return out.getvalue().to_pybytes()
+
+
 class Trie:
     """A double-array trie over words of several languages: from state s, digit d leads to base[s] + d if check there is s. State 0 is no place."""
 
@@ -132,6 +147,26 @@ class Trie:
         self.accepts = np.zeros(len(self.base), bool)
         self.accepts[self.ends] = True
 
+    def packed(self) -> bytes:
+        """The trie as the driver hands it on: its arrays compressed, each slot's parent by the slots that are taken, and which states are whole phrases as bits."""
+        taken = np.flatnonzero(self.check >= 0)
+        parts = {"base": (self.base[self.base != 0], self.base != 0), "check": (self.check[taken], self.check >= 0), "accepts": (None, self.accepts)}
+        arrays = {name: (None if values is None else _squeezed(values), _squeezed(np.packbits(where))) for name, (values, where) in parts.items()}
+        words = [(lang, first, _squeezed(np.frombuffer(_ipc(x), np.uint8))) for lang, (first, x) in self.symbols.items()]
+        return pickle.dumps((self.shard, self.shards, self.words, len(self.base), arrays, words), 5)
+
+    @classmethod
+    def unpacked(cls, sent) -> Trie:
+        """The trie that was packed and sent."""
+        out = cls.__new__(cls)
+        out.shard, out.shards, out.words, n, arrays, words = pickle.loads(sent.value)
+        where = {name: np.unpackbits(_restored(bits, np.uint8), count=n).astype(bool) for name, (_, bits) in arrays.items()}
+        out.base, out.check, out.accepts = np.zeros(n, np.int32), np.full(n, -1, np.int32), where["accepts"]
+        out.base[where["base"]], out.check[where["check"]] = (_restored(arrays[name][0], np.int32) for name in ("base", "check"))
+        out.symbols = {lang: (first, pa.ipc.open_stream(pa.py_buffer(_restored(x, np.uint8))).read_all().column(0).combine_chunks()) for lang, first, x in words}
+        out.ends = None
+        return out
+
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The states one word further, 0 where there is no such path; symbol 0 is no word."""
         for digit in (symbol // DIGIT, symbol % DIGIT):
@@ -157,7 +192,7 @@ def _shards(phrases: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, int
             langs, phrases = (mine[c].combine_chunks() for c in ("lang", "phrase"))
             trie = Trie(langs, phrases, shard, shards)
             ends, trie.ends = pa.array(trie.ends, pa.int64()), None
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "blob": [pickle.dumps(trie, 5)], "state": [None], "lang": [None], "phrase": [None]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "blob": [trie.packed()], "state": [None], "lang": [None], "phrase": [None]}, schema=schema)
             for at in range(0, len(ends), 10_000):
                 n = min(10_000, len(ends) - at)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.nulls(n, pa.binary()), ends.slice(at, n), langs.slice(at, n), phrases.slice(at, n)], schema=schema)
@@ -270,7 +305,7 @@ def _with_trie(df: DataFrame, sent, step: Callable, schema: str, whole: bool = F
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = common.worker_state(("trie", name), lambda: pickle.loads(sent.value))
+        trie = common.worker_state(("trie", name), lambda: Trie.unpacked(sent))
         parts = ((x.column(0).to_pylist(), x.column(1).to_pylist()) for batch in batches for x in common.slices(batch, 256))
         yield from step(trie, batches if whole else parts)
 
@@ -405,6 +440,8 @@ def _over_shards(tries: DataFrame, shards: int, scratch: common.Scratch, job: Ca
         if blob is None:
             continue
         sent = spark.sparkContext.broadcast(bytes(blob["blob"]))
+        del blob
+        common.give_back()
         part = scratch.table(job(sent, shard))
         sent.destroy()
         out = part if out is None else out.union(part)

@@ -275,3 +275,12 @@ def test_columns_of_any_name_stay(spark):
     out = {x.doc_id: x for x in substrings.remove_repeats(df).collect()}
     assert {d: (x["_doc"], x["_ver"], x["__starts"], x["starts"], x.n_removed) for d, x in out.items()} == {1: ("a", 1, 2, "s", 0), 2: ("b", 3, 4, "t", 60), None: (None, None, None, None, 0)}
     assert out[2].kept == "x y"
+
+
+def test_a_trie_is_sent_packed():
+    trie = trie_of([(lang, f"w{i} w{i * 7 % 400}") for lang in ("en", "de") for i in range(400)] + [("en", "w1"), ("xx", "\U0001f600 é")])
+    trie.ends = None
+    sent = type("Sent", (), {"value": trie.packed()})
+    back = collocations.Trie.unpacked(sent)
+    assert all(np.array_equal(getattr(back, a), getattr(trie, a)) for a in ("base", "check", "accepts")) and back.symbols == trie.symbols
+    assert (back.shard, back.shards, back.words) == (trie.shard, trie.shards, trie.words) and 4 * len(sent.value) < trie.base.nbytes + trie.check.nbytes
