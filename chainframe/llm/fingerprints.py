@@ -65,21 +65,35 @@ _ONE = _factors(SAMPLES)
 
 def _units(words: np.ndarray) -> np.ndarray:
     """Numbers inside (0, 1) from the upper 24 bits of 32-bit words."""
-    return ((words >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    out = (words >> np.uint32(8)).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-24)
+    return out
 
 
 def draws(hashes: np.ndarray, weights: np.ndarray, factors: np.ndarray = _ONE) -> tuple[np.ndarray, np.ndarray]:
     """For each term and sample: the value of which the least wins, and t."""
-    scattered = lambda i: (hashes[:, None] * factors[i, 0] + factors[i, 1]).view(np.uint32).reshape(len(hashes), -1, 2)
-    two = _units(scattered(0))
-    r = -np.log(two[:, :, 0] * two[:, :, 1])
-    two = _units(scattered(1))
-    c = -np.log(two[:, :, 0] * two[:, :, 1])
-    b = _units(scattered(2)[:, :, 1])
+    def scattered(i: int) -> np.ndarray:
+        out = hashes[:, None] * factors[i, 0]
+        out += factors[i, 1]
+        return out.view(np.uint32).reshape(len(hashes), -1, 2)
+
+    def gamma(i: int) -> np.ndarray:
+        two = _units(scattered(i))
+        out = two[:, :, 0] * two[:, :, 1]
+        np.log(out, out=out)
+        return np.negative(out, out=out)
+
+    r, c, b = gamma(0), gamma(1), _units(scattered(2)[:, :, 1])
     t = np.zeros_like(b)
     if len(more := np.flatnonzero(weights > 1)):  # else t is floor(b), 0
         t[more] = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / r[more] + b[more])
-    return c * np.exp(r * (b - t - np.float32(1))), t
+        b[more] -= t[more]
+    b -= np.float32(1)
+    b *= r
+    np.exp(b, out=b)
+    b *= c
+    return b, t
 
 
 class Sampler:
@@ -101,19 +115,21 @@ class Sampler:
         to[kept] = np.arange(len(kept))
         self.table[: len(kept)] = self.table[kept]
         self.hits[: len(kept)], self.hits[len(kept) :] = self.hits[kept] // 2, 0
-        self.places = {key: at for key, old in self.places.items() if (at := int(to[old])) >= 0}
+        new = to.tolist()
+        self.places = {key: at for key, old in self.places.items() if (at := new[old]) >= 0}
         self.used = len(kept)
 
     def rows(self, keys: list[str | tuple[str, int]]) -> np.ndarray:
         """Places in the table of at most CHUNK keys: a term of weight 1, or a term and its weight."""
         found = list(map(self.places.get, keys))
-        missing = [key for key, at in zip(keys, found, strict=True) if at is None]
-        if missing:
+        if None in found:
+            missing = [key for key, at in zip(keys, found, strict=True) if at is None]
             if self.used + len(missing) > len(self.table):
                 self._make_room()
                 return self.rows(keys) if self.used + len(keys) <= len(self.table) else self._afresh(keys)
+            new = iter(range(self.used, self.used + len(missing)))
             self._add(missing)
-            found = list(map(self.places.__getitem__, keys))
+            found = [next(new) if at is None else at for at in found]
         at = np.array(found)
         self.hits[at] += 1
         return at
@@ -123,13 +139,19 @@ class Sampler:
         return self.rows(keys)
 
     def _add(self, missing: list) -> None:
-        terms_, weights = zip(*[(key, 1) if isinstance(key, str) else key for key in missing], strict=True)
-        hashes = np.array([xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) for term in terms_], np.uint64)
-        value, t = draws(hashes, np.array(weights, float))
-        code = ((hashes[:, None] ^ (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * _ONE[3, 0]) >> np.uint64(48)
+        plain = [key if isinstance(key, str) else key[0] for key in missing]
+        weights = np.array([1 if isinstance(key, str) else key[1] for key in missing], float)
+        hashes = np.array([xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) for term in plain], np.uint64)
+        value, t = draws(hashes, weights)
+        mixed = np.uint64(0x9E3779B97F4A7C15)
+        code = ((hashes ^ mixed)[:, None] * _ONE[3, 0]) >> np.uint64(48)  # of t = 0
+        if len(more := np.flatnonzero(weights > 1)):
+            code[more] = ((hashes[more, None] ^ (t[more].astype(np.uint64) + np.uint64(1)) * mixed) * _ONE[3, 0]) >> np.uint64(48)
         lo = self.used
         self.used += len(missing)
-        self.table[lo : self.used] = (value.view(np.uint32).astype(np.uint64) << np.uint64(32) | code).view(float)
+        rows = self.table[lo : self.used].view(np.uint64)
+        np.left_shift(value.view(np.uint32), np.uint64(32), out=rows, dtype=np.uint64)
+        rows |= code
         self.hits[lo : self.used] = 0
         self.places.update(zip(missing, range(lo, self.used), strict=True))
 

@@ -43,3 +43,19 @@ class Local:
 
     def withColumnRenamed(self, *_):
         return self.n
+
+
+def test_a_new_term_is_looked_up_once():
+    class Places(dict):
+        def __getitem__(self, key):
+            raise AssertionError(key)
+
+    sampler = fingerprints.Sampler(64)
+    sampler.places = Places(old=0)
+    sampler.used = 1
+    assert sampler.rows(["a", "old", ("b", 3), "c"]).tolist() == [1, 0, 2, 3]
+    hashes = np.array([fingerprints.xxhash.xxh64_intdigest(x) for x in ("a", "b")], np.uint64)
+    value, t = fingerprints.draws(hashes, np.array([1.0, 3.0]))
+    rows = sampler.table[[1, 2]].view(np.uint64)
+    code = ((hashes[:, None] ^ (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * fingerprints._ONE[3, 0]) >> np.uint64(48)
+    assert ((rows >> np.uint64(32)).astype(np.uint32).view(np.float32) == value).all() and (rows.astype(np.uint16) == code).all() and t[1].any()
