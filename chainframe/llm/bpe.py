@@ -26,10 +26,10 @@ from chainframe.llm import common
 
 #: Documents are split into pieces of about this many characters, at places where no match can span.
 CHUNK_CHARS = 1 << 20
-#: States of the transducer that a worker keeps before it starts afresh; about 150 MB with their transitions.
-MAX_STATES = 400_000
+#: States of the transducer that a worker keeps before it starts afresh; a worker grows by about 160 MB with these and the cache.
+MAX_STATES = 60_000
 #: Bytes of pre-tokens and their ids that a worker keeps.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 48 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -4,9 +4,10 @@ import os
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from chainframe.llm import common, fingerprints
+from chainframe.llm import bpe, common, fingerprints
 
 
 @pytest.mark.skipif((os.cpu_count() or 1) < 2, reason="one core has one thread")
@@ -59,3 +60,17 @@ def test_a_new_term_is_looked_up_once():
     rows = sampler.table[[1, 2]].view(np.uint64)
     code = ((hashes[:, None] ^ (t.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * fingerprints._ONE[3, 0]) >> np.uint64(48)
     assert ((rows >> np.uint64(32)).astype(np.uint32).view(np.float32) == value).all() and (rows.astype(np.uint16) == code).all() and t[1].any()
+
+
+def test_an_encoder_stays_small():
+    draw = np.random.default_rng(3)
+    encoder = bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    most = 0
+    for _ in range(1000):
+        words = ["".join(map(chr, draw.integers(0x61, 0x250, n))) for n in draw.integers(4, 12, 250)]
+        text = " ".join(words)
+        ids = np.frombuffer(encoder(text), "<u4")
+        most = max(most, encoder.words.limit - encoder.words.room)
+        assert len(encoder.words.transducer.states) < 75_000
+        assert b"".join(encoder.words.transducer.at[i] for i in ids.tolist()) == text.encode()
+    assert 45 << 20 < most <= 48 << 20  # bytes of the cache
