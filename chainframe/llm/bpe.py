@@ -2,9 +2,9 @@
 
 A list of tokens is the BPE result for its bytes exactly if every token merges to itself and every
 two neighbours stay apart when they are merged together. That makes BPE a nondeterministic
-transducer: a state is (last whole token, bytes begun after it). ``MergeTransducer`` makes its subset
-construction on demand, one transition at a time, and emits a token as soon as all live
-readings agree on it; a reading can lag by less than the longest token, so the lookahead is bounded.
+transducer: a reading is (last whole token, bytes begun after it). ``MergeTransducer`` makes the subset
+construction of the bytes begun on demand, one transition at a time, and keeps last tokens in registers; in a long piece
+tokens leave every HOLD bytes, as far as all live readings agree on them.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from chainframe.llm import common
 
 #: Documents are split into pieces of about this many characters, at places where no match can span.
 CHUNK_CHARS = 1 << 20
-#: States of the transducer that a worker keeps before it starts afresh; a worker grows by about 160 MB with these and the cache.
+#: States of the transducer that a worker keeps before it starts afresh; of transitions and of pairs of neighbours it keeps four times as many.
 MAX_STATES = 60_000
 #: Bytes of pre-tokens and their ids that a worker keeps.
 CACHE_BYTES = 48 << 20
+#: Bytes of a piece after which tokens that all live readings agree on leave the registers.
+HOLD = 1 << 12
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,46 +55,51 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[list[bytes]]:
 class Token:
     """What the transducer must know of one token: whether it is reached by merges and how it grows at either edge."""
 
-    __slots__ = ("bytes", "left", "reached", "right", "rising")
+    __slots__ = ("left", "reached", "right", "rising")
 
     def __init__(self, token: bytes, ranks: dict[bytes, int]):
         trail = merge(token, ranks)
         places = [next(i for i, x in enumerate(after) if before[i] != x) for before, after in zip(trail, trail[1:], strict=False)]
         joined = [ranks[after[i]] for i, after in zip(places, trail[1:], strict=True)]
-        self.bytes, self.reached, self.rising = token, trail[-1] == [token], joined == sorted(joined)
-        #: Pieces at the edge in the order in which they come to be, and the rank of the merge that makes each.
-        self.left = [(p, ranks[p]) for p in dict.fromkeys(parts[0] for parts in trail)]
-        self.right = [(p, ranks[p]) for p in dict.fromkeys(parts[-1] for parts in trail)]
+        self.reached, self.rising = trail[-1] == [token], joined == sorted(joined)
+        #: Ranks of the pieces at the edge, in the order in which they come to be.
+        self.left = tuple(dict.fromkeys(ranks[parts[0]] for parts in trail))
+        self.right = tuple(dict.fromkeys(ranks[parts[-1]] for parts in trail))
 
 
 class MergeTransducer:
-    """Maps bytes to token ids, one byte at a time. Every single byte must be a token."""
+    """Maps bytes to token ids, one byte at a time. Every single byte must be a token.
+
+    The subset construction is over the bytes begun: a state is the trie nodes of all live readings, and the longest of them
+    tells the others, so there are no more states than nodes. The right tokens of a prefix are one list only. So a reading's last
+    token needs no state of its own: it stands in the register of the place where the reading began, and of the tokens that
+    end at a byte only one can follow what is registered at its beginning.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
-        self.width = max(ranks.values()).bit_length() + 1
-        #: The trie of all tokens: node * 256 + byte -> node; node -> the token that ends there, or -1.
+        #: A token's number is its rank and one; 0 stands for the beginning.
+        self.width = (max(ranks.values()) + 1).bit_length()
+        #: The trie of all tokens: node * 256 + byte -> node; node -> its length; node -> (-length, number) of the token that ends there, or None.
         self.child: dict[int, int] = {}
-        self.ends, self.at = [-1], {}
+        self.sizes, self.ends, self.at = [0], [None], {}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
                 if (to := self.child.get(node << 8 | byte)) is None:
                     to = self.child[node << 8 | byte] = len(self.ends)
-                    self.ends.append(-1)
+                    self.sizes.append(self.sizes[node] + 1)
+                    self.ends.append(None)
                 node = to
-            self.ends[node] = rank
+            self.ends[node] = (-len(token), rank + 1)
             self.at[rank] = token
         self.known: dict[int, Token] = {}
         self.apart: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state: live readings (last token or -1, trie node of the bytes begun, ids not emitted yet).
-        start = ((-1, 0, ()),)
-        self.states, self.ids, self.steps = [start], {start: 0}, {}
-        if len(self.apart) > 4 * self.max_states:
-            self.apart.clear()
+        #: A state: its trie nodes but the root, longest first. What its arrival gives: its number * 256, longer tokens that end there, the one of one byte.
+        self.states, self.arrivals, self.ids, self.steps = [()], [(0, (), 0)], {0: 0}, {}
 
     def _token(self, rank: int) -> Token:
         if (known := self.known.get(rank)) is None:
@@ -104,15 +111,15 @@ class MergeTransducer:
         b = self._token(rank)
         if not b.reached or last < 0:
             return b.reached
-        a = self._token(last)
+        a, at = self._token(last), self.at
         if not (a.rising and b.rising):
-            return merge(a.bytes + b.bytes, self.ranks)[-1] == [a.bytes, b.bytes]
+            return merge(at[last] + at[rank], self.ranks)[-1] == [at[last], at[rank]]
         ranks, never = self.ranks, 1 << 60
         right, left, i, j = a.right, b.left, 0, 0
         while True:
-            across = ranks.get(right[i][0] + left[j][0], never)
-            next_a = right[i + 1][1] if i + 1 < len(right) else never
-            next_b = left[j + 1][1] if j + 1 < len(left) else never
+            across = ranks.get(at[right[i]] + at[left[j]], never)
+            next_a = right[i + 1] if i + 1 < len(right) else never
+            next_b = left[j + 1] if j + 1 < len(left) else never
             if across < next_a and across <= next_b:  # of equal ranks the leftmost joins first
                 return False
             if next_a == next_b == never:
@@ -122,47 +129,64 @@ class MergeTransducer:
             else:
                 j += 1
 
-    def _step(self, at: int) -> tuple[int, tuple[int, ...]]:
-        after, byte, child, ends, apart = [], at & 255, self.child, self.ends, self.apart
-        for last, node, held in self.states[at >> 8]:
-            now = child.get(node << 8 | byte)
-            if now is None:
-                continue
-            after.append((last, now, held))
-            if (rank := ends[now]) >= 0:
-                pair = (last + 1) << self.width | rank
-                if (ok := apart.get(pair)) is None:
-                    ok = apart[pair] = self._can_follow(last, rank)
-                if ok:
-                    after.append((rank, 0, (*held, rank)))
-        n, first = 0, after[0][2]
-        if len(after) == 1:
-            n = len(first)
-        elif first:
-            rest = after[1:]
-            while n < len(first) and all(len(x[2]) > n and x[2][n] == first[n] for x in rest):
-                n += 1
-        key = tuple([(a, b, c[n:]) for a, b, c in after] if n else after)
-        if (to := self.ids.get(key)) is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-        self.steps[at] = out = (to << 8, first[:n])
+    def _learn(self, pair: int) -> bool:
+        if len(self.apart) >= 4 * self.max_states:
+            self.apart.clear()
+        out = self.apart[pair] = self._can_follow((pair >> self.width) - 1, (pair & (1 << self.width) - 1) - 1)
         return out
 
+    def _step(self, at: int) -> tuple[int, tuple[tuple[int, int], ...], int]:
+        byte, child = at & 255, self.child
+        nodes = tuple([now for node in (*self.states[at >> 8], 0) if (now := child.get(node << 8 | byte)) is not None])
+        if (to := self.ids.get(nodes[0])) is None:
+            to = self.ids[nodes[0]] = len(self.states)
+            self.states.append(nodes)
+            ends = [x for node in nodes if (x := self.ends[node])]
+            self.arrivals.append((to << 8, tuple(ends[:-1]), ends[-1][1]))
+        out = self.steps[at] = self.arrivals[to]
+        return out
+
+    def _leave(self, registers: list[int], at: int) -> list[int]:
+        """The tokens up to a place, which leave the registers."""
+        out, back = [], at
+        while back:
+            out.append(registers[back] - 1)
+            back -= len(self.at[out[-1]])
+        del registers[:at]
+        return out[::-1]
+
+    def _agreed(self, registers: list[int], state: int) -> int:
+        """The last place that all live readings have passed between two tokens."""
+        end = len(registers) - 1
+        live = {end, *(end - self.sizes[node] for node in self.states[state >> 8])}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(last - len(self.at[registers[last] - 1]))
+        return live.pop()
+
     def encode(self, piece: bytes) -> list[int]:
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]  # the vocabulary's own pieces count as they are, reachable by merges or not
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.steps) > 4 * self.max_states:
             self._reset()
-        state, steps, out = 0, self.steps.get, []
-        for byte in piece:
-            got = steps(state | byte) or self._step(state | byte)
-            state = got[0]
-            if got[1]:
-                out += got[1]
-        if piece:
-            out += next(held for _, node, held in self.states[state >> 8] if not node)
-        return out
+        #: For each place from the last that tokens left at: the number of the token that ends there.
+        registers, out = [0], []
+        state, steps, apart, width = 0, self.steps.get, self.apart.get, self.width
+        for begin in range(0, len(piece), HOLD):
+            if begin:
+                out += self._leave(registers, self._agreed(registers, state))
+            for byte in piece[begin : begin + HOLD] if begin or len(piece) > HOLD else piece:
+                state, longer, number = steps(state | byte) or self._step(state | byte)
+                for back, longest in longer:
+                    pair = registers[back] << width | longest
+                    if (ok := apart(pair)) is None:
+                        ok = self._learn(pair)
+                    if ok:
+                        number = longest
+                        break
+                registers.append(number)
+        return out + self._leave(registers, len(registers) - 1)
 
 
 class Utf8Machine:

@@ -6,6 +6,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 
 from chainframe.llm import bpe, common, fingerprints
 
@@ -74,3 +75,32 @@ def test_an_encoder_stays_small():
         assert len(encoder.words.transducer.states) < 75_000
         assert b"".join(encoder.words.transducer.at[i] for i in ids.tolist()) == text.encode()
     assert 45 << 20 < most <= 48 << 20  # bytes of the cache
+
+
+def made_up(seed, n):
+    draw = np.random.default_rng(seed)
+    parts = ["th", "er", "an", "on", "ing", "and", "ou", "st", "en", "é", "sch", "ción"]
+    return ["".join(parts[i] for i in draw.integers(0, len(parts), k)) for k in draw.integers(2, 7, n)]
+
+
+def test_new_words_of_known_parts_take_few_new_states(monkeypatch):
+    transducer, made, step = bpe.MergeTransducer(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), [], bpe.MergeTransducer._step
+    monkeypatch.setattr(bpe.MergeTransducer, "_step", lambda self, at: made.append(at) or step(self, at))
+    words = set(made_up(1, 6000))
+    for word in words:
+        assert b"".join(transducer.at[i] for i in transducer.encode(word.encode())) == word.encode()
+    assert len(words) > 3000 and len(made) < 2000 and len(transducer.states) < 1000  # they don't grow with the words
+
+
+def test_tokens_leave_a_long_piece_on_the_way(monkeypatch):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    transducer, held, leave = bpe.MergeTransducer(ranks), [], bpe.MergeTransducer._leave
+    monkeypatch.setattr(bpe.MergeTransducer, "_leave", lambda self, registers, at: held.append(len(registers)) or leave(self, registers, at))
+    longest = max(map(len, ranks))
+    for hold in (1, 3, 64):
+        monkeypatch.setattr(bpe, "HOLD", hold)
+        for piece in ("".join(made_up(2, 500)).encode(), b"a" * 3000, b"ab" * 1500, " é中\U0001f600".encode() * 300, bytes(np.random.default_rng(4).integers(0, 256, 2000, np.uint8))):
+            held.clear()
+            assert transducer.encode(piece) == library._encode_single_piece(piece)
+            assert max(held) <= hold + 4 * longest
