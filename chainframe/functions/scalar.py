@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,7 @@ BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 MONEY = "decimal(38,0)"
 #: Amounts and reserves: whole numbers of 64 bits without sign.
 U64, U64_TOP = "decimal(20,0)", str((1 << 64) - 1)
-#: Limb of a factor in exact products: ten digits, so that a limb times a 64-bit number has 30.
-LIMB = 10**10
+U64_MASK = (1 << 64) - 1
 
 
 def boundary(block: Column, tx: Column) -> Column:
@@ -61,43 +62,59 @@ def floordiv(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast(MONEY)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def u64(c: Column) -> Column:
     """A whole number as DECIMAL(20,0), null where it doesn't fit into 64 bits without sign."""
     whole = c.try_cast(U64)
     return F.when((whole >= 0) & (whole <= F.lit(U64_TOP).cast(U64)), whole)
 
 
+def ints(values: pa.Array) -> list[int | None]:
+    """Whole numbers of an Arrow batch, 64-bit ones or DECIMAL, as Python's."""
+    if not pa.types.is_decimal(values.type):
+        return values.to_pylist()
+    words = np.frombuffer(values.buffers()[1], "<i8", 2 * len(values), 16 * values.offset).reshape(-1, 2)
+    out = words[:, 0].view("<u8").tolist()
+    if words[:, 1].any():
+        out = [low + (high << 64) for low, high in zip(out, words[:, 1].tolist(), strict=True)]
+    return [x if known else None for x, known in zip(out, values.is_valid().to_pylist(), strict=True)] if values.null_count else out
+
+
+def wholes(values: Sequence[int | None]) -> pa.Array:
+    """Python's whole numbers of at most 38 digits as DECIMAL(38,0)."""
+    known = [x is not None for x in values]
+    if not all(known):
+        values = [x or 0 for x in values]
+    words = np.empty((len(known), 2), "<i8")
+    words[:, 0] = np.array([x & U64_MASK for x in values], "<u8").view("<i8")
+    words[:, 1] = [x >> 64 for x in values]
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(known), [pa.array(known, pa.bool_()).buffers()[1], pa.py_buffer(words)])
+
+
+def over(a: int | None, b: int | None, c: int | None, up: bool = False) -> int | None:
+    """mul_div() of one row."""
+    if a is None or b is None or c is None or not (0 <= a <= U64_MASK and 0 <= b <= U64_MASK and 0 < c < 10**20):
+        return None
+    out = -(-a * b // c) if up else a * b // c
+    return out if out < 10**38 else None
+
+
+@F.arrow_udf(T.DecimalType(38, 0))
+def _over_down(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+    return wholes(list(map(over, ints(a), ints(b), ints(c))))
+
+
+@F.arrow_udf(T.DecimalType(38, 0))
+def _over_up(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+    return wholes([over(*x, True) for x in zip(ints(a), ints(b), ints(c), strict=True)])
+
+
 def mul_div(a: Column, b: Column, c: Column, up: bool = False) -> Column:
-    """floor(a * b / c), or the ceiling with ``up``, of 64-bit a and b and a c below 2^65, as DECIMAL(38,0).
+    """floor(a * b / c), or the ceiling with ``up``, of 64-bit a and b and a c below 10^20, as DECIMAL(38,0).
 
-    The product has up to 128 bits, more than 38 digits hold. So a is cut into two limbs: the higher one times b is divided first, and what it
-    leaves joins the lower one, as in long division by hand. Null where an operand is null or out of its range, c is not positive, or the result has more than 38 digits.
+    The product has up to 128 bits, more than 38 digits hold, so it is made of Python's integers, in Arrow batches. Null where an operand is
+    null or out of its range, c is not positive, or the result has more than 38 digits.
     """
-    limb = F.lit(LIMB).cast("decimal(11,0)")
-    divisor = c.try_cast("decimal(20,0)")
-    operands = F.struct(u64(a).alias("a"), u64(b).alias("b"), F.when(divisor > 0, divisor).alias("c"))
-
-    def high(x: Column) -> Column:
-        low = F.pmod(x.a, limb).cast("decimal(10,0)")
-        top = ((x.a - low) / limb).cast("decimal(10,0)")
-        product = (top * x.b).cast("decimal(30,0)")
-        return F.struct(x.b.alias("b"), x.c.alias("c"), low.alias("low"), product.alias("p"), F.pmod(product, x.c).cast("decimal(20,0)").alias("rest"))
-
-    def low(x: Column) -> Column:
-        below = ((x.rest * limb).cast("decimal(31,0)") + (x.low * x.b).cast("decimal(30,0)")).cast("decimal(32,0)")
-        return F.struct(x.c.alias("c"), ((x.p - x.rest) / x.c).cast("decimal(30,0)").alias("q"), below.alias("p"), F.pmod(below, x.c).cast("decimal(20,0)").alias("rest"))
-
-    def whole(x: Column) -> Column:
-        lower = ((x.p - x.rest) / x.c).cast("decimal(32,0)")
-        rounded = lower + F.when(x.rest > 0, 1).otherwise(0) if up else lower
-        return F.try_add(F.try_multiply(x.q.cast(MONEY), limb.cast(MONEY)).try_cast(MONEY), rounded.cast(MONEY)).try_cast(MONEY)
-
-    return let(let(let(operands, high), low), whole)
+    return (_over_up if up else _over_down)(u64(a), u64(b), c.try_cast("decimal(20,0)"))
 
 
 def ceildiv(a: Column, b: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chainframe.functions.scalar import MONEY, U64_TOP, boundary, ceil_fee, floordiv, let, min_output, mul_div, u64
+from chainframe.functions.scalar import MONEY, U64_MASK, boundary, ceil_fee, ints, min_output, over, u64, wholes
 from chainframe.operators.aggs import cooldown, with_group_counts
 from chainframe.operators.clocks import walk
 from chainframe.operators.joins import asof, first_at_or_after, nth_after
@@ -90,6 +92,79 @@ def leader_pnl(pairs: DataFrame, keys: Sequence[str] = ("mint",)) -> DataFrame:
     return good.join(fees, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names]).select(*names, gross.alias("gross_buy"), "network_fees", (net - gross - F.col("network_fees")).alias("pnl"))
 
 
+def _fee(amount: int, bps: int) -> int | None:
+    fee = -(-amount * bps // 10_000)
+    return fee if fee < 10**38 else None
+
+
+def _buy(q, vb, vq, rb, rq, p, c, less):
+    """quote_buy() of one row: net, both fees, spent, out, error."""
+    if q is None or p is None or c is None or p + c <= -10_000:
+        return None, None, None, None, None, "ARITHMETIC_OVERFLOW" if q else "INVALID_INPUT"
+    first = q * 10_000 // (10_000 + p + c)
+    protocol, creator = _fee(first, p), _fee(first, c)
+    net = first - max(first + protocol + creator - q, 0)
+    curve, out = net - less, None
+    if q <= 0:
+        error = "INVALID_INPUT"
+    elif curve <= 0:
+        error = "OUTPUT_OUT_OF_BOUNDS"
+    elif vq is None or vq + net > U64_MASK or (rq is not None and rq + net > U64_MASK) or (out := over(curve, vb, vq + curve)) is None:
+        error = "ARITHMETIC_OVERFLOW"
+    elif out <= 0 or out >= vb:
+        error = "OUTPUT_OUT_OF_BOUNDS"
+    else:
+        error = "INSUFFICIENT_REAL_TOKEN_RESERVES" if rb is not None and out > rb else None
+    return net, protocol, creator, net + protocol + creator, None if error else out, error
+
+
+def _sell(b, vb, vq, rq, rb, p, c, capped):
+    """quote_sell() of one row: gross, both fees, out, shortfall, error."""
+    gross = over(b, vq, vb + b) if b and vb is not None else None
+    protocol, creator = (None if gross is None or x is None else _fee(gross, x) for x in (p, c))
+    short = None if gross is None or rq is None else max(gross - rq, 0)
+    fees = None if protocol is None or creator is None else protocol + creator
+    if not b:
+        error = "INVALID_INPUT"
+    elif (vb is not None and vb + b > U64_MASK) or (rb is not None and rb + b > U64_MASK) or gross is None:
+        error = "ARITHMETIC_OVERFLOW"
+    elif gross <= 0 or gross >= vq:
+        error = "OUTPUT_OUT_OF_BOUNDS"
+    elif capped and short:
+        error = "INSUFFICIENT_REAL_SOL_RESERVES"
+    else:
+        error = "OUTPUT_OUT_OF_BOUNDS" if fees is not None and fees >= gross else None
+    return gross, protocol, creator, None if error or fees is None else gross - fees, short, error
+
+
+def _xyk(a, into, out_of, bps):
+    if a is None or into is None or bps is None:
+        return None
+    net = a - a * bps // 10_000
+    return over(net, out_of, into + net)
+
+
+def _quotes(rule: Callable, amounts: Sequence[str], last: int) -> Callable:
+    """A column function of a rule that gives ``amounts`` and an error; Python's integers hold its products of 128 bits, which no DECIMAL does."""
+
+    @F.arrow_udf(T.StructType([*(T.StructField(x, T.DecimalType(38, 0)) for x in amounts), T.StructField("error", T.StringType())]))
+    def quotes(*columns: pa.Array) -> pa.Array:
+        rows = [rule(*x, last) for x in zip(*map(ints, columns), strict=True)]
+        *numbers, errors = zip(*rows, strict=True) if rows else [()] * (len(amounts) + 1)
+        return pa.StructArray.from_arrays([*map(wholes, numbers), pa.array(errors, pa.string())], [*amounts, "error"])
+
+    return quotes
+
+
+@F.arrow_udf(T.DecimalType(38, 0))
+def _swaps(a: pa.Array, into: pa.Array, out_of: pa.Array, bps: pa.Array) -> pa.Array:
+    return wholes(list(map(_xyk, ints(a), ints(into), ints(out_of), ints(bps))))
+
+
+def _rate(bps: Column) -> Column:
+    return bps.cast("decimal(10,0)").cast("long")
+
+
 def quote_buy(gross: Column, virtual_base: Column, virtual_quote: Column, real_base: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, exact_gross: bool = False) -> Column:
     """(net, protocol_fee, creator_fee, spent, out, error) of spending ``gross`` at most.
 
@@ -98,32 +173,8 @@ def quote_buy(gross: Column, virtual_base: Column, virtual_quote: Column, real_b
     INVALID_INPUT (null, not positive or over 64 bits), OUTPUT_OUT_OF_BOUNDS, INSUFFICIENT_REAL_TOKEN_RESERVES, ARITHMETIC_OVERFLOW (a reserve is unknown,
     or it passes 64 bits with net). Amounts and reserves are exact over all 64 bits.
     """
-    top, zero = F.lit(U64_TOP).cast(MONEY), F.lit(0).cast(MONEY)
-    rates = (protocol_bps + creator_bps).cast("decimal(10,0)")
-
-    def fees(x: Column) -> Column:
-        first = floordiv(x.q * F.lit(10_000).cast("decimal(10,0)"), F.lit(10_000) + rates).cast("decimal(20,0)")
-        return let(F.struct(x.q.alias("q"), first.alias("first")), lambda y: F.struct(y.q.alias("q"), y.first.alias("first"), ceil_fee(y.first, protocol_bps).alias("protocol"), ceil_fee(y.first, creator_bps).alias("creator")))
-
-    def bought(x: Column) -> Column:
-        net = (x.first - F.greatest(x.first + x.protocol + x.creator - x.q, zero)).cast("decimal(20,0)")
-        return let(F.struct(x.q.alias("q"), x.protocol.alias("protocol"), x.creator.alias("creator"), net.alias("net"), (net - F.lit(int(exact_gross))).cast("decimal(20,0)").alias("curve")), priced)
-
-    def priced(x: Column) -> Column:
-        out = F.when(x.curve > 0, mul_div(x.curve, virtual_base, virtual_quote.cast(MONEY) + x.curve))
-        return F.struct(x.q.alias("q"), x.protocol.alias("protocol"), x.creator.alias("creator"), x.net.alias("net"), x.curve.alias("curve"), out.alias("out"))
-
-    def result(x: Column) -> Column:
-        error = (
-            F.when(x.q.isNull() | (x.q <= 0), "INVALID_INPUT").when(x.curve <= 0, "OUTPUT_OUT_OF_BOUNDS")
-            .when((virtual_quote.cast(MONEY) + x.net > top) | (real_quote.cast(MONEY) + x.net > top), "ARITHMETIC_OVERFLOW")
-            .when((x.out <= 0) | (x.out >= virtual_base.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
-            .when(x.out > real_base.cast(MONEY), "INSUFFICIENT_REAL_TOKEN_RESERVES").when(x.out.isNull(), "ARITHMETIC_OVERFLOW")
-        )
-        spent = (x.net + x.protocol + x.creator).cast(MONEY)
-        return F.struct(x.net.cast(MONEY).alias("net"), x.protocol.cast(MONEY).alias("protocol_fee"), x.creator.cast(MONEY).alias("creator_fee"), spent.alias("spent"), F.when(error.isNull(), x.out).alias("out"), error.alias("error"))
-
-    return let(let(let(F.struct(u64(gross).alias("q")), fees), bought), result)
+    quotes = _quotes(_buy, ("net", "protocol_fee", "creator_fee", "spent", "out"), int(exact_gross))
+    return quotes(u64(gross), *[x.cast(MONEY) for x in (virtual_base, virtual_quote, real_base, real_quote)], _rate(protocol_bps), _rate(creator_bps))
 
 
 def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, real_quote: Column, protocol_bps: Column, creator_bps: Column, capped: bool = True, real_base: Column | None = None) -> Column:
@@ -133,36 +184,14 @@ def quote_sell(base_in: Column, virtual_base: Column, virtual_quote: Column, rea
     others are INVALID_INPUT (null, not positive or over 64 bits), OUTPUT_OUT_OF_BOUNDS and ARITHMETIC_OVERFLOW (a reserve is unknown, or the virtual or the real one of tokens passes
     64 bits with base_in; the real one is looked at where it is given). An error leaves out null. Amounts and reserves are exact over all 64 bits.
     """
-    top, zero = F.lit(U64_TOP).cast(MONEY), F.lit(0).cast(MONEY)
-
-    def priced(x: Column) -> Column:
-        return F.struct(x.b.alias("b"), F.when(x.b > 0, mul_div(x.b, virtual_quote, virtual_base.cast(MONEY) + x.b)).alias("gross"))
-
-    def paid(x: Column) -> Column:
-        short = F.greatest(x.gross - real_quote.cast(MONEY), zero).cast(MONEY)
-        return F.struct(x.b.alias("b"), x.gross.alias("gross"), ceil_fee(x.gross, protocol_bps).alias("protocol"), ceil_fee(x.gross, creator_bps).alias("creator"), F.when(x.gross.isNotNull() & real_quote.isNotNull(), short).alias("short"))
-
-    def result(x: Column) -> Column:
-        passes = virtual_base.cast(MONEY) + x.b > top
-        if real_base is not None:
-            passes = passes | (real_base.cast(MONEY) + x.b > top)
-        error = F.when(x.b.isNull() | (x.b <= 0), "INVALID_INPUT").when(passes, "ARITHMETIC_OVERFLOW").when((x.gross <= 0) | (x.gross >= virtual_quote.cast(MONEY)), "OUTPUT_OUT_OF_BOUNDS")
-        if capped:
-            error = error.when(x.short > 0, "INSUFFICIENT_REAL_SOL_RESERVES")
-        error = error.when(x.protocol + x.creator >= x.gross, "OUTPUT_OUT_OF_BOUNDS").when(x.gross.isNull(), "ARITHMETIC_OVERFLOW")
-        out = F.when(error.isNull(), x.gross - x.protocol - x.creator).cast(MONEY)
-        return F.struct(x.gross.alias("gross"), x.protocol.alias("protocol_fee"), x.creator.alias("creator_fee"), out.alias("out"), x.short.alias("shortfall"), error.alias("error"))
-
-    return let(let(let(F.struct(u64(base_in).alias("b")), priced), paid), result)
+    quotes = _quotes(_sell, ("gross", "protocol_fee", "creator_fee", "out", "shortfall"), int(capped))
+    reserves = virtual_base, virtual_quote, real_quote, F.lit(None) if real_base is None else real_base
+    return quotes(u64(base_in), *[x.cast(MONEY) for x in reserves], _rate(protocol_bps), _rate(creator_bps))
 
 
 def quote_xyk(amount_in: Column, reserve_in: Column, reserve_out: Column, fee_bps: Column) -> Column:
     """Output of a constant-product pool; the fee is taken from the input, rounded down. Exact over all 64 bits; null where an operand isn't a 64-bit number."""
-
-    def net(a: Column) -> Column:
-        return (a - floordiv(a * fee_bps.cast("decimal(10,0)"), F.lit(10_000))).cast("decimal(20,0)")
-
-    return let(let(u64(amount_in), net), lambda a: mul_div(a, reserve_out, reserve_in.cast(MONEY) + a))
+    return _swaps(u64(amount_in), reserve_in.cast(MONEY), u64(reserve_out), _rate(fee_bps))
 
 
 def copy_next_slot(pairs: DataFrame, states: DataFrame, keys: Sequence[str] = ("mint",), fee_bps: tuple[int, int] = (95, 30), entry_fee: int | None = None, exit_fee: int | None = None) -> DataFrame:

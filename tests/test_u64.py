@@ -117,3 +117,28 @@ def test_rows_with_nulls_stay(spark):
     pairs = [(None, "PAIRED", *leg(1, None, "u", 10), *leg(2, None, "u", 30)), (5, "PAIRED", *leg(3, None, "u", 10), *leg(4, "x", None, 20)), (6, "zero_amount", *leg(3, "y", "u", 10), *leg(4, "z", "u", 20))]
     df = spark.createDataFrame(pairs, "mint long, reason string, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     assert {x.mint: (x.gross_buy, x.network_fees, x.pnl) for x in trips.leader_pnl(df).collect()} == {None: (12, 7, 9), 5: (12, 0, 6)}
+
+
+def test_numbers_of_a_batch_are_whole():
+    r = random.Random(5)
+    numbers = [0, 1, -1, TOP, TOP + 1, -TOP, 10**38 - 1, 1 - 10**38, None, *(r.randrange(-(10**38) + 1, 10**38) for _ in range(50))]
+    assert scalar.ints(scalar.wholes(numbers)) == numbers and scalar.ints(scalar.wholes(numbers).slice(3, 7)) == numbers[3:10]
+    assert scalar.ints(scalar.wholes([])) == [] and scalar.ints(scalar.wholes([None, None])) == [None, None] and scalar.ints(scalar.pa.array([3, None])) == [3, None]
+
+
+def test_quotes_are_made_once_in_batches(spark):
+    df = decimals(spark, [(5_000_000, TOP, 10**18, 95)], ["q", "vb", "vq", "p"])
+    q, vb, vq, p = (F.col(n) for n in df.columns)
+    out = df.select(trips.quote_buy(q, vb, vq, vb, vq, p, p).alias("b"), trips.quote_sell(q, vb, vq, vq, p, p).alias("s"), trips.quote_xyk(q, vb, vq, p).alias("x"), scalar.market_cap(q, vb, vq).alias("cap"))
+    plan = out.select("b.*", "s.out", "s.error", "x", "cap")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_an_unknown_or_senseless_rate_is_no_result(spark):
+    rows = [(10**6, None, 30), (10**6, 30, None), (10**6, -10_000, 0), (None, None, None)]
+    df = decimals(spark, rows, ["q", "p", "c"])
+    big = F.lit(10**12)
+    got = df.select(trips.quote_buy(F.col("q"), big, big, big, big, F.col("p"), F.col("c")).alias("b"), trips.quote_sell(F.col("q"), big, big, big, F.col("p"), F.col("c")).alias("s"), trips.quote_xyk(F.col("q"), big, big, F.col("p")).alias("x")).collect()
+    assert [(x.b.out, x.b.error) for x in got] == [(None, "ARITHMETIC_OVERFLOW")] * 3 + [(None, "INVALID_INPUT")]
+    assert [(x.s.gross, x.s.out, x.s.error) for x in got[:2]] == [(999_999, None, None)] * 2 and got[3].s.error == "INVALID_INPUT"
+    assert got[0].x is None and got[3].x is None
