@@ -33,8 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are linked by their texts alone, whether or not they share an id; those without an id come last. Rows without words all stay.
     """
-    order = [F.asc_nulls_last("doc_id"), substrings.version(), F.xxhash64(*COLUMNS), "text"]
-    rows = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    # bounds of ranges are made from samples that the driver gathers, so they are no texts; rows that are alike in all three share a range
+    ranges = [F.asc_nulls_last("doc_id"), substrings.version(), F.xxhash64(*COLUMNS)]
+    rows = docs.select(*COLUMNS).repartitionByRange(*ranges).sortWithinPartitions(*ranges, "text").withColumn("_row", F.monotonically_increasing_id())
     rows = write_stage(rows, "numbered")
     gone = near_dups.link(rows, 5, 80, "_row").where("doc <> component").select(F.col("doc").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chainframe.llm import html, topk
+from chainframe.llm import html, substrings, topk
 
 
 def test_every_word_of_a_block_is_hashed():
@@ -76,6 +76,31 @@ def test_pipeline_keeps_one_row_of_near_duplicates_of_any_id(spark):
     assert sorted((x for x in got if x[0] != 2), key=repr) == sorted([(1, a), (3, c), (3, d), (None, e), (5, None), (6, "")], key=repr)
 
 
+def test_near_duplicates_send_no_texts_to_the_driver(spark):
+    draw = np.random.default_rng(4)
+    data = [(i // 2, draw.bytes(4_000).hex(), "x", "s", 8_000) for i in range(300)]  # 2.4 MB of different texts
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sc = spark.sparkContext
+    sc.setJobGroup("texts", "results of near duplicates")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 300
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("texts")]
+    sent = {k: sc._jsc.sc().statusStore().lastStageAttempt(k).resultSize() for job in jobs for k in job.stageIds}
+    assert len(sent) > 20 and max(sent.values()) < 200_000, sorted(sent.items(), key=lambda x: -x[1])[:3]
+
+
+def test_rows_of_one_id_are_numbered_by_all_columns_across_ranges(spark, monkeypatch):
+    draw, numbered = np.random.default_rng(6), []
+    monkeypatch.setattr(corpus_pipeline, "write_stage", lambda df, name, write=corpus_pipeline.write_stage: (numbered.append(write(df, name)), numbered[-1])[1])
+    data = [(None if i % 9 == 0 else int(draw.integers(0, 12)), f"text {draw.integers(0, 40)}", "x", str(draw.integers(0, 3)), 1) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.drop_near_duplicates(spark, docs.repartition(7), "")
+    order = [F.asc_nulls_last("doc_id"), substrings.version(), F.xxhash64(*corpus_pipeline.COLUMNS), "text"]
+    rows = [tuple(r)[:-1] for r in numbered[0].orderBy("_row").collect()]
+    assert rows == [tuple(r) for r in docs.coalesce(1).sortWithinPartitions(*order).collect()] and len(numbered[0].select("_row").distinct().collect()) == 500
+
+
 def test_pages_are_cut_in_linear_time():
     for page in ("<div>" * 20_000, "<p" * 60_000, "<a x='" * 40_000, "<li>x" * 20_000, "<div class=c{}>t".format("1") * 8_000, "</b>" * 60_000, '<p title="it' * 30_000, "<svg>x" * 20_000, "<!-->x" * 30_000, "<template a>" * 20_000, "<svg/>x" * 20_000):
         began = time.thread_time()
