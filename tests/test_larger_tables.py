@@ -1,6 +1,7 @@
 """What larger tables hold and small ones lack, against the queries' own SQL."""
 
 import datetime
+import itertools
 import random
 
 import duckdb
@@ -151,3 +152,33 @@ def test_a_cooldown_is_decided_bucket_by_bucket_as_the_watermark_moves():
         last = t if good else last
         want.append((o, good))
     assert told == want
+
+
+def test_a_row_is_written_once_however_many_blocks_there_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW", 40)
+    draw = random.Random(7)
+    folder = events(tmp_path, [(draw.randint(0, 60), draw.randint(0, 400_000), draw.randint(0, 9), 1.0, "view") for _ in range(800)])
+    written, checkpoint = [], blocks.checkpoint
+    monkeypatch.setattr(blocks, "checkpoint", lambda df: written.append(checkpoint(df)) or written[-1])
+    found = plans.QUERIES["c01_co_occurrence"](spark, folder)
+    packed = written[0].collect()
+    assert len(packed) > 8 and sum(blocks._unpacked(pa.py_buffer(x.rows)).num_rows for x in packed) == plans.first_rows(spark, folder).count()
+    # a task's matches come key by key, not entity by entity
+    runs = found.select("key").rdd.mapPartitions(lambda rows: [sum(1 for _ in itertools.groupby(x.key for x in rows))]).collect()
+    assert found.count() > 2000 and max(runs) <= 10
+
+
+@pytest.mark.parametrize("position", [("t", "event_id"), ("event_id",), ("slot", "t", "event_id")])
+@pytest.mark.parametrize("entities", [12, 4000])
+def test_pairs_are_counted_alike_in_tables_and_lists(spark, monkeypatch, entities, position):
+    monkeypatch.setattr(blocks, "FEW", 300)
+    monkeypatch.setattr(blocks, "CELLS", 20)
+    draw = random.Random(entities)
+    made = [(draw.randint(0, entities) - 5, draw.choice("xyz"), draw.randint(0, 9), None if draw.random() < 0.1 else draw.randint(0, 5), draw.choice([None, 1, 2])) for _ in range(700)]
+    first = spark.createDataFrame(made, "signer int, mint string, t long, event_id long, slot int")
+    near = joins.co_occurrence(first.fillna(-1, ["event_id", "slot"]), 1, position=position)  # a null comes first, as -1 does
+    got, want = (sorted(map(tuple, df.collect())) for df in (blocks.pair_counts(first, 1, 2, position=position), joins.pairs(near, 2)))
+    assert got == want and got
+    got, want = (sorted(map(tuple, df.collect())) for df in (blocks.pair_matches(first, 1, 1, position=position).select("key", "a", "b", "direction"), near.select("key", "a", "b", "direction")))
+    assert got == want
+    assert blocks.pair_counts(first.limit(0), 1, 2, position=position).collect() == []
