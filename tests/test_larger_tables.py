@@ -182,3 +182,12 @@ def test_pairs_are_counted_alike_in_tables_and_lists(spark, monkeypatch, entitie
     got, want = (sorted(map(tuple, df.collect())) for df in (blocks.pair_matches(first, 1, 1, position=position).select("key", "a", "b", "direction"), near.select("key", "a", "b", "direction")))
     assert got == want
     assert blocks.pair_counts(first.limit(0), 1, 2, position=position).collect() == []
+
+
+def test_bounds_of_blocks_are_taken_without_a_join_to_the_source_rows(spark, tmp_path, monkeypatch):
+    folder = events(tmp_path, [(u, 10 * u, 3, 1.0, "view") for u in range(20)])
+    counted = []
+    first, rows = plans.first_rows(spark, folder), plans.obs(spark, folder)
+    monkeypatch.setattr(type(first), "agg", lambda df, *c, **k: counted.append(plan(df)) or df.groupBy().agg(*c, **k))
+    assert blocks.pair_matches(first, 86_400, 1, rows, "event_id", ["amount"]).count() == 190
+    assert counted and "Join" not in counted[0]
