@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from chainframe.operators import blocks, joins
+from chainframe.operators import adjacency, blocks, graph, joins
 from chainframe.plans import queries as plans
 from chainframe.plans import guards, more, results, trades  # noqa: F401  register their queries
 from chainframe.streaming import streams
@@ -191,3 +192,42 @@ def test_bounds_of_blocks_are_taken_without_a_join_to_the_source_rows(spark, tmp
     monkeypatch.setattr(type(first), "agg", lambda df, *c, **k: counted.append(plan(df)) or df.groupBy().agg(*c, **k))
     assert blocks.pair_matches(first, 86_400, 1, rows, "event_id", ["amount"]).count() == 190
     assert counted and "Join" not in counted[0]
+
+
+def graph_events(tmp_path, draw, users, n, keys=25):
+    return events(tmp_path, [(draw.randint(0, users), draw.randint(0, 400_000), draw.randint(0, keys), 1.0, "view") for _ in range(n)])
+
+
+@pytest.mark.parametrize("users", [30, 5000])
+def test_graphs_of_pairs_are_those_of_their_edges(spark, tmp_path, monkeypatch, users):
+    monkeypatch.setattr(blocks, "FEW", 200)
+    monkeypatch.setattr(blocks, "CELLS", 40)
+    monkeypatch.setattr(blocks, "LINKS", 100)
+    folder = graph_events(tmp_path, random.Random(users), users, 900)
+    pairs = blocks.Pairs(plans.first_rows(spark, folder), 86_400, 1 if users > 100 else 2)
+    edges = pairs.edges().persist()
+    same = lambda one, two: sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.select(one.columns).collect()), key=str)
+    assert edges.count() > 50 and same(graph.node_strength(edges), graph.node_strength(pairs)) and same(graph.nodes(edges), graph.nodes(pairs))
+    every = pairs.entities()
+    for groups in (
+        every.select("node", F.when(F.col("node") % 5 > 0, F.concat(F.lit("g"), F.col("node") % 5)).alias("grp")),  # also a null group
+        every.where("node % 3 > 0").withColumn("grp", F.col("node")),  # nodes without a group
+        every.withColumn("grp", F.lit(1)).union(every.withColumn("grp", F.lit(2))),  # two a node
+    ):
+        assert same(graph.quotient(edges, groups), graph.quotient(pairs, groups))
+    node = edges.first().b
+    assert same(graph.ego(edges, node), graph.ego(pairs, node)) and graph.ego(pairs, -1).collect() == []
+    assert same(adjacency.links(adjacency.pack(edges), "bigint", "bigint"), adjacency.links(adjacency.merge(pairs.links()), "bigint", "bigint"))
+
+
+def test_graph_queries_make_no_row_for_each_edge(spark, tmp_path, monkeypatch):
+    folder = graph_events(tmp_path, random.Random(3), 40, 3000)
+    monkeypatch.setattr(blocks, "pair_weights", None)
+    assert plans.QUERIES["n03_quotient"](spark, folder).count() == 28 and plans.QUERIES["n01_node_strength"](spark, folder).count() == 41
+
+
+def test_an_ego_counts_only_the_pairs_of_its_neighbours(spark, tmp_path, monkeypatch):
+    folder = events(tmp_path, [(u, d * 200_000 + u, k, 1.0, "view") for u in range(40) for k in range(3) for d in [u % 4]])
+    counted, packed = [], blocks._packed
+    monkeypatch.setattr(blocks, "_packed", lambda first, *a: counted.append(first.count()) or packed(first, *a))
+    assert len(same_rows(spark, folder, "n04_ego")) == 45 and counted == [30]  # 10 of 40 users
