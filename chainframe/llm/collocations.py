@@ -6,7 +6,8 @@ a task turns its texts into numbers of words and numpy moves the states of all p
 reached are counted by bincount, and the counts of the tasks are added up.
 
 A symbol, the number of a word in its trie, is read as two digits, so that the children of a state lie close together. When there are more candidates
-than one trie holds, they are dealt by their first words to several, which meet the texts one after another.
+than one trie holds, they are dealt by their first words to several. The texts aren't read for each of these: they are turned into windows once, the words from each place on as
+one number, with how often each occurs, and a trie meets those that begin with its words. Only where a window doesn't fit into a long are the texts read trie by trie.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ class Trie:
 
     def owns(self, word: bytes) -> bool:
         """Whether phrases that begin with the word are in this trie, if they are in any."""
-        return zlib.crc32(word) % self.shards == self.shard
+        return zlib.crc32(word) * self.shards >> 32 == self.shard
 
 
 def _shards(phrases: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, int]:
@@ -198,7 +199,7 @@ def _shards(phrases: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, int
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.nulls(n, pa.binary()), ends.slice(at, n), langs.slice(at, n), phrases.slice(at, n)], schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("blob", pa.binary()), ("state", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
-    shard = F.pmod(F.crc32(F.substring_index("phrase", " ", 1).cast("binary")), F.lit(shards)).alias("shard")
+    shard = F.shiftright(F.crc32(F.substring_index("phrase", " ", 1).cast("binary")) * shards, 32).alias("shard")
     dealt = phrases.select(shard, "lang", "phrase").repartition(shards, "shard")
     return scratch.table(dealt.mapInArrow(run, "shard long, blob binary, state long, lang string, phrase string")), shards
 
@@ -432,6 +433,93 @@ def count_states(df: DataFrame, sent, longest: int) -> DataFrame:
     return _with_trie(df, sent, step, "state long, n long").groupBy("state").agg(F.sum("n").alias("n"))
 
 
+class Windows:
+    """What texts hold, place by place: the numbers of the words from there on, up to ``longest`` or to where a piece or the frequent words end, as one long, and how often each occurs.
+
+    Numbers are the symbols of the trie of all frequent words. Rows are h, key, n: h is a hash of the first word, in whose order they are written, so that a trie's part is read by itself.
+    """
+
+    def __init__(self, rows: DataFrame, sent, bits: int, longest: int, scratch: common.Scratch):
+        """rows: (lang, text); sent: the trie, of one shard."""
+        self.sent, self.bits, self.longest = sent, bits, longest
+
+        def step(trie: Trie, parts: Iterator):
+            reader, held, n = _Reader(trie), [], 0
+            hashes = np.zeros(trie.words + 1, np.int64)
+            for first, words in trie.symbols.values():
+                hashes[first : first + len(words)] = [zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()]
+
+            def out():
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
+                held.clear()
+                for at in range(0, len(keys), 1 << 16):
+                    some = keys[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[some >> bits * (longest - 1)]), pa.array(some), pa.array(counts[at : at + (1 << 16)], pa.int64())], ["h", "key", "n"])
+
+            for langs, texts in parts:
+                row = reader.read(langs, texts)
+                key, follows, live = row.copy(), np.append(row, np.zeros(longest, np.int64)), row > 0
+                for j in range(1, longest):
+                    word = follows[j : j + len(row)]
+                    live = live & (word > 0)
+                    key = key << bits | np.where(live, word, 0)
+                held.append(key[row > 0])
+                n += len(held[-1])
+                if n > GATHERED:
+                    yield from out()
+                    n = 0
+            if n:
+                yield from out()
+
+        dealt = _with_trie(rows, sent, step, "h long, key long, n long").repartition("h", "key")  # a task has made equal ones one already
+        self.rows = scratch.table(dealt.groupBy("h", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("h"))
+
+    def phrases(self, words: int, least: int) -> DataFrame:
+        """lang, phrase: those of ``words`` words that occur ``least`` times."""
+        bits, shift = self.bits, self.bits * (self.longest - words)
+        found = self.rows.select(F.shiftright("key", shift).alias("key"), "n").where(F.col("key").bitwiseAND((1 << bits) - 1) > 0)
+        if shift:
+            found = found.groupBy("key").agg(F.sum("n").alias("n"))
+
+        def names(trie: Trie, parts: Iterator[pa.RecordBatch]):
+            for batch in (x for x in parts if x.num_rows):
+                yield pa.RecordBatch.from_arrays(_phrases(_unpacked(batch.column(0).to_numpy(), bits, words), trie, []), ["lang", "phrase"])
+
+        return _with_trie(found.where(F.col("n") >= least).select("key"), self.sent, names, "lang string, phrase string", whole=True)
+
+    def count_states(self, sent, shard: int, shards: int) -> DataFrame:
+        """state, n: how often each accepting state of a trie is reached. Only the windows that begin with its words are read."""
+        name, words, bits, longest = uuid.uuid4().hex, self.sent, self.bits, self.longest
+        low, high = (-((-x << 32) // shards) for x in (shard, shard + 1))
+
+        def load() -> tuple[Trie, np.ndarray]:
+            trie, every = Trie.unpacked(sent), Trie.unpacked(words)
+            to = np.zeros(every.words + 1, np.int64)  # numbers of all frequent words as symbols of this trie
+            for lang, (first, known) in every.symbols.items():
+                if lang in trie.symbols:
+                    start, own = trie.symbols[lang]
+                    at = pc.index_in(known.cast(pa.binary()), value_set=own.cast(pa.binary()))
+                    to[first : first + len(known)] = np.where(at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy() + start, 0)
+            return trie, to
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie, to = common.worker_state(("windows", name), load)
+            counts = np.zeros(len(trie.base), np.int64)
+            for batch in batches:
+                symbols, n = to[_unpacked(batch.column(0).to_numpy(), bits, longest)], batch.column(1).to_numpy()
+                state = np.full(len(n), _ROOT, np.int64)
+                for j in range(longest):
+                    state = trie.step(state, symbols[:, j])
+                    live = state > 0
+                    state, symbols, n = state[live], symbols[live], n[live]
+                    np.add.at(counts, state, n)
+            at = np.flatnonzero(trie.accepts & (counts > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["state", "n"])
+
+        mine = self.rows.where((F.col("h") >= low) & (F.col("h") < high)).select("key", "n")
+        return mine.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("n"))
+
+
 def _over_shards(tries: DataFrame, shards: int, scratch: common.Scratch, job: Callable) -> DataFrame:
     """The union of job(broadcast trie, shard) over all tries; the driver holds one at a time."""
     out, spark = None, tries.sparkSession
@@ -456,11 +544,26 @@ def phrase_counts(df: DataFrame, longest: int, least: int, scratch: common.Scrat
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     words = scratch.table(count_words(rows))
     known = level = words.where(F.col("n") >= least).select("lang", "phrase")
+    single, bits, windows = None, 0, None  # the trie of all frequent words, if they fit into one and a window of them into a long
+
+    def dealt() -> Windows:
+        nonlocal windows
+        windows = windows or Windows(rows, single, bits, longest, scratch)
+        return windows
+
     for n in range(2, longest + 1):
-        tries, shards = _shards(level, scratch)
-        if not shards:
-            break
-        level = _over_shards(tries, shards, scratch, lambda sent, _, n=n: propose(rows, sent, n, least))
+        if bits and level.count() > TRIE_PHRASES:
+            level = scratch.table(dealt().phrases(n, least))
+        else:
+            tries, shards = _shards(level, scratch)
+            if not shards:
+                break
+            if n == 2 and shards == 1:
+                blob = bytes(tries.where(F.col("blob").isNotNull()).select("blob").first()["blob"])
+                single, bits = df.sparkSession.sparkContext.broadcast(blob), _bits(pickle.loads(blob)[2] + 1, longest)
+                del blob
+                common.give_back()
+            level = _over_shards(tries, shards, scratch, lambda sent, _, n=n: propose(rows, sent, n, least))
         known = known.union(level)
     tries, shards = _shards(known, scratch)
     if not shards:
@@ -468,9 +571,13 @@ def phrase_counts(df: DataFrame, longest: int, least: int, scratch: common.Scrat
 
     def counted(sent, shard: int) -> DataFrame:
         names = tries.where((F.col("shard") == shard) & F.col("blob").isNull()).select("state", "lang", "phrase")
-        return count_states(rows, sent, longest).join(names, "state").select("lang", "phrase", F.col("n").alias("f"))
+        states = dealt().count_states(sent, shard, shards) if bits and shards > 1 else count_states(rows, sent, longest)
+        return states.join(names, "state").select("lang", "phrase", F.col("n").alias("f"))
 
-    return words, _over_shards(tries, shards, scratch, counted).where(F.col("f") >= least)
+    out = _over_shards(tries, shards, scratch, counted).where(F.col("f") >= least)
+    if single:
+        single.destroy()
+    return words, out
 
 
 # --- scores

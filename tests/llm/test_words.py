@@ -130,6 +130,22 @@ def test_collocations_are_those_of_a_plain_count(spark, monkeypatch, phrase_docs
     assert collocations.collocations(df.limit(0)).collect() == [] and collocations.collocations(df.where("lang = 'none'"), least=10**6).collect() == []
 
 
+@pytest.mark.parametrize("longest,least", [(3, 10), (4, 5)])
+def test_texts_are_not_read_again_for_each_of_several_tries(spark, monkeypatch, phrase_docs, longest, least):
+    df = spark.createDataFrame(phrase_docs, "lang string, text string").repartition(4)
+    words = sum(n >= least for (_, p), n in count_phrases(phrase_docs, 1).items())
+    reads, met = [], []
+    for name in ("propose", "count_states"):
+        monkeypatch.setattr(collocations, name, lambda *a, plain=getattr(collocations, name): reads.append(1) or plain(*a))
+    states = collocations.Windows.count_states
+    monkeypatch.setattr(collocations.Windows, "count_states", lambda self, sent, shard, shards: met.append(shards) or states(self, sent, shard, shards))
+    for most in (words, words + 20):
+        monkeypatch.setattr(collocations, "TRIE_PHRASES", most)
+        reads.clear(), met.clear()
+        got = sorted(tuple(x) for x in collocations.collocations(df, longest, least, 2000).collect())
+        assert got == ranked_phrases(phrase_docs, longest, least, 2000, 50) and len(reads) < longest and met[0] > 1
+
+
 def test_a_trie_leads_where_its_phrases_lead():
     r = random.Random(4)
     phrases = sorted({(r.choice(["en", "de"]), " ".join(f"w{int(r.paretovariate(0.5)) % 3000}" for _ in range(r.randrange(1, 4)))) for _ in range(6000)})
