@@ -483,7 +483,7 @@ class Windows:
 
         def names(trie: Trie, parts: Iterator[pa.RecordBatch]):
             for batch in (x for x in parts if x.num_rows):
-                yield pa.RecordBatch.from_arrays(_phrases(_unpacked(batch.column(0).to_numpy(), bits, words), trie, []), ["lang", "phrase"])
+                yield pa.RecordBatch.from_arrays([*_phrases(_unpacked(batch.column(0).to_numpy(), bits, words), trie, [])], ["lang", "phrase"])
 
         return _with_trie(found.where(F.col("n") >= least).select("key"), self.sent, names, "lang string, phrase string", whole=True)
 
